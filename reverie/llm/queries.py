@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from reverie.llm import mixing, url_rules
+from reverie.llm import mixing, packing, token_codes, url_rules
 
 QUERIES = {
+    "op4_token_codes": token_codes.query,
     "op5_entropy_mix": mixing.query,
     "op6_url_rules": url_rules.query,
+    "op7_histogram_packing": packing.query,
 }
 
 ORACLES = {"op6_url_rules": url_rules.ORACLE}
