@@ -81,6 +81,13 @@ def token_bytes(texts, path: str) -> list[bytes]:
     return [b"".join([known[w] for w in ws]) + end for ws in words]
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Texts go to Python workers in batches of this many rows at most, so that long ones fit."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def unsigned_crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from reverie.llm import mixing, packing, token_codes, url_rules
+from reverie.llm import compression, mixing, packing, span_hash, token_codes, url_rules
 
 QUERIES = {
+    "op2_compression_quality": compression.query,
     "op4_token_codes": token_codes.query,
     "op5_entropy_mix": mixing.query,
     "op6_url_rules": url_rules.query,
     "op7_histogram_packing": packing.query,
+    "op10_span_hash": span_hash.query,
 }
 
 ORACLES = {"op6_url_rules": url_rules.ORACLE}
