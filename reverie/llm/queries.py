@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from reverie.llm import compression, mixing, packing, span_hash, token_codes, url_rules
+from reverie.llm import compression, line_chunks, mixing, packing, span_hash, token_codes, url_rules
 
 QUERIES = {
     "op2_compression_quality": compression.query,
+    "op3_line_chunks": line_chunks.query,
     "op4_token_codes": token_codes.query,
     "op5_entropy_mix": mixing.query,
     "op6_url_rules": url_rules.query,
@@ -13,4 +14,4 @@ QUERIES = {
     "op10_span_hash": span_hash.query,
 }
 
-ORACLES = {"op6_url_rules": url_rules.ORACLE}
+ORACLES = {"op3_line_chunks": line_chunks.ORACLE, "op6_url_rules": url_rules.ORACLE}
