@@ -56,29 +56,106 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_IDS: dict[str, dict[bytes, bytes]] = {}
-CACHED_WORDS = 400_000
+#: Words whose ids a worker keeps, at most in either of two generations.
+CACHED_WORDS = 150_000
+_IDS: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+
+
+@lru_cache(maxsize=4)
+def _closing(path: str):
+    """For each id, whether it closes a word."""
+    import numpy as np
+
+    vocab = _tokenizer(path).get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocab.values()) + 1, bool)
+    out[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+    return out
+
+
+def _ids_of_words(words: list[str], path: str) -> list[bytes]:
+    """Ids of each word. All-letter words are one token pattern each, so a line of them is cut after the ids that close words."""
+    import numpy as np
+
+    if not words:
+        return []
+    tokenizer = _tokenizer(path)
+    if all(map(str.isalpha, words)):
+        ids = np.asarray(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(_closing(path)[ids]) + 1
+        if len(ends) == len(words):
+            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            return [data[i:j] for i, j in zip(at, at[1:], strict=False)]
+    found = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+    data = np.asarray(found.ids, "<u4").tobytes()
+    at = (4 * np.searchsorted(np.asarray([-1 if i is None else i for i in found.word_ids]), np.arange(len(words) + 1))).tolist()
+    return [data[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+
+def _looked_up(words, path: str):
+    """Ids of an Arrow array of words: all in a row, the number of each word's, and where they begin."""
+    import numpy as np
+
+    young, old = _IDS[path]
+    words = words.to_pylist()
+    new = [w for w in words if w not in young]
+    if new:
+        known = [w for w in new if w in old]
+        young.update(zip(known, map(old.__getitem__, known), strict=True))
+        new = [w for w in new if w not in young] if known else new
+        letters = [w for w in new if w.isalpha()]
+        others = [w for w in new if not w.isalpha()]
+        for group in (letters, others):
+            young.update(zip(group, _ids_of_words(group, path), strict=True))
+    ids = list(map(young.__getitem__, words))
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    return np.frombuffer(b"".join(ids), "<u4"), sizes, np.cumsum(sizes) - sizes
 
 
 def token_bytes(texts, path: str) -> list[bytes]:
     """The ids of each text and END_ID, as little-endian unsigned 32-bit integers.
 
-    Every pattern of this tokenizer ends at white space, so a text's ids are those of its
-    words in a row; words met before are looked up (CACHED_WORDS at most, then afresh).
+    Every pattern of this tokenizer ends at white space and between a letter and marks, and it
+    reads A-Z as a-z. So a text's ids are those of its lower-cased words and their closing marks
+    in a row; what was met before is looked up.
     """
     import numpy as np
-
-    known = _IDS.setdefault(path, {})
-    words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-    new = list({w for ws in words for w in ws if w not in known})
-    if new:
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list({w for ws in words for w in ws})
-        found = _tokenizer(path).encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-        known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    young, old = _IDS.get(path, ({"": b""}, {}))
+    _IDS[path] = ({"": b""}, young) if len(young) > CACHED_WORDS else (young, old)
+    data = pc.fill_null(pa.array(texts, pa.large_string(), from_pandas=True), "")
+    # special tokens are matched before letters are lower-cased
+    data = pc.if_else(pc.match_substring(data, "<|"), data, pc.ascii_lower(data))
+    split = pc.ascii_split_whitespace(data)
+    coded = split.flatten().dictionary_encode()
+    parts = pc.extract_regex(coded.dictionary, r"(?s)^(?P<word>.*\pL)(?P<marks>[.,;:!?]+)$")
+    word = pc.coalesce(pc.struct_field(parts, "word"), coded.dictionary).dictionary_encode()
+    marks = pc.fill_null(pc.struct_field(parts, "marks"), "").dictionary_encode()
+    word_ids, word_size, word_at = _looked_up(word.dictionary, path)
+    mark_ids, mark_size, mark_at = _looked_up(marks.dictionary, path)
+    pool = np.concatenate((word_ids, mark_ids))
+    of = coded.indices.to_numpy(zero_copy_only=False)
+    w, m = word.indices.to_numpy(zero_copy_only=False)[of], marks.indices.to_numpy(zero_copy_only=False)[of]
+    size = np.stack((word_size[w], mark_size[m]), 1).ravel()
+    at = np.stack((word_at[w], mark_at[m] + len(word_ids)), 1).ravel()
+    ends = np.concatenate(([0], np.cumsum(size)))
+    out = pool[np.repeat(at - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+    bounds = (4 * ends[2 * split.offsets.to_numpy()]).tolist()
     end = END_ID.to_bytes(4, "little")
-    return [b"".join([known[w] for w in ws]) + end for ws in words]
+    return [out[i:j] + end for i, j in zip(bounds, bounds[1:], strict=False)]
+
+
+def runs_of(texts, chars: int = 4_000_000):
+    """Consecutive slices of texts that hold about that many characters, or one longer text."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t or "") > chars:
+            yield slice(first, i)
+            first, held = i, 0
+        held += len(t or "")
+    if len(texts):
+        yield slice(first, len(texts))
 
 
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:

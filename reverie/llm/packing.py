@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reverie.llm.common import load, token_bytes, word_bpe_path, written
+from reverie.llm.common import load, runs_of, small_batches, token_bytes, word_bpe_path, written
 
 SEQUENCE = 2048
 PIECES = "part int, doc_id long, start long, length int, doc_tokens long, ids binary, nth long"
@@ -80,8 +80,8 @@ def _cut(frames: Iterator[pd.DataFrame], tokenizer: str, size: int) -> Iterator[
 
     for frame in frames:
         docs = [None if pd.isna(d) else int(d) for d in frame["doc_id"]]
-        for at in range(0, len(docs), 256):
-            for d, b in zip(docs[at : at + 256], token_bytes(frame["text"].iloc[at : at + 256], tokenizer), strict=True):
+        for run in runs_of(frame["text"]):
+            for d, b in zip(docs[run], token_bytes(frame["text"].iloc[run], tokenizer), strict=True):
                 n = len(b) // 4
                 for start in range(0, n, size):
                     length = min(size, n - start)
@@ -102,6 +102,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFrame:
     as empty and has the end id alone. An empty table gives an empty one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = written(docs.mapInPandas(partial(_cut, tokenizer=tokenizer, size=size), PIECES), "pieces")
     counts = written(pieces.groupBy("part", "length").count(), "piece-counts")

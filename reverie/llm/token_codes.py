@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reverie.llm.common import load, partitions, shared_dir, token_bytes, word_bpe_path
+from reverie.llm.common import load, partitions, runs_of, shared_dir, small_batches, token_bytes, word_bpe_path
 
 RANK_BLOCK = 512
 SHARD_TOKENS = 1 << 20
@@ -74,7 +74,8 @@ class Shard:
 
     def get(self, at: np.ndarray) -> np.ndarray:
         """The tokens at the positions given, in any order."""
-        out, slot, at = np.zeros(len(at), "<u4"), np.arange(len(at)), np.asarray(at, np.int64)
+        at = np.asarray(at, np.int64)
+        out, slot = np.zeros(len(at), "<u4"), np.arange(len(at))
         for level, (codes, bitmap, ones) in enumerate(self.levels):
             out[slot] |= codes[at].astype("<u4") << np.uint32(8 * level)
             goes = (bitmap[at >> 3] >> (at & 7).astype("u1")) & 1 == 1
@@ -84,6 +85,18 @@ class Shard:
             at = self._rank(bitmap, ones, at)
         return out
 
+    def all(self) -> np.ndarray:
+        """Every token in order: each level's codes fall to the places that go on."""
+        out, slot = np.zeros(self.n_tokens, "<u4"), None
+        for level, (codes, bitmap, _) in enumerate(self.levels):
+            more = np.flatnonzero(np.unpackbits(bitmap, count=len(codes), bitorder="little"))
+            if slot is None:
+                out[:], slot = codes, more
+            else:
+                out[slot] |= codes.astype("<u4") << np.uint32(8 * level)
+                slot = slot[more]
+        return out
+
     @staticmethod
     def _rank(bitmap: np.ndarray, ones: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Ones before each position: the directory's count, then the bytes and bits of its block."""
@@ -93,8 +106,8 @@ class Shard:
             width = RANK_BLOCK // 8
             block = bitmap.reshape(-1, width)[at // RANK_BLOCK]
             inside = np.where(np.arange(width) < ((at % RANK_BLOCK) >> 3)[:, None], np.bitwise_count(block), 0)
-            before = ones[at // RANK_BLOCK].astype(np.int64) + inside.sum(1)
-        low = (1 << (at & 7)) - 1
+            before = ones[at // RANK_BLOCK].astype(np.int64) + inside.sum(1, dtype=np.int64)
+        low = (1 << (at & 7)) - 1  # the bits before it in its byte
         return before + np.bitwise_count(bitmap[at >> 3] & low.astype("u1"))
 
 
@@ -116,8 +129,8 @@ def _write(frames: Iterator[pd.DataFrame], tokenizer: str, shard_tokens: int) ->
 
     for frame in frames:
         docs = [None if pd.isna(d) else int(d) for d in frame["doc_id"]]
-        for at in range(0, len(docs), 256):
-            for d, b in zip(docs[at : at + 256], token_bytes(frame["text"].iloc[at : at + 256], tokenizer), strict=True):
+        for run in runs_of(frame["text"]):
+            for d, b in zip(docs[run], token_bytes(frame["text"].iloc[run], tokenizer), strict=True):
                 if held and size + len(b) // 4 > shard_tokens:
                     yield flush()
                 held.append((d, b))
@@ -132,6 +145,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, shard_tokens:
     A shard closes before shard_tokens, or holds one longer document. Null texts count as
     empty: every document has at least the end id. An empty table writes no shards.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranged = docs.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     ranged.mapInPandas(partial(_write, tokenizer=tokenizer, shard_tokens=shard_tokens), FILES).write.option("compression", "zstd").parquet(path)
@@ -149,7 +163,7 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for base, data in zip(frame["base"], frame["payload"], strict=True):
             shard = Shard(bytes(data))
-            ids = shard.get(np.arange(shard.n_tokens)).tobytes()
+            ids = shard.all().tobytes()
             ends = shard.starts.astype(np.int64)
             yield pd.DataFrame({"doc_id": pd.array(shard.doc_ids, "Int64"), "start": base + ends[:-1], "ids": [ids[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)]})
 
