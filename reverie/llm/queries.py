@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reverie.llm import compression, line_chunks, mixing, packing, span_hash, token_codes, url_rules
+from reverie.llm import compression, line_chunks, mixing, packing, span_hash, token_codes, url_rules, weighted_minhash
 
 QUERIES = {
     "op2_compression_quality": compression.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_entropy_mix": mixing.query,
     "op6_url_rules": url_rules.query,
     "op7_histogram_packing": packing.query,
+    "op8_weighted_minhash": weighted_minhash.query,
     "op10_span_hash": span_hash.query,
 }
 
