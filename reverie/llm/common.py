@@ -57,7 +57,7 @@ def _tokenizer(path: str):
 
 
 #: Words whose ids a worker keeps, at most in either of two generations.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 300_000
 _IDS: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
