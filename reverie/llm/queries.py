@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reverie.llm import compression, line_chunks, mixing, packing, span_hash, token_codes, url_rules, weighted_minhash
+from reverie.llm import compression, gru_lm, line_chunks, mixing, packing, span_hash, token_codes, url_rules, weighted_minhash
 
 QUERIES = {
     "op2_compression_quality": compression.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_url_rules": url_rules.query,
     "op7_histogram_packing": packing.query,
     "op8_weighted_minhash": weighted_minhash.query,
+    "op9_gru_lm": gru_lm.query,
     "op10_span_hash": span_hash.query,
 }
 
