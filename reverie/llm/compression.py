@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reverie.llm.common import fold_of, load, small_batches
+from reverie.llm.common import fold_of, load, small_batches, written
 
 FOLDS = 5
 #: Labelled rows of a class that build its dictionary, and as many that calibrate; the bound of what training reads into the driver.
@@ -83,18 +83,19 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> QualityModel:
     """Learns from labelled docs of the folds 1 to FOLDS - 1: two of them build dictionaries, the others calibrate.
 
-    The rows are the first of each class and use by a hash of doc_id, sample_rows at most.
-    A doc_id labelled twice counts once, with its lowest quality.
+    The labels are the first of each class and use by a hash of doc_id, sample_rows at most, and
+    only their texts come to the driver. A doc_id labelled twice counts once, with its lowest
+    quality; of texts that share a doc_id the least stands for them.
     """
     fold = fold_of(F.col("doc_id"), FOLDS)
     marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where(fold != 0)
-    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= sample_chars)).select("doc_id", "text").join(marked, "doc_id")
-    rows: dict[tuple[int, bool], list[bytes]] = {}
-    for quality in (0, 1):
-        for builds in (True, False):
-            own = texts.where((F.col("quality") == quality) & (fold.isin(1, 2) == builds))
-            found = own.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_rows).collect()
-            rows[quality, builds] = [r["text"].encode("utf-8", "replace") for r in found]
+    marked = written(marked.withColumn("builds", fold.isin(1, 2)), "labels")
+    picks = [marked.where((F.col("quality") == q) & (F.col("builds") == b)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for q in (0, 1) for b in (True, False)]
+    picked = F.broadcast(reduce(DataFrame.union, picks))  # 4 * sample_rows rows at most
+    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= sample_chars)).select("doc_id", "text").join(picked, "doc_id")
+    rows: dict[tuple[int, bool], list[bytes]] = {(q, b): [] for q in (0, 1) for b in (True, False)}
+    for r in sorted(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"), F.min("builds").alias("builds")).collect(), key=lambda r: r["doc_id"]):
+        rows[r["quality"], r["builds"]].append(r["text"].encode("utf-8", "replace"))
     if not (rows[0, True] or rows[0, False]) or not (rows[1, True] or rows[1, False]):
         share = 1.0 if rows[1, True] or rows[1, False] else 0.0 if rows[0, True] or rows[0, False] else 0.5
         return QualityModel(b"", b"", ({1.0: 30.0, 0.0: -30.0}.get(share, 0.0), 0.0, 0.0))
