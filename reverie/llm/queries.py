@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from reverie.llm import compression, gru_lm, line_chunks, mixing, packing, span_hash, token_codes, url_rules, weighted_minhash
+from reverie.llm import compression, gru_lm, hamming, line_chunks, mixing, packing, span_hash, token_codes, url_rules, weighted_minhash
 
 QUERIES = {
+    "op1_multi_index_search": hamming.query,
     "op2_compression_quality": compression.query,
     "op3_line_chunks": line_chunks.query,
     "op4_token_codes": token_codes.query,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_span_hash": span_hash.query,
 }
 
-ORACLES = {"op3_line_chunks": line_chunks.ORACLE, "op6_url_rules": url_rules.ORACLE}
+ORACLES = {"op1_multi_index_search": hamming.ORACLE, "op3_line_chunks": line_chunks.ORACLE, "op6_url_rules": url_rules.ORACLE}
