@@ -36,6 +36,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """Each row whole as `row`, beside the columns given, so that no name of docs can clash with one of an operator."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 
@@ -114,8 +119,8 @@ def _looked_up(words, path: str):
 def token_bytes(texts, path: str) -> list[bytes]:
     """The ids of each text and END_ID, as little-endian unsigned 32-bit integers.
 
-    Every pattern of this tokenizer ends at white space and between a letter and marks, and it
-    reads A-Z as a-z. So a text's ids are those of its lower-cased words and their closing marks
+    Every pattern of this tokenizer ends at white space and between a letter and marks (but for
+    U+0130, whose small form is no letter alone), and it reads A-Z as a-z. So a text's ids are those of its lower-cased words and their closing marks
     in a row; what was met before is looked up.
     """
     import numpy as np
@@ -129,7 +134,7 @@ def token_bytes(texts, path: str) -> list[bytes]:
     data = pc.if_else(pc.match_substring(data, "<|"), data, pc.ascii_lower(data))
     split = pc.ascii_split_whitespace(data)
     coded = split.flatten().dictionary_encode()
-    parts = pc.extract_regex(coded.dictionary, r"(?s)^(?P<word>.*\pL)(?P<marks>[.,;:!?]+)$")
+    parts = pc.extract_regex(coded.dictionary, r"(?s)^(?P<word>.*[^\PL\x{130}])(?P<marks>[.,;:!?]+)$")
     word = pc.coalesce(pc.struct_field(parts, "word"), coded.dictionary).dictionary_encode()
     marks = pc.fill_null(pc.struct_field(parts, "marks"), "").dictionary_encode()
     word_ids, word_size, word_at = _looked_up(word.dictionary, path)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reverie.llm.common import WORD, load, written
+from reverie.llm.common import WORD, boxed, load, written
 
 #: Documents of a lane, on average; a source has as many lanes as it needs, so no group holds a hot source.
 LANE = 512
@@ -92,12 +92,11 @@ def copies_to_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[float
 
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), cap: int = 2) -> DataFrame:
     """docs (doc_id, text, source and any others) with each row repeated as often as the mix takes it; the same columns."""
-    columns = docs.columns
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    chosen = copies_to_targets(sized.select("doc_id", "source", F.col("_size").alias("size")), share, weights, cap).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    taken = sized.join(chosen.withColumnRenamed("copies", "_copies"), same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*columns)
+    sized = boxed(docs, "doc_id", "source", word_count(F.col("text")).alias("size"))
+    chosen = copies_to_targets(sized.select("doc_id", "source", "size"), share, weights, cap).where("copies > 0").select("doc_id", "source", "size", "copies").alias("c")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.size") == F.col("c.size"))
+    taken = sized.alias("d").join(chosen, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return taken.select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
