@@ -10,19 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reverie.llm import compression, line_chunks, mixing, packing, weighted_minhash
-from reverie.llm.common import load, word_bpe_path, written
+from reverie.llm.common import boxed, load, word_bpe_path, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, doesn't reject."""
     model = compression.train(docs, load(spark, sf_dir, "labels"))
-    return compression.score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+    return compression.score_quality(boxed(docs, "text"), model).where("predicted = 1").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less the passages of several lines that stand in an earlier document; n_chars follows the text."""
     cut = line_chunks.drop_repeated_chunks(docs)
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n_chars).select(*[c for c in docs.columns if c in cut.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
