@@ -11,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reverie.llm.common import load, written
+from reverie.llm.common import boxed, load, written
 
 WINDOW = 2
 DIVISOR = 3
 #: Of the rolling hash: base and a prime modulus; line hashes are below 2 ** 32, so that sums stay below 2 ** 63.
 BASE = 31
 MODULUS = 1_000_000_007
+BITMAP = 1 << 22
 
 
 def _line_hash(line: Column) -> Column:
@@ -41,17 +42,27 @@ def chunked(docs: DataFrame) -> DataFrame:
     return ends.withColumn("_chunks", F.transform("_ends", lambda e, k: F.struct(start(k).alias("start"), (e + 1 - start(k)).alias("n")))).drop("_ends", "_hashes")
 
 
+def _maybe(own: DataFrame, again: DataFrame) -> DataFrame:
+    """Rows of own whose key has its bit set among the keys of again; the bitmap has BITMAP bits, as 64-bit words, however many keys there are."""
+    slot = F.pmod("key", F.lit(BITMAP))
+    word, bit = F.floor(slot / 64).cast("int"), F.pmod(slot, F.lit(64)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    masks = again.groupBy(word.alias("word")).agg(F.bit_or(one).alias("mask"))
+    return own.withColumn("word", word).join(F.broadcast(masks), "word").where(F.col("mask").bitwiseAND(one) != 0).drop("word", "mask")
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """doc_id, start, n of each occurrence of a repeated chunk of several lines but its first, by (doc_id, start).
 
     Only hashes move until chunks are known to repeat; then each repeated chunk's text is compared
-    with that of the first occurrence. A hot chunk is a join key whose rows are split, and its
-    count and first occurrence are partial aggregates.
+    with that of the first occurrence. A bitmap of fixed size, sent to all tasks, spares most
+    other texts the way to that join. A hot chunk is a join key whose rows are split, and its count
+    and first occurrence are partial aggregates.
     """
     several = chunked(docs.where("doc_id IS NOT NULL").select("doc_id", "text")).select("doc_id", "_lines", F.explode(F.filter("_chunks", lambda c: c["n"] > 1)).alias("c"))
     own = several.select("doc_id", F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.array_join(F.slice("_lines", F.col("c.start") + 1, F.col("c.n")), "\n").alias("chunk")).withColumn("key", F.xxhash64("chunk"))
     again = written(own.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("key", "first"), "chunk-keys")
-    found = own.join(again, "key")
+    found = _maybe(own, again).join(again, "key")
     here = F.struct("doc_id", "start") == F.col("first")
     found = written(found.select("key", "doc_id", "start", "n", "chunk", here.alias("is_first")), "chunk-texts")
     first = found.where("is_first").select("key", F.col("chunk").alias("model")).dropDuplicates(["key"])
@@ -67,7 +78,7 @@ def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
     gives an empty one; columns named n_lines or n_removed are replaced.
     """
     gone = repeated_chunks(docs).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("_gone")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    joined = boxed(docs, "doc_id", "text").join(gone, F.col("doc_id") == F.col("_id"), "left")
     none = F.array().cast("array<struct<start:int,n:int>>")
     split = joined.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("_gone", F.coalesce(F.sort_array("_gone"), none))
     out = split.withColumn("n_lines", F.size("_lines")).withColumn("n_removed", F.aggregate("_gone", F.lit(0), lambda n, g: n + g["n"]))
@@ -79,7 +90,9 @@ def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
         return F.slice("_lines", start + 1, end - start)
 
     left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone")), between)), "\n")
-    return out.withColumn("text", F.when(F.size("_gone") == 0, F.coalesce("text", F.lit(""))).otherwise(left)).drop("_gone", "_lines")
+    text = F.when(F.size("_gone") == 0, F.coalesce("text", F.lit(""))).otherwise(left).alias("text")
+    own = [text if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*own, "n_lines", "n_removed")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
