@@ -1 +1 @@
-"""Agent-memory analytics as Spark DataFrame operators."""
+"""Functions of the memory store."""

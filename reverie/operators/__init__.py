@@ -1 +1 @@
-"""Agent-memory analytics as Spark DataFrame operators."""
+"""Operators of the memory store."""

@@ -1 +1 @@
-"""Agent-memory analytics as Spark DataFrame operators."""
+"""Sources of the memory store."""

@@ -1 +1 @@
-"""Agent-memory analytics as Spark DataFrame operators."""
+"""Streaming of the memory store."""
