@@ -186,16 +186,19 @@ def _sketch(frames: Iterator[pd.DataFrame], table: np.ndarray) -> Iterator[pd.Da
                 yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[run].to_numpy(), "one": [x[1] for x in own], "two": [x[2] for x in own], "keys": keys})
 
 
-def _vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _vectors(frames: Iterator[pd.DataFrame], table: np.ndarray) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for run in runs_of(frame["text"]):
             own = shingles_of(frame["text"].iloc[run])
             f = frame.iloc[run]
             same = [(x[1], x[2]) == (a, b) for x, a, b in zip(own, f["one"], f["two"], strict=True)]
-            yield pd.DataFrame({"node": f["node"].to_numpy()[same], "vector": [np.sort(x[0]).astype("<u4").tobytes() for x, s in zip(own, same, strict=True) if s]})
+            kept = [x[0] for x, s in zip(own, same, strict=True) if s]
+            with np.errstate(over="ignore"):
+                total = [float(weighted(x, table)[1].sum()) for x in kept]
+            yield pd.DataFrame({"node": f["node"].to_numpy()[same], "vector": [np.sort(x).astype("<u4").tobytes() for x in kept], "total": total})
 
 
-def _verify(frames: Iterator[pd.DataFrame], table: np.ndarray, least: float) -> Iterator[pd.DataFrame]:
+def _verify(frames: Iterator[pd.DataFrame], table: np.ndarray) -> Iterator[pd.DataFrame]:
     seen: dict[int, tuple] = {}
 
     def vector(node: int, data: bytes) -> tuple:
@@ -208,44 +211,102 @@ def _verify(frames: Iterator[pd.DataFrame], table: np.ndarray, least: float) ->
     with np.errstate(over="ignore"):
         for frame in frames:
             sims = [similarity(vector(a, x), vector(b, y)) for a, b, x, y in zip(frame["a"], frame["b"], frame["x"], frame["y"], strict=True)]
-            keep = np.array(sims) >= least
-            yield pd.DataFrame({"a": frame["a"][keep], "b": frame["b"][keep], "similarity": np.array(sims)[keep]})
+            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "similarity": sims})
 
 
-def _links(members: DataFrame, vectors: DataFrame, table: np.ndarray, least: float) -> tuple[DataFrame | None, DataFrame | None]:
-    """All links between members (key, node) of the same bucket that can join two components, and node, component.
+def _spread(frames: Iterator[pd.DataFrame], table: np.ndarray) -> Iterator[pd.DataFrame]:
+    with np.errstate(over="ignore"):
+        for frame in frames:
+            for node, data in zip(frame["node"], frame["vector"], strict=True):
+                u, weight = weighted(np.frombuffer(data, "<u4"), table)
+                yield pd.DataFrame({"shingle": u.view(np.int32), "node": node, "weight": weight})
+
 
-    A round picks a few pivots of each bucket and verifies them against its other members. Two
-    members that share a component need no further test, and a pivot has had all of its own; so a
-    bucket is done when its members that were no pivots are of one component. Pivots come from
-    the smaller components first and grow eightfold with each round. So every bucket's pairs
-    are tested or already joined, without a large group of copies being paired out.
+def _bounded(state: DataFrame, pivots: DataFrame, tested: DataFrame, vectors: DataFrame, table: np.ndarray, least: float) -> DataFrame:
+    """Rows of state (key, node, part) whose node may reach the similarity with another of its bucket, with t, u and b.
+
+    t is the text's weight, u that of its shingles that no other text here has, b what it shares with
+    its bucket's first pivot (key, pivot; tested has the similarities). Two texts share at most
+    the lesser t - u, and a union weighs at least the lightest text of the bucket, m, and u; so a
+    similarity is at most (t - u) / (max(m, t - u) + u), and rows that fall short are left out.
     """
-    check = partial(_verify, table=table, least=least)
-    found = parts = None
-    pivots, state = 1, members.withColumn("part", F.col("node"))
-    while True:
-        sized = state.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-        open_keys = sized.groupBy("key").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key")
-        state = written(state.join(open_keys, "key", "left_semi"), "buckets")
-        if state.isEmpty():
-            return found, parts
-        if pivots == 1:
-            chosen = state.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("pivot"))
-            chosen = chosen.withColumn("own", F.col("pivot"))
-        else:
-            order = W.partitionBy("key").orderBy("n", F.xxhash64("node", "key"), "node")
-            ranked = state.join(sized, ["key", "part"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
-            chosen = ranked.select("key", F.col("node").alias("pivot"), F.col("part").alias("own"))
-        chosen = written(chosen, "pivots")
-        pairs = state.join(chosen, "key").where("part <> own").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    nodes = state.select("node").union(pivots.join(state.select("key"), "key", "left_semi").select("pivot")).distinct()
+    own = vectors.join(nodes, "node", "left_semi")
+    spread = own.select("node", "vector").mapInPandas(partial(_spread, table=table), "shingle int, node long, weight double")
+    single = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")
+    alone = single.groupBy("node").agg(F.sum("weight").alias("u"))
+    known = written(own.select("node", F.col("total").alias("t")).join(alone, "node", "left").select("node", "t", F.coalesce("u", F.lit(0.0)).alias("u")), "bounds", 16)
+    beside = state.join(known, "node").join(pivots, "key").withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot"))
+    rated = beside.join(tested, ["a", "b"]).join(known.select(F.col("node").alias("pivot"), F.col("t").alias("pivot_t")), "pivot")
+    shared = F.col("similarity") * (F.col("t") + F.col("pivot_t")) / (1 + F.col("similarity"))
+    rated = written(rated.select("key", "node", "part", "t", "u", shared.alias("b")), "rated", 16)
+    lightest = rated.groupBy("key").agg(F.min("t").alias("m"))
+    most = (F.col("t") - F.col("u")) / (F.greatest("m", F.col("t") - F.col("u")) + F.col("u"))
+    return rated.join(lightest, "key").where(most >= least - 1e-9).drop("m")
+
+
+def _may_link(least: float):
+    """Whether two of a bucket (t, u, b; the other's with pivot_) may reach the similarity.
+
+    Of what they share, the first pivot has at most the lesser b; the rest lies in neither's
+    share with it and in neither's own shingles, so it is at most the lesser t - b - u.
+    """
+    rest = F.least(F.col("t") - F.col("b") - F.col("u"), F.col("pivot_t") - F.col("pivot_b") - F.col("pivot_u"))
+    shared = F.least("b", "pivot_b") + F.greatest(rest, F.lit(0.0))
+    return shared / (F.col("t") + F.col("pivot_t") - shared) >= least - 1e-9
+
+
+def _links(members: DataFrame, vectors: DataFrame, table: np.ndarray, least: float) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links between members (key, node) of the same buckets that join all components, and node, component.
+
+    A round picks pivots of each bucket and verifies them against its other members. Two members
+    that share a component need no further test, and a pivot has had all of its own; so a bucket
+    is done when its members that were no pivots are of one component. The first pivot is the
+    member that most others meet in their buckets, as is the original of a group of copies; what
+    each shares with it then rules out most other pairs. Later pivots come from the smaller
+    components first, eight times as many with each round. So every pair of a bucket is tested,
+    ruled out or joined already, without a large group being paired out.
+    """
+
+    def verified(pairs: DataFrame) -> DataFrame:
         texts = pairs.join(vectors.select(F.col("node").alias("a"), F.col("vector").alias("x")), "a").join(vectors.select(F.col("node").alias("b"), F.col("vector").alias("y")), "b")
-        new = written(texts.mapInPandas(check, "a long, b long, similarity double"), "links")
-        found = new if found is None else written(found.union(new).dropDuplicates(["a", "b"]), "links")
+        return written(texts.mapInPandas(partial(_verify, table=table), "a long, b long, similarity double"), "tested", 4)
+
+    def still_open(state: DataFrame) -> DataFrame:
+        parts = state.groupBy("key").agg((F.max("part") > F.min("part")).alias("open")).where("open").select("key")
+        return written(state.join(parts, "key", "left_semi"), "buckets", 16)
+
+    linked = F.col("similarity") >= least - 1e-9  # sums of weights are rounded
+    if members.isEmpty():
+        return None, None
+    met = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("node").agg(F.sum("n").alias("met"))
+    best = F.max_by("node", F.struct("met", F.xxhash64("node"), "node")).alias("pivot")
+    firsts = written(members.join(met, "node").groupBy("key").agg(best), "pivots", 16)
+    pairs = members.join(firsts, "key").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    tested = verified(pairs)
+    found = tested.where(linked)
+    parts = components(found)
+    rest = members.join(firsts, "key").where("node <> pivot").select("key", "node")
+    state = still_open(rest.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")))
+    if not state.isEmpty():
+        state = still_open(_bounded(state, firsts, tested, vectors, table, least))
+    pivots = 8
+    while not state.isEmpty():
+        sized = state.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+        order = W.partitionBy("key").orderBy("n", F.xxhash64("node"), "node")
+        ranked = state.join(sized, ["key", "part"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
+        chosen = written(ranked.select("key", F.col("node").alias("pivot"), F.col("part").alias("own"), *[F.col(c).alias(f"pivot_{c}") for c in "tub"]), "pivots", 16)
+        listed = state.join(state.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")  # BANDS keys at most
+        asking = chosen.join(chosen.groupBy("pivot").agg(F.collect_set("key").alias("pivot_keys")), "pivot")
+        once = F.col("key") == F.array_min(F.array_intersect("keys", "pivot_keys"))
+        apart = listed.join(asking, "key").where((F.col("part") != F.col("own")) & _may_link(least) & once)
+        new = verified(apart.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()).where(linked)
+        found = written(found.union(new).dropDuplicates(["a", "b"]), "links", 16)
         parts = components(found)
         rest = state.join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").drop("part")
-        state = rest.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+        state = still_open(rest.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
         pivots *= 8
+    return found, parts
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -262,12 +323,12 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     table = weights_table(docs)
     sketched = written(docs.mapInPandas(partial(_sketch, table=table), "doc_id long, one long, two long, keys array<long>"), "sketches")
     worded = sketched.where("keys IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(worded.groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies"), F.min("keys").alias("keys")), "classes")
+    classes = written(worded.groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies"), F.min("keys").alias("keys")), "classes", 4)
     filed = classes.select("node", F.explode("keys").alias("key"))
     shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = written(filed.join(shared, "key", "left_semi").distinct(), "members")
+    members = written(filed.join(shared, "key", "left_semi").distinct(), "members", 8)
     wanted = classes.select("node", "one", "two").join(members.select("node").distinct(), "node", "left_semi")
-    vectors = docs.join(wanted, docs["doc_id"] == wanted["node"]).select("node", "one", "two", "text").mapInPandas(_vectors, "node long, vector binary")
+    vectors = docs.join(wanted, docs["doc_id"] == wanted["node"]).select("node", "one", "two", "text").mapInPandas(partial(_vectors, table=table), "node long, vector binary, total double")
     vectors = written(vectors.dropDuplicates(["node"]), "vectors")
     links, parts = _links(members, vectors, table, least)
     known = classes.select("one", "two", "node", "n_copies")
