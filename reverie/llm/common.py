@@ -28,10 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str, shrink: int = 1) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: cuts the lineage, survives lost executors.
+
+    A table of a few narrow columns goes to fewer files, one for every shrink shuffle partitions.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if shrink > 1:
+        df = df.coalesce(max(1, partitions(spark) // shrink))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,7 +67,7 @@ def _tokenizer(path: str):
 
 
 #: Words whose ids a worker keeps, at most in either of two generations.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
 _IDS: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
@@ -151,7 +156,7 @@ def token_bytes(texts, path: str) -> list[bytes]:
     return [out[i:j] + end for i, j in zip(bounds, bounds[1:], strict=False)]
 
 
-def runs_of(texts, chars: int = 4_000_000):
+def runs_of(texts, chars: int = 1_500_000):
     """Consecutive slices of texts that hold about that many characters, or one longer text."""
     first, held = 0, 0
     for i, t in enumerate(texts):

@@ -89,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     """
     fold = fold_of(F.col("doc_id"), FOLDS)
     marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where(fold != 0)
-    marked = written(marked.withColumn("builds", fold.isin(1, 2)), "labels")
+    marked = written(marked.withColumn("builds", fold.isin(1, 2)), "labels", 16)
     picks = [marked.where((F.col("quality") == q) & (F.col("builds") == b)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for q in (0, 1) for b in (True, False)]
     picked = F.broadcast(reduce(DataFrame.union, picks))  # 4 * sample_rows rows at most
     texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= sample_chars)).select("doc_id", "text").join(picked, "doc_id")

@@ -97,10 +97,10 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     k + 1 least ids of a code can be among any query's k nearest, so a code keeps no more.
     """
     table = table.where("id IS NOT NULL").distinct()
-    queries = written(queries.where("id IS NOT NULL").distinct(), "queries")
+    queries = written(queries.where("id IS NOT NULL").distinct(), "queries", 8)
     place = F.row_number().over(W.partitionBy("code").orderBy("id"))
-    codes = written(table.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
-    asked = written(queries.select(F.col("code").alias("query_code")).distinct(), "query-codes")
+    codes = written(table.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes", 4)
+    asked = written(queries.select(F.col("code").alias("query_code")).distinct(), "query-codes", 8)
     n, m = codes.count(), asked.count()
     index_blocks = max(1, -(-n // INDEX_BLOCK))
     query_blocks = max(1, -(-m // QUERY_BLOCK), -(-partitions(table.sparkSession) // index_blocks))

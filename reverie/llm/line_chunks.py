@@ -61,7 +61,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """
     several = chunked(docs.where("doc_id IS NOT NULL").select("doc_id", "text")).select("doc_id", "_lines", F.explode(F.filter("_chunks", lambda c: c["n"] > 1)).alias("c"))
     own = several.select("doc_id", F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.array_join(F.slice("_lines", F.col("c.start") + 1, F.col("c.n")), "\n").alias("chunk")).withColumn("key", F.xxhash64("chunk"))
-    again = written(own.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("key", "first"), "chunk-keys")
+    again = written(own.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("key", "first"), "chunk-keys", 8)
     found = _maybe(own, again).join(again, "key")
     here = F.struct("doc_id", "start") == F.col("first")
     found = written(found.select("key", "doc_id", "start", "n", "chunk", here.alias("is_first")), "chunk-texts")

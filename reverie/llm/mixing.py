@@ -34,7 +34,7 @@ def source_targets(sources: DataFrame, share: float = 1.5, weights: tuple[float,
     """
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    table = written(sources.withColumn("weight", weight), "mix-sources")
+    table = written(sources.withColumn("weight", weight), "mix-sources", 16)
     most = F.col("words") * F.lit(float(cap))
     row = table.agg(F.sum("words"), F.sum("weight")).first()
     if not row[1]:
@@ -66,7 +66,7 @@ def copies_to_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[float
     values like others. Documents of size 0 take round(rate) copies, which add no words. The
     result depends on the rows alone, so that reruns agree. An empty table gives an empty one.
     """
-    classes = written(sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n_rows")), "mix-classes")
+    classes = written(sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n_rows")), "mix-classes", 4)
     sources = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("words"), F.count(F.lit(1)).alias("n_classes"))
     rates = source_targets(sources, share, weights, cap).select(
         F.col("source").alias("_source"), F.col("words").alias("source_size"), "target", tilted_rate(F.col("words").cast("double"), F.col("target")).alias("rate"), F.ceil(F.col("n_classes") / lane).alias("lanes")

@@ -105,7 +105,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFrame:
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = written(docs.mapInPandas(partial(_cut, tokenizer=tokenizer, size=size), PIECES), "pieces")
-    counts = written(pieces.groupBy("part", "length").count(), "piece-counts")
+    counts = written(pieces.groupBy("part", "length").count(), "piece-counts", 8)
     placed = pack_histogram({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, size)
     before = counts.select("part", "length", F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     places = spark.createDataFrame(placed or [(0, 0, 0, 0, 0)], "length int, lo long, hi long, first long, offset long")
