@@ -12,18 +12,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-@lru_cache(maxsize=100_000)
 def _slot(feature: str, dims: int) -> tuple[int, float]:
     h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
     return h % dims, 1.0 if h >> 62 & 1 else -1.0
 
 
+@lru_cache(maxsize=200_000)
+def _of_word(word: str, dims: int) -> tuple[tuple[int, float], ...]:
+    return tuple(_slot(f, dims) for f in (word, *(f"^{word}$"[i : i + 3] for i in range(len(word)))))
+
+
 def hashed(text: str | None, dims: int = 256) -> list[float]:
     """Words, pairs of words and letter triples of a text, each adding its sign at its slot; of unit length, or all 0 without words."""
     words = re.findall("[a-z0-9]+", (text or "").lower())
     out = [0.0] * dims
-    for f in [*words, *(f"{a}_{b}" for a, b in zip(words, words[1:], strict=False)), *(f"^{w}$"[i : i + 3] for w in words for i in range(len(w)))]:
-        at, sign = _slot(f, dims)
+    for w in words:
+        for at, sign in _of_word(w, dims):
+            out[at] += sign
+    for a, b in zip(words, words[1:], strict=False):
+        at, sign = _slot(f"{a}_{b}", dims)
         out[at] += sign
     size = math.sqrt(sum(x * x for x in out))
     return [x / size for x in out] if size else out

@@ -10,7 +10,9 @@ from reverie.functions import scoring, text
 from reverie.operators import graph, lifecycle, upkeep
 from reverie.plans.registry import query
 
-COUNT = F.count(F.lit(1)).alias("n")
+
+def n_rows():
+    return F.count(F.lit(1)).alias("n")
 
 
 @query("j1_postings_join", r""", p AS (SELECT DISTINCT id FROM (SELECT id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) AS term FROM memories) WHERE term IN ('the', 'die'))
@@ -47,7 +49,7 @@ def _(s):
 def _(s):
     promo = s.entities.where("entity_type = 'PROMO'").select(F.col("id").alias("entity_id"))
     hit = s.mentions.join(promo, "entity_id", "left_semi").select(F.col("memory_id").alias("id"))
-    return s.orders.join(hit, "id", "left_semi").agg(COUNT)
+    return s.orders.join(hit, "id", "left_semi").agg(n_rows())
 
 
 @query("j7_orphan_entities", """SELECT id FROM entities e WHERE NOT EXISTS (SELECT 1 FROM mentions m WHERE m.entity_id = e.id AND m.memory_id < 500)
@@ -105,13 +107,13 @@ def _(s):
     sup = s.table("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("subject"), "s_name")
     part = s.table("part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("object"), "p_name")
     named = s.relations.where("user_id = 2").join(sup, "subject").join(part, "object")
-    return named.groupBy(F.col("s_name").alias("subject"), F.col("p_name").alias("object")).agg(COUNT)
+    return named.groupBy(F.col("s_name").alias("subject"), F.col("p_name").alias("object")).agg(n_rows())
 
 
 @query("j17_backup_conflicts", "SELECT count(*) AS n FROM (SELECT id, importance + CASE WHEN seq % 10 = 0 THEN 0.125 ELSE 0 END AS i FROM memories) a JOIN memories b USING (id) WHERE a.i IS DISTINCT FROM b.importance")
 def _(s):
     changed = F.col("importance") + F.when(F.col("seq") % 10 == 0, F.lit(0.125)).otherwise(F.lit(0.0))
-    return lifecycle.compared(s.memories.select("id", changed.alias("importance")), s.memories.select("id", "importance")).where("fate = 'conflict'").agg(COUNT)
+    return lifecycle.compared(s.memories.select("id", changed.alias("importance")), s.memories.select("id", "importance")).where("fate = 'conflict'").agg(n_rows())
 
 
 @query("j18_as_of", "SELECT id FROM memories WHERE valid_from <= TIMESTAMP '2024-02-01' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '2024-02-01')")
@@ -141,12 +143,12 @@ def _(s):
 
 @query("a3_category_histogram", "SELECT category, count(*) AS n FROM (SELECT unnest(categories) AS category FROM memories WHERE invalid_at IS NULL) GROUP BY 1")
 def _(s):
-    return s.memories.where(P.active()).select(F.explode("categories").alias("category")).groupBy("category").agg(COUNT)
+    return s.memories.where(P.active()).select(F.explode("categories").alias("category")).groupBy("category").agg(n_rows())
 
 
 @query("a4_by_type", "SELECT memory_type, count(*) AS n FROM memories WHERE invalid_at IS NULL GROUP BY 1")
 def _(s):
-    return s.memories.where(P.active()).groupBy("memory_type").agg(COUNT)
+    return s.memories.where(P.active()).groupBy("memory_type").agg(n_rows())
 
 
 @query("a5_tag_cooccurrence", "SELECT a.topic_id AS a, b.topic_id AS b, count(*) AS n FROM memory_topics a JOIN memory_topics b ON a.memory_id = b.memory_id AND a.topic_id < b.topic_id GROUP BY ALL")
@@ -186,7 +188,7 @@ def _(s):
     tables = {"episodes": s.episodes, "memories": s.memories, "events": s.events, "entities": s.entities, "relations": s.relations, "proposals": s.proposals}
     out = None
     for name, df in tables.items():
-        row = df.agg(COUNT).select(F.lit(name).alias("name"), "n")
+        row = df.agg(n_rows()).select(F.lit(name).alias("name"), "n")
         out = row if out is None else out.union(row)
     return out
 
@@ -211,7 +213,7 @@ def _(s):
 
 @query("a12_action_summary", "SELECT event, count(*) AS n FROM memory_events GROUP BY 1")
 def _(s):
-    return s.events.groupBy("event").agg(COUNT)
+    return s.events.groupBy("event").agg(n_rows())
 
 
 @query("a14_vector_width", "SELECT embedding_model, CAST(max(len(embedding)) AS INT) AS width FROM vectors GROUP BY 1")
@@ -222,7 +224,7 @@ def _(s):
 @query("a15_zones", """, c AS (SELECT topic_id, count(*) AS n FROM memory_topics GROUP BY 1), m AS (SELECT avg(n) AS mean, stddev_pop(n) AS sd, max(n) AS most, count(*) FILTER (WHERE n >= (SELECT avg(n) + 2 * stddev_pop(n) FROM c)) AS far FROM c)
 SELECT topic_id, CASE WHEN CASE WHEN far > 0 THEN n >= mean + 2 * sd ELSE n = most END THEN 'core' WHEN n <= greatest(1, mean - 2 * sd) THEN 'rim' ELSE 'belt' END AS zone FROM c, m""")
 def _(s):
-    c = s.memory_topics.groupBy("topic_id").agg(COUNT)
+    c = s.memory_topics.groupBy("topic_id").agg(n_rows())
     m = c.agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), F.max("n").alias("most"))
     core = F.when(F.col("most") >= F.col("mean") + 2 * F.col("sd"), F.col("n") >= F.col("mean") + 2 * F.col("sd")).otherwise(F.col("n") == F.col("most"))
     zone = F.when(core, "core").when(F.col("n") <= F.greatest(F.lit(1.0), F.col("mean") - 2 * F.col("sd")), "rim").otherwise("belt")

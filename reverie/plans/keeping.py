@@ -11,7 +11,9 @@ from reverie.plans.counting import ROOTS
 from reverie.plans.registry import query
 from reverie.sources.store import NOW
 
-COUNT = F.count(F.lit(1)).alias("n")
+
+def n_rows():
+    return F.count(F.lit(1)).alias("n")
 
 TAGS = r""", raw AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN p_name || 's' WHEN 2 THEN upper(p_name) WHEN 3 THEN replace(p_name, ' ', '_') || 's' ELSE p_name || ' series' END AS tag FROM part),
 own AS (SELECT DISTINCT lower(trim(tag)) AS tag FROM raw), parts AS (SELECT tag, list_filter(regexp_split_to_array(tag, '[-_\s]+'), lambda w: w <> '') AS w FROM own),
@@ -41,7 +43,7 @@ def _(s):
 
 @query("d3_merged_topics", TAGS + "SELECT canonical, count(*) AS n FROM merges GROUP BY 1")
 def _(s):
-    return upkeep.obvious_tags(_tags(s).select("tag")).groupBy("canonical").agg(COUNT)
+    return upkeep.obvious_tags(_tags(s).select("tag")).groupBy("canonical").agg(n_rows())
 
 
 @query("d6_retag", "SELECT id, array_to_string(CASE WHEN invalid_at IS NULL AND list_has_any(categories, ['nation_3', 'nation_4']) THEN list_append(list_filter(categories, lambda c: c NOT IN ('nation_3', 'nation_4')), 'far') ELSE categories END, ',') AS tags FROM memories")
@@ -117,7 +119,7 @@ def _(s):
 SELECT min(seq) AS first, count(*) AS n, max(importance) AS importance, arg_min(memory_type, struct_pack(c := created_at, s := seq)) AS memory_type, arg_max(seq, struct_pack(i := importance, l := length(content), m := -epoch_us(created_at), s := -seq)) AS speaker FROM g WHERE k IN (SELECT k FROM s) GROUP BY k""")
 def _(s):
     rows = s.memories.withColumn("k", F.md5(F.lower("content").cast("binary")))
-    groups = rows.groupBy("k").agg(COUNT).where("n BETWEEN 2 AND 6").select("k")
+    groups = rows.groupBy("k").agg(n_rows()).where("n BETWEEN 2 AND 6").select("k")
     own = rows.join(groups, "k", "left_semi")
     merged = upkeep.merged_rows(own, "k").select("k", "n", "importance", "memory_type")
     speaker = upkeep.representatives(own, "k").select("k", F.col("seq").alias("speaker"))
@@ -180,8 +182,8 @@ def _(s):
 
 @query("d15_resolve_entities")
 def _(s):
-    pairs = upkeep.same_name_pairs(s.entities, s.proposals, None).agg(COUNT).select(F.lit("proposed").alias("step"), "n")
-    junk = s.entities.where(text.no_referent(F.col("name")).isNotNull()).agg(COUNT).select(F.lit("no referent").alias("step"), "n")
+    pairs = upkeep.same_name_pairs(s.entities, s.proposals, None).agg(n_rows()).select(F.lit("proposed").alias("step"), "n")
+    junk = s.entities.where(text.no_referent(F.col("name")).isNotNull()).agg(n_rows()).select(F.lit("no referent").alias("step"), "n")
     return pairs.union(junk)
 
 
@@ -306,12 +308,12 @@ def _(s):
 @query("x6_session_windows", """, e AS (SELECT memory_id, created_at, CASE WHEN created_at < lag(created_at) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts FROM memory_events WINDOW w AS (PARTITION BY memory_id ORDER BY created_at, id)),
 n AS (SELECT memory_id, sum(starts) AS sessions, count(*) AS events FROM e GROUP BY 1) SELECT memory_id, CAST(sessions AS BIGINT) AS sessions, events FROM n""")
 def _(s):
-    sessions = s.events.groupBy("memory_id", F.session_window("created_at", "6 hours")).agg(COUNT)
+    sessions = s.events.groupBy("memory_id", F.session_window("created_at", "6 hours")).agg(n_rows())
     return sessions.groupBy("memory_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events"))
 
 
 @query("x6_hourly_events", "SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%d %H') AS hour, event, count(*) AS n FROM memory_events GROUP BY ALL")
 def _(s):
-    return s.events.groupBy(F.window("created_at", "1 hour"), "event").agg(COUNT).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event", "n")
+    return s.events.groupBy(F.window("created_at", "1 hour"), "event").agg(n_rows()).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event", "n")
 
 
