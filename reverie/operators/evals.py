@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reverie.functions import text
+from reverie.operators.search import beside
 
 
 def answers(memories: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
@@ -19,7 +20,7 @@ def answers(memories: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))), F.lit(1e-6))
     gain = idf * F.col("times") * F.col("tf") * F.lit(2.2) / (F.col("tf") + F.lit(1.2) * (F.lit(0.25) + F.lit(0.75) * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, "term").join(terms, "term").join(F.broadcast(totals)).groupBy("case", "id").agg(F.sum(gain).alias("score"))  # totals is a row
+    scored = beside(tf.join(df, "term").join(terms, "term"), totals).groupBy("case", "id").agg(F.sum(gain).alias("score"))
     best = scored.withColumn("place", F.row_number().over(W.partitionBy("case").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k)
     return best.join(memories.select("id", "content"), "id").select("case", "id", "place", "content")
 
@@ -34,11 +35,19 @@ def first_hits(found: DataFrame, asked: DataFrame) -> DataFrame:
 def summary(cases: DataFrame) -> DataFrame:
     """recall, mrr of cases (first_hit or null, ms), and the ms at the nearest rank of the half and the 95th of a hundred."""
     n = cases.agg(F.count(F.lit(1)).alias("n"))
-    placed = cases.where("ms IS NOT NULL").select("ms", (F.row_number().over(W.orderBy("ms")) - 1).alias("rank")).join(F.broadcast(n))
-    at = lambda q: F.max(F.when(F.col("rank") == F.bround(F.lit(q) * (F.col("n") - 1)), F.col("ms")))
-    times = placed.agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    # nearest rank: the exact value of a place in the sorted times, from the counts of each distinct time
+    timed = cases.where("ms IS NOT NULL").groupBy("ms").agg(F.count(F.lit(1)).alias("times"))
+    sorted_ = timed.agg(F.array_sort(F.collect_list(F.struct("ms", "times"))).alias("all"))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("at"))
+
+    def at(q: float) -> Column:
+        place = F.bround(F.lit(q) * (F.lit(n.first()["n"]) - 1))
+        step = lambda s, x: F.struct((s["seen"] + x["times"]).alias("seen"), F.when(s["at"].isNull() & (s["seen"] + x["times"] > place), x["ms"].cast("double")).otherwise(s["at"]).alias("at"))
+        return F.aggregate("all", start, step, lambda s: s["at"])
+
+    times = sorted_.select(at(0.5).alias("p50"), at(0.95).alias("p95"))
     hits = cases.agg(F.round(F.avg(F.when(F.col("first_hit").isNotNull(), 1.0).otherwise(0.0)), 6).alias("recall"), F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("first_hit"), F.lit(0.0))), 6).alias("mrr"))
-    return hits.join(F.broadcast(times))
+    return beside(hits, times)
 
 
 def metrics(found: DataFrame, asked: DataFrame, k: int) -> DataFrame:

@@ -30,11 +30,17 @@ def bm25(docs: DataFrame, query: str, id_col: str = "id", content: str = "conten
     df = hits.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     odds = (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))
     idf = F.greatest(F.log(odds), F.lit(floor)) if floor is not None else F.log(F.lit(1.0) + odds)
-    weights = df.join(F.broadcast(totals)).join(asked, "term").select("term", (idf * F.col("times")).alias("weight"), "avgdl")
+    weights = beside(df, totals).join(asked, "term").select("term", (idf * F.col("times")).alias("weight"), "avgdl")
     gain = F.col("weight") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
     return hits.join(F.broadcast(weights), "term").groupBy("id").agg(F.sum(gain).alias("score"))  # at most 32 words
 
 
+def beside(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """df with the columns of totals, an aggregate of one row that the driver reads: no join is needed to put it beside every row."""
+    row = totals.first()
+    return df.withColumns({name: F.lit(row[name]).cast(kind) for name, kind in totals.dtypes})
+
+
 def top(scored: DataFrame, k: int, score: str = "score", id_col: str = "id") -> DataFrame:
     return scored.orderBy(F.desc(score), id_col).limit(k)
 

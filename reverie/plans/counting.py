@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reverie.functions import predicates as P
 from reverie.functions import scoring, text
-from reverie.operators import graph, lifecycle, upkeep
+from reverie.operators import graph, lifecycle, search, upkeep
 from reverie.plans.registry import query
 
 
@@ -81,8 +81,6 @@ def _(s):
 
 @query("j13_similar_pairs", "SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.embedding, b.embedding)::DOUBLE, 4) AS similarity FROM vectors a JOIN vectors b ON a.tag = b.tag AND a.id < b.id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.3")
 def _(s):
-    from reverie.operators import search
-
     pairs = search.similarity_pairs(s.vectors, 0.3, "tag")
     return pairs.select("a", "b", F.round("similarity", 4).alias("similarity"))
 
@@ -169,7 +167,7 @@ def _(s):
     tags = live.select("id", F.explode("categories").alias("tag")).groupBy("tag").agg(F.countDistinct("id").alias("n"))
     used = tags.agg(F.count(F.lit(1)).alias("tags"), F.count_if(F.col("n") == 1).alias("single_use"), F.round(F.count_if(F.col("n") == 1) / F.count(F.lit(1)), 3).alias("share"))
     whole = live.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.size("categories") == 0).alias("untagged"))
-    return whole.join(F.broadcast(used))  # a row each
+    return search.beside(whole, used)
 
 
 @query("a8_stats", """SELECT count(*) AS memories, count(*) FILTER (WHERE invalid_at IS NULL) AS active, count(*) FILTER (WHERE superseded_by IS NOT NULL) AS superseded,
@@ -228,7 +226,7 @@ def _(s):
     m = c.agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), F.max("n").alias("most"))
     core = F.when(F.col("most") >= F.col("mean") + 2 * F.col("sd"), F.col("n") >= F.col("mean") + 2 * F.col("sd")).otherwise(F.col("n") == F.col("most"))
     zone = F.when(core, "core").when(F.col("n") <= F.greatest(F.lit(1.0), F.col("mean") - 2 * F.col("sd")), "rim").otherwise("belt")
-    return c.join(F.broadcast(m)).select("topic_id", zone.alias("zone"))  # m is a row
+    return search.beside(c, m).select("topic_id", zone.alias("zone"))
 
 
 @query("a16_tag_edges", r""", pairs AS (SELECT a.topic_id AS a, b.topic_id AS b, 2 * count(*) AS w FROM memory_topics a JOIN memory_topics b ON a.memory_id = b.memory_id AND a.topic_id < b.topic_id GROUP BY ALL),

@@ -233,7 +233,7 @@ def _(s):
     m = s.mentions.join(gone.withColumnRenamed("id", "entity_id"), "entity_id", "left_anti").agg(F.count(F.lit(1)).alias("mentions"))
     r = s.relations.join(gone.select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("object")), "object", "left_anti").agg(F.count(F.lit(1)).alias("relations"))
     p = s.proposals.join(gone.select(F.col("id").alias("entity_a")), "entity_a", "left_anti").join(gone.select(F.col("id").alias("entity_b")), "entity_b", "left_anti").agg(F.count(F.lit(1)).alias("proposals"))
-    return m.join(F.broadcast(r)).join(F.broadcast(p))  # a row each
+    return search.beside(search.beside(m, r), p)
 
 
 @query("g11_entity_hub")
