@@ -1,7 +1,14 @@
 """A training corpus in five stages, each over all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of documents. run() writes each stage's result to the shared folder and reads it again.
+columns of documents, further columns of docs among them, whatever their names. run() writes each
+stage's result to the shared folder and reads it again.
+
+Null texts count as empty. Rows without doc_id, or without source, go through as rows of their
+own: they are scored, mixed and packed like others, and never are duplicates. Repeated rows share
+their fate in quality and line_dedup, stay together in near_dedup, are mixed to equal copies and
+packed one by one. Texts that line_dedup leaves empty stay as empty documents. An empty table
+gives an empty one at every stage.
 """
 
 from __future__ import annotations
