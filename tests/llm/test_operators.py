@@ -356,3 +356,16 @@ def test_pipeline(spark, tmp_path):
 def test_fold_matches_crc(spark):
     got = spark.range(30).select("id", common.fold_of(F.col("id"), 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
+
+
+@pytest.mark.parametrize("rows_there", [True, False])
+def test_stages_on_odd_rows(spark, docs, none, rows_there):
+    kept = docs if rows_there else none
+    for name, stage in corpus_pipeline.STAGES:
+        before, kept = kept, common.written(stage(spark, kept, DATA), "odd")
+        if name != "packed":
+            assert kept.columns == docs.columns
+            assert kept.select("_gone", "score").subtract(docs.select("_gone", "score")).count() == 0
+        if name == "near_dedup" and rows_there:
+            assert kept.where("doc_id IS NULL").count() == before.where("doc_id IS NULL").count()
+    assert (kept.count() > 0) == rows_there
