@@ -228,7 +228,7 @@ def _(s):
 
 @query("p11_normal_forms", r"""SELECT id, md5(array_to_string(regexp_extract_all(lower(content), '[\p{L}\p{N}]+'), ' ')) AS restated, md5(trim(regexp_replace(lower(content), '[^\p{L}\p{N}_]+', ' ', 'g'))) AS loosely FROM memories""")
 def _(s):
-    return s.memories.select("id", F.md5(text.restated(F.col("content")).cast("binary")).alias("restated"), F.md5(text.loosely(F.col("content")).cast("binary")).alias("loosely"))
+    return s.contents.select("id", F.md5(text.restated(F.col("content")).cast("binary")).alias("restated"), F.md5(text.loosely(F.col("content")).cast("binary")).alias("loosely"))
 
 
 @query("p12_due", "SELECT id, value < 20 OR created_at <= TIMESTAMP '2024-01-15' - INTERVAL 6 HOUR AS due FROM memory_events")
@@ -251,7 +251,7 @@ def _(s):
 @query("u4_shared_words", r""", a AS (SELECT seq, list_distinct(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) AS w FROM memories)
 SELECT x.seq AS id, CAST(len(list_intersect(x.w, y.w)) AS INT) AS shared FROM a x JOIN a y ON y.seq = x.seq + 1""")
 def _(s):
-    a = s.memories.select("seq", F.array_distinct(text.words(F.col("content"))).alias("w"))
+    a = s.contents.select("seq", F.array_distinct(text.words(F.col("content"))).alias("w"))
     b = a.select((F.col("seq") - 1).alias("seq"), F.col("w").alias("v"))
     return a.join(b, "seq").select(F.col("seq").alias("id"), F.size(F.array_intersect("w", "v")).alias("shared"))
 
@@ -266,7 +266,7 @@ def _(s):
 
 @query("u6_difference", "SELECT id FROM memories WHERE id NOT IN (SELECT memory_id FROM memory_events)")
 def _(s):
-    return s.memories.select("id").join(s.events.select(F.col("memory_id").alias("id")), "id", "left_anti")
+    return s.contents.select("id").join(s.events.select(F.col("memory_id").alias("id")), "id", "left_anti")
 
 
 @query("l8_verbatim", "SELECT id, CASE WHEN role = 'user' THEN '' ELSE role || ': ' END || trim(content) AS content FROM episodes WHERE trim(coalesce(content, '')) <> ''")

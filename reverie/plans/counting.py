@@ -254,7 +254,7 @@ def _(s):
 
 @query("w6_keep_first", "SELECT min(seq) AS seq FROM memories GROUP BY user_id, lower(trim(content))")
 def _(s):
-    return upkeep.first_of(s.memories.select("seq", "user_id", F.lower(F.trim("content")).alias("c")), [F.col("user_id"), F.col("c")], [F.col("seq")]).select("seq")
+    return upkeep.first_of(s.contents.select("seq", "user_id", F.lower(F.trim("content")).alias("c")), [F.col("user_id"), F.col("c")], [F.col("seq")]).select("seq")
 
 
 @query("w7_name_anchor", "SELECT id, first_value(id) OVER (PARTITION BY normalized ORDER BY updated DESC, id) AS anchor FROM entities WHERE merged_into IS NULL")

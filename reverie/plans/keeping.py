@@ -53,7 +53,7 @@ def _(s):
 
 @query("d7_exact_restatements", r", k AS (SELECT seq, trim(regexp_replace(lower(content), '[^\p{L}\p{N}_]+', ' ', 'g')) AS key FROM memories) SELECT a.seq AS id FROM k a WHERE a.seq % 2 = 1 AND EXISTS (SELECT 1 FROM k b WHERE b.key = a.key AND b.seq % 2 = 0)")
 def _(s):
-    k = s.memories.select(F.col("seq").alias("id"), text.loosely(F.col("content")).alias("key"))
+    k = s.contents.select(F.col("seq").alias("id"), text.loosely(F.col("content")).alias("key"))
     return k.where("id % 2 = 1").join(k.where("id % 2 = 0").select("key"), "key", "left_semi").select("id")
 
 

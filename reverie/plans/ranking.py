@@ -27,7 +27,7 @@ VECTOR = """, q AS (SELECT embedding AS e FROM vectors WHERE id = 7), vs AS (SEL
 
 
 def _words(s):
-    return search.bm25(s.memories, ASKED)
+    return search.bm25(s.contents, ASKED)
 
 
 def _near(s, model="main"):
@@ -39,17 +39,17 @@ def _near(s, model="main"):
 
 @query("t1_query_words", r"SELECT id, array_to_string(list_slice(regexp_extract_all(lower(content), '[\p{L}\p{N}]+'), 1, 32), ' ') AS words FROM memories")
 def _(s):
-    return s.memories.select("id", F.array_join(text.query_words(F.col("content")), " ").alias("words"))
+    return s.contents.select("id", F.array_join(text.query_words(F.col("content")), " ").alias("words"))
 
 
 @query("t2_index_words", r"SELECT id, CAST(len(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) AS INT) AS n FROM memories")
 def _(s):
-    return s.memories.select("id", F.size(text.words(F.col("content"))).alias("n"))
+    return s.contents.select("id", F.size(text.words(F.col("content"))).alias("n"))
 
 
 @query("t3_postings", r"SELECT id, dl, term, count(*) AS tf FROM (SELECT id, CAST(len(w) AS INT) AS dl, unnest(w) AS term FROM (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM memories WHERE user_id = 'src6')) GROUP BY ALL")
 def _(s):
-    return search.postings(s.memories.where("user_id = 'src6'"))
+    return search.postings(s.contents.where("user_id = 'src6'"))
 
 
 @query("t4_bm25", BM25 + "SELECT id, round(score, 5) AS score FROM bm")
@@ -59,12 +59,12 @@ def _(s):
 
 @query("t5_bm25_plus", BM25.replace("greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE)", "ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))").replace("2.2::DOUBLE", "2.5::DOUBLE").replace("1.2::DOUBLE", "1.5::DOUBLE") + "SELECT id, round(score, 5) AS score FROM bm")
 def _(s):
-    return search.bm25(s.memories, ASKED, k1=1.5, floor=None).select("id", F.round("score", 5).alias("score"))
+    return search.bm25(s.contents, ASKED, k1=1.5, floor=None).select("id", F.round("score", 5).alias("score"))
 
 
 @query("t6_alias_mentions", r"SELECT id FROM memories WHERE regexp_matches(lower(content), '(^|[^\p{L}\p{N}_])in oredble(?:[^\p{L}\p{N}_]|$)')")
 def _(s):
-    return s.memories.where(text.mentions(F.col("content"), F.lit("In oredble"))).select("id")
+    return s.contents.where(text.mentions(F.col("content"), F.lit("In oredble"))).select("id")
 
 
 @query("v1_vector_top", VECTOR + "SELECT id, round(score, 5) AS score FROM vs ORDER BY score DESC, id LIMIT 20")
@@ -219,7 +219,7 @@ def _(s):
     from reverie.operators import evals
 
     asked = s.table("benchmark").select(F.col("item_id").alias("case"), F.concat_ws(" ", F.slice(text.words(F.col("text")), 1, 6)).alias("q"), F.slice(text.words(F.col("text")), 3, 2).alias("keywords"))
-    return evals.metrics(evals.answers(s.memories.select("id", "content"), asked, 5), asked, 5)
+    return evals.metrics(evals.answers(s.contents.select("id", "content"), asked, 5), asked, 5)
 
 
 @query("a13_eval_metrics", """, asked AS (SELECT event_id AS q, event_id % 7 AS hit, value AS ms FROM events WHERE event_id < 2000)

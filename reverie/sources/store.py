@@ -60,6 +60,11 @@ class Store:
             )
         )
 
+    @cached_property
+    def contents(self) -> DataFrame:
+        """The texts of memories alone, without the join that their importance and validity need."""
+        return self.table("documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("seq"), F.col("text").alias("content"), F.col("source").alias("user_id"))
+
     @cached_property
     def vectors(self) -> DataFrame:
         model = F.when(F.col("vec_id") % 10 == 9, "other").otherwise("main")
