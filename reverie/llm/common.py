@@ -67,7 +67,9 @@ def _tokenizer(path: str):
 
 
 #: Words whose ids a worker keeps, at most in either of two generations.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 200_000
+#: Characters that are looked up at a time, whole texts.
+TOKEN_RUN = 3_000_000
 _IDS: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
@@ -121,6 +123,17 @@ def _looked_up(words, path: str):
     return np.frombuffer(b"".join(ids), "<u4"), sizes, np.cumsum(sizes) - sizes
 
 
+def _gathered(pool, at, size):
+    """The spans of pool that begin at `at`, in a row, and where each begins in the result (and the end)."""
+    import numpy as np
+
+    ends = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=ends[1:])
+    place = np.repeat((at - ends[:-1]).astype(np.int32), size)
+    place += np.arange(len(place), dtype=np.int32)
+    return pool[place], ends
+
+
 def token_bytes(texts, path: str) -> list[bytes]:
     """The ids of each text and END_ID, as little-endian unsigned 32-bit integers.
 
@@ -144,14 +157,12 @@ def token_bytes(texts, path: str) -> list[bytes]:
     marks = pc.fill_null(pc.struct_field(parts, "marks"), "").dictionary_encode()
     word_ids, word_size, word_at = _looked_up(word.dictionary, path)
     mark_ids, mark_size, mark_at = _looked_up(marks.dictionary, path)
-    pool = np.concatenate((word_ids, mark_ids))
+    w, m = word.indices.to_numpy(zero_copy_only=False), marks.indices.to_numpy(zero_copy_only=False)
+    pool, ends = _gathered(np.concatenate((word_ids, mark_ids)), np.stack((word_at[w], mark_at[m] + len(word_ids)), 1).ravel(), np.stack((word_size[w], mark_size[m]), 1).ravel())
+    whole = ends[::2]  # of each distinct word with its marks
     of = coded.indices.to_numpy(zero_copy_only=False)
-    w, m = word.indices.to_numpy(zero_copy_only=False)[of], marks.indices.to_numpy(zero_copy_only=False)[of]
-    size = np.stack((word_size[w], mark_size[m]), 1).ravel()
-    at = np.stack((word_at[w], mark_at[m] + len(word_ids)), 1).ravel()
-    ends = np.concatenate(([0], np.cumsum(size)))
-    out = pool[np.repeat(at - ends[:-1], size) + np.arange(ends[-1])].tobytes()
-    bounds = (4 * ends[2 * split.offsets.to_numpy()]).tolist()
+    ids, ends = _gathered(pool, whole[:-1][of], np.diff(whole)[of])
+    out, bounds = ids.tobytes(), (4 * ends[split.offsets.to_numpy()]).tolist()
     end = END_ID.to_bytes(4, "little")
     return [out[i:j] + end for i, j in zip(bounds, bounds[1:], strict=False)]
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reverie.llm.common import load, runs_of, small_batches, token_bytes, word_bpe_path, written
+from reverie.llm.common import TOKEN_RUN, load, runs_of, small_batches, token_bytes, word_bpe_path, written
 
 SEQUENCE = 2048
 PIECES = "part int, doc_id long, start long, length int, doc_tokens long, ids binary, nth long"
@@ -80,7 +80,7 @@ def _cut(frames: Iterator[pd.DataFrame], tokenizer: str, size: int) -> Iterator[
 
     for frame in frames:
         docs = [None if pd.isna(d) else int(d) for d in frame["doc_id"]]
-        for run in runs_of(frame["text"]):
+        for run in runs_of(frame["text"], TOKEN_RUN):
             for d, b in zip(docs[run], token_bytes(frame["text"].iloc[run], tokenizer), strict=True):
                 n = len(b) // 4
                 for start in range(0, n, size):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reverie.llm.common import load, partitions, runs_of, shared_dir, small_batches, token_bytes, word_bpe_path
+from reverie.llm.common import TOKEN_RUN, load, partitions, runs_of, shared_dir, small_batches, token_bytes, word_bpe_path
 
 RANK_BLOCK = 512
 SHARD_TOKENS = 1 << 20
@@ -129,7 +129,7 @@ def _write(frames: Iterator[pd.DataFrame], tokenizer: str, shard_tokens: int) ->
 
     for frame in frames:
         docs = [None if pd.isna(d) else int(d) for d in frame["doc_id"]]
-        for run in runs_of(frame["text"]):
+        for run in runs_of(frame["text"], TOKEN_RUN):
             for d, b in zip(docs[run], token_bytes(frame["text"].iloc[run], tokenizer), strict=True):
                 if held and size + len(b) // 4 > shard_tokens:
                     yield flush()
