@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less the passages of several lines that stand in an earlier document; n_chars follows the text."""
-    cut = line_chunks.drop_repeated_chunks(docs)
+    """Texts less the passages, of several lines or one long line, that stand earlier; n_chars follows the text."""
+    cut = line_chunks.drop_repeated_passages(docs)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n_chars).select(*[c for c in docs.columns if c in cut.columns])
 

@@ -4,6 +4,9 @@ A rolling hash over the last WINDOW line hashes closes a chunk where it is 0 mod
 so that the cuts depend on the lines around them and not on their place in the document. Chunks
 of several lines that occur more than once in the corpus are compared byte by byte with
 their first occurrence and removed elsewhere.
+
+Chunks miss passages that their cuts don't fall in with. drop_repeated_passages does without cuts:
+every two lines in a row, and every long line, are looked up over the whole corpus.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ DIVISOR = 3
 BASE = 31
 MODULUS = 1_000_000_007
 BITMAP = 1 << 22
+#: Characters from which a line alone is a passage.
+LONG_LINE = 100
 
 
 def _line_hash(line: Column) -> Column:
@@ -95,6 +100,43 @@ def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
     return out.select(*own, "n_lines", "n_removed")
 
 
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, hash (of the text) and line, from 0, of each line that belongs to a repeat of an earlier passage.
+
+    A passage is two lines in a row, or one of LONG_LINE characters. A longer one is the union of
+    its pairs, so that its ends are found exactly, whatever stands around it. A repeat that
+    overlaps its own first occurrence stays. As each removed line has an equal one earlier, by
+    document and place, at least one copy of every line stays.
+    """
+    lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("hash"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("_lines"))
+    unit = lambda i, n, passage: F.struct(i.alias("start"), F.lit(n).alias("n"), passage.alias("passage"))
+    pairs = F.transform("_lines", lambda line, i: unit(i, 2, F.concat(line, F.lit("\n"), F.get("_lines", i + 1))))
+    long = F.filter(F.transform("_lines", lambda line, i: unit(i, 1, line)), lambda u: F.length(u["passage"]) >= LONG_LINE)
+    units = lines.select("doc_id", "hash", F.explode(F.concat(F.filter(pairs, lambda u: u["passage"].isNotNull()), long)).alias("u"))
+    own = units.select("doc_id", "hash", "u.start", "u.n", "u.passage").withColumn("key", F.xxhash64("n", "passage"))
+    place = F.struct("doc_id", "hash", "start")
+    again = written(own.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("key", "first"), "passage-keys", 8)
+    found = written(_maybe(own, again).join(again, "key").withColumn("is_first", place == F.col("first")), "passage-texts")
+    first = found.where("is_first").select("key", F.col("passage").alias("model")).dropDuplicates(["key"])
+    same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
+    apart = found.where(~F.col("is_first") & ~(same & (F.col("start") < F.col("first.start") + F.col("n"))))
+    repeats = apart.join(first, "key").where(F.col("passage") == F.col("model"))
+    return repeats.select("doc_id", "hash", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("line"))
+
+
+def drop_repeated_passages(docs: DataFrame) -> DataFrame:
+    """As drop_repeated_chunks, but less the lines of repeated_lines; rows that share a doc_id are one document where their texts are equal."""
+    gone = repeated_lines(docs).groupBy("doc_id", "hash").agg(F.collect_set("line").alias("_gone")).withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
+    joined = boxed(docs, "doc_id", "text").join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
+    split = joined.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("n_lines", F.size("_lines"))
+    left = split.withColumn("_left", F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.coalesce("_gone", F.array().cast("array<int>"))))
+    out = left.withColumn("n_removed", F.col("n_lines") - F.size("_left"))
+    kept = F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n")
+    text = F.when(F.col("n_removed") == 0, F.coalesce("text", F.lit(""))).otherwise(kept).alias("text")
+    own = [text if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*own, "n_lines", "n_removed")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_repeated_chunks(docs).select("doc_id", "n_lines", "n_removed", "text")
