@@ -2,7 +2,8 @@
 
 All training documents are counted: their tokens make the base model, the vocabulary of the
 network, and what other words weigh in their classes (by a hash of a word's last two characters).
-The network trains by rounds: every partition's share of the training documents gives its own
+The network trains by rounds, each on a hash range of the documents; the ranges are disjoint and
+together hold all training documents, at any size. Every partition's part of a range gives its own
 weights, whose mean by tokens starts the next round. Scoring reads whole documents; a word
 outside the vocabulary takes its class's probability from the network and its share of the
 class from the counts. The most frequent words' counts, KNOWN at most, travel to the tasks;
@@ -21,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reverie.llm import gru
@@ -31,8 +32,8 @@ FOLDS, HELD_OUT = 7, 2
 #: Words of the vocabulary, the end of a document among them, in classes of this many; classes of other words.
 VOCABULARY, PER_CLASS, OTHERS = 1024, 32, 32
 KNOWN = 200_000
-#: Each round trains on this share of the training documents, or on TRAIN_ROWS of them where that is more.
-ROUNDS, TRAIN_SHARE, TRAIN_ROWS = 3, 1 / 32, 4_000
+#: Rounds of training, each on another hash range of the training documents.
+ROUNDS = 3
 #: Characters that a task scores at a time, whole documents.
 RUN_CHARS = 8_000_000
 END = ""
@@ -154,14 +155,16 @@ def _mean(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "tokens": [int(n.sum())], "weights": [total.astype("<f4").tobytes()]})
 
 
-def train_network(docs: DataFrame, language: Language, n_docs: int) -> Language:
-    """Rounds over shares of docs, means taken 64 partitions at a time so that no group grows with the input."""
+def round_of(doc_id: Column) -> Column:
+    """The round, 0 to ROUNDS - 1, that trains on a document."""
+    return F.floor(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) * ROUNDS / (1 << 20)).cast("int")
+
+
+def train_network(docs: DataFrame, language: Language) -> Language:
+    """One pass over all docs, split over the rounds; means taken 64 partitions at a time so that no group grows with the input."""
     schema = "part int, tokens long, weights binary"
-    share = min(1.0, max(TRAIN_SHARE, TRAIN_ROWS / max(1, n_docs)))
-    place = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) / (1 << 20)
     for k in range(ROUNDS):
-        first = k / ROUNDS
-        own = docs.where(((place - first + 1) % 1) < share).select("text")
+        own = docs.where(round_of(F.col("doc_id")) == k).select("text")
         parts = written(own.mapInArrow(partial(_train, language=language), schema), "weights")
         while (parts.agg(F.max("part")).first()[0] or 0) >= 64:
             parts = written(parts.withColumn("part", (F.col("part") / 64).cast("int")).groupBy("part").applyInPandas(_mean, schema), "weights")
@@ -189,7 +192,7 @@ def learn(docs: DataFrame) -> tuple[Language, DataFrame]:
     shares = np.array([sum(sums.get(c, (0, 0))) + 1 for c in range(OTHERS)], float)
     own = np.array([known[w] for w in ranked] + [0] * (VOCABULARY - len(ranked)), float)
     language = Language(known, vocabulary, shares, tokens, types, gru.initial(own, seen + 1, PER_CLASS))
-    return train_network(docs, language, n_docs), counts
+    return train_network(docs, language), counts
 
 
 ROWS = "row long, doc_id long, n_tokens long, n_known long, base double, model double, word string, tf long"
