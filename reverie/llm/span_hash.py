@@ -5,12 +5,14 @@ is then a difference of two entries, brought to exponent 0, so that spans are co
 constant time wherever they stand and the longest common extension of two positions is found
 by binary search. A fingerprint keeps the length, a 62-bit hash of the whole text and the
 prefix values on a grid from the start and from the end, so that two fingerprints can tell
-how much of their texts agrees.
+roughly how much of their texts agrees. Where both prefix arrays are at hand, agreement() reads
+these instead and finds equal spans at any offset.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +29,8 @@ BASES = (1_000_003, 998_244_353)
 #: A grid has at most this many cells.
 CELLS = 32
 SMALLEST_CELL = 8
+#: Code points of a span that starts an alignment anew after a difference; shorter ones in texts of less than 2 ** SEED.
+SEED = 12
 
 
 class _Powers:
@@ -62,12 +66,20 @@ class PrefixHash:
         """Hash of the code points a to b - 1, the same wherever they stand."""
         return tuple((int(x[b]) - int(x[a])) * pow(BASES[k], -a, p) % p for k, (x, p) in enumerate(zip(self.prefix, PRIMES, strict=True)))
 
+    def same(self, a: int, other: PrefixHash, c: int, size: int) -> bool:
+        """Whether span() agrees for size code points from a here and c there; moves one difference to the other's exponents."""
+        for k, (x, y, p) in enumerate(zip(self.prefix, other.prefix, PRIMES, strict=True)):
+            u, v, shift = int(x[a + size]) - int(x[a]), int(y[c + size]) - int(y[c]), int(_powers(k).upto(abs(a - c) + 1)[-1])
+            if ((u * shift - v) if a < c else (u - v * shift)) % p:
+                return False
+        return True
+
     def extension(self, i: int, other: PrefixHash, j: int) -> int:
         """Code points that agree from i here and j there on, by binary search."""
         low, high = 0, min(self.n - i, other.n - j)
         while low < high:
             mid = (low + high + 1) // 2
-            low, high = (mid, high) if self.span(i, i + mid) == other.span(j, j + mid) else (low, mid - 1)
+            low, high = (mid, high) if self.same(i, other, j, mid) else (low, mid - 1)
         return low
 
     def extension_back(self, i: int, other: PrefixHash, j: int) -> int:
@@ -75,7 +87,7 @@ class PrefixHash:
         low, high = 0, min(i, j)
         while low < high:
             mid = (low + high + 1) // 2
-            low, high = (mid, high) if self.span(i - mid, i) == other.span(j - mid, j) else (low, mid - 1)
+            low, high = (mid, high) if self.same(i - mid, other, j - mid, mid) else (low, mid - 1)
         return low
 
     def spliced(self, keep: int, other: PrefixHash, take: int) -> PrefixHash:
@@ -167,6 +179,79 @@ def _run(equal: np.ndarray) -> int:
     return low
 
 
+def _spans(h: PrefixHash, a: int, b: int, size: int, top: int) -> np.ndarray:
+    """Hashes of the spans of that size between a and b, both primes in one number, brought to the exponent top."""
+    at, out = np.arange(a, b - size + 1), np.zeros(b - size + 1 - a, np.uint64)
+    for k, (x, p) in enumerate(zip(h.prefix, PRIMES, strict=True)):
+        own = (x[at + size] + np.uint64(p) - x[at]) % np.uint64(p) * _powers(k).upto(top + 1)[top - at] % np.uint64(p)
+        out = (out << np.uint64(31)) | own
+    return out
+
+
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """How often each key occurs before its place."""
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
+    return out
+
+
+def _rising(values: list[int]) -> list[int]:
+    """Places of a longest rising subsequence."""
+    ends, places, before = [], [], [0] * len(values)
+    for i, v in enumerate(values):
+        t = bisect_left(ends, v)
+        before[i] = places[t - 1] if t else -1
+        if t == len(ends):
+            ends.append(v)
+            places.append(i)
+        else:
+            ends[t], places[t] = v, i
+    out, i = [], places[-1] if places else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def _aligned(h: PrefixHash, a: int, b: int, g: PrefixHash, c: int, d: int) -> int:
+    """Code points from a to b here and c to d there that equal spans pair, in the same order on both sides.
+
+    The r-th occurrence of a span here meets the r-th there; a longest chain of such meetings is
+    kept, and where its spans overlap, what is new on both sides counts.
+    """
+    least = min(b - a, d - c)
+    if least <= 0:
+        return 0
+    size, top = min(SEED, least.bit_length()), max(b, d)
+    mine = _spans(h, a, b, size, top)
+    both = np.unique(np.concatenate((mine, _spans(g, c, d, size, top))), return_inverse=True)[1].astype(np.int64)
+    x, y = both[: len(mine)], both[len(mine) :]
+    wide = len(both) + 1
+    _, i, j = np.intersect1d(x * wide + _ranked(x), y * wide + _ranked(y), assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    chain = _rising(j.tolist())
+    return size + int(np.minimum(np.minimum(np.diff(i[chain]), np.diff(j[chain])), size).sum())
+
+
+def agreement(h: PrefixHash, g: PrefixHash) -> float:
+    """Share of the longer text that agrees with the other in the same order, at whatever offset; 1 for equal texts, 0 if just one is empty.
+
+    The longest common extensions from both ends are found by binary search; between them, the
+    alignment starts anew after each difference at spans that are equal.
+    """
+    n, m = h.n, g.n
+    if not n or not m:
+        return float(n == m)
+    front = h.extension(0, g, 0)
+    back = min(h.extension_back(n, g, m), min(n, m) - front)
+    return (front + back + _aligned(h, front, n - back, g, front, m - back)) / max(n, m)
+
+
 ROWS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part int, edge string, text string"
 
 
@@ -175,9 +260,9 @@ def _edited(doc_id, text: str, h: PrefixHash, after: str, g: PrefixHash) -> tupl
     half = h.n // 2
     take = min(half, g.n)
     changed = text[: h.n - half] + after[:take]
-    mine, edited = fingerprint(h), fingerprint(h.spliced(h.n - half, g, take))
+    edited = h.spliced(h.n - half, g, take)
     digest = hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest()
-    return (doc_id, h.n, digest, mine, edited, likeness(mine, edited), likeness(mine, fingerprint(g)))
+    return (doc_id, h.n, digest, fingerprint(h), fingerprint(edited), agreement(h, edited), agreement(h, g))
 
 
 _COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
