@@ -3,25 +3,32 @@
 Inputs are word numbers: those of the vocabulary, then one for each class of other words. A
 word's probability is that of its class, times that of the word in the class where the class
 belongs to the vocabulary; what other classes give a word is the caller's affair.
+
+Arrays run over lanes in their last axis, so that every step works on rows of many lanes. A lane
+reads documents one after the other; only the window at hand is laid out as a matrix, so memory
+follows the words of a run, however long one of its texts is.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
 
 HIDDEN = 16
 WINDOW = 16
-LANES = 64
-RATE = 0.02
+LANES = 256
+RATE = 0.015
 
 
 @dataclass
 class Weights:
-    """In: table of gate inputs by word; u: state to gates (update, reset, candidate); c*: classes; w*: words of each vocabulary class."""
+    """embed: a vector for each word; x, u: vector and state to gates (update, reset, candidate); c*: classes; w*: words of each vocabulary class."""
 
-    table: np.ndarray
+    embed: np.ndarray
+    x: np.ndarray
     u: np.ndarray
     cw: np.ndarray
     cb: np.ndarray
@@ -31,14 +38,24 @@ class Weights:
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, f.name).ravel() for f in fields(self)])
 
-    def filled(self, flat: np.ndarray) -> Weights:
+    def over(self, flat: np.ndarray) -> Weights:
+        """Weights of these shapes as views into flat."""
         out, at = [], 0
         for f in fields(self):
             own = getattr(self, f.name)
-            out.append(flat[at : at + own.size].reshape(own.shape).astype(np.float32))
+            out.append(flat[at : at + own.size].reshape(own.shape))
             at += own.size
         return Weights(*out)
 
+    def filled(self, flat: np.ndarray) -> Weights:
+        return self.over(np.array(flat, np.float32))
+
+    @property
+    def classes(self) -> np.ndarray:
+        """The class of each word number."""
+        groups, per_class = self.wb.shape
+        return np.concatenate((np.repeat(np.arange(groups), per_class), np.arange(groups, len(self.cb)))).astype(np.uint16)
+
 
 def initial(counts: np.ndarray, others: np.ndarray, per_class: int, hidden: int = HIDDEN) -> Weights:
     """Starts as the unigram model: counts of the vocabulary, a multiple of per_class, and of each other class."""
@@ -47,152 +64,206 @@ def initial(counts: np.ndarray, others: np.ndarray, per_class: int, hidden: int
     classes = np.concatenate((groups.sum(1), others + 1e-3))
     n_in = len(counts) + len(others)
     return Weights(
-        rng.normal(0, 0.3, (n_in, 3 * hidden)).astype(np.float32),
-        rng.normal(0, 0.25, (hidden, 3 * hidden)).astype(np.float32),
-        np.zeros((hidden, len(classes)), np.float32),
+        rng.normal(0, 0.6, (hidden, n_in)).astype(np.float32),
+        rng.normal(0, 0.25, (3 * hidden, hidden)).astype(np.float32),
+        rng.normal(0, 0.25, (3 * hidden, hidden)).astype(np.float32),
+        np.zeros((len(classes), hidden), np.float32),
         np.log(classes / classes.sum()).astype(np.float32),
-        np.zeros((len(groups), hidden, per_class), np.float32),
+        np.zeros((len(groups), per_class, hidden), np.float32),
         np.log(groups / groups.sum(1, keepdims=True)).astype(np.float32),
     )
 
 
-def lanes_of(docs: list[np.ndarray], lanes: int) -> list[list[int]]:
-    """Documents dealt to lanes, longest first to the shortest lane."""
-    import heapq
+@dataclass
+class Lanes:
+    """words of all documents lane by lane; starts marks the first of each; at, size: the lanes, longest first; order, bounds: the documents as they lie in words."""
+
+    words: np.ndarray
+    starts: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    order: np.ndarray
+    bounds: np.ndarray
+
+    def windows(self, steps: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each window the number of lanes that reach it, and by step and lane the place in words and whether there is a word."""
+        for first in range(0, int(self.size[0]), steps):
+            k = int(np.searchsorted(-self.size, -first))
+            step = np.arange(first, min(first + steps, int(self.size[0])))[:, None]
+            yield k, self.at[:k] + np.minimum(step, self.size[:k] - 1), step < self.size[:k]
 
-    heap = [(0, i) for i in range(min(lanes, max(1, len(docs))))]
-    out: list[list[int]] = [[] for _ in heap]
+
+def dealt(docs: list[np.ndarray], lanes: int) -> Lanes:
+    """Documents (none of them empty) dealt to lanes, longest first to the shortest lane."""
+    heap = [(0, i) for i in range(min(lanes, len(docs)))]
+    own: list[list[int]] = [[] for _ in heap]
     for d in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
         used, lane = heapq.heappop(heap)
-        out[lane].append(d)
+        own[lane].append(d)
         heapq.heappush(heap, (used + len(docs[d]), lane))
-    return sorted(out, key=lambda own: -sum(len(docs[d]) for d in own))
+    sizes = {lane: used for used, lane in heap}
+    rank = sorted(range(len(own)), key=lambda lane: -sizes[lane])
+    order = np.array([d for lane in rank for d in own[lane]])
+    words = np.concatenate([docs[d] for d in order])
+    bounds = np.concatenate(([0], np.cumsum([len(docs[d]) for d in order])))[:-1]
+    starts = np.zeros(len(words), bool)
+    starts[bounds] = True
+    size = np.array([sizes[lane] for lane in rank])
+    return Lanes(words, starts, np.cumsum(size) - size, size, order, bounds)
 
 
-def _streams(docs: list[np.ndarray], lanes: int):
-    """Words and documents by step and lane, longest lane first, and how many lanes each step has."""
-    dealt = [own for own in lanes_of(docs, lanes) if own]
-    sizes = [sum(len(docs[d]) for d in own) for own in dealt]
-    words, of = np.zeros((max(sizes, default=0), len(dealt)), np.int32), np.full((max(sizes, default=0), len(dealt)), -1, np.int32)
-    for lane, own in enumerate(dealt):
-        words[: sizes[lane], lane] = np.concatenate([docs[d] for d in own])
-        of[: sizes[lane], lane] = np.repeat(own, [len(docs[d]) for d in own])
-    starts = np.ones_like(of, bool)
-    starts[1:] = of[1:] != of[:-1]
-    return words, of, starts, (of >= 0).sum(1)
+def _squashed(x: np.ndarray) -> None:
+    """x / (1 + |x|) in place; its derivative there is (1 - |result|) ** 2."""
+    size = np.abs(x)
+    size += 1
+    x /= size
 
 
-def _tanh_gate(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
+def _forward(w: Weights, table: np.ndarray, h: np.ndarray, words: np.ndarray, starts: np.ndarray):
+    """With table, the gate inputs of every word (x @ embed): states before each word (hidden, step, lane), gates and candidates likewise, the reset products' inputs, and the last state."""
+    n = len(h)
+    x = np.take(table, words.astype(np.intp), axis=1, mode="clip")
+    states, held = np.empty((n, *words.shape), h.dtype), np.empty((n, *words.shape), h.dtype)
+    fresh = (~starts).astype(h.dtype)
+    half = h.dtype.type(0.5)
+    for t in range(len(words)):
+        own, gates, cand = states[:, t], x[: 2 * n, t], x[2 * n :, t]
+        np.multiply(h, fresh[t], out=own)
+        g = w.u @ own
+        gates += g[: 2 * n]
+        _squashed(gates)
+        gates *= half
+        gates += half
+        held[:, t] = g[2 * n :]
+        cand += gates[n:] * g[2 * n :]
+        _squashed(cand)
+        h = own - cand
+        h *= gates[:n]
+        h += cand
+    return states, x, held, h
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _log_softmax(logit: np.ndarray, pick: np.ndarray, at: np.ndarray, whole: bool) -> np.ndarray:
+    """Log-softmax over the first axis at pick; logit is overwritten, by the whole softmax if that is wanted."""
+    logit -= logit.max(0)
+    out = logit[pick, at]
+    np.exp(logit, out=logit)
+    total = logit.sum(0)
+    if whole:
+        logit /= total
+    return out - np.log(total)
 
 
-def _outputs(w: Weights, h: np.ndarray, words: np.ndarray, grad: Weights | None = None):
-    """Log-probability of each word after its state h; with grad also adds gradients of the summed negative log and returns that of h."""
-    n_vocab, per_class = w.wb.size, w.wb.shape[1]
-    cls = np.where(words < n_vocab, words // per_class, words - n_vocab + len(w.wb))
-    log_c = _log_softmax(h @ w.cw + w.cb)
-    at = np.arange(len(words))
-    out, dh = log_c[at, cls].astype(np.float64), None
+def _outputs(w: Weights, states: np.ndarray, words: np.ndarray, there: np.ndarray, grad: Weights | None = None):
+    """Log-probability of each word that is there, in order; with grad also fills in gradients of the mean negative log, and returns that of the states."""
+    n, groups = len(states), len(w.wb)
+    live = np.flatnonzero(there.ravel())
+    cls = w.classes[words.ravel()[live]]
+    sort = np.argsort(cls, kind="stable")
+    rows, cls = live[sort], cls[sort]
+    h = states.reshape(n, -1)[:, rows]
+    at = np.arange(len(rows))
+    soft = w.cw @ h
+    soft += w.cb[:, None]
+    log = _log_softmax(soft, cls, at, grad is not None)
+    dh = None
     if grad is not None:
-        dc = np.exp(log_c)
-        dc[at, cls] -= 1
-        grad.cw += h.T @ dc
-        grad.cb += dc.sum(0)
-        dh = dc @ w.cw.T
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(len(w.wb) + 1))
-    for k in range(len(w.wb)):
-        rows = order[ends[k] : ends[k + 1]]
-        if not len(rows):
+        scale = h.dtype.type(1 / max(1, len(rows)))
+        soft[cls, at] -= 1
+        soft *= scale
+        grad.cw[:], grad.cb[:] = soft @ h.T, soft.sum(1)
+        dh = w.cw.T @ soft
+    ends = np.searchsorted(cls, np.arange(groups + 1))
+    member = words.ravel()[rows].astype(np.int64) - cls.astype(np.int64) * w.wb.shape[1]
+    for k in range(groups):
+        a, b = ends[k], ends[k + 1]
+        if a == b:
             continue
-        own = h[rows]
-        log_w = _log_softmax(own @ w.ww[k] + w.wb[k])
-        member = words[rows] - k * per_class
-        out[rows] += log_w[np.arange(len(rows)), member]
+        own = h[:, a:b]
+        inner = w.ww[k] @ own
+        inner += w.wb[k][:, None]
+        log[a:b] += _log_softmax(inner, member[a:b], at[: b - a], grad is not None)
         if grad is not None:
-            dw = np.exp(log_w)
-            dw[np.arange(len(rows)), member] -= 1
-            grad.ww[k] += own.T @ dw
-            grad.wb[k] += dw.sum(0)
-            dh[rows] += dw @ w.ww[k].T
-    return out, dh
+            inner[member[a:b], at[: b - a]] -= 1
+            inner *= scale
+            grad.ww[k], grad.wb[k] = inner @ own.T, inner.sum(1)
+            dh[:, a:b] += w.ww[k].T @ inner
+    out = np.empty(len(rows))
+    out[sort] = log
+    if grad is None:
+        return out, None
+    full = np.zeros((n, there.size), h.dtype)
+    full[:, rows] = dh
+    return out, full.reshape(states.shape)
 
 
-def score(w: Weights, docs: list[np.ndarray], lanes: int = 256, window: int = 64) -> np.ndarray:
+def score(w: Weights, docs: list[np.ndarray], lanes: int = 2 * LANES, window: int = WINDOW) -> np.ndarray:
     """Summed natural log-probability of each whole document; the state runs on over windows and starts at 0 with each document."""
-    words, of, starts, wide = _streams(docs, lanes)
-    n = w.u.shape[0]
-    h, total = np.zeros((words.shape[1], n), np.float32), np.zeros(len(docs))
-    for first in range(0, len(words), window):
-        last = min(first + window, len(words))
-        states = np.zeros((last - first, words.shape[1], n), np.float32)
-        for t in range(first, last):
-            k = wide[t]
-            own = h[:k]
-            own[starts[t, :k]] = 0
-            states[t - first, :k] = own
-            x, g = w.table[words[t, :k]], own @ w.u
-            gates = _tanh_gate(x[:, : 2 * n] + g[:, : 2 * n])
-            cand = np.tanh(x[:, 2 * n :] + gates[:, n:] * g[:, 2 * n :])
-            h[:k] = cand + gates[:, :n] * (own - cand)
-        there = of[first:last] >= 0
-        log, _ = _outputs(w, states[there], words[first:last][there])
-        total += np.bincount(of[first:last][there], log, len(docs))
+    if not docs:
+        return np.zeros(0)
+    run = dealt(docs, lanes)
+    out = np.zeros(len(run.words))
+    h, table = np.zeros((w.u.shape[1], len(run.at)), w.u.dtype), w.x @ w.embed
+    for k, place, there in run.windows(window):
+        words = run.words[place]
+        states, _, _, h = _forward(w, table, h[:, :k], words, run.starts[place])
+        out[place[there]] = _outputs(w, states, words, there)[0]
+    total = np.empty(len(docs))
+    total[run.order] = np.add.reduceat(out, run.bounds)
     return total
 
 
-def gradients(w: Weights, h: np.ndarray, words: np.ndarray, starts: np.ndarray, there: np.ndarray) -> tuple[Weights, np.ndarray, float]:
-    """One window: gradient of the mean negative log over its words, the state after it, the summed log."""
-    n, steps = w.u.shape[0], len(words)
-    keep = []
-    for t in range(steps):
-        prev = np.where(starts[t][:, None], np.float32(0), h)
-        x, g = w.table[words[t]], prev @ w.u
-        gates = _tanh_gate(x[:, : 2 * n] + g[:, : 2 * n])
-        cand = np.tanh(x[:, 2 * n :] + gates[:, n:] * g[:, 2 * n :])
-        h = np.where(there[t][:, None], cand + gates[:, :n] * (prev - cand), prev)
-        keep.append((prev, g[:, 2 * n :], gates, cand))
-    grad = Weights(*[np.zeros_like(getattr(w, f.name)) for f in fields(w)])
-    states = np.stack([k[0] for k in keep])
-    log, flat = _outputs(w, states[there], words[there], grad)
-    dstates = np.zeros_like(states)
-    dstates[there] = flat
-    dh, dx = np.zeros_like(h), np.zeros((*words.shape, 3 * n), np.float32)
+def gradients(w: Weights, h: np.ndarray, words: np.ndarray, starts: np.ndarray, there: np.ndarray, grad: Weights) -> tuple[np.ndarray, float]:
+    """One window: fills grad with the gradient of the mean negative log over its words; the state after it and the summed log.
+
+    A lane that ends within the window is not read again, so its last words' states need no mask.
+    """
+    n, steps, k = len(h), *words.shape
+    for f in fields(grad):
+        getattr(grad, f.name)[...] = 0
+    states, x, held, last = _forward(w, w.x @ w.embed, h, words, starts)
+    log, dstates = _outputs(w, states, words, there, grad)
+    fresh = (~starts).astype(h.dtype)
+    dg, dh = np.empty_like(x), np.zeros_like(h)
+    z, r, cand = x[:n], x[n : 2 * n], x[2 * n :]
+    dz, dr, dc = dg[:n], dg[n : 2 * n], dg[2 * n :]
+    # what does not depend on the state's gradient, for the whole window at once
+    of_c = (1 - z) * (1 - np.abs(cand)) ** 2
+    of_z = (states - cand) * 2 * np.minimum(z, 1 - z) ** 2
+    of_r = held * 2 * np.minimum(r, 1 - r) ** 2
     for t in reversed(range(steps)):
-        prev, gn, gates, cand = keep[t]
-        z, r = gates[:, :n], gates[:, n:]
-        live = there[t][:, None]
-        d = dh * live
-        dcand = d * (1 - z) * (1 - cand * cand)
-        dz = d * (prev - cand) * z * (1 - z)
-        dr = dcand * gn * r * (1 - r)
-        dx[t] = np.concatenate((dz, dr, dcand), 1)
-        dg = np.concatenate((dz, dr, dcand * r), 1)
-        grad.u += prev.T @ dg
-        dh = np.where(starts[t][:, None], np.float32(0), np.where(live, d * z + dg @ w.u.T, dh) + dstates[t])
-    np.add.at(grad.table, words[there], dx[there])
-    scale = np.float32(1 / max(1, int(there.sum())))
-    return Weights(*[getattr(grad, f.name) * scale for f in fields(grad)]), h, float(log.sum())
+        np.multiply(dh, of_c[:, t], out=dc[:, t])
+        np.multiply(dh, of_z[:, t], out=dz[:, t])
+        np.multiply(dc[:, t], of_r[:, t], out=dr[:, t])
+        dh *= z[:, t]
+        own = np.concatenate((dz[:, t], dr[:, t], dc[:, t] * r[:, t]))
+        dh += w.u.T @ own
+        dh += dstates[:, t]
+        dh *= fresh[t]
+    flat, dx = words.ravel().astype(np.intp), dg.reshape(3 * n, -1)
+    grad.x[:] = dx @ np.take(w.embed, flat, axis=1, mode="clip").T
+    by_word = np.argsort(flat.astype(np.uint16), kind="stable")
+    first = np.flatnonzero(np.diff(flat[by_word], prepend=-1))
+    grad.embed[:, flat[by_word[first]]] = np.add.reduceat((w.x.T @ dx)[:, by_word], first, axis=1)
+    dc *= r
+    grad.u[:] = dx @ states.reshape(n, -1).T
+    return last, float(log.sum())
 
 
 def train(w: Weights, docs: list[np.ndarray], lanes: int = LANES, window: int = WINDOW, rate: float = RATE) -> Weights:
     """One pass over docs in windows with carried state, by Adam steps."""
-    words, of, starts, wide = _streams(docs, lanes)
-    flat = w.flat().astype(np.float32)
+    if not docs:
+        return w
+    run = dealt(docs, lanes)
+    flat = w.flat()
+    w, g = w.over(flat), np.zeros_like(flat)
+    grad = w.over(g)
     m, v = np.zeros_like(flat), np.zeros_like(flat)
-    h = np.zeros((words.shape[1], w.u.shape[0]), np.float32)
-    for step, first in enumerate(range(0, len(words), window), 1):
-        k = wide[first]
-        rows = slice(first, first + window)
-        grad, h, _ = gradients(w, h[:k], words[rows, :k], starts[rows, :k], of[rows, :k] >= 0)
-        g = np.clip(grad.flat(), -1, 1)
-        m += np.float32(0.1) * (g - m)
-        v += np.float32(0.01) * (g * g - v)
-        flat -= np.float32(rate / (1 + step / 400)) * (m / np.float32(1 - 0.9**step)) / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-6))
-        w = w.filled(flat)
+    h = np.zeros((w.u.shape[1], len(run.at)), flat.dtype)
+    for step, (k, place, there) in enumerate(run.windows(window), 1):
+        h, _ = gradients(w, h[:, :k], run.words[place], run.starts[place], there, grad)
+        np.clip(g, -1, 1, out=g)
+        m += flat.dtype.type(0.1) * (g - m)
+        v += flat.dtype.type(0.01) * (g * g - v)
+        flat -= flat.dtype.type(rate / (1 + step / 400) / (1 - 0.9**step)) * m / (np.sqrt(v / flat.dtype.type(1 - 0.99**step)) + flat.dtype.type(1e-6))
     return w

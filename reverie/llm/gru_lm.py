@@ -2,12 +2,13 @@
 
 All training documents are counted: their tokens make the base model, the vocabulary of the
 network, and what other words weigh in their classes (by a hash of a word's last two characters).
-The network trains by rounds, each on a hash range of the documents; the ranges are disjoint and
-together hold all training documents, at any size. Every partition's part of a range gives its own
-weights, whose mean by tokens starts the next round. Scoring reads whole documents; a word
-outside the vocabulary takes its class's probability from the network and its share of the
-class from the counts. The most frequent words' counts, KNOWN at most, travel to the tasks;
-the rare rest is joined.
+Documents are then numbered once: a written table holds each one's word numbers, from which the
+network both trains and scores. It trains by rounds, each on a hash range of the training
+documents; the ranges are disjoint and together hold all of them, at any size. Every
+partition's part of a range gives its own weights, whose mean by tokens starts the next round.
+Scoring reads whole documents; a word outside the vocabulary takes its class's probability from
+the network and its share of the class from the counts. The most frequent words' counts, KNOWN
+at most, travel to the tasks that number documents; the rare rest is joined.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, replace
 from functools import partial
 
 import numpy as np
@@ -30,13 +31,16 @@ from reverie.llm.common import fold_of, load, small_batches, written
 
 FOLDS, HELD_OUT = 7, 2
 #: Words of the vocabulary, the end of a document among them, in classes of this many; classes of other words.
-VOCABULARY, PER_CLASS, OTHERS = 1024, 32, 32
+VOCABULARY, PER_CLASS, OTHERS = 1024, 64, 32
 KNOWN = 200_000
 #: Rounds of training, each on another hash range of the training documents.
 ROUNDS = 3
-#: Characters that a task scores at a time, whole documents.
+#: Characters that a task splits into words, and words that it trains on or scores, at a time; whole documents.
 RUN_CHARS = 8_000_000
+RUN_WORDS = 2_000_000
 END = ""
+#: The role of a document that is scored alone; those of training documents are the rounds.
+HELD = -1
 
 
 @dataclass(frozen=True)
@@ -65,15 +69,15 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return of[there], np.concatenate(([0], np.cumsum(there)))[split.offsets.to_numpy()], coded.dictionary
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches gathered to about RUN_CHARS of text."""
+def _runs(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = RUN_CHARS) -> Iterator[pa.Table]:
+    """Batches gathered to about that many bytes of the column."""
     held, size = [], 0
     for batch in batches:
         for row in range(0, batch.num_rows, 250):
             part = batch.slice(row, 250)
             held.append(part)
-            size += pc.sum(pc.binary_length(part["text"])).as_py() or 0
-            if size >= RUN_CHARS:
+            size += pc.sum(pc.binary_length(part[column])).as_py() or 0
+            if size >= most:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
     if held:
@@ -132,18 +136,71 @@ def _numbers(words: list[str], language: Language) -> np.ndarray:
     return np.fromiter((i if (i := get(w)) is not None else VOCABULARY + other_class(w) for w in words), np.int32, len(words))
 
 
-def _encoded(run: pa.Table, language: Language) -> list[np.ndarray]:
-    of, bounds, words = tokens_of(_text(run))
-    numbers, end = _numbers(words.to_pylist(), language)[of], np.array([language.vocabulary[END]], np.int32)
-    return [np.concatenate((numbers[a:b], end)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+ROWS = "row long, doc_id long, role int, n_tokens long, n_known long, base double, model double, ids binary, word string, tf long"
+_ROWS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("role", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("ids", pa.large_binary()), ("word", pa.large_string()), ("tf", pa.int64())])
 
 
-def _train(batches: Iterator[pa.RecordBatch], language: Language) -> Iterator[pa.RecordBatch]:
+def _batch(n: int, **columns) -> pa.RecordBatch:
+    """A batch of ROWS; columns not given are null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name]).cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ROWS], schema=_ROWS)
+
+
+def _number(batches: Iterator[pa.RecordBatch], language: Language) -> Iterator[pa.RecordBatch]:
+    """A row for each document, and one for each of its words whose count the task does not know (word, tf).
+
+    ids are the document's word numbers and its end, 16 bits each; base and model are the logs
+    of what the counts alone give.
+    """
     from pyspark import TaskContext
 
-    weights, tokens = language.weights, 0
+    row = TaskContext.get().partitionId() << 40
+    size = math.log10(language.tokens + language.types + 1)
+    end = language.known.get(END, 0)
     for run in _runs(batches):
-        docs = _encoded(run, language)
+        n = run.num_rows
+        of, bounds, words = tokens_of(_text(run))
+        names = words.to_pylist()
+        numbers = _numbers(names, language)
+        count = np.fromiter((language.known.get(w, -1) for w in names), np.int64, len(names))
+        inside = numbers < VOCABULARY
+        shares = np.log10(language.shares)[np.where(inside, 0, numbers - VOCABULARY)]
+        log = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1), 0)
+        lengths = np.diff(bounds)
+        doc = np.repeat(np.arange(n), lengths)
+        add = lambda x: np.bincount(doc, x[of], n)
+        ids = np.empty(len(of) + n, "<u2")
+        ids[np.arange(len(of)) + doc] = numbers[of]
+        ids[bounds[1:] + np.arange(n)] = language.vocabulary[END]
+        offsets = pa.py_buffer(2 * (bounds + np.arange(n + 1)).astype(np.int64))
+        yield _batch(
+            n, row=row + np.arange(n), doc_id=run["doc_id"].combine_chunks(), role=run["role"].combine_chunks(), n_tokens=lengths + 1, n_known=add(count > 0).astype(np.int64) + (end > 0),
+            base=add(log) - lengths * size + math.log10(end + 1) - size, model=add(np.where(inside, 0, log - shares)), ids=pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, offsets, pa.py_buffer(ids)]),
+        )
+        rare = (count < 0)[of]
+        pairs, tf = np.unique(doc[rare] * np.int64(max(1, len(names))) + of[rare], return_counts=True)
+        for a in range(0, len(pairs), 100_000):
+            own = pairs[a : a + 100_000]
+            yield _batch(len(own), row=row + own // len(names), word=words.take(pa.array(own % len(names))), tf=tf[a : a + 100_000])
+        row += n
+
+
+def numbered(docs: DataFrame, language: Language) -> DataFrame:
+    """docs (doc_id, text, role: a round of training or HELD) as a written table of ROWS."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("role").cast("int").alias("role"))
+    return written(own.mapInArrow(partial(_number, language=language), ROWS), "numbered")
+
+
+def _documents(run: pa.Table) -> list[np.ndarray]:
+    """The word numbers of each document of a run."""
+    return [np.frombuffer(x.as_buffer(), "<u2") for c in run["ids"].chunks for x in c]
+
+
+def _train(batches: Iterator[pa.RecordBatch], weights: gru.Weights) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    tokens = 0
+    for run in _runs(batches, "ids", 2 * RUN_WORDS):
+        docs = _documents(run)
         weights, tokens = gru.train(weights, docs), tokens + sum(map(len, docs))
     if tokens:
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "tokens": pa.array([tokens], pa.int64()), "weights": pa.array([weights.flat().astype("<f4").tobytes()])})
@@ -160,22 +217,23 @@ def round_of(doc_id: Column) -> Column:
     return F.floor(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) * ROUNDS / (1 << 20)).cast("int")
 
 
-def train_network(docs: DataFrame, language: Language) -> Language:
-    """One pass over all docs, split over the rounds; means taken 64 partitions at a time so that no group grows with the input."""
+def train_network(rows: DataFrame, language: Language) -> Language:
+    """One pass over all numbered documents of training roles; means taken 64 partitions at a time so that no group grows with the input."""
     schema = "part int, tokens long, weights binary"
+    small_batches(rows.sparkSession)
     for k in range(ROUNDS):
-        own = docs.where(round_of(F.col("doc_id")) == k).select("text")
-        parts = written(own.mapInArrow(partial(_train, language=language), schema), "weights")
+        own = rows.where((F.col("role") == k) & F.col("ids").isNotNull()).select("ids")
+        parts = written(own.mapInArrow(partial(_train, weights=language.weights), schema), "weights")
         while (parts.agg(F.max("part")).first()[0] or 0) >= 64:
-            parts = written(parts.withColumn("part", (F.col("part") / 64).cast("int")).groupBy("part").applyInPandas(_mean, schema), "weights")
+            parts = written(parts.withColumn("part", (F.col("part") / 64).cast("int")).groupBy("part").applyInPandas(_mean, schema), "means")
         row = parts.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(_mean, schema).first()
         if row is not None:
-            language = Language(*[getattr(language, f.name) for f in fields(language)[:-1]], language.weights.filled(np.frombuffer(row["weights"], "<f4")))
+            language = replace(language, weights=language.weights.filled(np.frombuffer(row["weights"], "<f4")))
     return language
 
 
-def learn(docs: DataFrame) -> tuple[Language, DataFrame]:
-    """The language of docs (doc_id, text), all of them for training, and their word counts."""
+def counted(docs: DataFrame) -> tuple[Language, DataFrame]:
+    """The language of docs (text), all of them for training, before its network is trained, and their word counts."""
     small_batches(docs.sparkSession)
     counts = count_words(docs)
     n = counts.agg(F.sum("n"), F.count(F.lit(1)), F.max(F.when(F.col("word") == END, F.col("n")))).first()
@@ -191,50 +249,34 @@ def learn(docs: DataFrame) -> tuple[Language, DataFrame]:
     seen = np.array([sums.get(c, (0, 0))[0] for c in range(OTHERS)], float)
     shares = np.array([sum(sums.get(c, (0, 0))) + 1 for c in range(OTHERS)], float)
     own = np.array([known[w] for w in ranked] + [0] * (VOCABULARY - len(ranked)), float)
-    language = Language(known, vocabulary, shares, tokens, types, gru.initial(own, seen + 1, PER_CLASS))
-    return train_network(docs, language), counts
+    return Language(known, vocabulary, shares, tokens, types, gru.initial(own, seen + 1, PER_CLASS)), counts
 
 
-ROWS = "row long, doc_id long, n_tokens long, n_known long, base double, model double, word string, tf long"
+def learn(docs: DataFrame) -> tuple[Language, DataFrame]:
+    """The language of docs (doc_id, text), all of them for training, and their word counts."""
+    language, counts = counted(docs)
+    return train_network(numbered(docs.withColumn("role", round_of(F.col("doc_id"))), language), language), counts
 
 
-def _score(batches: Iterator[pa.RecordBatch], language: Language) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and one for each of its words whose count the task does not know (word, tf)."""
-    from pyspark import TaskContext
+def _score(batches: Iterator[pa.RecordBatch], weights: gru.Weights) -> Iterator[pa.RecordBatch]:
+    """Numbered documents with what the network gives them added to `model`, less their ids."""
+    for run in _runs(batches, "ids", 2 * RUN_WORDS):
+        model = run["model"].to_numpy() + gru.score(weights, _documents(run)) / math.log(10)
+        rest = run.drop_columns(["ids"])
+        yield from rest.set_column(rest.schema.get_field_index("model"), "model", pa.array(model)).to_batches()
 
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("word", pa.large_string()), ("tf", pa.int64())])
-    row = TaskContext.get().partitionId() << 40
-    size = math.log10(language.tokens + language.types + 1)
-    end = language.known.get(END, 0)
-    for run in _runs(batches):
-        n = run.num_rows
-        of, bounds, words = tokens_of(_text(run))
-        names = words.to_pylist()
-        numbers = _numbers(names, language)
-        count = np.fromiter((language.known.get(w, -1) for w in names), np.int64, len(names))
-        inside = numbers < VOCABULARY
-        shares = np.log10(language.shares)[np.where(inside, 0, numbers - VOCABULARY)]
-        log = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1), 0)
-        doc = np.repeat(np.arange(n), np.diff(bounds))
-        add = lambda x: np.bincount(doc, x[of], n)
-        lengths = np.diff(bounds)
-        base = add(log) - lengths * size + math.log10(end + 1) - size
-        model = add(np.where(inside, 0, log - shares))
-        ends = np.array([language.vocabulary[END]], np.int32)
-        coded = numbers[of]
-        model += gru.score(language.weights, [np.concatenate((coded[a:b], ends)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]) / math.log(10)
-        known = np.bincount(doc, (count > 0)[of], n).astype(np.int64) + (end > 0)
-        rows = row + np.arange(n)
-        none = pa.nulls(n, pa.large_string())
-        yield pa.RecordBatch.from_arrays([pa.array(rows), run["doc_id"].combine_chunks().cast(pa.int64()), pa.array(lengths + 1), pa.array(known), pa.array(base), pa.array(model), none, pa.nulls(n, pa.int64())], schema=schema)
-        rare = (count < 0)[of]
-        pairs, tf = np.unique(doc[rare] * np.int64(max(1, len(names))) + of[rare], return_counts=True)
-        if len(pairs):
-            m = len(pairs)
-            blank = lambda kind: pa.nulls(m, kind)
-            out = pa.RecordBatch.from_arrays([pa.array(rows[pairs // len(names)]), blank(pa.int64()), blank(pa.int64()), blank(pa.int64()), blank(pa.float64()), blank(pa.float64()), words.take(pa.array(pairs % len(names))).cast(pa.large_string()), pa.array(tf.astype(np.int64))], schema=schema)
-            yield from pa.Table.from_batches([out]).to_batches(max_chunksize=100_000)
-        row += n
+
+def score_numbered(rows: DataFrame, language: Language, counts: DataFrame) -> DataFrame:
+    """Numbered documents to doc_id, role, n_tokens, n_known, base_score, score."""
+    small_batches(rows.sparkSession)
+    kept = "row long, doc_id long, role int, n_tokens long, n_known long, base double, model double"
+    columns = [c.split()[0] for c in kept.split(", ")]
+    scored = rows.where("ids IS NOT NULL").select(*columns, "ids").mapInArrow(partial(_score, weights=language.weights), kept)
+    rare = rows.where("word IS NOT NULL").select("row", "word", "tf").join(counts, "word")
+    more = rare.groupBy("row").agg(F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("more"))
+    whole = written(scored, "scores", 2).join(more, "row", "left")
+    extra, known = F.coalesce("more", F.lit(0.0)), F.coalesce("more_known", F.lit(0))
+    return whole.select("doc_id", "role", "n_tokens", (F.col("n_known") + known).alias("n_known"), (F.col("base") + extra).alias("base_score"), (F.col("model") + extra).alias("score"))
 
 
 def score(docs: DataFrame, language: Language, counts: DataFrame) -> DataFrame:
@@ -244,16 +286,18 @@ def score(docs: DataFrame, language: Language, counts: DataFrame) -> DataFrame:
     an empty one. Without any training document every token is unseen.
     """
     small_batches(docs.sparkSession)
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_score, language=language), ROWS), "scores")
-    rare = rows.where("word IS NOT NULL").select("row", "word", "tf").join(counts, "word")
-    more = rare.groupBy("row").agg(F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("more"))
-    whole = rows.where("word IS NULL").drop("word", "tf").join(more, "row", "left")
-    extra, known = F.coalesce("more", F.lit(0.0)), F.coalesce("more_known", F.lit(0))
-    return whole.select("doc_id", "n_tokens", (F.col("n_known") + known).alias("n_known"), (F.col("base") + extra).alias("base_score"), (F.col("model") + extra).alias("score"))
+    return score_numbered(numbered(docs.select("doc_id", "text").withColumn("role", F.lit(HELD)), language), language, counts).drop("role")
+
+
+def learn_and_score(docs: DataFrame, held: Column) -> tuple[DataFrame, Language]:
+    """docs (doc_id, text) to the columns of score and role (HELD where held), after learning from the others; documents are numbered once."""
+    language, counts = counted(docs.where(~held))
+    rows = numbered(docs.select("doc_id", "text", F.when(held, HELD).otherwise(round_of(F.col("doc_id"))).alias("role")), language)
+    return score_numbered(rows, train_network(rows, language), counts), language
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    language, counts = learn(docs.where(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT))
-    held = (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")
-    return score(docs, language, counts).select("doc_id", held, "n_tokens", "n_known", F.lit(language.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    scored, language = learn_and_score(docs, fold_of(F.col("doc_id"), FOLDS) == HELD_OUT)
+    held = (F.col("role") == HELD).alias("held_out")
+    return scored.select("doc_id", held, "n_tokens", "n_known", F.lit(language.tokens).cast("long").alias("train_tokens"), "base_score", "score")
