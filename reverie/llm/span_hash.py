@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reverie.llm.common import load, partitions, small_batches, written
+from reverie.llm.common import by_id, load, small_batches, written
 
 #: Two primes under 2 ** 31, so that products fit into 64 bits, and their bases.
 PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
@@ -29,38 +29,60 @@ BASES = (1_000_003, 998_244_353)
 #: A grid has at most this many cells.
 CELLS = 32
 SMALLEST_CELL = 8
-#: Code points of a span that starts an alignment anew after a difference; shorter ones in texts of less than 2 ** SEED.
-SEED = 12
+#: Code points of the spans that start an alignment anew after a difference, in long texts.
+SEED = 32
+#: Code points that are hashed at a time.
+PIECE = 1 << 18
+_MASK = np.uint64((1 << 31) - 1)
+
+
+def _reduced(x: np.ndarray, k: int) -> np.ndarray:
+    """x modulo the prime, in place: both primes are a little less than 2 ** 31, so high bits are folded onto the low ones."""
+    prime, less = np.uint64(PRIMES[k]), np.uint64((1 << 31) - PRIMES[k])
+    for _ in range(2):
+        high = x >> np.uint64(31)
+        high *= less
+        x &= _MASK
+        x += high
+    np.subtract(x, prime, out=x, where=x >= prime)
+    return x
 
 
 class _Powers:
     """Powers of a base, grown as needed."""
 
-    def __init__(self, base: int, prime: int):
-        self.base, self.prime, self.table = base, prime, np.ones(1, np.uint64)
+    def __init__(self, base: int, k: int):
+        self.base, self.k, self.table = base, k, np.ones(1, np.uint32)
 
     def upto(self, n: int) -> np.ndarray:
         while len(self.table) < n:
             m = len(self.table)
-            self.table = np.concatenate((self.table, self.table * np.uint64(pow(self.base, m, self.prime)) % np.uint64(self.prime)))
+            more = _reduced(self.table.astype(np.uint64) * np.uint64(pow(self.base, m, PRIMES[self.k])), self.k)
+            self.table = np.concatenate((self.table, more.astype(np.uint32)))
         return self.table[:n]
 
 
 @lru_cache(maxsize=None)
-def _powers(k: int) -> _Powers:
-    return _Powers(BASES[k], PRIMES[k])
+def _powers(k: int, inverse: bool = False) -> _Powers:
+    return _Powers(pow(BASES[k], -1, PRIMES[k]) if inverse else BASES[k], k)
 
 
 class PrefixHash:
-    """Prefix arrays of one text under both primes."""
+    """Prefix arrays of one text under both primes, four bytes a code point each."""
 
     def __init__(self, text: str | None):
-        points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-        self.n = len(points)
-        self.prefix = []
-        for k, p in enumerate(PRIMES):
-            terms = points * _powers(k).upto(self.n) % np.uint64(p)
-            self.prefix.append(np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms) % np.uint64(p))))
+        text = text or ""
+        self.n, self.parts, self._seeds = len(text), None, {}
+        self.prefix = [np.zeros(self.n + 1, np.uint32) for _ in PRIMES]
+        for at in range(0, self.n, PIECE):
+            points = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+            points += np.uint64(1)
+            end = at + len(points)
+            for k, own in enumerate(self.prefix):
+                terms = _reduced(points * _powers(k).upto(end)[at:], k)
+                np.cumsum(terms, out=terms)
+                terms += np.uint64(own[at])
+                own[at + 1 : end + 1] = _reduced(terms, k)
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         """Hash of the code points a to b - 1, the same wherever they stand."""
@@ -69,7 +91,7 @@ class PrefixHash:
     def same(self, a: int, other: PrefixHash, c: int, size: int) -> bool:
         """Whether span() agrees for size code points from a here and c there; moves one difference to the other's exponents."""
         for k, (x, y, p) in enumerate(zip(self.prefix, other.prefix, PRIMES, strict=True)):
-            u, v, shift = int(x[a + size]) - int(x[a]), int(y[c + size]) - int(y[c]), int(_powers(k).upto(abs(a - c) + 1)[-1])
+            u, v, shift = int(x[a + size]) - int(x[a]), int(y[c + size]) - int(y[c]), pow(BASES[k], abs(a - c), p)
             if ((u * shift - v) if a < c else (u - v * shift)) % p:
                 return False
         return True
@@ -93,13 +115,40 @@ class PrefixHash:
     def spliced(self, keep: int, other: PrefixHash, take: int) -> PrefixHash:
         """Of the first keep code points here and the first take there, without reading either again."""
         out = PrefixHash.__new__(PrefixHash)
-        out.n = keep + take
+        out.n, out.parts, out._seeds = keep + take, (self, keep, other, take), {}
         out.prefix = []
         for k, (x, y, p) in enumerate(zip(self.prefix, other.prefix, PRIMES, strict=True)):
-            shifted = (y[1 : take + 1] * np.uint64(pow(BASES[k], keep, p)) + x[keep]) % np.uint64(p)
-            out.prefix.append(np.concatenate((x[: keep + 1], shifted)))
+            shifted = y[1 : take + 1] * np.uint64(pow(BASES[k], keep, p))
+            shifted += np.uint64(x[keep])
+            out.prefix.append(np.concatenate((x[: keep + 1], _reduced(shifted, k).astype(np.uint32))))
         return out
 
+    def seeds(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the spans of that size that may start an alignment, the same spans in every text.
+
+        These are the ones whose hash (of the first prime, at exponent 0) is a multiple of an
+        eighth of the size. A spliced text has those of its two parts.
+        """
+        if size not in self._seeds:
+            if self.parts:
+                one, keep, two, take = self.parts
+                (p, x), (q, y) = one.seeds(size), two.seeds(size)
+                m, n = np.searchsorted(p, keep - size, "right"), np.searchsorted(q, take - size, "right")
+                self._seeds[size] = np.concatenate((p[:m], q[:n] + keep)), np.concatenate((x[:m], y[:n]))
+            else:
+                x, step, found = self.prefix[0], np.uint64(max(1, size // 8) - 1), []
+                for a in range(0, max(0, self.n - size + 1), PIECE):
+                    b = min(a + PIECE, self.n - size + 1)
+                    value = x[a + size : b + size] + np.uint64(PRIMES[0])
+                    value -= x[a:b]
+                    value *= _powers(0, True).upto(b)[a:]
+                    value = _reduced(value, 0)
+                    at = np.flatnonzero((value & step) == 0)
+                    found.append((at + a, value[at]))
+                none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+                self._seeds[size] = tuple(map(np.concatenate, zip(*found, strict=True))) if found else none
+        return self._seeds[size]
+
 
 def cell_of(n: int) -> int:
     """The smallest power of two, SMALLEST_CELL at least, that cuts n into CELLS cells at most."""
@@ -179,22 +228,13 @@ def _run(equal: np.ndarray) -> int:
     return low
 
 
-def _spans(h: PrefixHash, a: int, b: int, size: int, top: int) -> np.ndarray:
-    """Hashes of the spans of that size between a and b, both primes in one number, brought to the exponent top."""
-    at, out = np.arange(a, b - size + 1), np.zeros(b - size + 1 - a, np.uint64)
-    for k, (x, p) in enumerate(zip(h.prefix, PRIMES, strict=True)):
-        own = (x[at + size] + np.uint64(p) - x[at]) % np.uint64(p) * _powers(k).upto(top + 1)[top - at] % np.uint64(p)
-        out = (out << np.uint64(31)) | own
-    return out
-
-
-def _ranked(keys: np.ndarray) -> np.ndarray:
-    """How often each key occurs before its place."""
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts the keys, and for each in that order the key with how often it stood before."""
     order = np.argsort(keys, kind="stable")
-    first = np.flatnonzero(np.diff(keys[order], prepend=-1))
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
-    return out
+    own = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    rank = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+    return order, (own << np.uint64(32)) | rank.astype(np.uint64)
 
 
 def _rising(values: list[int]) -> list[int]:
@@ -215,34 +255,79 @@ def _rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _equal(h: PrefixHash, a: np.ndarray, g: PrefixHash, c: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Whether spans agree by the prime k: each difference is moved by the exponent of the other."""
+    x, y, p, power = h.prefix[k], g.prefix[k], np.uint64(PRIMES[k]), _powers(k).upto(max(h.n, g.n) + 1)
+    u, v = x[a + size] + p, y[c + size] + p
+    u -= x[a]
+    v -= y[c]
+    u *= power[c]
+    v *= power[a]
+    return _reduced(u, k) == _reduced(v, k)
+
+
+def _extensions(h: PrefixHash, i: np.ndarray, g: PrefixHash, j: np.ndarray, most: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Longest common extensions of many places at once, most at most, where back before them: binary searches side by side."""
+    at = lambda size: (h, i - back * size, g, j - back * size, size)
+    low, high = np.where(_equal(*at(most), 0), most, 0), most.copy()
+    high[low < most] -= 1
+    while (low < high).any():
+        mid = (low + high + 1) // 2
+        equal = _equal(*at(mid), 0)
+        low, high = np.where(equal, mid, low), np.where(equal, high, mid - 1)
+    for t in np.flatnonzero(~_equal(*at(low), 1)):  # the second prime disagrees: search again under both
+        own = h.extension_back(int(i[t]), g, int(j[t])) if back[t] else h.extension(int(i[t]), g, int(j[t]))
+        low[t] = min(own, most[t])
+    return low
+
+
 def _aligned(h: PrefixHash, a: int, b: int, g: PrefixHash, c: int, d: int) -> int:
     """Code points from a to b here and c to d there that equal spans pair, in the same order on both sides.
 
-    The r-th occurrence of a span here meets the r-th there; a longest chain of such meetings is
-    kept, and where its spans overlap, what is new on both sides counts.
+    The r-th occurrence of a seed here meets the r-th there; a longest chain of such meetings
+    is kept, and between its seeds the longest common extensions forward and back.
     """
     least = min(b - a, d - c)
     if least <= 0:
         return 0
-    size, top = min(SEED, least.bit_length()), max(b, d)
-    mine = _spans(h, a, b, size, top)
-    both = np.unique(np.concatenate((mine, _spans(g, c, d, size, top))), return_inverse=True)[1].astype(np.int64)
-    x, y = both[: len(mine)], both[len(mine) :]
-    wide = len(both) + 1
-    _, i, j = np.intersect1d(x * wide + _ranked(x), y * wide + _ranked(y), assume_unique=True, return_indices=True)
+    size = min(SEED, max(least.bit_length(), least // 32))
+    (p, x), (q, y) = h.seeds(size), g.seeds(size)
+    mine, theirs = slice(*np.searchsorted(p, (a, b - size + 1))), slice(*np.searchsorted(q, (c, d - size + 1)))
+    p, x, q, y = p[mine], x[mine], q[theirs], y[theirs]
+    if not len(p) or not len(q):
+        return 0
+    (p_order, x), (q_order, y) = _ranked(x), _ranked(y)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     if not len(i):
         return 0
+    i, j = p[p_order[i]], q[q_order[j]]
     order = np.argsort(i)
     i, j = i[order], j[order]
+    real = _equal(h, i, g, j, np.full(len(i), size), 1)
+    i, j = i[real], j[real]
     chain = _rising(j.tolist())
-    return size + int(np.minimum(np.minimum(np.diff(i[chain]), np.diff(j[chain])), size).sum())
+    if not chain:
+        return 0
+    i, j = i[chain], j[chain]
+    # gaps before the first seed, between neighbours and after the last: where they begin and end on both sides
+    ends = lambda v, first, last: (np.concatenate(([first], v + size)), np.concatenate((v, [last])))
+    (i0, i1), (j0, j1) = ends(i, a, b), ends(j, c, d)
+    room = np.minimum(i1 - i0, j1 - j0)
+    got = size * len(i) + int(np.minimum(room, 0).sum())
+    open_ = room > 0
+    i0, i1, j0, j1, room = i0[open_], i1[open_], j0[open_], j1[open_], room[open_]
+    if len(room):
+        n, back = len(room), np.repeat((False, True), len(room))
+        both = _extensions(h, np.concatenate((i0, i1)), g, np.concatenate((j0, j1)), np.concatenate((room, room)), back)
+        got += int(np.minimum(both[:n] + both[n:], room).sum())
+    return got
 
 
 def agreement(h: PrefixHash, g: PrefixHash) -> float:
     """Share of the longer text that agrees with the other in the same order, at whatever offset; 1 for equal texts, 0 if just one is empty.
 
     The longest common extensions from both ends are found by binary search; between them, the
-    alignment starts anew after each difference at spans that are equal.
+    alignment starts anew after each difference at spans that are equal, and extends from these.
     """
     n, m = h.n, g.n
     if not n or not m:
@@ -297,16 +382,15 @@ def _edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is that of the next doc_id, null ids first and equal ids by text; after the
-    last comes the first. Null texts count as empty; a single document follows itself; an empty
-    table gives an empty one. Documents move once, by ranges of doc_id; each range leaves two
-    documents, its edges, which are joined to those of the neighbouring range.
+    The next document is that of the next doc_id, null ids first and equal ids by a hash of the
+    text; after the last comes the first. Null texts count as empty; a single document follows
+    itself; an empty table gives an empty one. Documents move once, by ranges of doc_id and that
+    hash, so that rows of one id, or without one, are spread too; each range leaves two documents, its edges, which
+    are joined to those of the neighbouring range.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n = partitions(spark)
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = written(ranged.mapInPandas(_with_next, ROWS), "fingerprints")
+    rows = written(by_id(docs).mapInPandas(_with_next, ROWS), "fingerprints")
     parts = sorted(r["part"] for r in rows.where("edge = 'first'").select("part").collect())  # the non-empty ranges, n at most
     after = dict(zip(parts, parts[1:] + parts[:1], strict=True))
     done = rows.where("edge IS NULL").select(*_COLUMNS[:7])
