@@ -5,10 +5,11 @@ Consistent samples of them agree between two texts with the probability of their
 Jaccard similarity; bands of samples are bucket keys, and pairs from buckets are verified on
 the whole texts' weights. Links make classes as connected components.
 
-Document frequencies come from a count-min sketch over all documents, of fixed size. A shingle
-in at most one of RARE documents weighs 1 and the weight falls to DAMPED with the logarithm of
-the frequency: enough to prefer rare shingles, and little enough that a group of copies, whose
-shingles are frequent because of it, keeps its similarity.
+Document frequencies count texts of different words, so that exact copies weigh nothing, in a
+count-min sketch of fixed size over all documents. A shingle of one text weighs 1, and the
+weight falls with the logarithm of the frequency to LEAST_IDF for one that all texts have: a
+range wide enough to prefer what is rare, and narrow enough that a large group of near copies,
+whose common shingles are frequent because of the group, keeps its similarity.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reverie.llm.common import load, runs_of, small_batches, written
+from reverie.llm.common import boxed, load, runs_of, small_batches, word_key, written
 from reverie.llm.components import components
 
 SHINGLE = 5
@@ -32,7 +33,8 @@ ROWS = 4
 #: Sketch of document frequencies: rows and counters of a row.
 DEPTH, WIDTH = 2, 1 << 18
 CHUNK = 1 << 13
-RARE, DAMPED = 64, 0.8
+#: Inverse document frequency of a shingle that all texts have; 1 for that of a single text.
+LEAST_IDF = 0.8
 #: Sampling draws (r, c, beta) come from a table of this many, picked by a hash of shingle and draw.
 POOL = 1 << 14
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -44,8 +46,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles_of(texts) -> list[tuple[np.ndarray, int, int]]:
-    """For each text its shingles (32-bit hashes in order, repeats kept) and two hashes of its whole word sequence.
+def shingles_of(texts) -> list[np.ndarray]:
+    """For each text its shingles: 32-bit hashes in order, repeats kept.
 
     Words are lower-cased and split at ASCII white space. One to four words are one shingle; no
     words, none.
@@ -69,7 +71,7 @@ def shingles_of(texts) -> list[tuple[np.ndarray, int, int]]:
             full = full * _ODD + words[k : n - SHINGLE + 1 + k]
         full = (_mixed(full) >> np.uint64(32)).astype(np.uint32)
         place = np.arange(n, dtype=np.uint64) - np.repeat(bounds[:-1], np.diff(bounds)).astype(np.uint64)
-        one, two = _mixed(words + place * _ODD), _mixed((words ^ _ODD) + place * np.uint64(0xC2B2AE3D27D4EB4F))
+        one = _mixed(words + place * _ODD)
         out = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a >= SHINGLE:
@@ -78,7 +80,7 @@ def shingles_of(texts) -> list[tuple[np.ndarray, int, int]]:
                 own = (_mixed(np.array([np.bitwise_xor.reduce(one[a:b]) + np.uint64(b - a)])) >> np.uint64(32)).astype(np.uint32)
             else:
                 own = np.zeros(0, np.uint32)
-            out.append((own, int(one[a:b].sum(dtype=np.uint64).astype(np.int64)), int(two[a:b].sum(dtype=np.uint64).astype(np.int64))))
+            out.append(own)
     return out
 
 
@@ -90,15 +92,17 @@ def _counters(u: np.ndarray) -> tuple[np.ndarray, ...]:
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
-    table, docs = np.zeros((DEPTH, WIDTH), np.int64), 0
+    table, docs, seen = np.zeros((DEPTH, WIDTH), np.int64), 0, False
     for frame in frames:
         for run in runs_of(frame["text"]):
-            own = [np.unique(s[0]) for s in shingles_of(frame["text"].iloc[run])]
-            docs += len(own)
+            own = [np.unique(s) for s in shingles_of(frame["text"].iloc[run])]
+            times, seen = frame["times"].to_numpy(np.int64)[run], True
+            docs += int(times.sum())
+            weight = np.repeat(times.astype(float), [len(s) for s in own])
             for row, at in zip(table, _counters(np.concatenate(own)), strict=True):
-                row += np.bincount(at, minlength=WIDTH)
+                row += np.bincount(at, weight, WIDTH).astype(np.int64)
     flat = table.ravel()
-    if docs:
+    if seen:
         chunks = range(0, len(flat), CHUNK)
         yield pd.DataFrame({"part": TaskContext.get().partitionId(), "chunk": [i // CHUNK for i in chunks], "docs": docs, "counts": [flat[i : i + CHUNK].tobytes() for i in chunks]})
 
@@ -108,22 +112,22 @@ def _add(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "chunk": [int(frame["chunk"].iloc[0])], "docs": [int(frame["docs"].sum())], "counts": [total.tobytes()]})
 
 
-def weights_table(docs: DataFrame) -> np.ndarray:
-    """The shingle weights by sketch counter, from all docs: DEPTH * WIDTH floats, whatever the input.
+def weights_table(texts: DataFrame) -> np.ndarray:
+    """The shingle weights by sketch counter, from texts (text, times: how often it counts): DEPTH * WIDTH floats, whatever the input.
 
     Tasks' sketches are added 64 at a time until 64 are left, so that no group grows with the input.
     """
     schema = "part int, chunk int, docs long, counts binary"
-    parts = written(docs.select("text").mapInPandas(_count, schema), "sketch")
+    parts = written(texts.select("text", "times").mapInPandas(_count, schema), "sketch")
     while (parts.agg(F.max("part")).first()[0] or 0) >= 64:
         parts = written(parts.withColumn("part", (F.col("part") / 64).cast("int")).groupBy("part", "chunk").applyInPandas(_add, schema), "sketch")
     rows = parts.withColumn("part", F.lit(0)).groupBy("part", "chunk").applyInPandas(_add, schema).collect()  # DEPTH * WIDTH counters
     if not rows:
         return np.ones((DEPTH, WIDTH), np.float32)
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["chunk"])]).reshape(DEPTH, WIDTH)
-    n = rows[0]["docs"]
-    idf = np.log(n / np.clip(counts, 1, n)) / np.log(RARE)
-    return (DAMPED + (1 - DAMPED) * np.clip(idf, 0, 1)).astype(np.float32)
+    n = max(2, rows[0]["docs"])
+    idf = np.log(n / np.clip(counts, 1, n)) / np.log(n)
+    return (LEAST_IDF + (1 - LEAST_IDF) * idf).astype(np.float32)
 
 
 def weighted(shingles: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,20 +186,17 @@ def _sketch(frames: Iterator[pd.DataFrame], table: np.ndarray) -> Iterator[pd.Da
         for frame in frames:
             for run in runs_of(frame["text"]):
                 own = shingles_of(frame["text"].iloc[run])
-                keys = [band_keys(*weighted(s, table)).tolist() if len(s) else None for s, _, _ in own]
-                yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[run].to_numpy(), "one": [x[1] for x in own], "two": [x[2] for x in own], "keys": keys})
+                keys = [band_keys(*weighted(s, table)).tolist() for s in own]
+                yield pd.DataFrame({"one": frame["one"].iloc[run].to_numpy(), "two": frame["two"].iloc[run].to_numpy(), "keys": keys})
 
 
 def _vectors(frames: Iterator[pd.DataFrame], table: np.ndarray) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for run in runs_of(frame["text"]):
-            own = shingles_of(frame["text"].iloc[run])
-            f = frame.iloc[run]
-            same = [(x[1], x[2]) == (a, b) for x, a, b in zip(own, f["one"], f["two"], strict=True)]
-            kept = [x[0] for x, s in zip(own, same, strict=True) if s]
-            with np.errstate(over="ignore"):
-                total = [float(weighted(x, table)[1].sum()) for x in kept]
-            yield pd.DataFrame({"node": f["node"].to_numpy()[same], "vector": [np.sort(x).astype("<u4").tobytes() for x in kept], "total": total})
+    with np.errstate(over="ignore"):
+        for frame in frames:
+            for run in runs_of(frame["text"]):
+                own = shingles_of(frame["text"].iloc[run])
+                total = [float(weighted(x, table)[1].sum()) for x in own]
+                yield pd.DataFrame({"node": frame["node"].to_numpy()[run], "vector": [np.sort(x).astype("<u4").tobytes() for x in own], "total": total})
 
 
 def _verify(frames: Iterator[pd.DataFrame], table: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -309,43 +310,65 @@ def _links(members: DataFrame, vectors: DataFrame, table: np.ndarray, least: flo
     return found, parts
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """A row for each of docs (doc_id, text): doc_id, class_id, n_copies, n_links.
+def _classed(docs: DataFrame, least: float) -> DataFrame:
+    """A row for each of docs (doc_id, text): doc_id, class_id, n_copies, n_links, its text's word_key (one, two) and whether it stands for its class.
 
-    class_id is the least doc_id of those that are joined by links of at least that similarity, or
-    have the same words; n_copies counts the rows with just these words, n_links the other texts
-    they are linked to. Texts without words (null, empty) are classes of their own, and so are
-    rows without doc_id, whose class_id is null; rows that share a doc_id and differ in text are
-    judged by their texts. An empty table gives an empty one.
+    A node is a text: the least doc_id that has it, or a hash where that id has several texts.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = weights_table(docs)
-    sketched = written(docs.mapInPandas(partial(_sketch, table=table), "doc_id long, one long, two long, keys array<long>"), "sketches")
-    worded = sketched.where("keys IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(worded.groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies"), F.min("keys").alias("keys")), "classes", 4)
-    filed = classes.select("node", F.explode("keys").alias("key"))
+    one, two = word_key(F.col("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", one.alias("one"), two.alias("two"))
+    keyed = written(docs.select("doc_id", "one", "two"), "keys")
+    there = "one IS NOT NULL AND doc_id IS NOT NULL"
+    grouped = keyed.where(there).groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_copies"))
+    place = F.row_number().over(W.partitionBy("first").orderBy("one", "two"))
+    classes = written(grouped.withColumn("node", F.when(place == 1, F.col("first")).otherwise(F.xxhash64("one", "two", "first"))), "classes", 4)
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """nodes of classes (first, one, two, ...) with their text."""
+        same = (docs["doc_id"] == nodes["first"]) & (docs["one"] == nodes["one"]) & (docs["two"] == nodes["two"])
+        return docs.join(nodes, same).select("text", *[nodes[c] for c in nodes.columns]).dropDuplicates(["one", "two"])
+
+    repeated = texts_of(classes.where("n_copies > 1").select("first", "one", "two", (1 - F.col("n_copies")).alias("times")))
+    table = weights_table(docs.where(there).select("text", F.lit(1).cast("long").alias("times")).union(repeated.select("text", "times")))
+    sketched = docs.where(there).select("one", "two", "text").mapInPandas(partial(_sketch, table=table), "one long, two long, keys array<long>")
+    filed = written(sketched.dropDuplicates(["one", "two"]).join(classes, ["one", "two"]).select("node", F.explode("keys").alias("key")), "bands", 4)
     shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = written(filed.join(shared, "key", "left_semi").distinct(), "members", 8)
-    wanted = classes.select("node", "one", "two").join(members.select("node").distinct(), "node", "left_semi")
-    vectors = docs.join(wanted, docs["doc_id"] == wanted["node"]).select("node", "one", "two", "text").mapInPandas(partial(_vectors, table=table), "node long, vector binary, total double")
-    vectors = written(vectors.dropDuplicates(["node"]), "vectors")
+    wanted = classes.select("node", "first", "one", "two").join(members.select("node").distinct(), "node", "left_semi")
+    vectors = written(texts_of(wanted).select("node", "text").mapInPandas(partial(_vectors, table=table), "node long, vector binary, total double"), "vectors")
     links, parts = _links(members, vectors, table, least)
-    known = classes.select("one", "two", "node", "n_copies")
     if links is None:
-        known = known.withColumn("class_id", F.col("node")).withColumn("n_links", F.lit(0).cast("long"))
+        known = classes.select("one", "two", "n_copies", F.lit(0).cast("long").alias("n_links"), F.struct("first", "one", "two").alias("stands"))
     else:
         ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-        known = known.join(parts, "node", "left").join(ends, "node", "left").select("one", "two", "n_copies", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    judged = worded.select("doc_id", "one", "two").join(known, ["one", "two"]).select("doc_id", "class_id", "n_copies", "n_links")
-    alone = sketched.where("keys IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+        joined = classes.join(parts.join(ends, "node", "left"), "node", "left")
+        stands = joined.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("first", "one", "two")).alias("stands"))
+        known = joined.join(stands, "component", "left").select("one", "two", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("stands", F.struct("first", "one", "two")).alias("stands"))
+    kept = (F.col("doc_id") == F.col("stands.first")) & (F.col("one") == F.col("stands.one")) & (F.col("two") == F.col("stands.two"))
+    judged = keyed.where(there).join(known, ["one", "two"]).select("doc_id", F.col("stands.first").alias("class_id"), "n_copies", "n_links", "one", "two", kept.alias("kept"))
+    alone = keyed.where(f"NOT ({there})").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), "one", "two", F.lit(True).alias("kept"))
     return judged.unionByName(alone)
 
 
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """A row for each of docs (doc_id, text): doc_id, class_id, n_copies, n_links.
+
+    class_id is the least doc_id of those that are joined by links of at least that similarity, or
+    have the same words; n_copies counts the rows with just these words, n_links the other texts
+    they are linked to. Texts without words (null, empty) are classes of their own, and so are
+    rows without doc_id, whose class_id is null; rows that share a doc_id and differ in text are
+    judged by their texts. An empty table gives an empty one.
+    """
+    return _classed(docs, least).select("doc_id", "class_id", "n_copies", "n_links")
+
+
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """docs less all rows of a class but those with its class_id; rows without doc_id stay."""
-    gone = near_duplicates(docs, least).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs less the rows of each class but those that have its least doc_id and that one's text; rows without doc_id or words stay."""
+    gone = _classed(docs, least).where("NOT kept").select(F.col("doc_id").alias("gone"), "one", "two").distinct()
+    one, two = word_key(F.col("text"))
+    own = boxed(docs, F.col("doc_id").cast("long").alias("gone"), one.alias("one"), two.alias("two"))
+    return own.join(gone, ["gone", "one", "two"], "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
