@@ -1,8 +1,11 @@
 """URL filter: pattern rules indexed by their rarest literal token (DataFrame functions only).
 
-A rule is a regular expression with literal tokens that every URL it fits must contain.
-The tokens are counted over all URLs and each rule is filed under its rarest one; a URL's
-own tokens fetch candidate rules, and only those run their expressions.
+A rule is a regular expression with literal tokens that every URL it fits must contain; they
+are derived from the rule's text. The tokens are counted over all URLs and each rule is filed under its rarest
+one; a URL's own tokens fetch candidate rules, and only those run their expressions.
+
+pattern_rule reads the usual filter syntax: `||host` fits a host and its subdomains, `|` at either
+end anchors, `*` stands for anything, `^` for a separator or the end, and `@@` marks an exception.
 """
 
 from __future__ import annotations
@@ -10,13 +13,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reverie.llm.common import lower_ascii
+from reverie.llm.common import boxed, lower_ascii
 
-#: Rules up to this number travel as a literal map inside the plan; larger sets are joined.
-LITERAL_RULES = 2_000
+#: Tiers: a rule of a higher one wins.
+BLOCKS, EXCEPTIONS, CONTRACT = 0, 1, 2
 
 
 @dataclass(frozen=True)
@@ -37,12 +40,30 @@ def host_path_rule(rule: str, verdict: str) -> UrlRule:
     inner = [t for t in re.split("[^A-Za-z0-9]+", shown) if t]
     if path and path[-1].isalnum():
         inner = inner[:-1]  # the last word may go on in the URL
-    return UrlRule(shown, f"^(?:[^/]*\\.)?{re.escape(host)}{re.escape(slash + path)}", verdict, tuple(inner), 1, len(shown))
+    return UrlRule(shown, f"^(?:[^/]*\\.)?{re.escape(host)}{re.escape(slash + path)}", verdict, tuple(inner), CONTRACT, len(shown))
 
 
 def host_word_rule(word: str, verdict: str = "block") -> UrlRule:
     """A word of a host, between dots or hyphens."""
-    return UrlRule(f"word:{word}", f"^(?:[^/]*[.-])?{re.escape(word)}[.-]", verdict, (word,), 0, len(word))
+    return UrlRule(f"word:{word}", f"^(?:[^/]*[.-])?{re.escape(word)}[.-]", verdict, (word,), BLOCKS, len(word))
+
+
+def pattern_rule(line: str) -> UrlRule:
+    """A rule in filter syntax; it reads host and path, without the scheme, and tells letters' case apart in the path.
+
+    A run of letters and digits is a literal token if what stands on both its sides in the rule
+    can't continue it in a URL: another literal, a separator or an anchor.
+    """
+    body = line.removeprefix("@@")
+    host, start = body.startswith("||"), body.startswith("|")
+    inner = body[2 if host else 1 if start else 0 :]
+    end = inner.endswith("|")
+    inner = inner[:-1] if end else inner
+    part = {"*": ".*", "^": "(?:[^A-Za-z0-9_.%-]|$)"}
+    regex = ("^(?:[^/]*\\.)?" if host else "^" if start else "") + "".join(part.get(c) or re.escape(c) for c in inner) + ("$" if end else "")
+    tokens = [t[0] for t in re.finditer("[A-Za-z0-9]+", inner) if (inner[t.start() - 1] != "*" if t.start() else start) and (inner[t.end()] != "*" if t.end() < len(inner) else end)]
+    verdict, tier = ("allow", EXCEPTIONS) if line.startswith("@@") else ("block", BLOCKS)
+    return UrlRule(line, regex, verdict, tuple(dict.fromkeys(tokens)), tier, len(inner))
 
 
 # The words of a host that the method blocks.
@@ -70,65 +91,40 @@ def tokens_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, "[^A-Za-z0-9]+"), lambda t: t != ""))
 
 
-def _rule_struct(r: UrlRule) -> Column:
-    return F.struct(F.lit(r.tier).alias("tier"), F.lit(r.length).alias("len"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.regex).alias("regex"))
-
+RULE = "name string, tier int, len int, verdict string, regex string, tokens array<string>"
 
-def rarest_tokens(urls: DataFrame, address: Column, rules: tuple[UrlRule, ...]) -> dict[str, str]:
-    """For each rule's name its token that the fewest URLs hold; the counts cover all rows, the result is as large as the rule set."""
-    wanted = sorted({t for r in rules for t in r.tokens})
-    if not wanted:
-        return {}
-    known = F.array(*[F.lit(t) for t in wanted])
-    counted = urls.select(F.explode(F.array_intersect(tokens_of(address), known)).alias("token")).groupBy("token").count()
-    seen = {r["token"]: r["count"] for r in counted.collect()}
-    return {r.name: min(r.tokens, key=lambda t: (seen.get(t, 0), t)) for r in rules if r.tokens}
 
+def filed_rules(spark: SparkSession, tokens: DataFrame, rules: tuple[UrlRule, ...]) -> DataFrame:
+    """The rules (RULE) with `token`: of each its token that the fewest URLs hold, ties to the first, '' if it has none.
 
-def _index(rules: tuple[UrlRule, ...], rarest: dict[str, str]) -> dict[str, list[UrlRule]]:
-    index: dict[str, list[UrlRule]] = {}
-    for r in rules:
-        index.setdefault(rarest.get(r.name, ""), []).append(r)
-    return index
+    tokens has a row for each token of each URL; the counts cover all of them.
+    """
+    table = spark.createDataFrame([(r.name, r.tier, r.length, r.verdict, r.regex, list(r.tokens)) for r in rules], RULE)
+    wanted = table.select(F.explode("tokens").alias("token")).distinct()
+    counts = tokens.join(wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("urls"))
+    owned = table.select("name", F.explode("tokens").alias("token")).join(counts, "token", "left")
+    rarest = owned.groupBy("name").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token")).alias("rarest"))
+    return table.join(rarest, "name", "left").select(*table.columns, F.coalesce("rarest.token", F.lit("")).alias("token"))
 
 
-def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...], url_col: str = "url", default: str = "allow", literal_rules: int = LITERAL_RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...], url_col: str = "url", default: str = "allow") -> DataFrame:
     """pages with `host`, `path`, `best` (the winning rule's tier, len, name, verdict; null if none fits) and `verdict`.
 
-    Null URLs and URLs without `://` have an empty host and path and get the default unless a
-    rule without tokens fits. An empty table gives an empty table; repeated rows are judged alike.
-    Columns named host, path, best or verdict are replaced.
+    Rules have names of their own; of those that fit, the highest tier wins, then the longest,
+    then the last name. Null URLs and URLs without `://` have an empty host and path and get the
+    default unless a rule without tokens fits. An empty table gives an empty table; repeated rows
+    are judged alike. Columns named host, path, best or verdict are replaced.
     """
     host, path = url_parts(F.col(url_col))
-    pages = pages.withColumns({"host": host, "path": path})
-    address = F.concat("host", "path")
-    index = _index(rules, rarest_tokens(pages, address, rules))
-    kept = lambda c: F.struct(c["tier"].alias("tier"), c["len"].alias("len"), c["name"].alias("name"), c["verdict"].alias("verdict"))
-    if len(rules) <= literal_rules:
-        if not rules:
-            best = F.lit(None).cast("struct<tier:int,len:int,name:string,verdict:string>")
-        else:
-            table = F.create_map(*[x for token, own in index.items() for x in (F.lit(token), F.array(*[_rule_struct(r) for r in own]))])
-            keys = F.array_append(tokens_of(address), F.lit(""))
-            found = F.flatten(F.filter(F.transform(keys, lambda t: F.try_element_at(table, t)), lambda a: a.isNotNull()))
-            best = F.array_max(F.transform(F.filter(found, lambda c: F.regexp_like(F.concat("host", "path"), c["regex"])), kept))
-        judged = pages.withColumn("best", best)
-    else:
-        spark = pages.sparkSession
-        rows = [(token, r.tier, r.length, r.name, r.verdict, r.regex) for token, own in index.items() for r in own]
-        filed = spark.createDataFrame(rows, "token string, tier int, len int, name string, verdict string, regex string")
-        urls = pages.select(F.col("host").alias("_h"), F.col("path").alias("_p")).distinct()
-        whole = F.concat("_h", "_p")
-        hits = (
-            urls.select("_h", "_p", F.explode(F.array_append(tokens_of(whole), F.lit(""))).alias("token"))
-            .join(filed, "token")
-            .where(F.regexp_like(whole, F.col("regex")))
-            .groupBy("_h", "_p")
-            .agg(F.max(F.struct("tier", "len", "name", "verdict")).alias("_best"))
-        )
-        plain = pages.drop("best")
-        judged = plain.join(hits, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left").withColumn("best", F.col("_best")).drop("_h", "_p", "_best")
-    return judged.withColumn("verdict", F.coalesce(F.col("best.verdict"), F.lit(default)))
+    own = boxed(pages, host.alias("host"), path.alias("path"))
+    addresses = own.select("host", "path").distinct().withColumn("address", F.concat("host", "path"))
+    tokens = addresses.select("host", "path", "address", F.explode(F.array_append(tokens_of(F.col("address")), F.lit(""))).alias("token"))
+    filed = filed_rules(pages.sparkSession, tokens.select("token"), rules)
+    fits = tokens.join(filed, "token").where(F.regexp_like("address", F.col("regex")))
+    hits = fits.groupBy("host", "path").agg(F.max(F.struct("tier", "len", "name", "verdict")).alias("best"))
+    judged = own.join(hits, ["host", "path"], "left")
+    kept = [F.col("row").getField(c).alias(c) for c in pages.columns if c not in ("host", "path", "best", "verdict")]
+    return judged.select(*kept, "host", "path", "best", F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -136,7 +132,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     judged = judge_urls(pages, CONTRACT_RULES + METHOD_RULES)
-    rule = F.when(F.col("best.tier") == 1, F.col("best.name"))
+    rule = F.when(F.col("best.tier") == CONTRACT, F.col("best.name"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), "verdict")
 
 
