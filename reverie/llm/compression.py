@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reverie.llm.common import fold_of, load, small_batches, written
@@ -25,6 +26,8 @@ FOLDS = 5
 SAMPLE_ROWS = 1_500
 #: Longer texts are not in the sample (they are scored whole like all others).
 SAMPLE_CHARS = 50_000
+#: UTF-8 bytes of the texts of a class and use, at most; four times this is what the driver holds.
+SAMPLE_BYTES = 16 << 20
 DICTIONARY_BYTES = 256 << 10
 BLOCK = 256
 SHORT_BYTES = 50
@@ -44,8 +47,9 @@ def _dictionary(texts: list[bytes]) -> bytes:
     blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, blocks).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on: their bytes themselves
-        return b"".join(texts)[:DICTIONARY_BYTES]
+    except zstandard.ZstdError:  # too few samples to train on: their blocks themselves, evenly from all texts where they are too many
+        step = max(1, -(-sum(map(len, blocks)) // DICTIONARY_BYTES))
+        return b"".join(blocks[::step])
 
 
 @lru_cache(maxsize=8)
@@ -84,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     """Learns from labelled docs of the folds 1 to FOLDS - 1: two of them build dictionaries, the others calibrate.
 
     The labels are the first of each class and use by a hash of doc_id, sample_rows at most, and
-    only their texts come to the driver. A doc_id labelled twice counts once, with its lowest
+    only their texts come to the driver, the first of them whose bytes together are within SAMPLE_BYTES. A doc_id labelled twice counts once, with its lowest
     quality; of texts that share a doc_id the least stands for them.
     """
     fold = fold_of(F.col("doc_id"), FOLDS)
@@ -94,7 +98,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     picked = F.broadcast(reduce(DataFrame.union, picks))  # 4 * sample_rows rows at most
     texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= sample_chars)).select("doc_id", "text").join(picked, "doc_id")
     rows: dict[tuple[int, bool], list[bytes]] = {(q, b): [] for q in (0, 1) for b in (True, False)}
-    for r in sorted(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"), F.min("builds").alias("builds")).collect(), key=lambda r: r["doc_id"]):
+    single = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"), F.min("builds").alias("builds"))
+    running = F.sum(F.octet_length("text")).over(W.partitionBy("quality", "builds").orderBy(F.xxhash64("doc_id"), "doc_id"))  # 4 * sample_rows rows at most
+    for r in sorted(single.withColumn("bytes", running).where(F.col("bytes") <= SAMPLE_BYTES).collect(), key=lambda r: r["doc_id"]):
         rows[r["quality"], r["builds"]].append(r["text"].encode("utf-8", "replace"))
     if not (rows[0, True] or rows[0, False]) or not (rows[1, True] or rows[1, False]):
         share = 1.0 if rows[1, True] or rows[1, False] else 0.0 if rows[0, True] or rows[0, False] else 0.5

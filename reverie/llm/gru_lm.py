@@ -274,7 +274,7 @@ def score_numbered(rows: DataFrame, language: Language, counts: DataFrame) -> Da
     scored = rows.where("ids IS NOT NULL").select(*columns, "ids").mapInArrow(partial(_score, weights=language.weights), kept)
     rare = rows.where("word IS NOT NULL").select("row", "word", "tf").join(counts, "word")
     more = rare.groupBy("row").agg(F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("more"))
-    whole = written(scored, "scores", 2).join(more, "row", "left")
+    whole = written(scored, "scores").join(more, "row", "left")
     extra, known = F.coalesce("more", F.lit(0.0)), F.coalesce("more_known", F.lit(0))
     return whole.select("doc_id", "role", "n_tokens", (F.col("n_known") + known).alias("n_known"), (F.col("base") + extra).alias("base_score"), (F.col("model") + extra).alias("score"))
 

@@ -27,10 +27,11 @@ SEARCHED = "query_code long, code long, distance int"
 
 
 def sign_codes(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, code: bit i is set where element i is above 0; missing elements and null vectors have no bits. Elements beyond 64 are not read."""
+    """id, code: bit i is set where element i is above 0; missing elements and null vectors have no bits. A vector of more than 64 elements is an error: it does not fit a code."""
     bit = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-    bits = F.transform(F.slice(vector_col, 1, BITS), bit)
-    code = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    bits = F.transform(vector_col, bit)
+    wide = F.raise_error(F.concat(F.lit("a vector has more than 64 elements: "), F.size(vector_col).cast("string"))).cast("long")
+    code = F.when(F.size(vector_col) > BITS, wide).otherwise(F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
     return table.select(F.col(id_col).cast("long").alias("id"), F.coalesce(code, F.lit(0).cast("long")).alias("code"))
 
 

@@ -4,9 +4,11 @@ import collections
 import hashlib
 import os
 import random
+import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,8 @@ def test_hamming(spark):
 def test_sign_codes(spark):
     table = spark.createDataFrame([(1, [0.5, -1.0, None, 2.0]), (2, None), (3, [])], "id long, v array<double>")
     assert [tuple(r) for r in hamming.sign_codes(table, "id", "v").orderBy("id").collect()] == [(1, 9), (2, 0), (3, 0)]
+    with pytest.raises(Exception, match="more than 64"):
+        hamming.sign_codes(spark.createDataFrame([(1, [1.0] * 65)], "id long, v array<double>"), "id", "v").collect()
 
 
 def test_quality(spark, docs, none):
@@ -79,6 +83,18 @@ def test_quality(spark, docs, none):
     assert [r.predicted for r in compression.score_quality(docs.limit(1), compression.train(texts, labels.where("quality = 1"))).collect()] == [1]
 
 
+def test_quality_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(compression, "SAMPLE_BYTES", 5_000)
+    held, plain = [], compression.features
+    monkeypatch.setattr(compression, "features", lambda t, good, bad: held.append(len(t.encode())) or plain(t, good, bad))
+    texts = spark.createDataFrame([(i, f"é{i} " * 100) for i in range(200)], "doc_id long, text string")
+    compression.train(texts, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int"))
+    assert 0 < sum(held) <= 2 * 5_000  # what calibrates, of two classes
+    many = [bytes([i % 250]) * 400 for i in range(2_000)]
+    data = compression._dictionary([b"x", b"y"]), compression._dictionary(many)
+    assert data[0] == b"xy" and 0 < len(data[1]) <= compression.DICTIONARY_BYTES
+
+
 def brute_chunks(lines):
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
     out, start = [], 0
@@ -135,11 +151,31 @@ def test_token_files(spark, docs, none, tmp_path):
 
 
 def test_shard_access():
-    ids = np.random.default_rng(0).choice([3, 255, 256, 65_535, 65_536, 1 << 31], 5_000).astype("<u4")
-    shard = token_codes.Shard(token_codes.encode_shard(ids, [None, 4], np.array([0, 9, len(ids)])))
-    at = np.random.default_rng(1).integers(0, len(ids), 40)
-    assert (shard.all() == ids).all() and (shard.get(at) == ids[at]).all() and (shard.get(np.arange(len(ids))) == ids).all()
-    assert shard.doc_ids == [None, 4]
+    ids = np.random.default_rng(0).choice([3, 255, 256, 65_535, 65_536, 1 << 31], 200_000).astype("<u4")
+    data = token_codes.encode_shard(ids, [None, 4], np.array([0, 9, len(ids)]))
+    shard = token_codes.Shard.of(data)
+    assert (shard.all() == ids).all() and shard.documents()[0] == [None, 4] and shard.documents()[1].tolist() == [0, 9, len(ids)]
+    took = []
+    shard.read = lambda at, size: took.append(size) or data[at : at + size]
+    for at in np.random.default_rng(1).integers(0, len(ids), 400):
+        took.clear()
+        assert shard.get(int(at)) == ids[at]
+        # a code byte, a block of the bitmap and a directory entry a level, of a shard of half a megabyte
+        assert sum(took) <= token_codes.LEVELS * (1 + token_codes.RANK_BLOCK // 8 + 4)
+    with pytest.raises(IndexError):
+        shard.get(len(ids))
+
+
+def test_one_access_reads_a_few_bytes_of_a_file(spark, docs, tmp_path, monkeypatch):
+    path, took = f"file://{tmp_path}/t", []
+    token_codes.write_token_files(docs, path, common.word_bpe_path())
+    files = [r for r in spark.read.parquet(f"{path}/manifest").collect()]
+    assert {r.file.rpartition("/")[2] for r in files} == {f for f in os.listdir(tmp_path / "t") if f.endswith(".dac")}
+    plain = token_codes._Files.bytes_of
+    monkeypatch.setattr(token_codes._Files, "bytes_of", lambda self, file, at, size: took.append(size) or plain(self, file, at, size))
+    big = max(files, key=lambda r: r.size)
+    (frame,) = token_codes._tokens_at(iter([pd.DataFrame({"base": [0], "file": [big.file], "at": [big["at"]], "position": [big.n_tokens - 2]})]))
+    assert len(frame) == 1 and sum(took) < 400 < 100_000 < big.size
 
 
 @pytest.mark.parametrize("text", ["a<|endoftext|>b <|ENDOFTEXT|> I'LL 's it's... &&&. Á é,\x1c\x85 İ. ΣΑΣ. '. .'s", "word.' c'.d é. ß! 10. 3.14.", " \n\x0b", "x" * 3000])
@@ -188,14 +224,49 @@ def test_mix_meets_targets(spark):
     assert all(abs(taken[s] - t) < 0.001 * t + 50 for s, t in target.items())
 
 
+def dense_rates(sizes, target, cap, base=1.0):
+    """Rates min(cap, base * exp(l * size)) that meet the target, by bisection."""
+    sizes = np.asarray(sizes, float)
+    rate = lambda lam: np.minimum(cap, base * np.exp(np.clip(lam * sizes, -700, 700)))
+    low, high = -50.0, 50.0
+    for _ in range(300):
+        lam = (low + high) / 2
+        low, high = (lam, high) if (rate(lam) * sizes).sum() < target else (low, lam)
+    return rate(low)
+
+
+@pytest.mark.parametrize("share, cap", [(1.5, 2), (0.4, 2), (60.0, 500), (0.02, 3)])
+def test_rates_are_the_dense_solution(spark, share, cap):
+    rng = random.Random(6)
+    rows = [(i, f"s{i % 3}", 0 if i % 50 == 0 else rng.randint(1, 30) ** (1 + i % 3)) for i in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = mixing.copies_to_targets(table, share=share, cap=cap).toPandas()
+    for _, own in got.groupby("source"):
+        target, positive = own["target"].iloc[0], own[own["size"] > 0]
+        assert (positive["rate"] * positive["size"]).sum() == pytest.approx(target, rel=1e-6)
+        if target < cap * own["source_size"].iloc[0] * (1 - 1e-9):
+            assert np.allclose(positive["rate"], dense_rates(positive["size"], target, cap), rtol=1e-4, atol=1e-9)
+            assert positive["rate"].nunique() > 10  # tilted by document
+        assert abs((own["copies"] * own["size"]).sum() - target) < 0.01 * target + 30
+
+
+def test_base_rates_tilt_too(spark):
+    table = spark.createDataFrame([(i, "a", 10 + i % 7, 1.5 if i % 2 else 0.5) for i in range(200)] + [(500, "b", 900, 1.0)], "doc_id long, source string, size long, base double")
+    got = mixing.copies_to_targets(table, share=1.0, weights=(1,), cap=3).where("source = 'a'").toPandas()
+    base = np.where(got["doc_id"] % 2, 1.5, 0.5)
+    assert np.allclose(got["rate"], dense_rates(got["size"], got["target"].iloc[0], 3, base), rtol=1e-4)
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.NET/en/x?y", "https://example.net", "x://net/", "y://b.org/fr/", "z://org/fr/#f", "https://example.com/de/1", "q://notexample.com/de/1", "http://cheap-pills.example.com/a", "spam.com/x", None, "", "://", "h://u/é\n/a", "x://a.net/en/", "x://a.net?q=/", "https://m.ads-track.io", "HTTP://EXAMPLE.NET/EN/"]
     pages = spark.createDataFrame([(i, u, "h", "p", 1) for i, u in enumerate(urls)] + [(3, urls[3], "h", "p", 2)], "page_id long, url string, host string, verdict string, best int")
     rules = url_rules.CONTRACT_RULES + url_rules.METHOD_RULES
     few = url_rules.judge_urls(pages, rules).select("page_id", "host", "path", F.col("best.name"), "verdict")
-    many = url_rules.judge_urls(pages, rules, literal_rules=0).select("page_id", "host", "path", F.col("best.name"), "verdict")
     got = sorted(map(tuple, few.collect()))
-    assert got == sorted(map(tuple, many.collect())) and len(got) == len(urls) + 1
+    assert len(got) == len(urls) + 1
+    odd = pages.select("page_id", "url", *[F.lit(i).alias(c) for i, c in enumerate(("_h", "_p", "_best", "row", "token", "address", "regex"))])
+    again = url_rules.judge_urls(odd, rules)
+    assert sorted(map(tuple, again.select("page_id", "host", "path", F.col("best.name"), "verdict").collect())) == got and again.columns[2:9] == odd.columns[2:]
     by = {r[0]: r[1:] for r in got}
     assert by[0] == ("a.example.net", "/en/x", "example.net/en/", "allow") and by[1] == ("example.net", "", None, "allow")
     assert by[2][2:] == ("net/", "block") and by[3][2:] == by[4][2:] == ("org/fr/", "allow") and by[5][2:] == ("example.com/de/", "block")
@@ -203,6 +274,41 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(pages.where("false"), rules).count() == 0 and url_rules.judge_urls(pages, ()).count() == len(urls) + 1
 
 
+def test_thousands_of_pattern_rules_by_their_rarest_token(spark):
+    rng = random.Random(13)
+    words = ["com", "net", "img", "ads", "track", *(f"w{i}" for i in range(300))]
+    pick = lambda: words[min(len(words) - 1, int(rng.expovariate(0.1)))]
+    lines = set()
+    while len(lines) < 3000:
+        lines.add(rng.choice([lambda: f"||{pick()}{rng.randint(0, 40)}.{pick()}^", lambda: f"/{pick()}/*/{pick()}{rng.randint(0, 90)}.", lambda: f"@@||{pick()}.{pick()}/{pick()}/", lambda: f"-{pick()}^{pick()}*", lambda: f"|{pick()}.{pick()}/{pick()}|"])())
+    rules = tuple(map(url_rules.pattern_rule, sorted(lines)))
+    urls = [f"https://{pick()}{rng.choice(['', '', rng.randint(0, 40)])}.{pick()}/{pick()}/{pick()}/{pick()}{rng.randint(0, 90)}.{rng.choice(['gif', 'html'])}" for _ in range(600)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_rules.judge_urls(pages, rules).collect()}
+    fitted, compiled = 0, [re.compile(r.regex) for r in rules]
+    for i, u in enumerate(urls):
+        address = u.removeprefix("https://")
+        fits = [(r.tier, r.length, r.name, r.verdict) for r, x in zip(rules, compiled, strict=True) if x.search(address)]
+        fitted += len(fits)
+        assert (tuple(got[i].best) if got[i].best else None) == (max(fits) if fits else None)
+    assert fitted > 30
+    host, path = url_rules.url_parts(F.col("url"))
+    tokens = pages.select(F.explode(url_rules.tokens_of(F.concat(host, path))).alias("token"))
+    filed = {r.name: r.token for r in url_rules.filed_rules(spark, tokens, rules).collect()}
+    held = collections.Counter(t for u in urls for t in set(re.findall("[A-Za-z0-9]+", u.removeprefix("https://"))))
+    assert len(filed) == 3000 and all(filed[r.name] == min(r.tokens, key=lambda t: (held[t], t)) for r in rules if r.tokens)
+    assert any(held[filed[r.name]] < max(held[t] for t in r.tokens) for r in rules if r.tokens)
+
+
+def test_pattern_rules_derive_their_literals():
+    rule = url_rules.pattern_rule
+    assert rule("||ads.example.com^*/banner/").tokens == ("ads", "example", "com", "banner") and rule("ad*").tokens == () and rule("*x.y*").tokens == ()
+    assert rule("@@||a.b/c|").tokens == ("a", "b", "c") and rule("@@||a.b/c|").verdict == "allow" and rule("|a.b").tokens == ("a",)
+    fits = lambda line, address: bool(re.search(rule(line).regex, address))
+    assert fits("||b.com^", "a.b.com/x") and fits("||b.com^", "b.com") and not fits("||b.com^", "ab.com/") and not fits("||b.com^", "b.com.net/")
+    assert fits("/x/*.gif|", "h/x/y.gif") and not fits("/x/*.gif|", "h/x/y.gif/z") and fits("|b.", "b.com") and not fits("|b.", "a.b.com")
+
+
 def test_packing(spark, docs, none):
     got = packing.pack(docs, common.word_bpe_path(), 512).collect()
     sequences, own = collections.defaultdict(list), collections.defaultdict(list)
@@ -237,6 +343,69 @@ def near(one, two):
     return sum((grams[0] & grams[1]).values()) / sum((grams[0] | grams[1]).values())
 
 
+def idf_of(texts):
+    """The operator's weight of each shingle, from distinct texts."""
+    grams = lambda t: [tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))]
+    distinct = {" ".join(t.lower().split()) for t in texts}
+    df = collections.Counter(g for t in distinct for g in set(grams(t)))
+    low = weighted_minhash.LEAST_IDF
+    return grams, {g: low + (1 - low) * np.log(len(distinct) / n) / np.log(len(distinct)) for g, n in df.items()}
+
+
+def test_weights_of_shingles_decide(spark):
+    """Classes by brute force over all pairs with TF-IDF weights, which here differ from those without."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    common_part, texts = [word() for _ in range(80)], []
+    for _ in range(120):
+        texts.append(" ".join(common_part + [word() for _ in range(rng.randint(14, 26))]))
+    for i in range(60):
+        own = [word() for _ in range(100)]
+        texts.append(" ".join(own))
+        for k in range(2):
+            edited = list(own)
+            for at in rng.sample(range(100), rng.randint(1, 5)):
+                edited[at] = f"new{i}x{k}x{at}"
+            texts.append(" ".join(edited))
+    grams, idf = idf_of(texts)
+    weight = [collections.Counter() for _ in texts]
+    for i, t in enumerate(texts):
+        for g in grams(t):
+            weight[i][g] += idf[g]
+    plain = [collections.Counter(grams(t)) for t in texts]
+    jaccard = lambda x, y: sum((x & y).values()) / sum((x | y).values())
+    pairs, unweighted = set(), set()
+    for i in range(len(texts)):
+        for j in range(i):
+            if plain[i].keys() & plain[j].keys():
+                if jaccard(weight[i], weight[j]) >= 0.8:
+                    pairs.add((j, i))
+                if jaccard(plain[i], plain[j]) >= 0.8:
+                    unweighted.add((j, i))
+    assert len(unweighted - pairs) > 20  # without the weights other pairs would pass
+    table = spark.createDataFrame([*enumerate(texts)] + [(1000 + k, texts[130]) for k in range(40)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(table).collect()}
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for j, i in sorted(pairs):
+        parent[max(root(i), root(j))] = min(root(i), root(j))
+    wrong = [i for i in range(len(texts)) if got[i] != root(i)]
+    assert len(wrong) <= 0.02 * len(texts), wrong  # bands find a pair at 0.8 with 99.8 %
+    assert all(got[1000 + k] == got[130] for k in range(40))
+
+
+def test_keep_one_loses_no_text(spark):
+    a, b = P1, "entirely other words stand in this one text that nobody else has at all"
+    table = spark.createDataFrame([(3, a, 1), (7, a, 2), (7, b, 3), (7, b, 3), (None, a, 4), (9, "", 5), (9, None, 6), (11, b + " more", 7)], "doc_id long, text string, one int")
+    kept = sorted((r.doc_id or 0, r.text or "", r.one) for r in weighted_minhash.keep_one(table).collect())
+    assert kept == sorted([(3, a, 1), (7, b, 3), (7, b, 3), (0, a, 4), (9, "", 5), (9, "", 6), (11, b + " more", 7)])
+
+
 def test_near_duplicates(spark, docs, none):
     got = [tuple(r) for r in weighted_minhash.near_duplicates(docs).collect()]
     assert len(got) == len(rows())
@@ -338,6 +507,47 @@ def test_extensions_and_likeness():
     assert like(text, text[:5000] + "x" + text[5000:]) > 0.9 and like(text, text[:5000] + "#" + text[5001:]) > 0.9 and 0.4 < like(text, text[: len(text) // 2] + "q" * (len(text) // 2)) < 0.6
 
 
+def test_agreement_finds_shared_spans():
+    like = lambda x, y: span_hash.agreement(span_hash.PrefixHash(x), span_hash.PrefixHash(y))
+    rng = random.Random(9)
+    text = "".join(rng.choices("abcdefghijklmnop ", k=6400))
+    assert like("abcdefg", "abcdefh") == pytest.approx(6 / 7) and like("abcdefgh", "xbcdefgh") == pytest.approx(7 / 8)
+    spread = list(text)
+    for at in range(100, 6400, 200):
+        spread[at] = "#"
+    assert like(text, "".join(spread)) == pytest.approx(1 - 32 / 6400)
+    inserted = text[:50] + "#" + text[50:3000] + "#" + text[3000:6300] + "#" + text[6300:]
+    assert like(text, inserted) == pytest.approx(6400 / 6403)
+    moved = text[3200:] + text[:3200]
+    assert 0.49 < like(text, moved) < 0.52
+    other = "".join(random.Random(10).choices("abcdefghijklmnop ", k=6400))
+    assert like(text, other) < 0.01 and like(text, text) == 1 and like("", "") == 1 and like("", "a") == 0
+    assert like("ab" * 4000, "ab" * 3000) == pytest.approx(0.75) and like("a" * 5000, "a" * 2000 + "b" + "a" * 2999) > 0.99
+
+
+def test_agreement_is_never_above_the_longest_common_subsequence():
+    rng = random.Random(11)
+    for _ in range(60):
+        x, y = ("".join(rng.choices("ab", k=rng.randint(1, 60))) for _ in range(2))
+        row = [0] * (len(y) + 1)
+        for p in x:
+            before = 0
+            for j, q in enumerate(y, 1):
+                row[j], before = (before + 1 if p == q else max(row[j], row[j - 1])), row[j]
+        got = span_hash.agreement(span_hash.PrefixHash(x), span_hash.PrefixHash(y)) * max(len(x), len(y))
+        assert got <= row[-1] + 1e-9
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    text = "".join(random.Random(12).choices("abé😀", k=3000))
+    whole = span_hash.PrefixHash(text)
+    monkeypatch.setattr(span_hash, "PIECE", 37)
+    pieces = span_hash.PrefixHash(text)
+    assert all((a == b).all() for a, b in zip(whole.prefix, pieces.prefix, strict=True)) and all((a == b).all() for a, b in zip(whole.seeds(16), pieces.seeds(16), strict=True))
+    value = sum((ord(c) + 1) * pow(span_hash.BASES[1], j, span_hash.PRIMES[1]) for j, c in enumerate(text)) % span_hash.PRIMES[1]
+    assert int(whole.prefix[1][-1]) == value
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = docs
