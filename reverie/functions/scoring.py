@@ -30,9 +30,10 @@ def unit(a: Column) -> Column:
 
 
 def age_days(then: Column, now: Column) -> Column:
-    """Days from then to now, 0 for later times."""
+    """Days from then to now, 0 for later times, null where either is unknown."""
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    return F.greatest(F.lit(0.0), (micros(now) - micros(then)) / F.lit(86_400_000_000.0))
+    days = (micros(now) - micros(then)) / F.lit(86_400_000_000.0)
+    return F.when(days < 0, F.lit(0.0)).otherwise(days)
 
 
 def recency(updated: Column, now: Column, half_life: float = 30.0) -> Column:
@@ -45,14 +46,15 @@ def clamped(c: Column) -> Column:
 
 
 def effective_importance(importance: Column, kind: Column, updated: Column, now: Column, half_life: float = 90.0, floor: float = 0.15, enabled: bool = True) -> Column:
-    """Importance as it fades with age, down to a share of it."""
+    """Importance as it fades with age, down to a share of it; as it is where the age is unknown."""
     if not enabled:
         return importance
     pace = F.lit(1.0)
     for name, factor in FADING.items():
         pace = F.when(kind == name, F.lit(factor)).otherwise(pace)
     life = F.greatest(F.lit(half_life) * pace, F.lit(0.01))
-    return importance * (F.lit(floor) + F.lit(1 - floor) * F.pow(F.lit(0.5), age_days(updated, now) / life))
+    left = F.lit(floor) + F.lit(1 - floor) * F.pow(F.lit(0.5), age_days(updated, now) / life)
+    return importance * F.coalesce(left, F.lit(1.0))
 
 
 def memory_type(c: Column) -> Column:

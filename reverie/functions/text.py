@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,9 +40,45 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORDS), F.lit(0))
 
 
+@lru_cache(maxsize=1)
+def _plain_letters() -> tuple[str, str]:
+    """Letters that are a base letter with marks, and these base letters, by Unicode's decomposition."""
+    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))) for i in range(0xC0, 0x2000)]
+    marked = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(unicodedata.category(x) == "Mn" for x in d[1:])]
+    return "".join(c for c, _ in marked), "".join(d for _, d in marked)
+
+
+def folded(c: Column) -> Column:
+    """Lower case without diacritics."""
+    return F.regexp_replace(F.translate(F.lower(c), *_plain_letters()), r"\p{Mn}", "")
+
+
+def index_words(c: Column) -> Column:
+    """The words under which a text is found: letters and digits of any script, without case and diacritics."""
+    return F.regexp_extract_all(folded(c), F.lit(WORDS), F.lit(0))
+
+
+@lru_cache(maxsize=1)
+def _foldings() -> tuple[dict[str, str], str, str]:
+    """Case folding beyond lower case, from Unicode's own: letters that become several, and those that become another one."""
+    beyond = [(chr(i), chr(i).casefold()) for i in range(0x80, 0x10000) if chr(i).lower() == chr(i) != chr(i).casefold()]
+    single = [(c, d) for c, d in beyond if len(d) == 1]
+    return {c: d for c, d in beyond if len(d) > 1}, "".join(c for c, _ in single), "".join(d for _, d in single)
+
+
+def casefolded(c: Column) -> Column:
+    """Lower case in which also letters without a lower form of their own agree, as in "straße" and "STRASSE"."""
+    several, one, other = _foldings()
+    low = F.translate(F.lower(c), one, other)
+    wide = low
+    for letter, letters in several.items():
+        wide = F.replace(wide, F.lit(letter), F.lit(letters))
+    return F.when(low.rlike("[" + "".join(several) + "]"), wide).otherwise(low)
+
+
 def restated(c: Column) -> Column:
     """Equal for texts that differ in case and marks alone."""
-    return F.array_join(words(F.coalesce(c, F.lit(""))), " ")
+    return F.array_join(F.regexp_extract_all(casefolded(F.coalesce(c, F.lit(""))), F.lit(WORDS), F.lit(0)), " ")
 
 
 def loosely(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,9 +12,9 @@ from reverie.operators.search import beside
 
 def answers(memories: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
     """case, id, place, content: for each of asked (case, q) the k memories (id, content) with the best word match."""
-    worded = memories.select("id", "content", text.words(F.coalesce("content", F.lit(""))).alias("w"))
+    worded = memories.select("id", "content", text.index_words(F.coalesce("content", F.lit(""))).alias("w"))
     totals = worded.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    terms = asked.select("case", F.explode(text.query_words(F.col("q"))).alias("term")).groupBy("case", "term").agg(F.count(F.lit(1)).alias("times"))
+    terms = asked.select("case", F.explode(F.slice(text.index_words(F.col("q")), 1, text.QUERY_WORDS)).alias("term")).groupBy("case", "term").agg(F.count(F.lit(1)).alias("times"))
     spread = worded.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
     tf = spread.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -32,22 +32,35 @@ def first_hits(found: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.select("case").join(hits, "case", "left")
 
 
+def nearest_rank(values: DataFrame, column: str, shares: tuple[float, ...], cells: int = 1024) -> list[float | None]:
+    """The exact value at place round(share * (n - 1)) of a sorted column, for each share.
+
+    Counts by ranges of value (one small row a range) tell which range holds a place, and ranges
+    narrow until they hold one value; no task sorts or holds the column.
+    """
+    own = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    found = []
+    for share in shares:
+        low, high, n = own.agg(F.min("x"), F.max("x"), F.count(F.lit(1))).first()
+        part, rank = own, round(share * (n - 1)) if n else 0
+        while n and low < high:
+            cell = F.least(F.floor((F.col("x") - low) / (high - low) * cells), F.lit(cells - 1))
+            before = 0
+            for r in sorted(part.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()):  # cells rows at most
+                if before + r["n"] > rank:
+                    rank, low, high = rank - before, r["low"], r["high"]
+                    part = own.where((F.col("x") >= low) & (F.col("x") <= high))
+                    break
+                before += r["n"]
+        found.append(low if n else None)
+    return found
+
+
 def summary(cases: DataFrame) -> DataFrame:
     """recall, mrr of cases (first_hit or null, ms), and the ms at the nearest rank of the half and the 95th of a hundred."""
-    n = cases.agg(F.count(F.lit(1)).alias("n"))
-    # nearest rank: the exact value of a place in the sorted times, from the counts of each distinct time
-    timed = cases.where("ms IS NOT NULL").groupBy("ms").agg(F.count(F.lit(1)).alias("times"))
-    sorted_ = timed.agg(F.array_sort(F.collect_list(F.struct("ms", "times"))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("at"))
-
-    def at(q: float) -> Column:
-        place = F.bround(F.lit(q) * (F.lit(n.first()["n"]) - 1))
-        step = lambda s, x: F.struct((s["seen"] + x["times"]).alias("seen"), F.when(s["at"].isNull() & (s["seen"] + x["times"] > place), x["ms"].cast("double")).otherwise(s["at"]).alias("at"))
-        return F.aggregate("all", start, step, lambda s: s["at"])
-
-    times = sorted_.select(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    half, most = nearest_rank(cases, "ms", (0.5, 0.95))
     hits = cases.agg(F.round(F.avg(F.when(F.col("first_hit").isNotNull(), 1.0).otherwise(0.0)), 6).alias("recall"), F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("first_hit"), F.lit(0.0))), 6).alias("mrr"))
-    return beside(hits, times)
+    return hits.withColumns({"p50": F.lit(half).cast("double"), "p95": F.lit(most).cast("double")})
 
 
 def metrics(found: DataFrame, asked: DataFrame, k: int) -> DataFrame:

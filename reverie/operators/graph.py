@@ -4,20 +4,28 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reverie.functions import text
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; the warehouse stands in for it only in local mode, where all share one disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    return base.rstrip("/")
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df checkpointed where spark.checkpoint.dir is set (its lineage is cut, any executor can read it), otherwise as a table in the warehouse."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """df as a table in the shared folder, read again: its lineage is cut, and any executor can read it."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def undirected(edges: DataFrame, a: str = "subject", b: str = "object") -> DataFrame:
@@ -91,12 +99,21 @@ def phrases(query: Column, most: int = 128, longest: int = 6) -> Column:
 
 
 def detect(query: str, names: DataFrame, most: int = 50) -> DataFrame:
-    """Entities (id) that names (name, id, updated) find for a phrase of the query, latest first."""
+    """Entities (id, updated) that names (name, id, updated) find for a phrase of the query, latest first."""
     asked = names.sparkSession.range(1).select(F.explode(phrases(F.lit(query))).alias("name"))
     hits = names.join(F.broadcast(asked), "name", "left_semi")  # 128 phrases at most
     return hits.groupBy("id").agg(F.max("updated").alias("updated")).orderBy(F.desc("updated"), "id").limit(most)
 
 
+def candidates(asked: DataFrame, names: DataFrame, entities: DataFrame) -> DataFrame:
+    """name, id, tier of asked (name): what names (name, id) find, and for the others living entities that have the name among their aliases (an array)."""
+    own = asked.select(text.normal(F.col("name")).alias("name")).distinct()
+    first = kept(names.join(own, "name", "left_semi").select("name", "id", F.lit(0).alias("tier")).distinct(), "named")
+    rest = own.join(first.select("name"), "name", "left_anti")
+    aliases = entities.where("merged_into IS NULL").select("id", F.explode("aliases").alias("alias")).select("id", text.normal(F.col("alias")).alias("name"))
+    return first.union(aliases.join(rest, "name").select("name", "id", F.lit(1).alias("tier")).distinct())
+
+
 def identities(entities: DataFrame, mentions: DataFrame, root: DataFrame) -> DataFrame:
     """name, id, updated: canonical names, mention surfaces and merged names, each leading to a survivor."""
     live = entities.where("merged_into IS NULL").select("id", F.col("updated"))

@@ -12,24 +12,33 @@ from reverie.functions import scoring
 def fold(changes: DataFrame) -> DataFrame:
     """State of each id after changes (id, ts, seq, op, content, importance), in order of ts and seq.
 
-    insert and update set what they give (null gives nothing); invalidate stamps active rows and
-    revalidate clears the stamp; delete drops the row unless it is inserted again later.
+    insert and update set what they give (null gives nothing); invalidate and supersede stamp
+    active rows; revalidate clears the stamp, but not of a row that was superseded since it was inserted;
+    delete drops the row, purge does so where the row has ended; either stands unless the row is inserted again later.
     """
-    born = F.struct("ts", "seq")
-    last_delete = F.max(F.when(F.col("op") == "delete", born)).over(W.partitionBy("id"))
-    live = changes.withColumn("at", born).withColumn("gone", last_delete).where("gone IS NULL OR at > gone")
+    born, own = F.struct("ts", "seq"), W.partitionBy("id")
+    before = own.orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, -1)
+    replaced = F.last(F.when(F.col("op") == "supersede", True).when(F.col("op") == "insert", False), ignorenulls=True).over(before)
+    allowed = changes.withColumn("at", born).withColumn("replaced", F.coalesce(replaced, F.lit(False))).where("NOT (op = 'revalidate' AND replaced)")
+    turn = F.when(F.col("op").isin("invalidate", "supersede"), F.lit(1)).when(F.col("op").isin("revalidate", "insert"), F.lit(0))
+    turned = allowed.withColumn("turn", turn).withColumn("before", F.coalesce(F.last("turn", ignorenulls=True).over(before), F.lit(0)))
+    drops = (F.col("op") == "delete") | ((F.col("op") == "purge") & (F.col("before") == 1))
+    marked = turned.withColumn("gone", F.max(F.when(drops, F.col("at"))).over(own)).where("gone IS NULL OR at > gone")
     given = lambda c: F.max_by(c, F.when(F.col(c).isNotNull() & F.col("op").isin("insert", "update"), F.col("at"))).alias(c)
-    turn = F.when(F.col("op") == "invalidate", F.lit(1)).when(F.col("op").isin("revalidate", "insert"), F.lit(0))
-    marked = live.withColumn("turn", turn).withColumn("before", F.last("turn", ignorenulls=True).over(W.partitionBy("id").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, -1)))
-    first_stamp = F.when((F.col("turn") == 1) & (F.coalesce("before", F.lit(0)) == 0), F.col("ts"))
+    first_stamp = F.when((F.col("turn") == 1) & (F.col("before") == 0), F.col("ts"))
     state = marked.groupBy("id").agg(
         given("content"), given("importance"), F.min(F.when(F.col("op") == "insert", F.col("ts"))).alias("created_at"),
-        F.max(F.when(F.col("op") != "touch", F.col("ts"))).alias("updated_at"),
+        F.max(F.when(~F.col("op").isin("touch", "purge"), F.col("ts"))).alias("updated_at"),
         F.max_by("turn", F.when(F.col("turn").isNotNull(), F.col("at"))).alias("off"), F.max(first_stamp).alias("stamp"),
     )
     return state.where("created_at IS NOT NULL").select("id", "content", "importance", "created_at", "updated_at", F.when(F.col("off") == 1, F.col("stamp")).alias("invalid_at"))
 
 
+def forget_all(memories: DataFrame, scope: Column, ts: Column) -> DataFrame:
+    """The changes (id, ts, op) that end every active memory of a scope."""
+    return memories.where(scope & F.col("invalid_at").isNull()).select("id", ts.alias("ts"), F.lit("invalidate").alias("op"))
+
+
 def as_of(memories: DataFrame, moment: str) -> DataFrame:
     """Memories that were valid at that time."""
     at = F.expr(f"timestamp_ntz'{moment}'")
@@ -45,12 +54,13 @@ def faded(memories: DataFrame, now: str, threshold: float = 0.1, **how) -> DataF
 def within_budget(ranked: DataFrame, budget: int, place: str = "place", cost: str = "tokens") -> DataFrame:
     """The rows that fit a token budget: from the first that fits alone on, up to the first that overflows.
 
-    ranked is one query's short list.
+    Every row costs a token at least, so only as many rows as the budget has tokens can fit; the
+    running sum is over these, however long the ranked table is.
     """
-    start = F.min(F.when(F.col(cost) <= budget, F.col(place))).over(W.partitionBy(F.lit(1)))
-    run = F.sum(cost).over(W.partitionBy(F.lit(1)).orderBy(place).rowsBetween(W.unboundedPreceding, W.currentRow))
-    from_first = ranked.withColumn("start", start).where(F.col(place) >= F.col("start"))
-    return from_first.withColumn("used", run).where(F.col("used") <= budget).drop("start")
+    start = ranked.where(F.col(cost) <= budget).agg(F.min(place)).first()[0]
+    few = ranked.where(F.col(place) >= F.lit(start)).orderBy(place).limit(budget + 1)
+    run = F.sum(cost).over(W.orderBy(place).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return few.withColumn("used", run).where(F.col("used") <= budget)
 
 
 def fitted(costs: DataFrame, budget: int, key: str, place: str = "place", cost: str = "tokens") -> DataFrame:
@@ -65,6 +75,18 @@ def fitted(costs: DataFrame, budget: int, key: str, place: str = "place", cost:
     return listed.select(key, F.explode(F.aggregate("rows", start, take, lambda s: s["kept"])).alias(place))
 
 
+def entity_blocks(found: DataFrame, described: DataFrame, budget: int, header: int = 7) -> DataFrame:
+    """id, line, tokens of the entities found (id, updated; a few) whose described lines (id, name, entity_type, description) fit the budget after the header, latest first.
+
+    A line that does not fit is left out, and the next one is tried.
+    """
+    label = F.concat("name", F.when(F.col("entity_type").isNotNull(), F.concat(F.lit(" ("), "entity_type", F.lit(")"))).otherwise(""))
+    lines = found.join(described.where(F.coalesce("description", F.lit("")) != ""), "id").select("id", "updated", F.concat(F.lit("- "), label, F.lit(": "), "description").alias("line"))
+    placed = lines.select("id", "line", (tokens(F.col("line")) + 1).alias("tokens"), F.row_number().over(W.orderBy(F.desc("updated"), "id")).alias("place"), F.lit(1).alias("query"))
+    fits = fitted(placed, budget - header, "query")
+    return placed.join(fits, ["query", "place"]).select("id", "line", "tokens")
+
+
 def tokens(content: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(content) / 4).cast("int"))
 
@@ -87,12 +109,11 @@ def repaired(memories: DataFrame, events: DataFrame) -> DataFrame:
 def compared(incoming: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
     """key, fate of incoming rows: insert, unchanged, or conflict where a stored row of that key differs in any column."""
     names = [c for c in incoming.columns if c != key]
-    other = stored.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in names])
-    same = F.lit(True)
-    for c in names:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    joined = incoming.join(other, F.col(key) == F.col("_k"), "left")
-    return joined.select(key, F.when(F.col("_k").isNull(), "insert").when(same, "unchanged").otherwise("conflict").alias("fate"))
+    new = incoming.select(F.col(key).alias("new_key"), F.struct(*names).alias("new"))
+    old = stored.select(F.col(key).alias("old_key"), F.struct(*names).alias("old"))
+    joined = new.join(old, F.col("new_key") == F.col("old_key"), "left")
+    fate = F.when(F.col("old_key").isNull(), "insert").when(F.col("new").eqNullSafe(F.col("old")), "unchanged").otherwise("conflict")
+    return joined.select(F.col("new_key").alias(key), fate.alias("fate"))
 
 
 def restored(incoming: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:

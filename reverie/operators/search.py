@@ -2,31 +2,45 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reverie.functions import scoring, text
+from reverie.functions import predicates, scoring, text
+from reverie.operators import graph
 
 
 def postings(docs: DataFrame, id_col: str = "id", content: str = "content") -> DataFrame:
     """id, term, tf and dl (the text's length in words): the index that a search reads."""
-    worded = docs.select(F.col(id_col).alias("id"), text.words(F.coalesce(F.col(content), F.lit(""))).alias("w"))
+    worded = docs.select(F.col(id_col).alias("id"), text.index_words(F.coalesce(F.col(content), F.lit(""))).alias("w"))
     return worded.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, query: str, id_col: str = "id", content: str = "content", k1: float = 1.2, b: float = 0.75, floor: float | None = 1e-6) -> DataFrame:
-    """id, score of the docs that have a word of query; repeated words count again.
+def lengths(docs: DataFrame, id_col: str = "id", content: str = "content") -> DataFrame:
+    """n, avgdl: how many docs there are and their mean length in words; part of the index, beside its postings."""
+    return docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size(text.index_words(F.coalesce(F.col(content), F.lit(""))))).alias("avgdl"))
 
-    Length and document counts are over all docs given, so that a scope set afterwards does not
+
+def bm25(docs: DataFrame, query: str, id_col: str = "id", content: str = "content", **how) -> DataFrame:
+    """id, score of the docs that have a word of query. Texts are read once: their lengths and the words asked for are kept as a table."""
+    wanted = F.slice(text.index_words(F.lit(query)), 1, text.QUERY_WORDS)
+    worded = docs.select(F.col(id_col).alias("id"), text.index_words(F.coalesce(F.col(content), F.lit(""))).alias("w"))
+    read = graph.kept(worded.select("id", F.size("w").alias("dl"), F.filter("w", lambda x: F.array_contains(wanted, x)).alias("asked")), "asked")
+    hits = read.select("id", "dl", F.explode("asked").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return bm25_indexed(hits, read.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl")), query, **how)
+
+
+def bm25_indexed(index: DataFrame, totals: DataFrame, query: str, k1: float = 1.2, b: float = 0.75, floor: float | None = 1e-6) -> DataFrame:
+    """id, score of what has a word of query, from postings (id, term, tf, dl) and lengths; repeated words count again.
+
+    Length and document counts are over all of the index, so that a scope set afterwards does not
     move scores. floor bounds the weight of frequent words; None takes the form that stays above 0.
     """
-    spark = docs.sparkSession
-    asked = spark.range(1).select(F.explode(text.query_words(F.lit(query))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
-    worded = docs.select(F.col(id_col).alias("id"), text.words(F.coalesce(F.col(content), F.lit(""))).alias("w"))
-    totals = worded.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    wanted = text.query_words(F.lit(query))
-    hits = worded.select("id", F.size("w").alias("dl"), F.explode(F.filter("w", lambda x: F.array_contains(wanted, x))).alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    wanted = F.slice(text.index_words(F.lit(query)), 1, text.QUERY_WORDS)
+    asked = index.sparkSession.range(1).select(F.explode(wanted).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
+    hits = index.where(F.array_contains(wanted, F.col("term")))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     odds = (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))
     idf = F.greatest(F.log(odds), F.lit(floor)) if floor is not None else F.log(F.lit(1.0) + odds)
@@ -92,28 +106,138 @@ def relational_fusion(by_rank: DataFrame, by_graph: DataFrame, protect: int = 5,
     return both.withColumn("s", score).select("id", (F.row_number().over(order) - 1).alias("place"), F.round("s", 6).alias("fused"))
 
 
-def lsh_candidates(vectors: DataFrame, query: list[float], k: int, overfetch: int = 8, tables: int = 8) -> DataFrame:
-    """The k best of vectors (id, embedding) by random-projection buckets, rescored exactly; exact where buckets give fewer than k."""
+def search(memories: DataFrame, lists: tuple[DataFrame, DataFrame] | None, walked: DataFrame | None, now: str, limit: int = 10, since: str | None = None, until: str | None = None, filtered: bool = False, include_invalid: bool = False) -> DataFrame:
+    """id, place of a whole search: lists are its vector and word scores (None for a blank query), walked (id, rank from 0) what typed relations reach.
+
+    A blank query browses active memories, the latest first. Otherwise the fetch is widened where dates or the graph take part;
+    the graph joins in only without a category or entity filter, and brings active memories alone; the dates come last.
+    """
+    seen = memories.where(predicates.within(F.col("created_at"), since, until))
+    if lists is None:
+        own = seen if include_invalid else seen.where("invalid_at IS NULL")
+        return own.orderBy(F.desc("updated_at"), "seq").limit(limit).select("id", F.row_number().over(W.orderBy(F.desc("updated_at"), "seq")).alias("place"))
+    fused_in = walked is not None and not filtered
+    fetch = min(max(limit * 8, 40), 500) if since or until or fused_in else limit
+    found = hybrid(memories, *lists, now, fetch)
+    order = W.orderBy(F.desc("score"), F.asc_nulls_last("vector"), F.asc_nulls_last("words"), "id")
+    ranked_ = graph.kept(found.select("id", (F.row_number().over(order) - 1).alias("rank")), "found")
+    placed = ranked_.select("id", F.col("rank").alias("place"))
+    if fused_in:
+        alive = memories if include_invalid else memories.where("invalid_at IS NULL")
+        there = walked.join(alive.select("id").union(ranked_.select("id")), "id", "left_semi")
+        placed = relational_fusion(ranked_, there)
+    kept_ = placed.join(seen.select("id"), "id", "left_semi")
+    return kept_.orderBy("place").limit(limit).select("id", F.row_number().over(W.orderBy("place")).alias("place"))
+
+
+def lsh_neighbours(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 24, width: float = 0.7) -> DataFrame:
+    """query, id, place, score: the k best of vectors (id, embedding) for each of queries, among those that share a random-projection bucket, rescored exactly.
+
+    A query with fewer than k candidates, the buckets' too empty, is answered by the scan. Width
+    and tables are set so that at least nine tenths of the true neighbours are found (tests measure it).
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    units = vectors.where(F.col("embedding").isNotNull()).select("id", "embedding", array_to_vector(scoring.unit(F.col("embedding"))).alias("v"))
-    size = sum(x * x for x in query) ** 0.5
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=tables, seed=7).fit(units)
-    near = model.approxNearestNeighbors(units, Vectors.dense([x / (size or 1.0) for x in query]), max(k * overfetch, 200))
-    asked = F.array(*[F.lit(float(x)) for x in query])
-    found = top(vector_scores(near.select("id", "embedding"), asked), k)
-    return found if found.count() == k else top(vector_scores(vectors, asked), k)
-
-
-def similarity_pairs(vectors: DataFrame, least: float, block: str | None = None) -> DataFrame:
-    """a < b, similarity of the vectors at least that alike, within a block column's values if one is named.
 
-    Vectors are joined on the block; give a block (scope, tag) that bounds the groups, or
-    candidates from lsh_candidates' buckets, before this meets a large table.
+    units = vectors.where(F.col("embedding").isNotNull() & (scoring.norm(F.col("embedding")) > 0)).select("id", scoring.unit(F.col("embedding")).alias("unit"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(units.limit(1).select(array_to_vector("unit").alias("v")))
+    hashed = model.transform(units.withColumn("v", array_to_vector("unit"))).select("id", "unit", F.posexplode("h").alias("table", "h")).withColumn("bucket", F.hash("h"))
+    filed = graph.kept(hashed.select("id", "table", "bucket"), "buckets")
+    asked = filed.join(queries.select("id"), "id", "left_semi").select(F.col("id").alias("query"), "table", "bucket")
+    pairs = asked.join(filed, ["table", "bucket"]).where("query <> id").select("query", "id").distinct()
+    short = queries.select(F.col("id").alias("query")).join(pairs.groupBy("query").agg(F.count(F.lit(1)).alias("n")), "query", "left").where(F.coalesce("n", F.lit(0)) < k).select("query")
+    left = units.select(F.col("id").alias("query"), F.col("unit").alias("x"))
+    near = pairs.join(left, "query").join(units, "id")
+    scan = left.join(short, "query", "left_semi").withColumn("one", F.lit(1)).join(units.withColumn("one", F.lit(1)), "one").drop("one").where("query <> id")  # few queries
+    both = near.select("query", "id", "x", "unit").unionByName(scan.select("query", "id", "x", "unit")).withColumn("score", scoring.dot(F.col("x"), F.col("unit"))).select("query", "id", "score").distinct()
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return both.withColumn("place", place).where(F.col("place") <= k)
+
+
+#: Pivots of similarity cells, at most, and vectors of a sub-block of a cell.
+PIVOTS, SUB_BLOCK = 256, 1024
+
+
+def _assigned(pivots: np.ndarray):
+    """Pandas UDF embedding -> (unit vector, nearest pivot, angle to it)."""
+
+    @F.pandas_udf("unit array<float>, cell int, angle double")
+    def assign(vectors: pd.Series) -> pd.DataFrame:
+        x = np.array(vectors.tolist(), np.float64).reshape(len(vectors), -1)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        x = x / np.where(size > 0, size, 1.0)
+        near = np.clip(x @ pivots.T, -1, 1)
+        cell = near.argmax(1)
+        return pd.DataFrame({"unit": list(x.astype(np.float32)), "cell": cell.astype(np.int32), "angle": np.arccos(near[np.arange(len(x)), cell])})
+
+    return assign
+
+
+def _met(left: pd.DataFrame, right: pd.DataFrame, least: float, links_only: bool) -> pd.DataFrame:
+    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "similarity": np.zeros(0)})
+    if not len(left) or not len(right):
+        return none
+    right = right.set_axis(["met", "id", "embedding", "cell", "sub"], axis=1)
+    x, y = (np.array(f["embedding"].tolist(), np.float64) for f in (left, right))
+    x, y = (v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1.0) for v in (x, y))
+    a, b = left["id"].to_numpy(), right["id"].to_numpy()
+    similarity = x @ y.T
+    i, j = np.nonzero(similarity >= least)
+    own = a[i] < b[j] if left["cell"].iloc[0] == right["cell"].iloc[0] and left["sub"].iloc[0] == right["sub"].iloc[0] else a[i] != b[j]
+    i, j = i[own], j[own]
+    low, high, near = np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), similarity[i, j]
+    if links_only and len(low):
+        # a spanning forest of the block's links joins the same components
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while root.setdefault(v, v) != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        keep = []
+        for t, (p, q) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+            p, q = find(p), find(q)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                keep.append(t)
+        low, high, near = low[keep], high[keep], near[keep]
+    return pd.DataFrame({"a": low, "b": high, "similarity": near})
+
+
+def similarity_pairs(vectors: DataFrame, least: float, links_only: bool = False) -> DataFrame:
+    """a < b, similarity of all vectors (id, embedding) at least that alike, exactly; with links_only as many pairs as join the same components.
+
+    Vectors go to the nearest of some pivots. Two of them can be that alike only if their pivots'
+    angle is at most both cells' radii and the angle of the similarity together; only such pairs
+    of cells meet, in sub-blocks of bounded size, as products of matrices. Vectors of zero are
+    like none.
     """
-    a = vectors.select(F.col("id").alias("a"), F.col("embedding").alias("x"), *([F.col(block).alias("k")] if block else [F.lit(0).alias("k")]))
-    b = vectors.select(F.col("id").alias("b"), F.col("embedding").alias("y"), *([F.col(block).alias("k2")] if block else [F.lit(0).alias("k2")]))
-    sim = scoring.cosine(F.col("x"), F.col("y"))
-    return a.join(b, (F.col("k") == F.col("k2")) & (F.col("a") < F.col("b"))).select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= least)
+    spark = vectors.sparkSession
+    own = vectors.where(F.col("embedding").isNotNull() & (scoring.norm(F.col("embedding")) > 0)).select(F.col("id").cast("long").alias("id"), "embedding")
+    copies = None
+    if links_only:  # equal vectors are linked to the first of them, and only that one is compared
+        first = graph.kept(own.groupBy("embedding").agg(F.min("id").alias("first")), "distinct")
+        copies = own.join(first, "embedding").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+        own = first.select(F.col("first").alias("id"), "embedding")
+    n = own.count()
+    if not n:
+        return spark.createDataFrame([], "a long, b long, similarity double")
+    wanted = min(PIVOTS, max(1, int(n**0.5)))
+    picked = np.array([r["embedding"] for r in own.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()], np.float64)  # PIVOTS rows at most
+    pivots = picked / np.linalg.norm(picked, axis=1, keepdims=True)
+    placed = own.withColumn("at", _assigned(pivots)("embedding")).select("id", "embedding", "at.cell", "at.angle")
+    placed = graph.kept(placed, "cells")
+    cells = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()}
+    between, reach = np.arccos(np.clip(pivots @ pivots.T, -1, 1)), float(np.arccos(min(1.0, max(-1.0, least)))) + 1e-6
+    subs = {c: -(-k // SUB_BLOCK) for c, (k, _) in cells.items()}
+    meetings = [(p, i, q, j) for p in sorted(cells) for q in sorted(cells) if p <= q and (p == q or between[p, q] <= cells[p][1] + cells[q][1] + reach) for i in range(subs[p]) for j in range(i if p == q else 0, subs[q])]
+    split = spark.createDataFrame(sorted(subs.items()), "cell int, subs int")
+    blocks = placed.join(F.broadcast(split), "cell").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int")).select("id", "embedding", "cell", "sub")
+    pairs = spark.createDataFrame([(k, *m) for k, m in enumerate(meetings)], "meeting long, p int, i int, q int, j int")
+    left = blocks.join(pairs.select("meeting", F.col("p").alias("cell"), F.col("i").alias("sub")), ["cell", "sub"])
+    right = blocks.join(pairs.select("meeting", F.col("q").alias("cell"), F.col("j").alias("sub")), ["cell", "sub"])
+    right = right.select(F.col("meeting").alias("met"), *[F.col(c).alias(f"{c}_2") for c in ("id", "embedding", "cell", "sub")])
+    met = left.groupBy("meeting").cogroup(right.groupBy("met")).applyInPandas(lambda x, y: _met(x, y, least, links_only), "a long, b long, similarity double")
+    return met if copies is None else met.unionByName(copies)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reverie.functions import scoring, text
-from reverie.operators import graph
+from reverie.operators import graph, search
 
 
 def obvious_tags(tags: DataFrame) -> DataFrame:
@@ -31,29 +33,68 @@ def retag(memories: DataFrame, remove: list[str], add: str | None) -> DataFrame:
     return memories.withColumn("categories", F.when(hit, gained).otherwise(F.col("categories")))
 
 
+def retagged_relations(relations: DataFrame, remove: list[str], add: str | None) -> DataFrame:
+    """relations (broader, narrower) whose ends among remove become add, or go where nothing is added; none that closes on itself stays, none twice."""
+    end = lambda c: F.when(F.col(c).isin(*remove), F.lit(add)).otherwise(F.col(c)).alias(c)
+    moved = relations.select(end("broader"), end("narrower"))
+    return moved.where("broader <> narrower").distinct()
+
+
 def mapped_tags(tagged: DataFrame, merges: DataFrame) -> DataFrame:
     """tagged (id, place, tag) with each tag's canonical one, kept at its first place."""
     moved = tagged.join(merges, "tag", "left").select("id", "place", F.coalesce("canonical", "tag").alias("tag"))
     return moved.groupBy("id", "tag").agg(F.min("place").alias("place"))
 
 
+def _sums(batches):
+    """Vector sums and counts by tag within a task: one row for each tag and batch goes into the shuffle, not one for each element."""
+    for frame in batches:
+        if len(frame):
+            x = np.array(frame["embedding"].tolist(), np.float64).reshape(len(frame), -1)
+            codes, tags = pd.factorize(frame["tag"])
+            total = np.zeros((len(tags), x.shape[1]))
+            np.add.at(total, codes, x)
+            yield pd.DataFrame({"tag": tags, "n": np.bincount(codes), "total": list(total)})
+
+
 def tag_centroids(vectors: DataFrame, least: int = 2) -> DataFrame:
     """tag, n, centroid: mean vector of each tag with that many vectors."""
-    spread = vectors.where("embedding IS NOT NULL").select("tag", F.posexplode("embedding"))
-    means = spread.groupBy("tag", "pos").agg(F.avg(F.col("col").cast("double")).alias("mean"), F.count(F.lit(1)).alias("n"))
+    kind = vectors.schema["tag"].dataType.simpleString()
+    sums = vectors.where("embedding IS NOT NULL AND tag IS NOT NULL").select("tag", "embedding").mapInPandas(_sums, f"tag {kind}, n long, total array<double>")
+    spread = sums.select("tag", "n", F.posexplode("total"))
+    means = spread.groupBy("tag", "pos").agg((F.sum("col") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
     folded = means.groupBy("tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda x: x["mean"]).alias("centroid"), F.max("n").alias("n"))
     return folded.where(F.col("n") >= least)
 
 
-def split_tags(centroids: DataFrame, together: DataFrame, strong: float = 0.93, most_together: float = 0.25, most: int = 20) -> DataFrame:
-    """canonical, variant, similarity of tags that mean the same and rarely stand together."""
-    a = centroids.select(F.col("tag").alias("a"), F.col("n").alias("na"), F.col("centroid").alias("x"))
-    b = centroids.select(F.col("tag").alias("b"), F.col("n").alias("nb"), F.col("centroid").alias("y"))
-    pairs = a.join(b, F.col("a") < F.col("b")).withColumn("similarity", scoring.cosine(F.col("x"), F.col("y"))).where(F.col("similarity") >= strong)
+def split_tags(centroids: DataFrame, together: DataFrame, labels: DataFrame | None = None, strong: float = 0.93, weak: float = 0.75, alike: float = 0.62, most_together: float = 0.25, most: int | None = 20) -> DataFrame:
+    """canonical, variant, similarity of tags (tag, n, centroid) that mean the same and rarely stand together (a, b, n).
+
+    Centroids are strongly similar, or weakly where labels (tag, label: a vector of the name) are
+    alike. The tag of more memories is the canonical one, of equals the first.
+    """
+    numbered = graph.kept(centroids.withColumn("id", F.row_number().over(W.orderBy("tag")).cast("long")), "tags")  # one row a tag
+    found = search.similarity_pairs(numbered.select("id", F.col("centroid").alias("embedding")), strong if labels is None else min(strong, weak))
+    side = lambda key, tag, n: numbered.select(F.col("id").alias(key), F.col("tag").alias(f"tag_{key}"), F.col("n").alias(n))
+    pairs = found.join(side("a", "tag_a", "na"), "a").join(side("b", "tag_b", "nb"), "b").select(F.col("tag_a").alias("a"), F.col("tag_b").alias("b"), "na", "nb", "similarity")
+    if labels is not None:
+        name = lambda c: labels.select(F.col("tag").alias(c), F.col("label").alias(f"label_{c}"))
+        named = F.coalesce(scoring.cosine(F.col("label_a"), F.col("label_b")), F.lit(0.0))
+        pairs = pairs.join(name("a"), "a", "left").join(name("b"), "b", "left").where((F.col("similarity") >= strong) | ((F.col("similarity") >= weak) & (named >= alike)))
     apart = pairs.join(together, ["a", "b"], "left").where(F.coalesce("n", F.lit(0)) / F.least("na", "nb") <= most_together)
     first = F.col("na") >= F.col("nb")
-    named = apart.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("canonical"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("variant"), F.round("similarity", 4).alias("similarity"))
-    return named.orderBy(F.desc("similarity"), "canonical", "variant").limit(most)
+    out = apart.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("canonical"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("variant"), F.round("similarity", 4).alias("similarity"))
+    return out if most is None else out.orderBy(F.desc("similarity"), "canonical", "variant").limit(most)
+
+
+def vocabulary(tagged: DataFrame, query: Column, most: int = 120, near: int = 60) -> DataFrame:
+    """tag: all tags of tagged (tag, embedding) where they are few, else those nearest to the query's vector and the most frequent rest, most in all."""
+    counted = tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.max(F.round(scoring.cosine(F.col("embedding"), query), 9)).alias("near"))
+    counted = graph.kept(counted, "tags")
+    few = near if counted.limit(most + 1).count() > most else 0
+    first = counted.orderBy(F.desc("near"), "tag").limit(few).select("tag")
+    rest = counted.join(first, "tag", "left_anti").orderBy(F.desc("n"), "tag").limit(most - few).select("tag")
+    return first.union(rest)
 
 
 def groups_of(pairs: DataFrame, most: int = 6) -> DataFrame:
@@ -79,6 +120,14 @@ def merged_rows(rows: DataFrame, key: str) -> DataFrame:
     return folded.join(ordered, key, "left").join(best, F.col(key) == F.col("_key")).drop("_key")
 
 
+def consolidated(rows: DataFrame, key: str) -> DataFrame:
+    """A row for each key: merged_rows with the speaker's seq, whether all have one wording, and the ids it would replace."""
+    merged = merged_rows(rows, key)
+    speaker = representatives(rows, key).select(key, F.col("seq").alias("speaker"))
+    told = rows.groupBy(key).agg((F.count_distinct(text.restated(F.col("content"))) == 1).alias("same"), F.sort_array(F.collect_list("id")).alias("originals"))
+    return merged.join(speaker, key).join(told, key)
+
+
 def first_of(df: DataFrame, key: list[Column], order: list[Column]) -> DataFrame:
     """The first row of each key, pre-aggregated before the shuffle."""
     rank = F.row_number().over(W.partitionBy(*key).orderBy(*order))
@@ -139,6 +188,18 @@ def new_edges(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return incoming.dropDuplicates(key).join(live, key, "left_anti")
 
 
+def apart_from_stored(rows: DataFrame, stored: DataFrame, least: float = 0.97) -> DataFrame:
+    """rows (place, user_id, embedding) that no stored vector (user_id, embedding) of their user is that similar to; rows without a vector stay."""
+    new = rows.withColumn("id", F.shiftleft(F.col("place").cast("long"), 1))  # even ids are new ones, odd ids stored
+    old = stored.where("embedding IS NOT NULL").select(F.shiftleft(F.xxhash64("user_id", "embedding"), 1).bitwiseOR(F.lit(1).cast("long")).alias("id"), "user_id", "embedding")
+    both = new.where("embedding IS NOT NULL").select("id", "user_id", "embedding").unionByName(old)
+    pairs = search.similarity_pairs(both.select("id", "embedding"), least)
+    users = both.select("id", "user_id").distinct()
+    named = pairs.join(users.withColumnsRenamed({"id": "a", "user_id": "ua"}), "a").join(users.withColumnsRenamed({"id": "b", "user_id": "ub"}), "b").where(F.col("ua").eqNullSafe(F.col("ub")))
+    mixed = named.where((F.abs(F.col("a") % 2) + F.abs(F.col("b") % 2)) == 1).select(F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("id"))
+    return new.join(mixed, "id", "left_anti").select(*rows.columns)
+
+
 def imported(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """rows (place, content, user_id, categories, memory_type, importance: text) ready to store.
 

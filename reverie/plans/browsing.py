@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reverie.functions import predicates as P
 from reverie.functions import scoring, text
 from reverie.operators import graph, lifecycle, upkeep
+from reverie.plans.counting import ROOTS
 from reverie.plans.registry import query
 
 
@@ -86,19 +90,49 @@ def _(s):
     return s.memories.where(P.active() & P.pending(F.col("metadata"), "2024-06-01T00:00:00")).orderBy("created_at", "seq").limit(8).select("id")
 
 
-@query("s18_backup_counts", """, m AS (SELECT * FROM memories WHERE user_id = 'src3'), t AS (SELECT * FROM memory_topics WHERE memory_id IN (SELECT id FROM m))
-SELECT 'memories' AS name, count(*) AS n FROM m UNION ALL SELECT 'memory_topics', count(*) FROM t UNION ALL SELECT 'topics', count(*) FROM topics WHERE id IN (SELECT topic_id FROM t)
-UNION ALL SELECT 'topic_relations', count(*) FROM topic_relations WHERE narrower IN (SELECT topic_id FROM t) AND broader IN (SELECT topic_id FROM t)
-UNION ALL SELECT 'events', count(*) FROM memory_events WHERE memory_id IN (SELECT id FROM m)""")
+BACKUP = """, m AS (SELECT * FROM memories WHERE user_id = 'src3'), t AS (SELECT * FROM memory_topics WHERE memory_id IN (SELECT id FROM m)), tp AS (SELECT * FROM topics WHERE id IN (SELECT topic_id FROM t)),
+em AS (SELECT DISTINCT entity_id, memory_id FROM mentions WHERE memory_id IN (SELECT seq FROM m)), en AS (SELECT * FROM entities WHERE id IN (SELECT entity_id FROM em))
+SELECT 'memories' AS name, count(*) AS n FROM m UNION ALL SELECT 'memory_topics', count(*) FROM t UNION ALL SELECT 'topics', count(*) FROM tp
+UNION ALL SELECT 'topic_relations', count(*) FROM topic_relations WHERE narrower IN (SELECT id FROM tp) AND broader IN (SELECT id FROM tp)
+UNION ALL SELECT 'memory_events', count(*) FROM memory_events WHERE memory_id IN (SELECT id FROM m) UNION ALL SELECT 'episodes', count(*) FROM episodes WHERE user_id = 'src3'
+UNION ALL SELECT 'entities', count(*) FROM en UNION ALL SELECT 'entity_mentions', count(*) FROM em
+UNION ALL SELECT 'entity_proposals', count(*) FROM proposals WHERE entity_a IN (SELECT id FROM en) AND entity_b IN (SELECT id FROM en)
+UNION ALL SELECT 'relations', count(*) FROM relations WHERE CAST(substr(object, 2) AS BIGINT) IN (SELECT id FROM en) AND memory_id IN (SELECT seq FROM m)
+UNION ALL SELECT 'synthetic_tags', count(*) FROM region WHERE r_name IN (SELECT name FROM tp)"""
+
+
+@query("s18_backup_counts", BACKUP)
 def _(s):
     from reverie.sources.backup import scoped_tables
 
     parts = scoped_tables(s, P.scoped(user_id="src3"))
     rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in parts.items()]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out
+    return reduce(DataFrame.union, rows)
+
+
+@query("s19_dangling", """, e AS (SELECT id FROM entities WHERE id % 5 <> 0), m AS (SELECT seq, id FROM memories WHERE seq % 3 <> 0),
+em AS (SELECT DISTINCT entity_id, memory_id FROM mentions), out AS (SELECT 'entity_mentions' AS "table", 'entity_id' AS "column", count(*) AS n FROM em WHERE entity_id NOT IN (SELECT id FROM e)
+UNION ALL SELECT 'entity_mentions', 'memory_key', count(*) FROM em WHERE memory_id NOT IN (SELECT seq FROM m) UNION ALL SELECT 'memory_topics', 'memory_id', count(*) FROM memory_topics WHERE memory_id NOT IN (SELECT id FROM m)
+UNION ALL SELECT 'entity_proposals', 'entity_a', count(*) FROM proposals WHERE entity_a NOT IN (SELECT id FROM e) UNION ALL SELECT 'entity_proposals', 'entity_b', count(*) FROM proposals WHERE entity_b NOT IN (SELECT id FROM e)
+UNION ALL SELECT 'relations', 'object_id', count(*) FROM relations WHERE CAST(substr(object, 2) AS BIGINT) NOT IN (SELECT id FROM e) UNION ALL SELECT 'relations', 'memory_key', count(*) FROM relations WHERE memory_id NOT IN (SELECT seq FROM m)
+UNION ALL SELECT 'memory_events', 'memory_id', count(*) FROM memory_events WHERE memory_id NOT IN (SELECT id FROM m)) SELECT * FROM out WHERE n > 0""")
+def _(s):
+    """A backup that lost a fifth of its entities and a third of its memories."""
+    from reverie.sources.backup import all_tables, dangling
+
+    tables = all_tables(s)
+    return dangling({**tables, "entities": tables["entities"].where("id % 5 <> 0"), "memories": tables["memories"].where("seq % 3 <> 0")})
+
+
+@query("s19_all_fates", """, x AS (SELECT 'entities' AS "table", id % 4 = 0 AS conflict, id % 3 = 0 AS fresh FROM entities UNION ALL SELECT 'topics', false, id = 'r1' FROM topics UNION ALL SELECT 'entity_proposals', false, id % 6 = 0 FROM proposals)
+SELECT "table", CASE WHEN fresh THEN 'insert' WHEN conflict THEN 'conflict' ELSE 'unchanged' END AS fate, count(*) AS n FROM x GROUP BY ALL""")
+def _(s):
+    from reverie.sources.backup import all_tables, fates
+
+    tables = {k: v for k, v in all_tables(s).items() if k in ("entities", "topics", "entity_proposals")}
+    changed = {**tables, "entities": tables["entities"].withColumn("description", F.when(F.col("id") % 4 == 0, F.lit("changed")).otherwise(F.col("description")))}
+    stored = {"entities": tables["entities"].where("id % 3 <> 0"), "topics": tables["topics"].where("id <> 'r1'"), "entity_proposals": tables["entity_proposals"].where("id % 6 <> 0")}
+    return fates(changed, stored)
 
 
 @query("s19_import_fates", """, incoming AS (SELECT id, content, CASE WHEN seq % 10 = 0 THEN importance + 0.125 ELSE importance END AS importance FROM memories WHERE seq % 2 = 0),
@@ -160,9 +194,14 @@ def _(s):
     return s.memories.where(P.active()).join(hit, "id", "left_semi").select("id")
 
 
-@query("p4_entity_filter", "SELECT id FROM placed o WHERE EXISTS (SELECT 1 FROM mentions m WHERE m.memory_id = o.id AND m.entity_id IN (5, 17, 23))")
+@query("p4_entity_filter", ROOTS + """, wanted AS (SELECT DISTINCT root FROM roots WHERE id IN (5, 10, 17, 23) AND root IS NOT NULL)
+SELECT id FROM placed o WHERE EXISTS (SELECT 1 FROM mentions m JOIN roots r ON r.id = m.entity_id WHERE m.memory_id = o.id AND r.root IN (SELECT root FROM wanted))""")
 def _(s):
-    hit = s.mentions.where(F.col("entity_id").isin(5, 17, 23)).select(F.col("memory_id").alias("id"))
+    """Ids lead through merges to their survivors, and so do mentions; without a survivor nothing is found."""
+    root = graph.kept(graph.roots(s.entities), "roots").where("root IS NOT NULL")
+    wanted = root.where(F.col("id").isin(5, 10, 17, 23)).select("root").distinct()
+    members = root.join(wanted, "root", "left_semi").select(F.col("id").alias("entity_id"))
+    hit = s.mentions.join(members, "entity_id", "left_semi").select(F.col("memory_id").alias("id"))
     return s.orders.join(hit, "id", "left_semi").select("id")
 
 
@@ -226,7 +265,7 @@ def _(s):
     return s.memories.where(P.pending(F.col("metadata"))).groupBy(F.get_json_object("metadata", "$._enrichment.status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p11_normal_forms", r"""SELECT id, md5(array_to_string(regexp_extract_all(lower(content), '[\p{L}\p{N}]+'), ' ')) AS restated, md5(trim(regexp_replace(lower(content), '[^\p{L}\p{N}_]+', ' ', 'g'))) AS loosely FROM memories""")
+@query("p11_normal_forms", r"""SELECT id, md5(array_to_string(regexp_extract_all(replace(translate(lower(content), 'ς', 'σ'), 'ß', 'ss'), '[\p{L}\p{N}]+'), ' ')) AS restated, md5(trim(regexp_replace(lower(content), '[^\p{L}\p{N}_]+', ' ', 'g'))) AS loosely FROM memories""")
 def _(s):
     return s.contents.select("id", F.md5(text.restated(F.col("content")).cast("binary")).alias("restated"), F.md5(text.loosely(F.col("content")).cast("binary")).alias("loosely"))
 
@@ -275,9 +314,10 @@ def _(s):
     return s.episodes.where(F.coalesce(body, F.lit("")) != "").select("id", F.when(F.col("role") == "user", body).otherwise(F.concat("role", F.lit(": "), body)).alias("content"))
 
 
-@query("p14_public_row")
+@query("p14_public_row", "SELECT id, round(value, 4) AS score, (SELECT list_sort(list(DISTINCT entity_id)) FROM mentions WHERE memory_id = placed.id) AS entities FROM placed")
 def _(s):
     links = s.mentions.groupBy("memory_id").agg(F.sort_array(F.collect_set(F.struct("entity_id", "surface"))).alias("entity_links"))
-    return s.orders.join(links.withColumnRenamed("memory_id", "id"), "id", "left").select(F.struct("id", F.round("value", 4).alias("score"), "entity_links").alias("row"))
+    public = s.orders.join(links.withColumnRenamed("memory_id", "id"), "id", "left").select(F.struct("id", F.round("value", 4).alias("score"), "entity_links").alias("row"))
+    return public.select("row.id", "row.score", F.col("row.entity_links.entity_id").alias("entities"))
 
 

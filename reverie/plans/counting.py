@@ -52,19 +52,19 @@ def _(s):
     return s.orders.join(hit, "id", "left_semi").agg(n_rows())
 
 
-@query("j7_orphan_entities", """SELECT id FROM entities e WHERE NOT EXISTS (SELECT 1 FROM mentions m WHERE m.entity_id = e.id AND m.memory_id < 500)
-  AND NOT EXISTS (SELECT 1 FROM relations r WHERE r.object = 'p' || e.id AND r.memory_id < 300) AND NOT EXISTS (SELECT 1 FROM entities o WHERE o.merged_into = e.id)""")
+@query("j7_orphan_entities", """SELECT id FROM entities e WHERE NOT EXISTS (SELECT 1 FROM mentions m WHERE m.entity_id = e.id)
+  AND NOT EXISTS (SELECT 1 FROM relations r WHERE r.object = 'p' || e.id) AND NOT EXISTS (SELECT 1 FROM entities o WHERE o.merged_into = e.id)""")
 def _(s):
-    used = s.mentions.where("memory_id < 500").select(F.col("entity_id").alias("id"))
-    ends = s.relations.where("memory_id < 300").select(F.explode(F.array("subject", "object")).alias("x")).where("x LIKE 'p%'").select(F.expr("CAST(substring(x, 2) AS BIGINT)").alias("id"))
+    used = s.mentions.select(F.col("entity_id").alias("id"))
+    ends = s.relations.select(F.explode(F.array("subject", "object")).alias("x")).where("x LIKE 'p%'").select(F.expr("CAST(substring(x, 2) AS BIGINT)").alias("id"))
     merged = s.entities.where("merged_into IS NOT NULL").select(F.col("merged_into").alias("id"))
     return upkeep.orphans(s.entities.select("id"), used, ends, merged)
 
 
-@query("j8_orphan_topics", "SELECT id FROM topics t WHERE id NOT IN (SELECT topic_id FROM memory_topics x JOIN memories m ON m.id = x.memory_id WHERE m.user_id = 'src2') AND id NOT IN (SELECT broader FROM topic_relations WHERE seq < 3)")
+@query("j8_orphan_topics", "SELECT id FROM topics t WHERE id NOT IN (SELECT topic_id FROM memory_topics) AND id NOT IN (SELECT broader FROM topic_relations UNION SELECT narrower FROM topic_relations)")
 def _(s):
-    own = s.memories.where("user_id = 'src2'").select(F.col("id").alias("memory_id"))
-    return upkeep.orphans(s.topics.select("id"), s.memory_topics.join(own, "memory_id", "left_semi").select(F.col("topic_id").alias("id")), s.topic_relations.where("seq < 3").select(F.col("broader").alias("id")))
+    ends = s.topic_relations.select(F.explode(F.array("broader", "narrower")).alias("id"))
+    return upkeep.orphans(s.topics.select("id"), s.memory_topics.select(F.col("topic_id").alias("id")), ends)
 
 
 @query("j9_edges_touching", "SELECT subject, object FROM relations WHERE subject IN ('s1', 's7') OR object IN ('p3', 'p9')")
@@ -79,10 +79,9 @@ def _(s):
     return s.proposals.select("id", "status", *upkeep.unordered(F.col("entity_a"), F.col("entity_b"))).join(wanted, ["low", "high"]).select("id", "status")
 
 
-@query("j13_similar_pairs", "SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.embedding, b.embedding)::DOUBLE, 4) AS similarity FROM vectors a JOIN vectors b ON a.tag = b.tag AND a.id < b.id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.3")
+@query("j13_similar_pairs", "SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.embedding, b.embedding)::DOUBLE, 4) AS similarity FROM vectors a JOIN vectors b ON a.id < b.id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4")
 def _(s):
-    pairs = search.similarity_pairs(s.vectors, 0.3, "tag")
-    return pairs.select("a", "b", F.round("similarity", 4).alias("similarity"))
+    return search.similarity_pairs(s.vectors, 0.4).select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 
 @query("j14_cooccurrence", "SELECT a.entity_id AS a, b.entity_id AS b, count(DISTINCT a.memory_id) AS n FROM mentions a JOIN mentions b ON a.memory_id = b.memory_id AND a.entity_id < b.entity_id GROUP BY ALL HAVING count(DISTINCT a.memory_id) > 1")
@@ -90,6 +89,23 @@ def _(s):
     return graph.shared_counts(s.mentions, "memory_id", "entity_id").where("n > 1")
 
 
+#: Tags that mean the same: close centroids, or less close ones whose labels are alike, that rarely stand together.
+SPLIT = """, cen AS (SELECT tag, count(*) AS n FROM vector_tags GROUP BY 1), mean AS (SELECT tag, list(m ORDER BY i) AS c FROM (SELECT tag, i, avg(v::DOUBLE) AS m FROM (SELECT tag, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM vector_tags) GROUP BY ALL) GROUP BY 1),
+both_ AS (SELECT a.tag AS a, b.tag AS b, count(DISTINCT a.id) AS n FROM vector_tags a JOIN vector_tags b ON a.id = b.id AND a.tag < b.tag GROUP BY ALL),
+label AS (SELECT id AS tag, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM vectors),
+pair AS (SELECT a.tag AS a, b.tag AS b, na.n AS x, nb.n AS y, list_cosine_similarity(a.c, b.c) AS sim, list_cosine_similarity(la.e, lb.e) AS named, coalesce(t.n, 0) AS together
+  FROM mean a JOIN mean b ON a.tag < b.tag JOIN cen na ON na.tag = a.tag JOIN cen nb ON nb.tag = b.tag LEFT JOIN label la ON la.tag = a.tag LEFT JOIN label lb ON lb.tag = b.tag LEFT JOIN both_ t ON t.a = a.tag AND t.b = b.tag WHERE na.n >= 2 AND nb.n >= 2),
+split AS (SELECT CASE WHEN x >= y THEN a ELSE b END AS canonical, CASE WHEN x >= y THEN b ELSE a END AS variant, round(sim, 4) AS similarity FROM pair
+  WHERE (sim >= 0.93 OR (sim >= 0.75 AND named >= 0.62)) AND together / least(x, y)::DOUBLE <= 0.25)
+"""
+
+
+def split_pairs(s, most=20):
+    together = graph.shared_counts(s.vector_tags, "id", "tag")
+    labels = s.vectors.select(F.col("id").cast("int").alias("tag"), F.col("embedding").alias("label"))
+    return upkeep.split_tags(upkeep.tag_centroids(s.vector_tags), together, labels, most=most)
+
+
 ROOTS = """, walk AS (SELECT id, id AS here, merged_into AS nxt, 0 AS d FROM entities UNION ALL SELECT w.id, e.id, e.merged_into, d + 1 FROM walk w JOIN entities e ON e.id = w.nxt WHERE d < 12),
 roots AS (SELECT e.id, r.here AS root FROM entities e LEFT JOIN (SELECT id, here FROM walk WHERE nxt IS NULL) r USING (id))
 """
@@ -100,11 +116,11 @@ def _(s):
     return graph.roots(s.entities)
 
 
-@query("j16_endpoint_names", "SELECT s_name AS subject, p_name AS object, count(*) AS n FROM relations JOIN supplier ON subject = 's' || s_suppkey JOIN part ON object = 'p' || p_partkey WHERE relations.user_id = 2 GROUP BY ALL")
+@query("j16_endpoint_names", "SELECT s_name AS subject, p_name AS object, count(*) AS n FROM relations JOIN supplier ON subject = 's' || s_suppkey JOIN part ON object = 'p' || p_partkey GROUP BY ALL")
 def _(s):
     sup = s.table("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("subject"), "s_name")
     part = s.table("part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("object"), "p_name")
-    named = s.relations.where("user_id = 2").join(sup, "subject").join(part, "object")
+    named = s.relations.join(sup, "subject").join(part, "object")
     return named.groupBy(F.col("s_name").alias("subject"), F.col("p_name").alias("object")).agg(n_rows())
 
 
@@ -159,15 +175,23 @@ def _(s):
     return upkeep.tag_centroids(s.vectors).select("tag", F.posexplode("centroid").alias("pos", "mean")).select("tag", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"))
 
 
-@query("a7_tag_health", """, own AS (SELECT id, unnest(categories) AS tag FROM memories WHERE invalid_at IS NULL), c AS (SELECT tag, count(DISTINCT id) AS n FROM own GROUP BY 1)
+HEALTH = """, own AS (SELECT id, unnest(categories) AS tag FROM memories WHERE invalid_at IS NULL), c AS (SELECT tag, count(DISTINCT id) AS n FROM own GROUP BY 1)"""
+
+
+@query("a7_tag_health", HEALTH + SPLIT + """, top AS (SELECT canonical || ' ' || variant AS pair, similarity FROM split ORDER BY similarity DESC, canonical, variant LIMIT 5)
 SELECT (SELECT count(*) FROM memories WHERE invalid_at IS NULL) AS total, (SELECT count(*) FROM memories WHERE invalid_at IS NULL AND len(categories) = 0) AS untagged,
-  count(*) AS tags, count(*) FILTER (WHERE n = 1) AS single_use, round(count(*) FILTER (WHERE n = 1) / count(*), 3) AS share FROM c""")
+  count(*) AS tags, count(*) FILTER (WHERE n = 1) AS single_use, round(count(*) FILTER (WHERE n = 1) / count(*), 3) AS share, (SELECT count(*) FROM split) AS suspected,
+  coalesce((SELECT string_agg(pair, ', ' ORDER BY similarity DESC, pair) FROM top), '') AS first FROM c""")
 def _(s):
     live = s.memories.where(P.active())
     tags = live.select("id", F.explode("categories").alias("tag")).groupBy("tag").agg(F.countDistinct("id").alias("n"))
     used = tags.agg(F.count(F.lit(1)).alias("tags"), F.count_if(F.col("n") == 1).alias("single_use"), F.round(F.count_if(F.col("n") == 1) / F.count(F.lit(1)), 3).alias("share"))
     whole = live.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.size("categories") == 0).alias("untagged"))
-    return search.beside(whole, used)
+    pairs = graph.kept(split_pairs(s, None), "split")
+    top = pairs.orderBy(F.desc("similarity"), "canonical", "variant").limit(5)
+    named = F.struct((-F.col("similarity")).alias("less"), F.concat_ws(" ", F.col("canonical").cast("string"), F.col("variant").cast("string")).alias("pair"))
+    listed = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(named)), lambda x: x["pair"]), ", ").alias("first"))  # five rows
+    return search.beside(search.beside(search.beside(whole, used), pairs.agg(F.count(F.lit(1)).alias("suspected"))), listed)
 
 
 @query("a8_stats", """SELECT count(*) AS memories, count(*) FILTER (WHERE invalid_at IS NULL) AS active, count(*) FILTER (WHERE superseded_by IS NOT NULL) AS superseded,

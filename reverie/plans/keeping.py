@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reverie.functions import scoring, text
-from reverie.operators import graph, lifecycle, search, upkeep
-from reverie.plans.counting import ROOTS
+from reverie.operators import graph, lifecycle, reconciling, resolving, search, upkeep
+from reverie.plans.counting import ROOTS, SPLIT, split_pairs
 from reverie.plans.registry import query
 from reverie.sources.store import NOW
 
@@ -41,9 +44,13 @@ def _(s):
     return upkeep.mapped_tags(tagged, upkeep.obvious_tags(_tags(s).select("tag")))
 
 
-@query("d3_merged_topics", TAGS + "SELECT canonical, count(*) AS n FROM merges GROUP BY 1")
+@query("d3_merged_topics", TAGS + """, spoken AS (SELECT p_partkey AS id, lower(trim(tag)) AS tag FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN p_name || 's' WHEN 2 THEN upper(p_name) WHEN 3 THEN replace(p_name, ' ', '_') || 's' ELSE p_name || ' series' END AS tag FROM part))
+SELECT coalesce(canonical, tag) AS tag, count(DISTINCT id) AS n FROM spoken LEFT JOIN merges USING (tag) GROUP BY 1""")
 def _(s):
-    return upkeep.obvious_tags(_tags(s).select("tag")).groupBy("canonical").agg(n_rows())
+    """The histogram of tags after the obvious ones were merged, on every memory that has them."""
+    spoken = _tags(s).select(F.col("p_partkey").alias("id"), F.lit(0).alias("place"), text.normal(F.col("tag")).alias("tag"))
+    moved = upkeep.mapped_tags(spoken, upkeep.obvious_tags(spoken.select("tag")))
+    return moved.groupBy("tag").agg(F.countDistinct("id").alias("n"))
 
 
 @query("d6_retag", "SELECT id, array_to_string(CASE WHEN invalid_at IS NULL AND list_has_any(categories, ['nation_3', 'nation_4']) THEN list_append(list_filter(categories, lambda c: c NOT IN ('nation_3', 'nation_4')), 'far') ELSE categories END, ',') AS tags FROM memories")
@@ -51,31 +58,67 @@ def _(s):
     return upkeep.retag(s.memories, ["nation_3", "nation_4"], "far").select("id", F.array_join("categories", ",").alias("tags"))
 
 
+@query("d6_retag_relations", "SELECT DISTINCT CASE WHEN broader IN ('r1', 'r2') THEN 'r2' ELSE broader END AS broader, CASE WHEN narrower IN ('r1', 'n3') THEN 'r2' ELSE narrower END AS narrower FROM topic_relations WHERE CASE WHEN broader IN ('r1', 'r2') THEN 'r2' ELSE broader END <> CASE WHEN narrower IN ('r1', 'n3') THEN 'r2' ELSE narrower END")
+def _(s):
+    """r1 and n3 become r2: edges move along, those that close on themselves go."""
+    return upkeep.retagged_relations(s.topic_relations.select("broader", "narrower"), ["r1", "n3"], "r2")
+
+
 @query("d7_exact_restatements", r", k AS (SELECT seq, trim(regexp_replace(lower(content), '[^\p{L}\p{N}_]+', ' ', 'g')) AS key FROM memories) SELECT a.seq AS id FROM k a WHERE a.seq % 2 = 1 AND EXISTS (SELECT 1 FROM k b WHERE b.key = a.key AND b.seq % 2 = 0)")
 def _(s):
     k = s.contents.select(F.col("seq").alias("id"), text.loosely(F.col("content")).alias("key"))
     return k.where("id % 2 = 1").join(k.where("id % 2 = 0").select("key"), "key", "left_semi").select("id")
 
 
-DECISIONS = r", k AS (SELECT seq, trim(regexp_replace(lower(content), '[^\p{L}\p{N}_]+', ' ', 'g')) AS key, importance FROM memories), new AS (SELECT * FROM k WHERE seq % 2 = 1), old AS (SELECT key, min(seq) AS target, max(importance) AS importance FROM k WHERE seq % 2 = 0 GROUP BY key)"
+DECISIONS = r""", k AS (SELECT *, trim(regexp_replace(lower(content), '[^\p{L}\p{N}_]+', ' ', 'g')) AS form FROM memories), old AS (SELECT * FROM k WHERE seq % 2 = 0), live AS (SELECT * FROM old WHERE invalid_at IS NULL),
+known AS (SELECT user_id, form, arg_min(id, struct_pack(c := created_at, s := seq)) AS known FROM live GROUP BY ALL),
+new AS (SELECT *, CASE seq % 8 WHEN 1 THEN 'add' WHEN 3 THEN 'UPDATE' WHEN 5 THEN 'delete' ELSE CASE WHEN seq % 3 = 0 THEN 'NONE' ELSE 'odd' END END AS asked, CASE WHEN seq % 8 IN (3, 5) THEN CAST(seq + 17 AS VARCHAR) END AS wanted FROM k WHERE seq % 2 = 1),
+fate AS (SELECT n.id, n.seq, n.content, n.importance, n.user_id, CASE WHEN w.known IS NOT NULL OR asked = 'NONE' THEN 'NONE' WHEN upper(asked) IN ('UPDATE', 'DELETE') AND t.id IS NOT NULL THEN upper(asked) ELSE 'ADD' END AS action, w.known, t.id AS there
+  FROM new n LEFT JOIN known w ON w.user_id = n.user_id AND w.form = n.form LEFT JOIN live t ON t.id = n.wanted AND t.user_id = n.user_id),
+fates AS (SELECT id, seq, content, importance, action, CASE WHEN known IS NOT NULL THEN known WHEN action <> 'ADD' THEN there END AS target, CASE WHEN action = 'UPDATE' THEN CASE WHEN seq % 16 = 3 THEN 'refined ' || id ELSE content END END AS said FROM fate)
+"""
 
 
-@query("d8_reconcile", DECISIONS + " SELECT seq AS id, CASE WHEN target IS NULL THEN 'ADD' ELSE 'NONE' END AS action, target, greatest(new.importance, coalesce(old.importance, 0)) AS importance FROM new LEFT JOIN old USING (key)")
+def _fates(s):
+    """Odd memories are new facts, even ones the store; decisions name a target some rows on, which may be of another user, gone or missing."""
+    stored, new = s.memories.where("seq % 2 = 0"), s.memories.where("seq % 2 = 1").select("id", "seq", "content", "user_id", "importance")
+    k = F.col("seq") % 8
+    asked = F.when(k == 1, "add").when(k == 3, "UPDATE").when(k == 5, "delete").when(F.col("seq") % 3 == 0, "NONE").otherwise("odd")
+    decisions = new.select("id", asked.alias("action"), F.when(k.isin(3, 5), (F.col("seq") + 17).cast("string")).alias("target"), F.when(F.col("seq") % 16 == 3, F.concat(F.lit("refined "), "id")).alias("new_content"))
+    return stored, graph.kept(reconciling.decided(new, stored, decisions), "fates")
+
+
+@query("d8_reconcile", DECISIONS + "SELECT id, action, target, md5(said) AS said FROM fates")
 def _(s):
-    k = s.memories.select("seq", text.loosely(F.col("content")).alias("key"), "importance")
-    old = k.where("seq % 2 = 0").groupBy("key").agg(F.min("seq").alias("target"), F.max("importance").alias("kept"))
-    joined = k.where("seq % 2 = 1").join(old, "key", "left")
-    return joined.select(F.col("seq").alias("id"), F.when(F.col("target").isNull(), "ADD").otherwise("NONE").alias("action"), "target", F.greatest("importance", F.coalesce("kept", F.lit(0.0))).alias("importance"))
+    return _fates(s)[1].select("id", "action", "target", F.md5(F.col("new_content").cast("binary")).alias("said"))
 
 
-GROUPS = """, pairs AS (SELECT a.id AS a, b.id AS b FROM vectors a JOIN vectors b ON a.tag = b.tag AND a.id < b.id WHERE list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) >= 0.36),
+@query("d8_state", DECISIONS + """, up AS (SELECT target, arg_max(said, id) AS said, max(importance) AS importance FROM fates WHERE action = 'UPDATE' GROUP BY 1), gone AS (SELECT target, max(id) AS ender FROM fates WHERE action = 'DELETE' GROUP BY 1)
+SELECT o.id, md5(coalesce(up.said, o.content)) AS content, greatest(o.importance, up.importance) AS importance, coalesce(ender, superseded_by) AS superseded_by, ender IS NULL AND invalid_at IS NULL AS active FROM old o LEFT JOIN up ON up.target = o.id LEFT JOIN gone ON gone.target = o.id
+UNION ALL SELECT id, md5(content), importance, NULL, true FROM fates WHERE action IN ('ADD', 'DELETE')""")
+def _(s):
+    stored, fates = _fates(s)
+    state = reconciling.state_after(stored, fates, F.expr(f"timestamp_ntz'{NOW}'"))
+    return state.select("id", F.md5(F.col("content").cast("binary")).alias("content"), "importance", "superseded_by", F.col("invalid_at").isNull().alias("active"))
+
+
+@query("d8_events", DECISIONS + """SELECT id AS memory_id, 'ADD' AS event, NULL AS old, md5(content) AS new FROM fates WHERE action IN ('ADD', 'DELETE')
+UNION ALL SELECT target, CASE action WHEN 'UPDATE' THEN 'UPDATE' ELSE 'SUPERSEDE' END, md5(o.content), md5(coalesce(said, f.content)) FROM fates f JOIN old o ON o.id = f.target WHERE action IN ('UPDATE', 'DELETE')""")
+def _(s):
+    stored, fates = _fates(s)
+    out = reconciling.events_of(fates, stored)
+    return out.select("memory_id", "event", F.md5(F.col("old_content").cast("binary")).alias("old"), F.md5(F.col("new_content").cast("binary")).alias("new"))
+
+
+GROUPS = """, pairs AS (SELECT a.id AS a, b.id AS b FROM vectors a JOIN vectors b ON a.id < b.id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.42),
 e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS node, a AS low FROM e UNION SELECT e.b, low FROM reach JOIN e ON e.a = reach.node),
 comp AS (SELECT node, min(low) AS component FROM reach GROUP BY node), sized AS (SELECT component, count(*) AS size FROM comp GROUP BY 1)
 """
 
 
 def _groups(s, most=6):
-    return upkeep.groups_of(search.similarity_pairs(s.vectors, 0.36, "tag").select("a", "b"), most)
+    """Groups of all vectors; the least similarity is lower than a store's 0.90, which these vectors don't reach."""
+    return upkeep.groups_of(search.similarity_pairs(s.vectors, 0.42, links_only=True).select("a", "b"), most)
 
 
 @query("v4_similarity_groups", GROUPS + "SELECT node, component, size FROM comp JOIN sized USING (component) WHERE size BETWEEN 2 AND 6")
@@ -88,78 +131,106 @@ def _(s):
     return _groups(s).select("component", "size").distinct().orderBy(F.desc("size"), "component").limit(5)
 
 
-SPLIT = """, cen AS (SELECT tag, count(*) AS n FROM vectors GROUP BY 1), mean AS (SELECT tag, list(m ORDER BY i) AS c FROM (SELECT tag, i, avg(v::DOUBLE) AS m FROM (SELECT tag, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM vectors) GROUP BY ALL) GROUP BY 1),
-pair AS (SELECT a.tag AS a, b.tag AS b, na.n AS x, nb.n AS y, list_cosine_similarity(a.c, b.c) AS sim FROM mean a JOIN mean b ON a.tag < b.tag JOIN cen na ON na.tag = a.tag JOIN cen nb ON nb.tag = b.tag)
-"""
+@query("v5_split_tags", SPLIT + "SELECT canonical, variant, similarity FROM split ORDER BY similarity DESC, 1, 2 LIMIT 20")
+def _(s):
+    return split_pairs(s, 20)
 
 
-def _split(s, most):
-    none = s.spark.sql("SELECT CAST(0 AS INT) AS a, CAST(1 AS INT) AS b, 1000000 AS n")
-    return upkeep.split_tags(upkeep.tag_centroids(s.vectors), none, -1.0, most=most)
+@query("k7_pairs_top", SPLIT + "SELECT canonical, variant FROM split ORDER BY similarity DESC, 1, 2 LIMIT 3")
+def _(s):
+    return split_pairs(s, 3).select("canonical", "variant")
 
 
-@query("v5_split_tags", SPLIT + "SELECT CASE WHEN x >= y THEN a ELSE b END AS canonical, CASE WHEN x >= y THEN b ELSE a END AS variant, round(sim, 4) AS similarity FROM pair WHERE NOT (a = 0 AND b = 1) ORDER BY round(sim, 4) DESC, 1, 2 LIMIT 20")
+@query("d5_suggested_merges", TAGS + SPLIT + """, sure AS (SELECT canonical, tag AS variant FROM merges WHERE tag <> canonical), near AS (SELECT CAST(canonical AS VARCHAR) AS canonical, CAST(variant AS VARCHAR) AS variant FROM (SELECT * FROM split ORDER BY similarity DESC, canonical, variant LIMIT 20))
+SELECT * FROM sure UNION ALL SELECT canonical, variant FROM near WHERE variant NOT IN (SELECT variant FROM sure) AND canonical NOT IN (SELECT variant FROM sure)""")
 def _(s):
-    return _split(s, 20)
+    sure = upkeep.obvious_tags(_tags(s).select("tag")).where("tag <> canonical").select("canonical", F.col("tag").alias("variant"))
+    near = split_pairs(s, 20).select(F.col("canonical").cast("string").alias("canonical"), F.col("variant").cast("string").alias("variant"))
+    taken = sure.select("variant")
+    free = near.join(taken, "variant", "left_anti").join(taken.withColumnRenamed("variant", "canonical"), "canonical", "left_anti")
+    return sure.unionByName(free)
 
 
-@query("k7_pairs_top", SPLIT + "SELECT CASE WHEN x >= y THEN a ELSE b END AS canonical, CASE WHEN x >= y THEN b ELSE a END AS variant FROM pair WHERE NOT (a = 0 AND b = 1) ORDER BY round(sim, 4) DESC, 1, 2 LIMIT 3")
+@query("d9_consolidate", GROUPS + r""", g AS (SELECT m.*, component AS k, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM comp JOIN sized USING (component) JOIN memories m ON m.seq = node WHERE size BETWEEN 2 AND 6 AND invalid_at IS NULL),
+chosen AS (SELECT k FROM g GROUP BY k HAVING count(*) >= 2 ORDER BY count(*) DESC, k LIMIT 25)
+SELECT k, count(*) AS n, count(DISTINCT array_to_string(w, ' ')) = 1 AS same, max(importance) AS importance, arg_min(memory_type, struct_pack(c := created_at, s := seq)) AS memory_type, arg_max(seq, struct_pack(i := importance, l := length(content), m := -epoch_us(created_at), s := -seq)) AS speaker,
+  list_sort(list(id)) AS originals FROM g WHERE k IN (SELECT k FROM chosen) GROUP BY k""")
 def _(s):
-    return _split(s, 3).select("canonical", "variant")
+    """The first 25 groups of active similar memories, as one row would replace each; only those of one wording merge without a judge."""
+    groups = _groups(s).select(F.col("node").alias("seq"), F.col("component").alias("k"))
+    own = graph.kept(s.memories.where("invalid_at IS NULL").join(groups, "seq"), "groups")
+    chosen = own.groupBy("k").agg(n_rows()).where("n >= 2").orderBy(F.desc("n"), "k").limit(25).select("k")
+    return upkeep.consolidated(own.join(chosen, "k", "left_semi"), "k").select("k", "n", "same", "importance", "memory_type", "speaker", "originals")
 
 
-@query("d5_suggested_merges")
-def _(s):
-    sure = upkeep.obvious_tags(_tags(s).select("tag")).where("tag <> canonical").select("canonical", F.col("tag").alias("variant"))
-    near = _split(s, 5).select(F.col("canonical").cast("string").alias("canonical"), F.col("variant").cast("string").alias("variant"))
-    return sure.union(near.join(sure.select("variant"), "variant", "left_anti").select("canonical", "variant"))
+STOPPED = ", ".join(f"'{w}'" for w in text.CONTEXT_STOPWORDS)
 
 
-@query("d9_consolidate", """, g AS (SELECT seq, content, importance, memory_type, created_at, categories, md5(lower(content)) AS k FROM memories), s AS (SELECT k FROM g GROUP BY k HAVING count(*) BETWEEN 2 AND 6)
-SELECT min(seq) AS first, count(*) AS n, max(importance) AS importance, arg_min(memory_type, struct_pack(c := created_at, s := seq)) AS memory_type, arg_max(seq, struct_pack(i := importance, l := length(content), m := -epoch_us(created_at), s := -seq)) AS speaker FROM g WHERE k IN (SELECT k FROM s) GROUP BY k""")
-def _(s):
-    rows = s.memories.withColumn("k", F.md5(F.lower("content").cast("binary")))
-    groups = rows.groupBy("k").agg(n_rows()).where("n BETWEEN 2 AND 6").select("k")
-    own = rows.join(groups, "k", "left_semi")
-    merged = upkeep.merged_rows(own, "k").select("k", "n", "importance", "memory_type")
-    speaker = upkeep.representatives(own, "k").select("k", F.col("seq").alias("speaker"))
-    return merged.join(speaker, "k").join(own.groupBy("k").agg(F.min("seq").alias("first")), "k").drop("k")
+def context_sql(facts: str, name: str) -> str:
+    """The distinct stems of the telling words of facts, in SQL."""
+    words = lambda c: rf"regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}]+')"
+    cut = lambda n: f"left(w, length(w) - {n})"
+    stem = f"""CASE WHEN length(w) > 6 AND ends_with(w, 'ing') THEN CASE WHEN right({cut(3)}, 1) = right({cut(4)}, 1) THEN {cut(4)} ELSE {cut(3)} END WHEN length(w) > 5 AND ends_with(w, 'ied') THEN {cut(3)} || 'y'
+      WHEN length(w) > 5 AND ends_with(w, 'ed') THEN {cut(2)} WHEN length(w) > 5 AND ends_with(w, 'ies') THEN {cut(3)} || 'y' WHEN length(w) > 4 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') AND NOT ends_with(w, 'us') THEN {cut(1)} ELSE w END"""
+    told = f"list_filter({words(facts)}, lambda w: w NOT IN ({STOPPED}) AND length(w) >= 3 AND NOT list_contains({words(name)}, w))"
+    return f"list_distinct(list_filter(list_transform({told}, lambda w: {stem}), lambda w: length(w) >= 3 AND w NOT IN ({STOPPED})))"
 
 
-FACTS = """, e AS (SELECT id, 'Ada Smith' AS name, CASE WHEN id % 2 = 0 THEN 'person' END AS kind, CASE id % 5 WHEN 0 THEN 'Ada Smith was planning telescopes' WHEN 1 THEN 'she plans a garden' WHEN 2 THEN '' WHEN 3 THEN 'telescopes and gardens' ELSE 'they are working' END AS facts FROM entities WHERE id < 40),
-w AS (SELECT id, kind, facts, CASE id % 5 WHEN 0 THEN ['plan', 'telescope'] WHEN 1 THEN ['she', 'plan', 'garden'] WHEN 3 THEN ['telescope', 'garden'] ELSE CAST([] AS VARCHAR[]) END AS c FROM e)
+#: Entities of one name, the anchor with each other one, and what the latest eight memories say of either; every third has no facts.
+FACTS = """, said AS (SELECT entity_id, m.content, row_number() OVER (PARTITION BY entity_id ORDER BY m.updated_at DESC, m.seq) AS r FROM (SELECT DISTINCT entity_id, memory_id FROM mentions) x JOIN memories m ON m.seq = x.memory_id),
+facts AS (SELECT entity_id AS id, string_agg(content, ' / ' ORDER BY r) AS facts FROM said WHERE r <= 8 GROUP BY 1),
+full_ AS (SELECT e.id, e.name, e.normalized, CASE WHEN e.id % 2 = 0 THEN e.entity_type END AS kind, e.description, e.updated, CASE WHEN e.id % 3 <> 0 THEN f.facts END AS facts FROM entities e LEFT JOIN facts f USING (id) WHERE merged_into IS NULL),
+anchored AS (SELECT *, first_value(id) OVER (PARTITION BY normalized ORDER BY updated DESC, id) AS anchor FROM full_),
+two AS (SELECT a.id, a.name, a.kind, a.facts, a.description, b.id AS other, b.name AS name2, b.kind AS kind2, b.facts AS facts2, """ + context_sql("a.facts", "a.name") + " AS x, " + context_sql("b.facts", "b.name") + """ AS y FROM full_ a JOIN anchored b ON b.anchor = a.id AND b.id <> a.id),
+met AS (SELECT *, list_intersect(x, y) AS z FROM two)
 """
 
 
 def _facts(s):
-    k = F.col("id") % 5
-    facts = F.when(k == 0, "Ada Smith was planning telescopes").when(k == 1, "she plans a garden").when(k == 2, "").when(k == 3, "telescopes and gardens").otherwise("they are working")
-    return s.entities.where("id < 40").select("id", F.lit("Ada Smith").alias("name"), F.when(F.col("id") % 2 == 0, "person").alias("kind"), facts.alias("facts"))
+    facts = resolving.facts_of(s.mentions, s.texts, 8)
+    known = s.entities.where("merged_into IS NULL").join(facts, "id", "left")
+    return known.withColumns({"entity_type": F.when(F.col("id") % 2 == 0, F.col("entity_type")), "facts": F.when(F.col("id") % 3 != 0, F.col("facts"))})
 
 
 def _fact_pairs(s):
-    a = _facts(s)
-    b = a.select(F.col("id").alias("other"), F.col("name").alias("name2"), F.col("kind").alias("kind2"), F.col("facts").alias("facts2"))
-    return a.join(b, (F.col("name") == F.col("name2")) & (F.col("id") < F.col("other")))
+    """Each name's latest entity with its others, so that a name of many entities gives as many pairs and not their square."""
+    known = graph.kept(_facts(s), "facts")
+    anchor = F.first("id").over(W.partitionBy("normalized").orderBy(F.desc("updated"), "id"))
+    pairs = known.select(F.col("id").alias("other"), anchor.alias("id")).where("id <> other")
+    side = known.select("id", "name", F.col("entity_type").alias("kind"), "facts", "description")
+    two = known.select(F.col("id").alias("other"), F.col("name").alias("name2"), F.col("entity_type").alias("kind2"), F.col("facts").alias("facts2"))
+    return pairs.join(side, "id").join(two, "other")
 
 
-@query("d10_same_entity", FACTS + "SELECT a.id, b.id AS other, len(list_intersect(a.c, b.c)) >= 2 OR (len(list_intersect(a.c, b.c)) = 1 AND length(list_intersect(a.c, b.c)[1]) >= 6) AS same FROM w a JOIN w b ON a.id < b.id")
+@query("d10_same_entity", FACTS + r"""SELECT id, other, len(regexp_extract_all(lower(name), '[\p{L}\p{N}]+')) >= 2 AND coalesce(kind = kind2, true) AND (len(z) >= 2 OR (len(z) = 1 AND length(z[1]) >= 6 AND len(z) / greatest(least(len(x), len(y)), 1) >= 0.12)) AS same FROM met""")
 def _(s):
     p = _fact_pairs(s)
     return p.select("id", "other", upkeep.same_entity(F.col("name"), F.col("name2"), F.col("kind"), F.col("kind2"), F.col("facts"), F.col("facts2")).alias("same"))
 
 
-@query("d11_no_evidence", FACTS + "SELECT a.id, b.id AS other, a.facts = '' AS same FROM w a JOIN w b ON a.id < b.id")
+@query("d11_no_evidence", FACTS + "SELECT id, other, coalesce(kind = kind2, true) AND coalesce(facts, '') = '' AND trim(coalesce(description, '')) = '' AS same FROM met")
 def _(s):
     p = _fact_pairs(s)
-    return p.select("id", "other", upkeep.no_evidence(F.col("name"), F.col("name2"), F.col("kind"), F.col("kind2"), F.col("facts"), F.lit(None).cast("string")).alias("same"))
+    return p.select("id", "other", upkeep.no_evidence(F.col("name"), F.col("name2"), F.col("kind"), F.col("kind2"), F.col("facts"), F.col("description")).alias("same"))
+
+
+SEEN = ROOTS + FACTS + r""", seen AS (SELECT DISTINCT x.memory_id, lower(trim(e.name)) AS name, e.name AS surface, CASE WHEN e.id % 2 = 0 THEN e.entity_type END AS kind, m.content FROM mentions x JOIN entities e ON e.id = x.entity_id JOIN memories m ON m.seq = x.memory_id WHERE e.merged_into IS NULL AND e.id % 2 = 0),
+named AS (SELECT x.name, x.id, l.updated FROM (SELECT normalized AS name, id FROM entities WHERE merged_into IS NULL UNION SELECT lower(trim(surface)), entity_id FROM mentions UNION SELECT e.normalized, r.root FROM entities e JOIN roots r USING (id) WHERE e.merged_into IS NOT NULL) x JOIN (SELECT id, updated FROM entities WHERE merged_into IS NULL) l USING (id)),
+asked AS (SELECT s.*, n.id, n.updated, f.name AS fname, f.kind AS kind1, f.facts, f.description FROM seen s JOIN named n USING (name) JOIN full_ f ON f.id = n.id),
+judged AS (SELECT *, lower(trim(fname)) = name AND coalesce(kind1 = kind, true) AND coalesce(facts, '') = '' AND trim(coalesce(description, '')) = '' AS bare, """ + context_sql("facts", "fname") + " AS x, " + context_sql("content", "surface") + r""" AS y FROM asked),
+verdicts AS (SELECT *, bare OR (len(regexp_extract_all(lower(fname), '[\p{L}\p{N}]+')) >= 2 AND regexp_extract_all(lower(fname), '[\p{L}\p{N}]+') = regexp_extract_all(lower(surface), '[\p{L}\p{N}]+') AND coalesce(kind1 = kind, true) AND (len(list_intersect(x, y)) >= 2 OR (len(list_intersect(x, y)) = 1 AND length(list_intersect(x, y)[1]) >= 6 AND 1 / greatest(least(len(x), len(y)), 1) >= 0.12))) AS taken FROM judged)
+"""
 
 
-@query("d12_resolve_mentions")
+@query("d12_resolve_mentions", SEEN + "SELECT memory_id, name, arg_max(id, struct_pack(u := updated, i := -id)) FILTER (WHERE taken) AS entity_id, NOT bool_or(taken) AS is_new, CASE WHEN bool_or(taken) THEN 0 ELSE count(DISTINCT id) END AS proposed FROM verdicts GROUP BY memory_id, name")
 def _(s):
-    known = s.entities.where("merged_into IS NULL").select(F.col("normalized").alias("name"), "id").groupBy("name").agg(F.min("id").alias("id"))
-    seen = s.mentions.select(text.normal(F.col("surface")).alias("name")).distinct()
-    return seen.join(known, "name", "left").select("name", "id", F.col("id").isNull().alias("is_new"))
+    """Names of living entities with even ids, as if the memories that mention them were read anew."""
+    live = s.entities.where("merged_into IS NULL AND id % 2 = 0").select(F.col("id").alias("entity_id"), F.col("name").alias("surface"), "entity_type", text.normal(F.col("name")).alias("n"))
+    seen = s.mentions.select("entity_id", "memory_id").distinct().join(live, "entity_id").join(s.texts.select("memory_id", "content"), "memory_id")
+    own = seen.select("memory_id", "surface", "entity_type", "content").distinct()
+    known = _facts(s)
+    found = resolving.resolved_mentions(own, known.drop("facts"), s.mentions, graph.roots(s.entities), known.select("id", "facts"))
+    return found.select("memory_id", "name", "entity_id", "is_new", F.size("proposed").cast("long").alias("proposed"))
 
 
 SAME = """, live AS (SELECT id, first_value(id) OVER (PARTITION BY normalized ORDER BY updated DESC, id) AS anchor FROM entities WHERE merged_into IS NULL),
@@ -172,19 +243,41 @@ def _(s):
     return upkeep.same_name_pairs(s.entities, s.proposals)
 
 
-@query("d14_open_proposals", ROOTS + "SELECT p.id, CASE WHEN a.root IS NULL OR b.root IS NULL THEN 'rejected' WHEN a.root = b.root THEN 'confirmed' ELSE 'proposed' END AS status FROM proposals p LEFT JOIN roots a ON a.id = p.entity_a LEFT JOIN roots b ON b.id = p.entity_b WHERE status = 'proposed'")
+OPEN = ROOTS + FACTS + r""", asked AS (SELECT p.id, a.root AS ra, b.root AS rb FROM (SELECT * FROM proposals WHERE status = 'proposed' UNION ALL SELECT 1000000 + id, id, anchor, 0, 'proposed', 0 FROM anchored WHERE id <> anchor) p LEFT JOIN roots a ON a.id = p.entity_a LEFT JOIN roots b ON b.id = p.entity_b),
+ends AS (SELECT q.*, a.name, a.kind, a.facts, a.description, b.name AS name2, b.kind AS kind2, b.facts AS facts2, b.description AS description2, """ + context_sql("a.facts", "a.name") + " AS x, " + context_sql("b.facts", "b.name") + r""" AS y FROM asked q LEFT JOIN full_ a ON a.id = ra LEFT JOIN full_ b ON b.id = rb),
+told AS (SELECT *, lower(trim(name)) = lower(trim(name2)) AND coalesce(kind = kind2, true) AND ((coalesce(facts, '') = '' AND trim(coalesce(description, '')) = '') OR (coalesce(facts2, '') = '' AND trim(coalesce(description2, '')) = '')) AS bare, list_intersect(x, y) AS z, regexp_extract_all(lower(name), '[\p{L}\p{N}]+') AS n1, regexp_extract_all(lower(name2), '[\p{L}\p{N}]+') AS n2 FROM ends),
+settled AS (SELECT *, CASE WHEN ra IS NULL OR rb IS NULL THEN 'rejected' WHEN ra = rb THEN 'confirmed' WHEN bare THEN 'merged' WHEN len(n1) >= 2 AND n1 = n2 AND coalesce(kind = kind2, true) AND (len(z) >= 2 OR (len(z) = 1 AND length(z[1]) >= 6 AND 1 / greatest(least(len(x), len(y)), 1) >= 0.12)) THEN 'merged' ELSE 'kept' END AS fate,
+  NOT coalesce(bare, false) OR coalesce(facts, '') <> '' OR coalesce(facts2, '') = '' AS first FROM told)
+"""
+
+
+def _open(s):
+    """Open proposals, and a new one for each entity that shares its name with a later one."""
+    live = s.entities.where("merged_into IS NULL")
+    anchor = F.first("id").over(W.partitionBy("normalized").orderBy(F.desc("updated"), "id"))
+    new = live.select("id", anchor.alias("anchor")).where("id <> anchor").select((F.col("id") + 1000000).alias("id"), F.col("id").alias("entity_a"), F.col("anchor").alias("entity_b"), F.lit("proposed").alias("status"))
+    known = _facts(s)
+    entities = s.entities.withColumn("entity_type", F.when(F.col("id") % 2 == 0, F.col("entity_type")))
+    return resolving.open_proposals(entities, s.proposals.select("id", "entity_a", "entity_b", "status").union(new), known.select("id", "facts"))
+
+
+@query("d14_open_proposals", OPEN + "SELECT id, fate, CASE WHEN first THEN ra ELSE rb END AS keep, CASE WHEN first THEN rb ELSE ra END AS merge FROM settled")
 def _(s):
-    r = graph.roots(s.entities)
-    open_ = s.proposals.where("status = 'proposed'").join(r.select(F.col("id").alias("entity_a"), F.col("root").alias("ra")), "entity_a", "left").join(r.select(F.col("id").alias("entity_b"), F.col("root").alias("rb")), "entity_b", "left")
-    fate = F.when(F.col("ra").isNull() | F.col("rb").isNull(), "rejected").when(F.col("ra") == F.col("rb"), "confirmed").otherwise("proposed")
-    return open_.select("id", fate.alias("status"))
+    return _open(s).select("id", "fate", "keep", "merge")
 
 
-@query("d15_resolve_entities")
+@query("d15_resolve_entities", OPEN + """, pairs AS (SELECT least(id, anchor) AS low, greatest(id, anchor) AS high FROM anchored WHERE id <> anchor EXCEPT SELECT least(entity_a, entity_b), greatest(entity_a, entity_b) FROM proposals)
+SELECT 'proposed' AS step, count(*) AS n FROM pairs UNION ALL SELECT fate, count(*) FROM settled GROUP BY 1
+UNION ALL SELECT 'orphans', count(*) FROM entities e WHERE id NOT IN (SELECT entity_id FROM mentions) AND 'p' || id NOT IN (SELECT object FROM relations) AND id NOT IN (SELECT merged_into FROM entities WHERE merged_into IS NOT NULL)
+UNION ALL SELECT 'no referent', 0""")
 def _(s):
-    pairs = upkeep.same_name_pairs(s.entities, s.proposals, None).agg(n_rows()).select(F.lit("proposed").alias("step"), "n")
-    junk = s.entities.where(text.no_referent(F.col("name")).isNotNull()).agg(n_rows()).select(F.lit("no referent").alias("step"), "n")
-    return pairs.union(junk)
+    """The steps of a whole clean-up: new pairs, the fates of open proposals, orphans, names that can be no entity."""
+    count = lambda df, name: df.agg(n_rows()).select(F.lit(name).alias("step"), "n")
+    pairs = count(upkeep.same_name_pairs(s.entities, s.proposals, None), "proposed")
+    settled = _open(s).groupBy(F.col("fate").alias("step")).agg(n_rows())
+    ends = s.relations.select(F.expr("CAST(substring(object, 2) AS BIGINT)").alias("id"))
+    lost = upkeep.orphans(s.entities.select("id"), s.mentions.select(F.col("entity_id").alias("id")), ends, s.entities.where("merged_into IS NOT NULL").select(F.col("merged_into").alias("id")))
+    return pairs.union(settled).union(count(lost, "orphans")).union(count(s.entities.where(text.no_referent(F.col("name")).isNotNull()), "no referent"))
 
 
 @query("d19_topic_upsert", "SELECT DISTINCT lower(trim(c_mktsegment)) AS normalized FROM customer WHERE lower(trim(c_mktsegment)) NOT IN (SELECT normalized FROM topics)")
@@ -193,6 +286,11 @@ def _(s):
     return new.join(s.topics.select("normalized"), "normalized", "left_anti")
 
 
+@query("d19_topic_links", "SELECT DISTINCT id AS memory_id, lower(trim(tag)) AS normalized FROM (SELECT id, unnest(categories) AS tag FROM memories)")
+def _(s):
+    return reconciling.topics_of(s.memories, s.topics)[0]
+
+
 @query("d20_hierarchy_insert", "SELECT DISTINCT 'r' || c_custkey % 5 AS broader, 'n' || c_nationkey AS narrower FROM customer WHERE NOT EXISTS (SELECT 1 FROM topic_relations t WHERE t.broader = 'r' || c_custkey % 5 AND t.narrower = 'n' || c_nationkey)")
 def _(s):
     new = s.table("customer").select(F.concat(F.lit("r"), (F.col("c_custkey") % 5).cast("string")).alias("broader"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("narrower")).distinct()
@@ -204,16 +302,16 @@ def _(s):
     return graph.closure(s.topic_relations, s.topics.where("id = 'r2'").select("id")).select("id")
 
 
-@query("g7_new_edges", ", incoming AS (SELECT DISTINCT 's' || l_suppkey AS subject, 'supplies' AS predicate, 'p' || ((l_partkey + l_linenumber) % 2000) AS object, l_suppkey % 10 AS user_id FROM lineitem WHERE l_orderkey < 500) SELECT subject, object FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM relations r WHERE r.invalid_at IS NULL AND r.subject = i.subject AND r.object = i.object AND r.user_id = i.user_id)")
+@query("g7_new_edges", ", incoming AS (SELECT DISTINCT 's' || l_suppkey AS subject, 'supplies' AS predicate, 'p' || ((l_partkey + l_linenumber) % 2000) AS object, l_suppkey % 10 AS user_id FROM lineitem) SELECT subject, object FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM relations r WHERE r.invalid_at IS NULL AND r.subject = i.subject AND r.object = i.object AND r.user_id = i.user_id)")
 def _(s):
-    li = s.table("lineitem").where("l_orderkey < 500")
+    li = s.table("lineitem")
     new = li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("subject"), F.lit("supplies").alias("predicate"), F.concat(F.lit("p"), ((F.col("l_partkey") + F.col("l_linenumber")) % 2000).cast("string")).alias("object"), (F.col("l_suppkey") % 10).alias("user_id"))
     return upkeep.new_edges(new, s.relations).select("subject", "object")
 
 
-@query("g8_resolve_relations", "SELECT DISTINCT a.l_partkey AS subject, b.l_partkey AS object FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey AND a.l_orderkey < 2000")
+@query("g8_resolve_relations", "SELECT DISTINCT a.l_partkey AS subject, b.l_partkey AS object FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey")
 def _(s):
-    own = s.table("lineitem").where("l_orderkey < 2000").select(F.col("l_orderkey").alias("memory"), "l_linenumber", text.normal(F.concat(F.lit(" Part "), F.col("l_partkey").cast("string"))).alias("surface"))
+    own = s.table("lineitem").select(F.col("l_orderkey").alias("memory"), "l_linenumber", text.normal(F.concat(F.lit(" Part "), F.col("l_partkey").cast("string"))).alias("surface"))
     triples = own.select("memory", F.col("surface").alias("s"), (F.col("l_linenumber") + 1).alias("l_linenumber")).join(own.withColumnRenamed("surface", "o"), ["memory", "l_linenumber"])
     names = s.mentions.select(F.col("memory_id").alias("memory"), text.normal(F.col("surface")).alias("name"), "entity_id").distinct()
     left = triples.join(names.select("memory", F.col("name").alias("s"), F.col("entity_id").alias("subject")), ["memory", "s"])
@@ -221,34 +319,77 @@ def _(s):
     return both.where("subject <> object").select("subject", "object").distinct()
 
 
-@query("g9_merge_entities", ROOTS + ", ed AS (SELECT DISTINCT entity_a AS subject, entity_b AS object FROM proposals) SELECT coalesce(a.root, subject) AS subject, coalesce(b.root, object) AS object, coalesce(a.root, subject) = coalesce(b.root, object) AS self_edge FROM ed LEFT JOIN roots a ON a.id = subject LEFT JOIN roots b ON b.id = object")
+#: Proposals that are confirmed merge their ends; several at once may form chains.
+MERGED = """, pair AS (SELECT least(entity_a, entity_b) AS a, greatest(entity_a, entity_b) AS b FROM proposals WHERE status = 'confirmed'), e2 AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair), walk2 AS (SELECT a AS node, a AS low FROM e2 UNION SELECT e2.b, low FROM walk2 JOIN e2 ON e2.a = walk2.node),
+moved AS (SELECT node AS id, min(low) AS root FROM walk2 GROUP BY node HAVING min(low) <> node)
+"""
+
+
+def _merged(s):
+    moved = resolving.merged_roots(s.proposals.where("status = 'confirmed'").select(F.col("entity_a").alias("keep"), F.col("entity_b").alias("merge")))
+    end = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    mapped = moved.withColumns({"end": end("id"), "end_root": end("root")})
+    edges = s.relations.withColumn("subject", F.when(F.col("subject") == "s1", F.lit("p6")).otherwise(F.col("subject")))
+    return resolving.after_merges(s.entities, s.mentions, edges, s.proposals, mapped, F.expr(f"timestamp_ntz'{NOW}'"))
+
+
+@query("g9_merge_entities", MERGED + "SELECT e.id, coalesce(m.root, e.merged_into) AS merged_into, m.root IS NOT NULL OR e.id IN (SELECT root FROM moved) AS stale FROM entities e LEFT JOIN moved m USING (id)")
+def _(s):
+    return _merged(s)["entities"].select("id", "merged_into", "stale")
+
+
+@query("g9_merged_mentions", MERGED + "SELECT coalesce(root, entity_id) AS entity_id, count(*) AS n FROM mentions LEFT JOIN moved ON id = entity_id GROUP BY 1")
+def _(s):
+    return _merged(s)["mentions"].groupBy("entity_id").agg(n_rows())
+
+
+@query("g9_merged_relations", MERGED + """, r AS (SELECT CASE WHEN subject = 's1' THEN 'p6' ELSE subject END AS subject, object, invalid_at, user_id FROM relations), f AS (SELECT coalesce('p' || a.root, subject) AS subject, coalesce('p' || b.root, object) AS object, invalid_at FROM r LEFT JOIN moved a ON 'p' || a.id = subject LEFT JOIN moved b ON 'p' || b.id = object)
+SELECT subject, object, invalid_at IS NULL AND subject <> object AS active, count(*) AS n FROM f GROUP BY ALL""")
 def _(s):
-    edges = s.proposals.select(F.col("entity_a").alias("subject"), F.col("entity_b").alias("object")).distinct()
-    return upkeep.merge_entities(graph.roots(s.entities), edges)
+    """One supplier is taken for an entity, so that some relation closes on itself."""
+    return _merged(s)["relations"].groupBy("subject", "object", F.col("invalid_at").isNull().alias("active")).agg(n_rows())
 
 
-@query("g10_delete_entity", "SELECT (SELECT count(*) FROM mentions WHERE entity_id NOT IN (5, 6)) AS mentions, (SELECT count(*) FROM relations WHERE object NOT IN ('p5', 'p6')) AS relations, (SELECT count(*) FROM proposals WHERE entity_a NOT IN (5, 6) AND entity_b NOT IN (5, 6)) AS proposals")
+@query("g9_merged_proposals", MERGED + "SELECT p.id, CASE WHEN coalesce(a.root, entity_a) = coalesce(b.root, entity_b) AND status = 'proposed' THEN 'confirmed' ELSE status END AS status, coalesce(a.root, entity_a) AS entity_a, coalesce(b.root, entity_b) AS entity_b FROM proposals p LEFT JOIN moved a ON a.id = entity_a LEFT JOIN moved b ON b.id = entity_b")
 def _(s):
-    gone = s.entities.where(F.col("id").isin(5, 6)).select("id")
-    m = s.mentions.join(gone.withColumnRenamed("id", "entity_id"), "entity_id", "left_anti").agg(F.count(F.lit(1)).alias("mentions"))
-    r = s.relations.join(gone.select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("object")), "object", "left_anti").agg(F.count(F.lit(1)).alias("relations"))
-    p = s.proposals.join(gone.select(F.col("id").alias("entity_a")), "entity_a", "left_anti").join(gone.select(F.col("id").alias("entity_b")), "entity_b", "left_anti").agg(F.count(F.lit(1)).alias("proposals"))
-    return search.beside(search.beside(m, r), p)
+    return _merged(s)["proposals"].select("id", "status", "entity_a", "entity_b")
 
 
-@query("g11_entity_hub")
+@query("g10_delete_entity", """, gone AS (SELECT id FROM entities WHERE id IN (5, 9) OR merged_into IN (5, 9))
+SELECT 'entities' AS name, count(*) AS n FROM entities WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'mentions', count(*) FROM mentions WHERE entity_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'relations', count(*) FROM relations WHERE object NOT IN ('p5', 'p9') UNION ALL SELECT 'proposals', count(*) FROM proposals WHERE entity_a NOT IN (SELECT id FROM gone) AND entity_b NOT IN (SELECT id FROM gone)""")
 def _(s):
-    own = s.mentions.where("entity_id % 100 = 17").select("entity_id", "memory_id").distinct().join(s.orders.select(F.col("id").alias("memory_id"), "updated_at"), "memory_id")
-    few = graph.per_key(own, "entity_id", [F.desc("updated_at"), F.col("memory_id")], 20)
-    return s.entities.select(F.col("id").alias("entity_id"), "name").join(few.groupBy("entity_id").agg(F.sort_array(F.collect_list("memory_id")).alias("memories")), "entity_id")
+    gone = s.entities.where(F.col("id").isin(5, 9)).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("end"))
+    left = resolving.without(s.entities, s.mentions, s.relations, s.proposals, gone)
+    rows = [df.agg(n_rows()).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
+    return reduce(DataFrame.union, rows)
 
 
-@query("g12_aliases", "SELECT id, name FROM (SELECT id, lower(name) AS name FROM entities UNION SELECT entity_id, lower(surface) FROM mentions UNION SELECT m.merged_into, lower(m.name) FROM entities m WHERE m.merged_into IN (SELECT id FROM entities)) WHERE id % 50 = 0")
+@query("g11_entity_hub", """, live AS (SELECT id, name FROM entities WHERE merged_into IS NULL),
+al AS (SELECT id, md5(string_agg(alias, '|' ORDER BY alias)) AS aliases FROM (SELECT entity_id AS id, lower(surface) AS alias FROM mentions UNION SELECT merged_into, normalized FROM entities WHERE merged_into IS NOT NULL) GROUP BY 1),
+mm AS (SELECT id, md5(string_agg(CAST(memory_id AS VARCHAR), '|' ORDER BY r)) AS memories FROM (SELECT entity_id AS id, memory_id, row_number() OVER (PARTITION BY entity_id ORDER BY updated_at DESC, memory_id) AS r FROM (SELECT DISTINCT entity_id, memory_id FROM mentions) JOIN placed ON placed.id = memory_id) WHERE r <= 20 GROUP BY 1),
+ed AS (SELECT CAST(substr(object, 2) AS BIGINT) AS id, md5(string_agg(subject || ' ' || predicate || ' ' || coalesce(name, object), '|' ORDER BY subject || ' ' || predicate || ' ' || coalesce(name, object))) AS edges FROM relations LEFT JOIN live ON 'p' || live.id = object WHERE invalid_at IS NULL GROUP BY object)
+SELECT live.id, name, aliases, memories, edges FROM live LEFT JOIN al USING (id) LEFT JOIN mm USING (id) LEFT JOIN ed USING (id)""")
+def _(s):
+    edges = s.relations.withColumns({"subject_id": F.lit(None).cast("long"), "object_id": F.expr("CAST(substring(object, 2) AS BIGINT)")})
+    hub = resolving.hubs(s.entities, s.mentions, edges, s.orders.select(F.col("id").alias("memory_id"), "updated_at"))
+    digest = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), "|").cast("binary")).alias(c)
+    return hub.select("id", "name", digest("aliases"), digest("memories"), digest("edges"))
+
+
+@query("g12_aliases", "SELECT id, name FROM (SELECT id, lower(name) AS name FROM entities UNION SELECT entity_id, lower(surface) FROM mentions UNION SELECT m.merged_into, lower(m.name) FROM entities m WHERE m.merged_into IN (SELECT id FROM entities))")
 def _(s):
     own = s.entities.select("id", text.normal(F.col("name")).alias("name"))
     said = s.mentions.select(F.col("entity_id").alias("id"), text.normal(F.col("surface")).alias("name"))
     merged = s.entities.where("merged_into IS NOT NULL").select(F.col("merged_into").alias("id"), text.normal(F.col("name")).alias("name")).join(s.entities.select("id"), "id", "left_semi")
-    return own.union(said).union(merged).where("id % 50 = 0").distinct()
+    return own.union(said).union(merged).distinct()
+
+
+#: A description is stale where the entity changed after it was written, or never had one.
+@query("l10_stale", "SELECT id, updated > CASE WHEN id % 4 <> 0 THEN 1000 + id % 7 * 100 END IS NOT FALSE AS stale FROM entities WHERE merged_into IS NULL")
+def _(s):
+    written = F.when(F.col("id") % 4 != 0, F.lit(1000) + F.col("id") % 7 * 100)
+    return s.entities.where("merged_into IS NULL").select("id", F.coalesce(F.col("updated") > written, F.lit(True)).alias("stale"))
 
 
 EFFECTIVE = f"importance * (0.15::DOUBLE + 0.85::DOUBLE * pow(0.5::DOUBLE, greatest(0, epoch_us(TIMESTAMP '{NOW}') - epoch_us(updated_at)) / 86400000000.0::DOUBLE / (90 * CASE memory_type WHEN 'episodic' THEN 0.5::DOUBLE WHEN 'procedural' THEN 3 WHEN 'working' THEN 0.25::DOUBLE ELSE 1 END)))"
@@ -260,18 +401,25 @@ def _(s):
     return s.memories.select("id", F.round(e, 6).alias("effective"))
 
 
-@query("l2_decay_sweep", f"SELECT id FROM memories WHERE invalid_at IS NULL AND {EFFECTIVE} < 0.1")
+@query("l2_decay_sweep", f"SELECT id AS memory_id, 'DELETE' AS event, 'decay' AS actor, md5(content) AS old FROM memories WHERE invalid_at IS NULL AND {EFFECTIVE} < 0.1")
 def _(s):
-    return lifecycle.faded(s.memories, NOW).select("id")
+    now = F.expr(f"timestamp_ntz'{NOW}'")
+    return reconciling.swept(s.memories, lifecycle.faded(s.memories, NOW), now)[1].select("memory_id", "event", "actor", F.md5(F.col("old_content").cast("binary")).alias("old"))
+
+
+@query("l2_swept_state", f"SELECT id, invalid_at IS NULL AND {EFFECTIVE} >= 0.1 AS active FROM memories")
+def _(s):
+    state, _ = reconciling.swept(s.memories, lifecycle.faded(s.memories, NOW), F.expr(f"timestamp_ntz'{NOW}'"))
+    return state.select("id", F.col("invalid_at").isNull().alias("active"))
 
 
 CHANGES = """, ch AS (SELECT user_id AS id, ts, event_id AS seq, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 'insert' WHEN event_type = 'click' THEN 'update' WHEN event_type = 'error' THEN 'invalidate' WHEN event_type = 'purchase' THEN 'revalidate' ELSE 'touch' END AS op,
-  CASE WHEN event_id % 2 = 0 THEN event_type END AS content, value FROM events WHERE event_id % 5 < 3)
+  CASE WHEN event_id % 2 = 0 THEN event_type END AS content, value FROM events)
 """
 
 
 def _changes(s):
-    e = s.table("events").where("event_id % 5 < 3")
+    e = s.table("events")
     first = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) == 1
     op = F.when(first, "insert").when(F.col("event_type") == "click", "update").when(F.col("event_type") == "error", "invalidate").when(F.col("event_type") == "purchase", "revalidate").otherwise("touch")
     return e.select(F.col("user_id").alias("id"), "ts", F.col("event_id").alias("seq"), op.alias("op"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("content"), F.col("value").alias("importance"))
@@ -282,6 +430,12 @@ def _(s):
     return lifecycle.fold(_changes(s)).select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("valid_from"))
 
 
+@query("l3_topic_sync", "SELECT lower(trim(tag)) AS normalized, arg_min(trim(tag), seq * 10 + i) AS name FROM (SELECT seq, unnest(categories) AS tag, generate_subscripts(categories, 1) AS i FROM memories) WHERE lower(trim(tag)) NOT IN (SELECT normalized FROM topics) GROUP BY 1")
+def _(s):
+    """The topics that inserted memories bring along."""
+    return reconciling.topics_of(s.memories, s.topics)[1].select("normalized", "name")
+
+
 @query("l4_update", CHANGES + "SELECT id, arg_max(content, struct_pack(t := ts, s := seq)) FILTER (WHERE content IS NOT NULL AND op IN ('insert', 'update')) AS content, arg_max(value, struct_pack(t := ts, s := seq)) FILTER (WHERE op IN ('insert', 'update')) AS importance FROM ch GROUP BY 1")
 def _(s):
     return lifecycle.fold(_changes(s)).select("id", "content", "importance")
@@ -292,12 +446,40 @@ def _(s):
     return lifecycle.fold(_changes(s)).select("id", F.col("invalid_at").isNotNull().alias("off"))
 
 
+@query("l5_relations", CHANGES + """, off AS (SELECT id, arg_max(op, struct_pack(t := ts, s := seq)) FILTER (WHERE op IN ('insert', 'invalidate', 'revalidate')) = 'invalidate' AS off FROM ch GROUP BY 1)
+SELECT CASE WHEN off IS NULL THEN r.invalid_at IS NULL ELSE NOT off END AS active, count(*) AS n FROM relations r LEFT JOIN off ON off.id = r.memory_id GROUP BY 1""")
+def _(s):
+    """Relations end and come back with the memory they rest on."""
+    state = lifecycle.fold(_changes(s)).select("id", "invalid_at")
+    return reconciling.relations_after(s.relations, state).groupBy(F.col("invalid_at").isNull().alias("active")).agg(n_rows())
+
+
 @query("l6_delete", CHANGES + ", d AS (SELECT id, max(struct_pack(t := ts, s := seq)) AS gone FROM ch WHERE op = 'invalidate' AND seq % 7 = 0 GROUP BY 1) SELECT DISTINCT ch.id FROM ch LEFT JOIN d USING (id) WHERE op = 'insert' AND (gone IS NULL OR struct_pack(t := ts, s := seq) > gone)")
 def _(s):
     hard = _changes(s).withColumn("op", F.when((F.col("op") == "invalidate") & (F.col("seq") % 7 == 0), "delete").otherwise(F.col("op")))
     return lifecycle.fold(hard).select("id")
 
 
+PURGES = """, op AS (SELECT *, CASE WHEN op = 'invalidate' AND seq % 3 = 0 THEN 'supersede' WHEN op = 'touch' AND seq % 89 = 0 THEN 'purge' ELSE op END AS o FROM ch),
+marked AS (SELECT *, coalesce(last_value(CASE o WHEN 'supersede' THEN 1 WHEN 'insert' THEN 0 END IGNORE NULLS) OVER w, 0) AS replaced FROM op WINDOW w AS (PARTITION BY id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+kept_ AS (SELECT * FROM marked WHERE NOT (o = 'revalidate' AND replaced = 1)),
+turned AS (SELECT *, coalesce(last_value(CASE WHEN o IN ('invalidate', 'supersede') THEN 1 WHEN o IN ('revalidate', 'insert') THEN 0 END IGNORE NULLS) OVER w, 0) AS ended FROM kept_ WINDOW w AS (PARTITION BY id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+purged AS (SELECT id, max(struct_pack(t := ts, s := seq)) AS gone FROM turned WHERE o = 'purge' AND ended = 1 GROUP BY 1)
+"""
+
+
+@query("l6_purge_unforget", CHANGES + PURGES + "SELECT k.id, coalesce(arg_max(CASE WHEN o IN ('invalidate', 'supersede') THEN 1 ELSE 0 END, struct_pack(t := ts, s := seq)) FILTER (WHERE o IN ('invalidate', 'supersede', 'revalidate', 'insert')), 0) = 1 AS ended FROM turned k LEFT JOIN purged p USING (id) WHERE gone IS NULL OR struct_pack(t := ts, s := seq) > gone GROUP BY k.id HAVING count(*) FILTER (WHERE o = 'insert') > 0")
+def _(s):
+    """A purge needs a row that has ended, and a superseded row is not brought back."""
+    op = F.when((F.col("op") == "invalidate") & (F.col("seq") % 3 == 0), "supersede").when((F.col("op") == "touch") & (F.col("seq") % 89 == 0), "purge").otherwise(F.col("op"))
+    return lifecycle.fold(_changes(s).withColumn("op", op)).select("id", F.col("invalid_at").isNotNull().alias("ended"))
+
+
+@query("l6_delete_all", "SELECT id FROM memories WHERE user_id = 'src3' AND invalid_at IS NULL")
+def _(s):
+    return lifecycle.forget_all(s.memories, F.col("user_id") == "src3", F.expr(f"timestamp_ntz'{NOW}'")).select("id")
+
+
 @query("l10_descriptions", "SELECT l_partkey AS id, array_to_string(list_slice(list('order ' || o ORDER BY o), 1, 6), ' ') AS description FROM (SELECT DISTINCT l_partkey, l_orderkey AS o FROM lineitem) GROUP BY 1")
 def _(s):
     facts = graph.per_key(s.mentions.select("entity_id", "memory_id").distinct(), "entity_id", [F.col("memory_id")], 6)

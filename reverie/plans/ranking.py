@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reverie.functions import predicates as P
 from reverie.functions import scoring, text
-from reverie.operators import graph, lifecycle, search
+from reverie.operators import graph, lifecycle, resolving, search, upkeep
 from reverie.plans.counting import ROOTS
 from reverie.plans.registry import query
 from reverie.sources.store import NOW
 
 ASKED = "The thing: in oredble ea, la the"
 
-BM25 = r""", toks AS (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM memories),
+BM25 = r""", toks AS (SELECT id, regexp_extract_all(strip_accents(lower(content)), '[\p{L}\p{N}]+') AS w FROM memories),
 totals AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS avgdl FROM toks),
-asked AS (SELECT term, count(*) AS times FROM (SELECT unnest(list_slice(regexp_extract_all(lower('The thing: in oredble ea, la the'), '[\p{L}\p{N}]+'), 1, 32)) AS term) GROUP BY 1),
+asked AS (SELECT term, count(*) AS times FROM (SELECT unnest(list_slice(regexp_extract_all(strip_accents(lower('The thing: in oredble ea, la the')), '[\p{L}\p{N}]+'), 1, 32)) AS term) GROUP BY 1),
 tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM toks) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
 df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY 1),
 bm AS (SELECT id, sum(times * greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
@@ -42,14 +45,21 @@ def _(s):
     return s.contents.select("id", F.array_join(text.query_words(F.col("content")), " ").alias("words"))
 
 
-@query("t2_index_words", r"SELECT id, CAST(len(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) AS INT) AS n FROM memories")
+@query("t2_index_words", r"SELECT id, md5(array_to_string(regexp_extract_all(strip_accents(lower(content)), '[\p{L}\p{N}]+'), ' ')) AS words FROM memories")
 def _(s):
-    return s.contents.select("id", F.size(text.words(F.col("content"))).alias("n"))
+    return s.contents.select("id", F.md5(F.array_join(text.index_words(F.col("content")), " ").cast("binary")).alias("words"))
 
 
-@query("t3_postings", r"SELECT id, dl, term, count(*) AS tf FROM (SELECT id, CAST(len(w) AS INT) AS dl, unnest(w) AS term FROM (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM memories WHERE user_id = 'src6')) GROUP BY ALL")
+@query("t3_postings", r"SELECT id, dl, term, count(*) AS tf FROM (SELECT id, CAST(len(w) AS INT) AS dl, unnest(w) AS term FROM (SELECT id, regexp_extract_all(strip_accents(lower(content)), '[\p{L}\p{N}]+') AS w FROM memories)) GROUP BY ALL")
 def _(s):
-    return search.postings(s.contents.where("user_id = 'src6'"))
+    return search.postings(s.contents)
+
+
+@query("t4_indexed", BM25 + "SELECT id, round(score, 5) AS score FROM bm")
+def _(s):
+    """The same scores from postings and lengths that are already there."""
+    index, totals = graph.kept(search.postings(s.contents), "postings"), graph.kept(search.lengths(s.contents), "lengths")
+    return search.bm25_indexed(index, totals, ASKED).select("id", F.round("score", 5).alias("score"))
 
 
 @query("t4_bm25", BM25 + "SELECT id, round(score, 5) AS score FROM bm")
@@ -116,9 +126,13 @@ def _(s):
     return search.fused(search.top(a, 30), search.top(b, 30)).select("id", F.col("vector").isNotNull().alias("in_vector"), F.col("words").isNotNull().alias("in_words"))
 
 
-@query("r1_recency", f"SELECT id, round(pow(0.5::DOUBLE, greatest(0, epoch_us(TIMESTAMP '{NOW}') - epoch_us(updated_at)) / 86400000000.0::DOUBLE / 30), 6) AS recency FROM memories")
+UNKNOWN = "CASE WHEN seq % 7 <> 0 THEN updated_at END"
+
+
+@query("r1_recency", f"SELECT id, round(coalesce(pow(0.5::DOUBLE, greatest(0, epoch_us(TIMESTAMP '{NOW}') - epoch_us({UNKNOWN})) / 86400000000.0::DOUBLE / 30) + 0 * epoch_us({UNKNOWN}), 0.5::DOUBLE), 6) AS recency FROM memories")
 def _(s):
-    return s.memories.select("id", F.round(scoring.recency(F.col("updated_at"), F.expr(f"timestamp_ntz'{NOW}'")), 6).alias("recency"))
+    """A seventh of the times is unknown."""
+    return s.memories.select("id", F.round(scoring.recency(F.when(F.col("seq") % 7 != 0, F.col("updated_at")), F.expr(f"timestamp_ntz'{NOW}'")), 6).alias("recency"))
 
 
 HYBRID = BM25 + VECTOR + RANKS + f""", h AS (SELECT f.id, vector, words, 0.70::DOUBLE * s / (SELECT max(s) FROM f) + 0.15::DOUBLE * pow(0.5::DOUBLE, greatest(0, epoch_us(TIMESTAMP '{NOW}') - epoch_us(updated_at)) / 86400000000.0::DOUBLE / 30)
@@ -141,9 +155,29 @@ def _(s):
     return hybrid(s).select("id", F.row_number().over(W.orderBy(F.desc("score"), F.asc_nulls_last("vector"), F.asc_nulls_last("words"), "id")).alias("place"))
 
 
-@query("r4_search_window", HYBRID + "SELECT id FROM (SELECT h.id, created_at FROM h JOIN memories m ON m.id = h.id ORDER BY h.score DESC, vector NULLS LAST, words NULLS LAST, h.id LIMIT 10) WHERE created_at < TIMESTAMP '2024-01-15'")
+SEARCHED = HYBRID.replace("QUALIFY vector < 30", "QUALIFY vector < 240").replace("QUALIFY words < 30", "QUALIFY words < 240") + """, hr AS (SELECT id, row_number() OVER (ORDER BY score DESC, vector NULLS LAST, words NULLS LAST, id) - 1 AS hk FROM h QUALIFY hk < 80),
+gr AS (SELECT CAST(seq AS VARCHAR) AS id, row_number() OVER (ORDER BY seq DESC) - 1 AS g FROM memories WHERE seq % 9 = 4 QUALIFY g < 50), g2 AS (SELECT gr.* FROM gr JOIN memories m USING (id) WHERE m.invalid_at IS NULL OR id IN (SELECT id FROM hr)),
+x AS (SELECT id, hk, g, coalesce(1.0::DOUBLE / (60 + hk), 0) + CASE WHEN hk IS NULL OR hk >= 10 THEN coalesce(1.0::DOUBLE / (60 + g), 0) ELSE 0 END AS s FROM hr FULL JOIN g2 USING (id)),
+o AS (SELECT x.id, row_number() OVER (ORDER BY coalesce(hk >= 5, true), CASE WHEN hk < 5 THEN hk END, s DESC, hk NULLS LAST, g NULLS LAST, x.id) AS place FROM x JOIN memories m USING (id) WHERE m.created_at < TIMESTAMP '2024-01-15')
+"""
+
+
+def _search(s, query, limit=10, **window):
+    walked = s.memories.where("seq % 9 = 4").orderBy(F.desc("seq")).limit(50).select("id", (F.row_number().over(W.orderBy(F.desc("seq"))) - 1).alias("rank"))
+    lists = _lists(s) if query.strip() else None
+    return search.search(s.memories, lists, walked, NOW, limit, **window)
+
+
+@query("r4_search_window", SEARCHED + "SELECT id, CAST(place AS INT) AS place FROM (SELECT id, row_number() OVER (ORDER BY place) AS place FROM o) WHERE place <= 10")
+def _(s):
+    """A wide fetch, fused with what the graph reaches, and then cut to the dates."""
+    return _search(s, ASKED, until="2024-01-14")
+
+
+@query("r4_blank_search", "SELECT id, CAST(row_number() OVER (ORDER BY updated_at DESC, seq) AS INT) AS place FROM memories WHERE invalid_at IS NULL AND created_at < TIMESTAMP '2024-01-15' QUALIFY place <= 10")
 def _(s):
-    return hybrid(s).where(P.within(F.col("created_at"), None, "2024-01-14")).select("id")
+    """Without words a search browses."""
+    return _search(s, "  ", until="2024-01-14")
 
 
 @query("r9_browse_window", "SELECT id FROM memories WHERE invalid_at IS NULL AND created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-02-01' ORDER BY updated_at DESC, seq LIMIT 10 OFFSET 5")
@@ -158,9 +192,8 @@ o AS (SELECT id, CAST(row_number() OVER (ORDER BY coalesce(h >= 5, true), CASE W
 
 
 def _fusion(s):
-    hy = s.memories.select("id", (F.row_number().over(W.orderBy(F.desc("importance"), "seq")) - 1).alias("rank")).where("rank < 40")
-    gr = s.memories.select("id", (F.row_number().over(W.orderBy(F.col("seq") * 7919 % 1000, "seq")) - 1).alias("rank")).where("rank < 60")
-    return search.relational_fusion(hy, gr)
+    first = lambda n, *order: s.memories.orderBy(*order).limit(n).select("id", (F.row_number().over(W.orderBy(*order)) - 1).alias("rank"))
+    return search.relational_fusion(first(40, F.desc("importance"), F.col("seq")), first(60, F.col("seq") * 7919 % 1000, F.col("seq")))
 
 
 @query("r5_relational_fusion", FUSION + "SELECT * FROM o")
@@ -195,23 +228,48 @@ def _(s):
     return _context(s).select("id", "used")
 
 
-@query("w4_budget_prefix", ", t AS (SELECT seq, CAST(length(content) // 4 AS INT) AS tokens FROM memories WHERE user_id = 'src1'), u AS (SELECT *, sum(tokens) OVER (ORDER BY seq) AS used FROM t WHERE seq >= (SELECT min(seq) FROM t WHERE tokens <= 3000)) SELECT seq AS place, CAST(used AS BIGINT) AS used FROM u WHERE used <= 3000")
+@query("w4_budget_prefix", ", t AS (SELECT seq, CAST(greatest(1, length(content) // 4) AS INT) AS tokens FROM memories), u AS (SELECT *, sum(tokens) OVER (ORDER BY seq) AS used FROM t WHERE seq >= (SELECT min(seq) FROM t WHERE tokens <= 3000)) SELECT seq AS place, CAST(used AS BIGINT) AS used FROM u WHERE used <= 3000")
 def _(s):
-    own = s.memories.where("user_id = 'src1'").select(F.col("seq").alias("place"), F.floor(F.length("content") / 4).cast("int").alias("tokens"))
+    own = s.contents.select(F.col("seq").alias("place"), lifecycle.tokens(F.col("content")).alias("tokens"))
     return lifecycle.within_budget(own, 3000).select("place", "used")
 
 
+NAMED = ROOTS + """, live AS (SELECT id, updated FROM entities WHERE merged_into IS NULL),
+names AS (SELECT x.name, x.id, l.updated FROM (SELECT normalized AS name, id FROM entities WHERE merged_into IS NULL UNION SELECT lower(trim(surface)), entity_id FROM mentions
+  UNION SELECT e.normalized, r.root FROM entities e JOIN roots r USING (id) WHERE e.merged_into IS NOT NULL) x JOIN live l USING (id))
+"""
+BLOCKS = r""", fact AS (SELECT entity_id, memory_id, row_number() OVER (PARTITION BY entity_id ORDER BY memory_id) AS r FROM (SELECT DISTINCT entity_id, memory_id FROM mentions)),
+described AS (SELECT e.id, e.name, e.entity_type, array_to_string(list('order ' || f.memory_id ORDER BY f.r), ' ') AS d FROM entities e JOIN fact f ON f.entity_id = e.id AND f.r <= 6 WHERE e.merged_into IS NULL GROUP BY ALL),
+seen AS (SELECT id, max(updated) AS u FROM names WHERE name IN ('red widget brand17', 'small ring brand2', 'part 12', 'part 12', 'part 40') GROUP BY id ORDER BY max(updated) DESC, id LIMIT 3),
+line AS (SELECT id, row_number() OVER (ORDER BY u DESC, id) AS place, '- ' || name || ' (' || entity_type || '): ' || d AS line FROM seen JOIN described USING (id)),
+cost AS (SELECT *, CAST(greatest(1, length(line) // 4) + 1 AS INT) AS tokens FROM line)
+"""
+ENTITIES = "Red widget brand17, small ring brand2: part 12, part 40?"
+
+
+def _blocks(s, budget):
+    names = graph.identities(s.entities, s.mentions, graph.roots(s.entities))
+    facts = graph.per_key(s.mentions.select("entity_id", "memory_id").distinct(), "entity_id", [F.col("memory_id")], 6)
+    joined = facts.groupBy(F.col("entity_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("memory_id")), lambda o: F.concat(F.lit("order "), o.cast("string"))), " ").alias("d"))
+    described = s.entities.where("merged_into IS NULL").join(joined, "id").select("id", "name", "entity_type", F.col("d").alias("description"))
+    return lifecycle.entity_blocks(graph.detect(ENTITIES, names, 3), described, budget)
+
+
 @query("r7_reconstructed")
 def _(s):
-    rest = _context(s, 900).select(F.lit("memory").alias("kind"), "id")
-    names = graph.detect("red widget brand17 and small ring brand2", graph.identities(s.entities, s.mentions, graph.roots(s.entities)), 3)
-    return names.select(F.lit("entity").alias("kind"), F.col("id").cast("string").alias("id")).union(rest)
+    """The entities' lines take at most a quarter of the budget (80 to 300), memories what they leave; each memory once, in order."""
+    budget = 900
+    blocks = graph.kept(_blocks(s, min(300, max(80, budget // 4))), "blocks")
+    used = blocks.agg(F.sum("tokens")).first()[0] or 0
+    theirs = graph.per_key(blocks.join(s.mentions.select(F.col("entity_id").alias("id"), "memory_id").distinct(), "id"), "id", [F.desc("memory_id")], 20)
+    rest = _context(s, budget - used).select(F.lit("memory").alias("kind"), "id")
+    return blocks.select(F.lit("entity").alias("kind"), F.col("id").cast("string").alias("id")).union(theirs.select(F.lit("memory").alias("kind"), F.concat(F.lit("order "), F.col("memory_id").cast("string")).alias("id")).distinct()).union(rest)
 
 
-@query("r8_entity_blocks")
+@query("r8_entity_blocks", NAMED + BLOCKS + ", one AS (SELECT * FROM cost WHERE place = 1), two AS (SELECT * FROM cost WHERE place = 2), three AS (SELECT * FROM cost WHERE place = 3), a AS (SELECT CASE WHEN 7 + tokens <= 60 THEN 7 + tokens ELSE 7 END AS used FROM one), b AS (SELECT CASE WHEN used + tokens <= 60 THEN used + tokens ELSE used END AS used, used AS before FROM a, two) SELECT id, tokens FROM one WHERE 7 + tokens <= 60 UNION ALL SELECT id, tokens FROM two, a WHERE used + tokens <= 60 UNION ALL SELECT id, tokens FROM three, b WHERE used + tokens <= 60")
 def _(s):
-    costs = s.entities.where("id % 10 < 3").select((F.col("id") / 10).cast("int").alias("query"), (F.col("id") % 10).cast("int").alias("place"), (F.length("name") * (F.col("id") % 7)).cast("int").alias("tokens"))
-    return lifecycle.fitted(costs, 80, "query")
+    """Up to three entities of the question with their descriptions; one that doesn't fit is left out and the next tried."""
+    return _blocks(s, 60).select("id", "tokens")
 
 
 @query("r10_eval_harness")
@@ -222,13 +280,13 @@ def _(s):
     return evals.metrics(evals.answers(s.contents.select("id", "content"), asked, 5), asked, 5)
 
 
-@query("a13_eval_metrics", """, asked AS (SELECT event_id AS q, event_id % 7 AS hit, value AS ms FROM events WHERE event_id < 2000)
+@query("a13_eval_metrics", """, asked AS (SELECT event_id AS q, event_id % 7 AS hit, value AS ms FROM events)
 SELECT round(avg(CASE WHEN hit BETWEEN 1 AND 5 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(CASE WHEN hit BETWEEN 1 AND 5 THEN 1.0 / hit ELSE 0.0 END), 6) AS mrr,
   list_sort(list(ms))[CAST(round_even(0.5 * (count(*) - 1), 0) AS INT) + 1] AS p50, list_sort(list(ms))[CAST(round_even(0.95 * (count(*) - 1), 0) AS INT) + 1] AS p95 FROM asked""")
 def _(s):
     from reverie.operators import evals
 
-    e = s.table("events").where("event_id < 2000")
+    e = s.table("events")
     return evals.summary(e.select(F.when((F.col("event_id") % 7).between(1, 5), F.col("event_id") % 7).alias("first_hit"), F.col("value").alias("ms")))
 
 
@@ -245,32 +303,45 @@ def _(s):
 
 @query("r11_strategies")
 def _(s):
-    a, b = _lists(s)
-    one = search.top(a, 10).select(F.lit("vector").alias("strategy"), "id")
-    two = search.top(b, 10).select(F.lit("words").alias("strategy"), "id")
-    return one.union(two).union(hybrid(s).select(F.lit("hybrid").alias("strategy"), "id"))
+    """What each of six strategies finds: both lists fused, that with an anchor, the graph alone, both, PageRank, and two typed hops."""
+    few = lambda name, df: df.select(F.lit(name).alias("strategy"), F.col("id").cast("string").alias("id"))
+    memories = s.orders.select(F.col("id").alias("memory_id"), "updated_at")
+    seeds = s.spark.range(1).select(F.lit(3).cast("long").alias("id"))
+    anchored = s.mentions.where("entity_id = 3").select(F.col("memory_id").alias("id")).distinct().join(memories, F.col("id") == F.col("memory_id")).orderBy(F.desc("updated_at"), "id").limit(10)
+    near = graph.kept(resolving.near_by_cooccurrence(s.mentions, memories, seeds).orderBy(F.desc("rank"), "id").limit(10), "near")
+    walked = graph.per_key(near.select(F.col("id").alias("entity_id"), "rank").join(s.mentions.select("entity_id", "memory_id").distinct(), "entity_id"), "entity_id", [F.desc("memory_id")], 1).orderBy(F.desc("rank"), "memory_id").select(F.col("memory_id").alias("id")).limit(10)
+    typed = graph.expand(s.relations.where("invalid_at IS NULL"), s.spark.range(1).select(F.lit("p3").alias("id"))).where("hop = 2").orderBy("id").limit(10)
+    words = hybrid(s)
+    parts = [few("hybrid", words), few("hybrid+anchor", words.select("id").union(anchored.select(F.col("id").cast("string")))), few("graph", walked), few("graph+hybrid", walked.select(F.col("id").cast("string")).union(words.select("id"))), few("ppr", near), few("typed2hop", typed)]
+    return reduce(DataFrame.union, parts)
 
 
 @query("v3_lsh")
 def _(s):
+    """Every vector whose id is divisible by 20 asks all others."""
+    return search.lsh_neighbours(s.vectors, s.vectors.where("id % 20 = 0"), 10).select("query", "id", "place", F.round("score", 6).alias("score"))
+
+
+VOCABULARY = VECTOR.replace("vs AS", "near AS") + """, c AS (SELECT tag, count(*) AS n FROM tagged GROUP BY 1), best AS (SELECT tag, max(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), list_transform(e, lambda x: x::DOUBLE))) AS sim FROM tagged, q GROUP BY 1),
+many AS (SELECT count(*) > 120 AS m FROM c), a AS (SELECT tag FROM best, many WHERE m ORDER BY round(sim, 9) DESC, tag LIMIT 60),
+b AS (SELECT tag FROM c WHERE tag NOT IN (SELECT tag FROM a) ORDER BY n DESC, tag LIMIT (SELECT 120 - count(*) FROM a)) SELECT tag FROM a UNION ALL SELECT tag FROM b"""
+
+
+def _vocabulary(s, tagged):
     row = s.vectors.where("id = 7").select("embedding").first()
-    return search.lsh_candidates(s.vectors, list(map(float, row[0])), 10)
+    return upkeep.vocabulary(tagged, F.array(*[F.lit(float(x)) for x in row[0]]))
 
 
-@query("v6_vocabulary", VECTOR.replace("vs AS", "near AS") + """, c AS (SELECT tag, count(*) AS n FROM vectors GROUP BY 1), best AS (SELECT tag, max(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), list_transform(e, lambda x: x::DOUBLE))) AS sim FROM vectors, q GROUP BY 1),
-a AS (SELECT tag FROM best ORDER BY sim DESC, tag LIMIT 4), b AS (SELECT tag FROM c WHERE tag NOT IN (SELECT tag FROM a) ORDER BY n DESC, tag LIMIT 3) SELECT tag FROM a UNION ALL SELECT tag FROM b""")
+@query("v6_vocabulary", VOCABULARY.replace(", q AS", ", tagged AS (SELECT id % 150 AS tag, embedding FROM vectors), q AS", 1))
 def _(s):
-    row = s.vectors.where("id = 7").select("embedding").first()
-    asked = F.array(*[F.lit(float(x)) for x in row[0]])
-    near = s.vectors.groupBy("tag").agg(F.max(scoring.cosine(F.col("embedding"), asked)).alias("sim")).orderBy(F.desc("sim"), "tag").limit(4).select("tag")
-    rest = s.vectors.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).join(near, "tag", "left_anti").orderBy(F.desc("n"), "tag").limit(3).select("tag")
-    return near.union(rest)
+    """Of 150 tags, the 60 nearest and the most frequent up to 120."""
+    return _vocabulary(s, s.vectors.select((F.col("id") % 150).alias("tag"), "embedding"))
 
 
-NAMED = ROOTS + """, live AS (SELECT id, updated FROM entities WHERE merged_into IS NULL),
-names AS (SELECT x.name, x.id, l.updated FROM (SELECT normalized AS name, id FROM entities WHERE merged_into IS NULL UNION SELECT lower(trim(surface)), entity_id FROM mentions
-  UNION SELECT e.normalized, r.root FROM entities e JOIN roots r USING (id) WHERE e.merged_into IS NOT NULL) x JOIN live l USING (id))
-"""
+@query("v6_small_vocabulary", VOCABULARY.replace(", q AS", ", tagged AS (SELECT tag, embedding FROM vectors), q AS", 1))
+def _(s):
+    """Few tags are all of the vocabulary."""
+    return _vocabulary(s, s.vectors.select("tag", "embedding"))
 
 
 @query("u1_identities", NAMED + "SELECT name, id FROM names")
@@ -283,11 +354,13 @@ def _(s):
     return graph.detect("Red widget brand17, small ring brand2: part 12?", graph.identities(s.entities, s.mentions, graph.roots(s.entities))).select("id")
 
 
-@query("g2_alias_tiers", NAMED + "SELECT name, CAST(min(tier) AS INT) AS tier FROM (SELECT name, 0 AS tier FROM names UNION ALL SELECT lower(description), 1 FROM entities WHERE description IS NOT NULL) GROUP BY 1")
+@query("g2_alias_tiers", NAMED + """, al AS (SELECT 'alias ' || id AS name, id FROM entities WHERE id % 3 = 0 AND merged_into IS NULL), asked AS (SELECT unnest(['alias 12', 'part 7', 'alias 15', 'part 3', 'alias 13']) AS name),
+hit AS (SELECT name, id, 0 AS tier FROM names JOIN asked USING (name)), more AS (SELECT name, id, 1 AS tier FROM al JOIN asked USING (name) WHERE name NOT IN (SELECT name FROM hit)) SELECT name, id, tier FROM hit UNION ALL SELECT * FROM more""")
 def _(s):
-    first = graph.identities(s.entities, s.mentions, graph.roots(s.entities)).select("name", F.lit(0).alias("tier"))
-    second = s.entities.where("description IS NOT NULL").select(F.lower("description").alias("name"), F.lit(1).alias("tier"))
-    return first.union(second).groupBy("name").agg(F.min("tier").alias("tier"))
+    """Names first; aliases in metadata only for what no name finds."""
+    names = graph.identities(s.entities, s.mentions, graph.roots(s.entities))
+    asked = s.spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("Alias 12", "part 7", "alias 15", "Part 3", "alias 13")])).alias("name"))
+    return graph.candidates(asked, names, s.changed_entities)
 
 
 EXPAND = """, live AS (SELECT subject AS u, object AS v FROM relations WHERE invalid_at IS NULL UNION SELECT object, subject FROM relations WHERE invalid_at IS NULL),
@@ -308,11 +381,12 @@ def _(s):
 
 @query("g4_fallback_pagerank")
 def _(s):
-    few = s.mentions.where("memory_id < 400")
-    counts = graph.shared_counts(few, "memory_id", "entity_id")
-    both = counts.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("n").alias("weight")).union(counts.select("b", "a", "n"))
-    seeds = few.agg(F.min("entity_id").alias("id"))
-    return graph.pagerank(both, seeds).select("id", F.round("rank", 9).alias("rank"))
+    """The seed has no typed relation, so what shares its memories comes in order of rank."""
+    memories = s.orders.select(F.col("id").alias("memory_id"), "updated_at")
+    seeds = s.mentions.agg(F.min("entity_id").alias("id"))
+    none = s.relations.where("false").select(F.col("memory_id").alias("subject"), F.col("memory_id").alias("object"))
+    near = resolving.near_by_cooccurrence(s.mentions, memories, seeds)
+    return resolving.expanded(none, seeds, lambda: near)
 
 
 @query("g5_benchmark_pagerank")
@@ -322,16 +396,19 @@ def _(s):
     return graph.pagerank(edges, few.agg(F.min("subject").alias("id")), rounds=25).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query("g6_relational_memories", EXPAND + """, ents AS (SELECT CAST(substr(id, 2) AS BIGINT) AS e, hop FROM reached WHERE starts_with(id, 'p')),
+@query("g6_relational_memories", EXPAND + """, ents AS (SELECT CAST(substr(id, 2) AS BIGINT) AS e, hop FROM reached WHERE starts_with(id, 'p') UNION ALL SELECT 3, 9 UNION ALL SELECT 8, 9),
 mem AS (SELECT e, hop, memory_id, row_number() OVER (PARTITION BY e ORDER BY updated_at DESC, memory_id) AS r FROM (SELECT DISTINCT e, hop, memory_id, updated_at FROM ents JOIN mentions ON entity_id = e JOIN placed ON placed.id = memory_id))
-SELECT memory_id, CAST(min(hop) AS INT) AS hop FROM mem WHERE r <= 5 GROUP BY 1""")
+SELECT memory_id, CAST(min(hop) AS INT) AS hop FROM mem WHERE r <= 25 GROUP BY 1""")
 def _(s):
+    """Memories of what the relations reach, 25 for each entity, and after them those of the seeds (3 and 8) themselves."""
     found = _expanded(s).where("id LIKE 'p%'").select(F.expr("CAST(substring(id, 2) AS BIGINT)").alias("entity_id"), "hop")
-    links = s.mentions.select("entity_id", "memory_id").distinct().join(found, "entity_id").join(s.orders.select(F.col("id").alias("memory_id"), "updated_at"), "memory_id")
-    return graph.per_key(links, "entity_id", [F.desc("updated_at"), F.col("memory_id")], 5).groupBy("memory_id").agg(F.min("hop").alias("hop"))
+    seeds = s.spark.range(1).select(F.explode(F.array(F.lit(3).cast("long"), F.lit(8).cast("long"))).alias("entity_id"), F.lit(9).alias("hop"))
+    own = found.unionByName(seeds).groupBy("entity_id").agg(F.min("hop").alias("hop"))
+    links = s.mentions.select("entity_id", "memory_id").distinct().join(own, "entity_id").join(s.orders.select(F.col("id").alias("memory_id"), "updated_at"), "memory_id")
+    return graph.per_key(links, "entity_id", [F.desc("updated_at"), F.col("memory_id")], 25).groupBy("memory_id").agg(F.min("hop").alias("hop"))
 
 
-@query("g13_two_hops", "SELECT DISTINCT o_custkey AS start, l_partkey AS end FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 50 = 7")
+@query("g13_two_hops", "SELECT DISTINCT o_custkey AS start, l_partkey AS end FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def _(s):
-    first = s.orders.where("user_id % 50 = 7").select(F.col("user_id").alias("a"), F.col("id").alias("b"))
+    first = s.orders.select(F.col("user_id").alias("a"), F.col("id").alias("b"))
     return graph.two_hops(first, s.mentions.select(F.col("memory_id").alias("a"), F.col("entity_id").alias("b")))

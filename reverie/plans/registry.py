@@ -44,7 +44,9 @@ relations AS (SELECT 's' || l_suppkey AS subject, 'supplies' AS predicate, 'p' |
   CASE WHEN (l_suppkey + l_partkey) % 7 = 0 THEN created_at END AS invalid_at
   FROM (SELECT l_suppkey, l_partkey, min(l_orderkey) AS memory_id, max(l_shipdate) AS created_at FROM lineitem GROUP BY ALL)),
 proposals AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN p_partkey + 1 ELSE p_partkey END AS entity_a, CASE WHEN p_partkey % 4 = 0 THEN p_partkey ELSE p_partkey + 1 END AS entity_b,
-  p_partkey % 10 AS user_id, CASE WHEN p_partkey % 6 = 0 THEN 'confirmed' WHEN p_partkey % 6 = 2 THEN 'rejected' ELSE 'proposed' END AS status, p_retailprice AS created FROM part WHERE p_partkey % 2 = 0)
+  p_partkey % 10 AS user_id, CASE WHEN p_partkey % 6 = 0 THEN 'confirmed' WHEN p_partkey % 6 = 2 THEN 'rejected' ELSE 'proposed' END AS status, p_retailprice AS created FROM part WHERE p_partkey % 2 = 0),
+vector_tags AS (SELECT id, tag * 2 + h AS tag, list_transform(list_zip(embedding, lead), lambda x: x[1]::DOUBLE + 3 * x[2]::DOUBLE) AS embedding
+  FROM (SELECT v.id, v.tag, v.embedding, l.embedding AS lead, unnest(CASE WHEN v.id % 10 = 0 THEN [0, 1] ELSE [CAST(v.id % 2 AS INT)] END) AS h FROM vectors v JOIN vectors l ON l.id = v.tag))
 """
 
 

@@ -128,6 +128,31 @@ class Store:
         return p.where(key % 2 == 0).select(key.alias("id"), a.alias("entity_a"), b.alias("entity_b"), (key % 10).alias("user_id"), F.when(key % 6 == 0, "confirmed").when(key % 6 == 2, "rejected").otherwise("proposed").alias("status"), F.col("p_retailprice").alias("created"))
 
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Memories as entities know them: memory_id, content, updated_at."""
+        return self.memories.select(F.col("seq").alias("memory_id"), "content", "updated_at")
+
+    @cached_property
+    def vector_tags(self) -> DataFrame:
+        """id, tag, embedding: each label is split in two tags, which every tenth vector has both; vectors lean to one that leads their label."""
+        v = self.vectors
+        lead = v.select(F.col("id").cast("int").alias("tag"), F.col("embedding").alias("lead"))
+        both = F.when(F.col("id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("id") % 2).cast("int")))
+        leaning = F.zip_with("embedding", "lead", lambda x, y: x.cast("double") + 3 * y.cast("double"))
+        return v.join(F.broadcast(lead.where("tag < 10")), "tag").select("id", F.explode(both).alias("h"), "tag", leaning.alias("embedding")).select("id", (F.col("tag") * 2 + F.col("h")).alias("tag"), "embedding")  # ten labels
+
+    @cached_property
+    def synthetic_tags(self) -> DataFrame:
+        n = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        return n.groupBy(F.col("r_name").alias("id")).agg(F.sort_array(F.collect_list("n_name")).alias("source_tags"))
+
+    @cached_property
+    def changed_entities(self) -> DataFrame:
+        """Entities with a second name, as metadata holds it."""
+        return self.entities.withColumn("aliases", F.when(F.col("id") % 3 == 0, F.array(F.concat(F.lit("Alias "), F.col("id").cast("string")))))
+
+
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation cases, a JSON object a line: id, sessions (or one conversation), questions."""
     turn = "array<struct<role: string, content: string>>"

@@ -34,6 +34,29 @@ def enrich(spark: SparkSession, landing: str, schema: str, out: str, checkpoint:
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def enrich_queue(spark: SparkSession, landing: str, schema: str, out: str, checkpoint: str, distill: Callable[[DataFrame], DataFrame], now: str, fail: Callable[[int], None] | None = None, files: int = 8) -> None:
+    """Distills the queue's due messages (id, content, attempts, next_attempt_at) in micro-batches to id, status, attempts, wait, content.
+
+    distill gives id and content of the facts it found. A due message without a fact failed: it
+    is tried again after a wait that doubles; others are done, and what is not due waits as it is. fail, in
+    tests, is called before a batch is done.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        due = F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now)
+        facts = distill(batch.where(due)).groupBy("id").agg(F.first("content").alias("found"))
+        tried = batch.join(facts, "id", "left")
+        status = F.when(~due, "waiting").when(F.col("found").isNotNull(), "done").otherwise("retry")
+        attempts = (F.col("attempts") + F.when(due, 1).otherwise(0)).cast("int")
+        rows = tried.select("id", status.alias("status"), attempts.alias("attempts"), F.when(status == "retry", backoff(attempts)).alias("wait"), F.col("found").alias("content"))
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if fail is not None:
+            fail(number)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(landing)
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def _retry(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     attempts, done = state.get if state.exists else (0, False)
     for frame in frames:

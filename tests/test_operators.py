@@ -1,12 +1,16 @@
 """Behaviour of the memory store's operators on small fixtures."""
 
+import hashlib
+import itertools
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from reverie.functions import embedding, predicates, scoring, text
-from reverie.operators import extraction, graph, lifecycle, search, upkeep
+from reverie.operators import evals, extraction, graph, lifecycle, reconciling, resolving, search, upkeep
 from reverie.sources import store
 from reverie.streaming import ingest
 
@@ -134,8 +138,23 @@ def test_backup_round_trip(spark, tmp_path):
     s = store.Store(spark, DATA)
     backup.export_backup(s, predicates.scoped(user_id="src3"), str(tmp_path / "b"))
     tables = backup.scoped_tables(s, predicates.scoped(user_id="src4"))
-    merged = backup.import_backup(spark, str(tmp_path / "b"), {"memories": tables["memories"], "topics": tables["topics"]}, {"memories": "id", "topics": "id"})
+    assert len(tables) == 11 and backup.dangling(tables).count() == 0
+    merged = backup.import_backup(spark, str(tmp_path / "b"), tables)
     assert merged["memories"].count() == s.memories.where("user_id IN ('src3', 'src4')").count()
+    again = backup.import_backup(spark, str(tmp_path / "b"), {k: merged[k] for k in ("topics", "memory_topics", "memories")})
+    assert again["topics"].count() == merged["topics"].count()
+    with pytest.raises(ValueError, match="differs"):
+        backup.import_backup(spark, str(tmp_path / "b"), {"topics": s.topics.withColumn("name", F.lit("other"))})
+    with pytest.raises(ValueError, match="neither"):
+        backup.import_backup(spark, _without_memories(spark, tmp_path / "b", tmp_path / "c"), {name: tables[name] for name in ("memory_topics", "memories")})
+
+
+def _without_memories(spark, path, out):
+    """The backup less its memories' rows."""
+    for name in ("memory_topics", "memories"):
+        df = spark.read.parquet(str(path / name))
+        (df.where("false") if name == "memories" else df).write.parquet(str(out / name))
+    return str(out)
 
 
 def test_same_entity_rules(spark):
@@ -155,17 +174,156 @@ def test_replies_are_rescued(spark):
 
 
 def test_hash_embedder():
-    a, b, c = embedding.hashed("Red bicycle"), embedding.hashed("red BICYCLE!"), embedding.hashed("")
-    assert a == b and sum(x * x for x in a) == pytest.approx(1) and not any(c) and len(c) == 256
-
-
-def test_lsh_finds_what_the_scan_finds(spark):
+    texts = pd.Series(["Red bicycle", "red BICYCLE!", "", None, "a", "the red red bicycle of the red"])
+    got = embedding.hashed(texts)
+    assert np.array_equal(got[0], got[1]) and np.allclose((got[[0, 4, 5]] ** 2).sum(1), 1) and not got[2:4].any() and got.shape == (6, 256)
+    # the definition, word by word
+    want = np.zeros(256)
+    words = "the red red bicycle of the red".split()
+    for f in words + [f"^{w}$"[i : i + 3] for w in words for i in range(len(w))] + [f"{a}_{b}" for a, b in itertools.pairwise(words)]:
+        h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "little")
+        want[h % 256] += 1 if h >> 62 & 1 else -1
+    assert np.allclose(got[5], want / np.linalg.norm(want))
+
+
+def test_lsh_finds_nine_tenths_of_what_the_scan_finds(spark):
     from tests.conftest import DATA
 
     v = store.Store(spark, DATA).vectors
-    q = list(map(float, v.where("id = 3").first()["embedding"]))
-    exact = search.top(search.vector_scores(v, F.array(*[F.lit(x) for x in q])), 5).collect()
-    assert search.lsh_candidates(v, q, 5).first()["id"] == exact[0]["id"] == 3
+    got = {(r.query, r.id) for r in search.lsh_neighbours(v, v.where("id % 20 = 0"), 10).collect()}
+    rows = v.collect()
+    x = np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, want = [r.id for r in rows], set()
+    for i, q in enumerate(ids):
+        if q % 20 == 0:
+            near = sorted(((-s, d) for s, d in zip(x @ x[i], ids, strict=True) if d != q))[:10]
+            want |= {(q, d) for _, d in near}
+    assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
+
+
+def clustered(spark, n=400, zero=True):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(12, 8))
+    x = centers[rng.integers(0, 12, n)] + rng.normal(0, 0.25, (n, 8))
+    x[5:9] = x[4]
+    if zero:
+        x[9] = 0
+    return x, spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(n, None)], "id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("sub", [1024, 7])
+def test_similarity_pairs_are_those_of_the_scan(spark, monkeypatch, sub):
+    monkeypatch.setattr(search, "SUB_BLOCK", sub)
+    x, table = clustered(spark)
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    near = u @ u.T >= 0.95
+    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if near[i, j]}
+    got = [(r.a, r.b) for r in search.similarity_pairs(table, 0.95).collect()]
+    assert set(got) == want and len(got) == len(want) > 500
+    links = search.similarity_pairs(table, 0.95, links_only=True).select("a", "b")
+    parts = lambda df: {(r.node, r.component) for r in graph.components(df).collect()}
+    assert links.count() < len(want) and parts(links) == parts(spark.createDataFrame(sorted(want), "a long, b long"))
+    assert search.similarity_pairs(table.where("false"), 0.9).count() == 0
+
+
+def test_split_tags_by_centroid_or_label(spark):
+    tags = {"tech": [1.0, 0.0, 0.1], "technical": [1.0, 0.0, 0.12], "food": [0.0, 1.0, 0.0], "foods": [0.6, 0.8, 0.0], "drink": [0.59, 0.81, 0.0], "thin": [1.0, 0.0, 0.1]}
+    rows = [(t, v) for t, v in tags.items() for _ in range(1 if t == "thin" else 3)] + [("technical", tags["technical"])]
+    centroids = upkeep.tag_centroids(spark.createDataFrame(rows, "tag string, embedding array<double>"))
+    labels = spark.createDataFrame([("food", [1.0, 0.1]), ("foods", [1.0, 0.2]), ("drink", [0.0, 1.0])], "tag string, label array<double>")
+    together = spark.createDataFrame([("drink", "foods", 2)], "a string, b string, n long")
+    say = lambda df: {(r.canonical, r.variant) for r in df.collect()}
+    assert say(upkeep.split_tags(centroids, together)) == {("technical", "tech")}  # drink and foods stand together, thin has one memory
+    assert say(upkeep.split_tags(centroids, together, labels)) == {("technical", "tech"), ("food", "foods")}
+
+
+def test_unknown_times(spark):
+    now, none = F.expr("timestamp_ntz'2024-04-01 00:00:00'"), F.lit(None).cast("timestamp_ntz")
+    assert one(spark, scoring.recency(none, now)) == 0.5 and one(spark, scoring.recency(F.expr("timestamp_ntz'2030-01-01 00:00:00'"), now)) == 1.0
+    assert one(spark, scoring.effective_importance(F.lit(0.7), F.lit("semantic"), none, now)) == pytest.approx(0.7)
+
+
+def test_forms_of_words(spark):
+    assert one(spark, text.index_words(F.lit("Café ÜBER_naïve ﬁn Ǆ"))) == ["cafe", "uber", "naive", "ﬁn", "ǆ"]
+    assert one(spark, text.restated(F.lit("Die STRASSE, ﬃ ς"))) == one(spark, text.restated(F.lit("die straße FFI Σ"))) == "die strasse ffi σ"
+    for word in ("Straße", "ΌΣΟΣ", "ŉa", "ﬀ", "İx"):
+        assert one(spark, text.casefolded(F.lit(word))) == word.lower().casefold()
+
+
+def test_nearest_rank(spark):
+    values = [0.5] * 40 + [float(i) for i in range(300)] + [1e9, -5.0, 3.25]
+    table = spark.createDataFrame([(v,) for v in values] + [(None,)], "ms double")
+    shares = (0.0, 0.05, 0.5, 0.95, 0.999, 1.0)
+    assert evals.nearest_rank(table, "ms", shares, cells=5) == [sorted(values)[round(q * (len(values) - 1))] for q in shares]
+    assert evals.nearest_rank(table.where("false"), "ms", (0.5,)) == [None]
+
+
+def test_purge_needs_an_ended_row_and_superseded_rows_stay_ended(spark):
+    rows = [(1, 1, "insert"), (1, 2, "purge"), (2, 1, "insert"), (2, 2, "invalidate"), (2, 3, "purge"), (3, 1, "insert"), (3, 2, "supersede"), (3, 3, "revalidate"), (4, 1, "insert"), (4, 2, "invalidate"), (4, 3, "revalidate"), (5, 1, "insert"), (5, 2, "supersede"), (5, 3, "purge"), (5, 4, "insert")]
+    ch = spark.createDataFrame([(i, t, t, op, "x", 0.5) for i, t, op in rows], "id long, t int, seq int, op string, content string, importance double").withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(t)"))
+    assert {r.id: r.invalid_at is None for r in lifecycle.fold(ch).collect()} == {1: True, 3: False, 4: True, 5: True}
+
+
+def test_imports_near_stored_vectors_are_left_out(spark):
+    rows = spark.createDataFrame([(1, "u", [1.0, 0.0]), (2, "u", [0.0, 1.0]), (3, "v", [1.0, 0.0]), (4, "u", None), (5, "u", [0.99, 0.05])], "place long, user_id string, embedding array<double>")
+    stored = spark.createDataFrame([("u", [2.0, 0.01]), ("w", [0.0, 3.0])], "user_id string, embedding array<double>")
+    assert sorted(r.place for r in upkeep.apart_from_stored(rows, stored).collect()) == [2, 3, 4]
+
+
+def test_open_proposals(spark):
+    e = spark.createDataFrame([(1, "Ada Smith", "person", None, None), (2, "Ada Smith", None, None, None), (3, "Ada Smith", "person", None, 1), (4, "Bob", None, None, None), (5, "Bob", None, None, None), (6, "Cy Young", None, None, None), (7, "Cy Young", None, None, None), (8, "X", None, None, 99)], "id long, name string, entity_type string, description string, merged_into long")
+    facts = spark.createDataFrame([(1, "planning telescopes and gardens"), (2, "plans a telescope, a garden"), (4, "tall"), (6, "pitcher"), (7, "painter")], "id long, facts string")
+    p = spark.createDataFrame([(10, 1, 2), (11, 3, 1), (12, 5, 4), (13, 6, 7), (14, 8, 1), (15, 4, 6), (16, 6, 4)], "id long, entity_a long, entity_b long").withColumn("status", F.lit("proposed"))
+    say = lambda j: {r.id: (r.fate, r.keep, r["merge"]) for r in resolving.open_proposals(e, p, facts, j).collect()}
+    got = say(None)
+    assert got[10] == ("merged", 1, 2) and got[11][0] == "confirmed" and got[12] == ("merged", 4, 5) and got[13][0] == "kept" and got[14][0] == "rejected" and got[15][0] == "kept"
+    judged = say(spark.createDataFrame([(7, 6, "same", 0.95), (2, 1, "different", 0.99), (4, 6, "different", 0.5)], "a long, b long, verdict string, confidence double"))
+    assert judged[13][0] == "merged" and judged[10][0] == "rejected" and judged[15][0] == "kept"
+
+
+def test_near_by_cooccurrence(spark):
+    links = [(1, 10), (2, 10), (2, 11), (3, 11), (3, 12), (4, 12), (1, 13), (2, 13)]
+    mentions = spark.createDataFrame(links, "entity_id long, memory_id long")
+    dates = spark.createDataFrame([(m, m) for m in (10, 11, 12, 13)], "memory_id long, updated_at long")
+    seeds = spark.createDataFrame([(1,)], "id long")
+    got = {r.id: r.rank for r in resolving.near_by_cooccurrence(mentions, dates, seeds).collect()}
+    of = lambda e: [m for x, m in links if x == e]
+    adj, reached, front = {}, {1}, {1}
+    for _ in range(2):
+        new = set()
+        for e in front:
+            for m in of(e):
+                others = [x for x, y in links if y == m]
+                for a, b in itertools.permutations(others, 2):
+                    adj.setdefault(a, {}).setdefault(b, 0)
+                    adj[a][b] += 1
+                new |= set(others) - reached
+        reached |= new
+        front = new
+    rank = dict.fromkeys(reached, 0.0) | {1: 1.0}
+    for _ in range(20):
+        flow = {n: 0.15 * (n == 1) for n in rank}
+        for a, out in adj.items():
+            for b, w in out.items():
+                flow[b] += 0.85 * rank[a] * w / sum(out.values())
+        rank = flow
+    assert got == pytest.approx({n: r for n, r in rank.items() if n != 1})
+    typed = spark.createDataFrame([(1, 7)], "subject long, object long")
+    assert [(r.id, r.hop) for r in resolving.expanded(typed, seeds, lambda: 1 / 0).collect()] == [(7, 1)]
+
+
+def test_reconcile_by_hand(spark):
+    now = F.expr("timestamp_ntz'2024-06-01 00:00:00'")
+    m = spark.createDataFrame([("a", "likes tea", "u", 0.4, None), ("b", "lives in Rome", "u", 0.9, None), ("c", "old", "u", 0.1, "x")], "id string, content string, user_id string, importance double, superseded_by string")
+    m = m.withColumns({"created_at": now, "updated_at": now, "seq": F.lit(1), "invalid_at": F.when(F.col("id") == "c", now)})
+    new = spark.createDataFrame([("1", "Likes tea!", "u", 0.5), ("2", "likes green tea", "u", 0.8), ("3", "lives in Oslo", "u", 0.2), ("4", "x", "u", 0.3), ("5", "y", "v", 0.3)], "id string, content string, user_id string, importance double")
+    d = spark.createDataFrame([("1", "DELETE", "a", None), ("2", "UPDATE", "a", " "), ("3", "DELETE", "b", None), ("4", "UPDATE", "c", "z"), ("5", "DELETE", "a", None)], "id string, action string, target string, new_content string")
+    fates = reconciling.decided(new, m, d)
+    assert {r.id: (r.action, r.target) for r in fates.collect()} == {"1": ("NONE", "a"), "2": ("UPDATE", "a"), "3": ("DELETE", "b"), "4": ("ADD", None), "5": ("ADD", None)}
+    state = {r.id: (r.content, r.importance, r.superseded_by, r.invalid_at is None) for r in reconciling.state_after(m, fates, now).collect()}
+    assert state["a"] == ("likes green tea", 0.8, None, True) and state["b"] == ("lives in Rome", 0.9, "3", False) and state["c"] == ("old", 0.1, "x", False) and len(state) == 6
+    assert sorted((r.memory_id, r.event) for r in reconciling.events_of(fates, m).collect()) == [("3", "ADD"), ("4", "ADD"), ("5", "ADD"), ("a", "UPDATE"), ("b", "SUPERSEDE")]
 
 
 def test_json_rows_and_cases(spark, tmp_path):
