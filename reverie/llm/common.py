@@ -53,23 +53,19 @@ def partitions(spark: SparkSession) -> int:
 
 
 def by_id(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) in ascending doc_id order over ranges of it; equal or missing ids by a hash of the text, so that no id fills a range."""
+    """docs (doc_id, text) in ascending doc_id order over ranges of it; equal or missing ids by a hash of the text, so that no id fills a range.
+
+    The ids come as text: pandas would make floating numbers of integers with nulls among them.
+    """
     place = ["doc_id", F.xxhash64("text")]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.repartitionByRange(partitions(docs.sparkSession), *place).sortWithinPartitions(*place, "text")
+    return own.repartitionByRange(partitions(docs.sparkSession), *place).sortWithinPartitions(*place, "text").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
 
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
-def word_key(text: Column) -> tuple[Column, Column]:
-    """Two 64-bit hashes of a text's lower-cased words in order, null without words: texts of the same words share both."""
-    words = F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
-    there = F.coalesce(words, F.lit("")) != ""
-    return F.when(there, F.xxhash64(words)), F.when(there, F.xxhash64(F.lit(1), words))
-
-
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's text, modulo folds; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

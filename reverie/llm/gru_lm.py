@@ -266,17 +266,21 @@ def _score(batches: Iterator[pa.RecordBatch], weights: gru.Weights) -> Iterator[
         yield from rest.set_column(rest.schema.get_field_index("model"), "model", pa.array(model)).to_batches()
 
 
+def with_rare_words(scored: DataFrame, rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Scored documents (row, doc_id, role, n_tokens, n_known, base, model) with what the words give whose counts the tasks did not know, as base_score and score."""
+    rare = rows.where("word IS NOT NULL").select("row", "word", "tf").join(counts, "word")
+    more = rare.groupBy("row").agg(F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("more"))
+    extra, known = F.coalesce("more", F.lit(0.0)), F.coalesce("more_known", F.lit(0))
+    return scored.join(more, "row", "left").select("doc_id", "role", "n_tokens", (F.col("n_known") + known).alias("n_known"), (F.col("base") + extra).alias("base_score"), (F.col("model") + extra).alias("score"))
+
+
 def score_numbered(rows: DataFrame, language: Language, counts: DataFrame) -> DataFrame:
     """Numbered documents to doc_id, role, n_tokens, n_known, base_score, score."""
     small_batches(rows.sparkSession)
     kept = "row long, doc_id long, role int, n_tokens long, n_known long, base double, model double"
     columns = [c.split()[0] for c in kept.split(", ")]
     scored = rows.where("ids IS NOT NULL").select(*columns, "ids").mapInArrow(partial(_score, weights=language.weights), kept)
-    rare = rows.where("word IS NOT NULL").select("row", "word", "tf").join(counts, "word")
-    more = rare.groupBy("row").agg(F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("more"))
-    whole = written(scored, "scores").join(more, "row", "left")
-    extra, known = F.coalesce("more", F.lit(0.0)), F.coalesce("more_known", F.lit(0))
-    return whole.select("doc_id", "role", "n_tokens", (F.col("n_known") + known).alias("n_known"), (F.col("base") + extra).alias("base_score"), (F.col("model") + extra).alias("score"))
+    return with_rare_words(written(scored, "scores"), rows, counts)
 
 
 def score(docs: DataFrame, language: Language, counts: DataFrame) -> DataFrame:

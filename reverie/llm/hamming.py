@@ -22,7 +22,7 @@ from reverie.llm.common import load, partitions, written
 
 BITS = 64
 #: Codes and queries of a block.
-INDEX_BLOCK, QUERY_BLOCK = 1 << 16, 1 << 12
+INDEX_BLOCK, QUERY_BLOCK = 1 << 16, 1 << 15
 SEARCHED = "query_code long, code long, distance int"
 
 
@@ -111,7 +111,9 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     right = asked.select("query_code", own("query_code", query_blocks).alias("j")).withColumn("i", every(index_blocks))
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(lambda index, asks: _block(index, asks, k + 1), SEARCHED)
     members = found.join(codes, "code").select("query_code", "distance", F.explode("ids").alias("id"))
-    answers = members.groupBy("query_code").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "id"))), 1, k + 1).alias("near"))
+    nearest_ids = F.row_number().over(W.partitionBy("query_code").orderBy("distance", "id"))
+    few = members.withColumn("nth", nearest_ids).where(F.col("nth") <= k + 1)
+    answers = few.groupBy("query_code").agg(F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("near"))  # k + 1 at most
     asked_rows = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query_code")).join(answers, "query_code")
     others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
     return asked_rows.select("query_id", F.posexplode(others)).select("query_id", (F.col("pos") + 1).alias("rank"), "col.id", "col.distance")

@@ -76,7 +76,7 @@ def _cut(frames: Iterator[pd.DataFrame], tokenizer: str, size: int) -> Iterator[
     columns = ["part", "doc_id", "start", "length", "doc_tokens", "ids", "nth"]
 
     def frame_of(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=columns, dtype=object).astype({"doc_id": "Int64"})
 
     for frame in frames:
         docs = [None if pd.isna(d) else int(d) for d in frame["doc_id"]]
@@ -103,13 +103,14 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")  # pandas would make floating numbers of integers with nulls among them
     pieces = written(docs.mapInPandas(partial(_cut, tokenizer=tokenizer, size=size), PIECES), "pieces")
     counts = written(pieces.groupBy("part", "length").count(), "piece-counts", 8)
     placed = pack_histogram({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, size)
-    before = counts.select("part", "length", F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    earlier = F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = counts.withColumn("before", earlier).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("before"))  # a row a part, of size entries at most
     places = spark.createDataFrame(placed or [(0, 0, 0, 0, 0)], "length int, lo long, hi long, first long, offset long")
-    ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    ranked = pieces.join(before, "part").withColumn("rank", F.element_at("before", F.col("length")) + F.col("nth")).drop("before")
     found = ranked.join(F.broadcast(places), "length").where("rank >= lo AND rank < hi")
     return found.select("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "ids", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 

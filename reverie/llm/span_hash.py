@@ -368,15 +368,15 @@ def _with_next(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 rows.append(_edited(*held, t, h) + (part, None, None))
             held = (d, t, h)
-        yield pd.DataFrame(rows, columns=_COLUMNS).astype({"doc_id": "Int64", "n_chars": "Int64"})
+        yield pd.DataFrame(rows, columns=_COLUMNS, dtype=object).astype({"doc_id": "Int64", "n_chars": "Int64"})
     if held is not None:
-        yield pd.DataFrame([(held[0],) + (None,) * 6 + (part, "last", held[1])], columns=_COLUMNS).astype({"doc_id": "Int64", "n_chars": "Int64"})
+        yield pd.DataFrame([(held[0],) + (None,) * 6 + (part, "last", held[1])], columns=_COLUMNS, dtype=object).astype({"doc_id": "Int64", "n_chars": "Int64"})
 
 
 def _edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = [_edited(None if pd.isna(d) else int(d), t or "", PrefixHash(t), a or "", PrefixHash(a)) for d, t, a in zip(frame["doc_id"], frame["text"], frame["after"], strict=True)]
-        yield pd.DataFrame(rows, columns=_COLUMNS[:7]).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(rows, columns=_COLUMNS[:7], dtype=object).astype({"doc_id": "Int64"})
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -399,7 +399,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     link = spark.createDataFrame(list(after.items()), "part int, following int")
     last = rows.where("edge = 'last'").select("doc_id", "text", "part").join(link, "part")
     first = rows.where("edge = 'first'").select(F.col("part").alias("following"), F.col("text").alias("after"))
-    return done.unionByName(last.join(first, "following").select("doc_id", "text", "after").mapInPandas(_edges, ", ".join(ROWS.split(", ")[:7])))
+    return done.unionByName(last.join(first, "following").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "after").mapInPandas(_edges, ", ".join(ROWS.split(", ")[:7])))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

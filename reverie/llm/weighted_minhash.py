@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reverie.llm.common import boxed, load, runs_of, small_batches, word_key, written
+from reverie.llm.common import boxed, load, runs_of, small_batches, written
 from reverie.llm.components import components
 
 SHINGLE = 5
@@ -46,8 +46,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles_of(texts) -> list[np.ndarray]:
-    """For each text its shingles: 32-bit hashes in order, repeats kept.
+def shingles_of(texts) -> list[tuple[np.ndarray, int, int]]:
+    """For each text its shingles (32-bit hashes in order, repeats kept) and two hashes of its whole word sequence.
 
     Words are lower-cased and split at ASCII white space. One to four words are one shingle; no
     words, none.
@@ -71,7 +71,7 @@ def shingles_of(texts) -> list[np.ndarray]:
             full = full * _ODD + words[k : n - SHINGLE + 1 + k]
         full = (_mixed(full) >> np.uint64(32)).astype(np.uint32)
         place = np.arange(n, dtype=np.uint64) - np.repeat(bounds[:-1], np.diff(bounds)).astype(np.uint64)
-        one = _mixed(words + place * _ODD)
+        one, two = _mixed(words + place * _ODD), _mixed((words ^ _ODD) + place * np.uint64(0xC2B2AE3D27D4EB4F))
         out = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a >= SHINGLE:
@@ -80,7 +80,7 @@ def shingles_of(texts) -> list[np.ndarray]:
                 own = (_mixed(np.array([np.bitwise_xor.reduce(one[a:b]) + np.uint64(b - a)])) >> np.uint64(32)).astype(np.uint32)
             else:
                 own = np.zeros(0, np.uint32)
-            out.append(own)
+            out.append((own, int(one[a:b].sum(dtype=np.uint64).astype(np.int64)), int(two[a:b].sum(dtype=np.uint64).astype(np.int64))))
     return out
 
 
@@ -89,22 +89,55 @@ def _counters(u: np.ndarray) -> tuple[np.ndarray, ...]:
     return (x % np.uint64(WIDTH)).astype(np.int64), ((x >> np.uint64(32)) % np.uint64(WIDTH)).astype(np.int64)
 
 
-def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class _Sketch:
+    """Document frequencies in DEPTH rows of WIDTH counters."""
+
+    def __init__(self):
+        self.table, self.docs = np.zeros((DEPTH, WIDTH), np.int64), 0
+
+    def add(self, texts: list[np.ndarray], times: np.ndarray) -> None:
+        own = [np.unique(s) for s in texts]
+        weight = np.repeat(times.astype(float), [len(s) for s in own])
+        self.docs += int(times.sum())
+        for row, at in zip(self.table, _counters(np.concatenate([np.zeros(0, np.uint32), *own])), strict=True):
+            row += np.bincount(at, weight, WIDTH).astype(np.int64)
+
+    def rows(self, part: int) -> pd.DataFrame:
+        flat = self.table.ravel()
+        chunks = range(0, len(flat), CHUNK)
+        return pd.DataFrame({"part": [part] * len(chunks), "chunk": [i // CHUNK for i in chunks], "docs": self.docs, "counts": [flat[i : i + CHUNK].tobytes() for i in chunks]})
+
+
+def _keys_and_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each document with the hashes of its words, null without words, and the task's sketch."""
     from pyspark import TaskContext
 
-    table, docs, seen = np.zeros((DEPTH, WIDTH), np.int64), 0, False
+    sketch = _Sketch()
+    columns = ["doc_id", "one", "two", "part", "chunk", "docs", "counts"]
+    kinds = dict.fromkeys(columns[:-1], "Int64") | {"counts": object}
     for frame in frames:
         for run in runs_of(frame["text"]):
-            own = [np.unique(s) for s in shingles_of(frame["text"].iloc[run])]
-            times, seen = frame["times"].to_numpy(np.int64)[run], True
-            docs += int(times.sum())
-            weight = np.repeat(times.astype(float), [len(s) for s in own])
-            for row, at in zip(table, _counters(np.concatenate(own)), strict=True):
-                row += np.bincount(at, weight, WIDTH).astype(np.int64)
-    flat = table.ravel()
+            ids, own = frame["doc_id"].to_numpy(np.int64)[run], shingles_of(frame["text"].iloc[run])
+            known, worded = frame["known"].to_numpy(bool)[run], np.array([len(s) > 0 for s, _, _ in own], bool)
+            counts = worded & known
+            sketch.add([s for (s, _, _), c in zip(own, counts, strict=True) if c], np.ones(int(counts.sum()), np.int64))
+            key = lambda k: pd.array([x[k] if w else None for x, w in zip(own, worded, strict=True)], "Int64")  # noqa: E731, B023
+            yield pd.DataFrame({"doc_id": pd.arrays.IntegerArray(ids, ~known), "one": key(1), "two": key(2)}).reindex(columns=columns).astype(kinds)
+    if sketch.docs:
+        yield sketch.rows(TaskContext.get().partitionId()).reindex(columns=columns).astype(kinds)
+
+
+def _less_copies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sketch of what copies counted too often: texts (vector, times)."""
+    from pyspark import TaskContext
+
+    sketch, seen = _Sketch(), False
+    for frame in frames:
+        seen = seen or len(frame) > 0
+        for a in range(0, len(frame), 256):
+            sketch.add([np.frombuffer(v, "<u4") for v in frame["vector"].iloc[a : a + 256]], frame["times"].to_numpy(np.int64)[a : a + 256])
     if seen:
-        chunks = range(0, len(flat), CHUNK)
-        yield pd.DataFrame({"part": TaskContext.get().partitionId(), "chunk": [i // CHUNK for i in chunks], "docs": docs, "counts": [flat[i : i + CHUNK].tobytes() for i in chunks]})
+        yield sketch.rows(TaskContext.get().partitionId())
 
 
 def _add(frame: pd.DataFrame) -> pd.DataFrame:
@@ -112,16 +145,18 @@ def _add(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "chunk": [int(frame["chunk"].iloc[0])], "docs": [int(frame["docs"].sum())], "counts": [total.tobytes()]})
 
 
-def weights_table(texts: DataFrame) -> np.ndarray:
-    """The shingle weights by sketch counter, from texts (text, times: how often it counts): DEPTH * WIDTH floats, whatever the input.
+SKETCH = "part int, chunk int, docs long, counts binary"
+
+
+def weights_table(sketches: DataFrame) -> np.ndarray:
+    """The shingle weights by sketch counter, from tasks' sketches: DEPTH * WIDTH floats, whatever the input.
 
-    Tasks' sketches are added 64 at a time until 64 are left, so that no group grows with the input.
+    Sketches are added 64 at a time until 64 are left, so that no group grows with the input.
     """
-    schema = "part int, chunk int, docs long, counts binary"
-    parts = written(texts.select("text", "times").mapInPandas(_count, schema), "sketch")
+    parts = sketches
     while (parts.agg(F.max("part")).first()[0] or 0) >= 64:
-        parts = written(parts.withColumn("part", (F.col("part") / 64).cast("int")).groupBy("part", "chunk").applyInPandas(_add, schema), "sketch")
-    rows = parts.withColumn("part", F.lit(0)).groupBy("part", "chunk").applyInPandas(_add, schema).collect()  # DEPTH * WIDTH counters
+        parts = written(parts.withColumn("part", (F.col("part") / 64).cast("int")).groupBy("part", "chunk").applyInPandas(_add, SKETCH), "sketch")
+    rows = parts.withColumn("part", F.lit(0)).groupBy("part", "chunk").applyInPandas(_add, SKETCH).collect()  # DEPTH * WIDTH counters
     if not rows:
         return np.ones((DEPTH, WIDTH), np.float32)
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["chunk"])]).reshape(DEPTH, WIDTH)
@@ -181,22 +216,25 @@ def similarity(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.nda
     return float(both / either) if either else 0.0
 
 
-def _sketch(frames: Iterator[pd.DataFrame], table: np.ndarray) -> Iterator[pd.DataFrame]:
+def _bands(frames: Iterator[pd.DataFrame], table: np.ndarray) -> Iterator[pd.DataFrame]:
     with np.errstate(over="ignore"):
         for frame in frames:
             for run in runs_of(frame["text"]):
-                own = shingles_of(frame["text"].iloc[run])
-                keys = [band_keys(*weighted(s, table)).tolist() for s in own]
-                yield pd.DataFrame({"one": frame["one"].iloc[run].to_numpy(), "two": frame["two"].iloc[run].to_numpy(), "keys": keys})
+                own = [x for x in shingles_of(frame["text"].iloc[run]) if len(x[0])]
+                if own:
+                    yield pd.DataFrame({"one": [x[1] for x in own], "two": [x[2] for x in own], "keys": [band_keys(*weighted(x[0], table)).tolist() for x in own]})
 
 
-def _vectors(frames: Iterator[pd.DataFrame], table: np.ndarray) -> Iterator[pd.DataFrame]:
-    with np.errstate(over="ignore"):
-        for frame in frames:
-            for run in runs_of(frame["text"]):
-                own = shingles_of(frame["text"].iloc[run])
-                total = [float(weighted(x, table)[1].sum()) for x in own]
-                yield pd.DataFrame({"node": frame["node"].to_numpy()[run], "vector": [np.sort(x).astype("<u4").tobytes() for x in own], "total": total})
+def _vectors(frames: Iterator[pd.DataFrame], table: np.ndarray | None) -> Iterator[pd.DataFrame]:
+    """The shingles, sorted, of texts that have the words of their node, and with table what they weigh."""
+    for frame in frames:
+        for run in runs_of(frame["text"]):
+            own, f = shingles_of(frame["text"].iloc[run]), frame.iloc[run]
+            same = [(x[1], x[2]) == (a, b) for x, a, b in zip(own, f["one"], f["two"], strict=True)]
+            kept = [x[0] for x, s in zip(own, same, strict=True) if s]
+            with np.errstate(over="ignore"):
+                total = [0.0 if table is None else float(weighted(x, table)[1].sum()) for x in kept]
+            yield pd.DataFrame({"node": f["node"].to_numpy()[np.array(same, bool)], "vector": [np.sort(x).astype("<u4").tobytes() for x in kept], "total": total})
 
 
 def _verify(frames: Iterator[pd.DataFrame], table: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -311,33 +349,34 @@ def _links(members: DataFrame, vectors: DataFrame, table: np.ndarray, least: flo
 
 
 def _classed(docs: DataFrame, least: float) -> DataFrame:
-    """A row for each of docs (doc_id, text): doc_id, class_id, n_copies, n_links, its text's word_key (one, two) and whether it stands for its class.
+    """A row for each of docs (doc_id, text): doc_id, class_id, n_copies, n_links, the hashes of its words (one, two), and whether it stands for its class.
 
     A node is a text: the least doc_id that has it, or a hash where that id has several texts.
     """
     small_batches(docs.sparkSession)
-    one, two = word_key(F.col("text"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", one.alias("one"), two.alias("two"))
-    keyed = written(docs.select("doc_id", "one", "two"), "keys")
-    there = "one IS NOT NULL AND doc_id IS NOT NULL"
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text")
+    read = written(named.mapInPandas(_keys_and_counts, f"doc_id long, one long, two long, {SKETCH}"), "keys")
+    keyed, there = read.where("part IS NULL").select("doc_id", "one", "two"), "one IS NOT NULL AND doc_id IS NOT NULL"
     grouped = keyed.where(there).groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_copies"))
     place = F.row_number().over(W.partitionBy("first").orderBy("one", "two"))
     classes = written(grouped.withColumn("node", F.when(place == 1, F.col("first")).otherwise(F.xxhash64("one", "two", "first"))), "classes", 4)
 
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        """nodes of classes (first, one, two, ...) with their text."""
-        same = (docs["doc_id"] == nodes["first"]) & (docs["one"] == nodes["one"]) & (docs["two"] == nodes["two"])
-        return docs.join(nodes, same).select("text", *[nodes[c] for c in nodes.columns]).dropDuplicates(["one", "two"])
-
-    repeated = texts_of(classes.where("n_copies > 1").select("first", "one", "two", (1 - F.col("n_copies")).alias("times")))
-    table = weights_table(docs.where(there).select("text", F.lit(1).cast("long").alias("times")).union(repeated.select("text", "times")))
-    sketched = docs.where(there).select("one", "two", "text").mapInPandas(partial(_sketch, table=table), "one long, two long, keys array<long>")
-    filed = written(sketched.dropDuplicates(["one", "two"]).join(classes, ["one", "two"]).select("node", F.explode("keys").alias("key")), "bands", 4)
+    def vectors_of(nodes: DataFrame, table: np.ndarray | None = None) -> DataFrame:
+        """node, vector, total of nodes (node, first, one, two)."""
+        texts = docs.join(nodes, docs["doc_id"] == nodes["first"]).select("node", "one", "two", "text")
+        return written(texts.mapInPandas(partial(_vectors, table=table), "node long, vector binary, total double").dropDuplicates(["node"]), "vectors")
+
+    copied = classes.where("n_copies > 1")
+    copies = vectors_of(copied.select("node", "first", "one", "two")).join(copied.select("node", (1 - F.col("n_copies")).alias("times")), "node").select("vector", "times")
+    sketches = read.where("part IS NOT NULL").select("part", "chunk", "docs", "counts").union(written(copies.mapInPandas(_less_copies, SKETCH), "sketch"))
+    table = weights_table(sketches)
+    bands = docs.where("doc_id IS NOT NULL").select("text").mapInPandas(partial(_bands, table=table), "one long, two long, keys array<long>")
+    filed = written(bands.dropDuplicates(["one", "two"]).join(classes, ["one", "two"]).select("node", F.explode("keys").alias("key")), "bands", 4)
     shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = written(filed.join(shared, "key", "left_semi").distinct(), "members", 8)
     wanted = classes.select("node", "first", "one", "two").join(members.select("node").distinct(), "node", "left_semi")
-    vectors = written(texts_of(wanted).select("node", "text").mapInPandas(partial(_vectors, table=table), "node long, vector binary, total double"), "vectors")
-    links, parts = _links(members, vectors, table, least)
+    links, parts = _links(members, vectors_of(wanted, table), table, least)
     if links is None:
         known = classes.select("one", "two", "n_copies", F.lit(0).cast("long").alias("n_links"), F.struct("first", "one", "two").alias("stands"))
     else:
@@ -363,12 +402,31 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return _classed(docs, least).select("doc_id", "class_id", "n_copies", "n_links")
 
 
+def _hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for run in runs_of(frame["text"]):
+            own, f = shingles_of(frame["text"].iloc[run]), frame.iloc[run]
+            key = lambda k: pd.array([x[k] if len(x[0]) else None for x in own], "Int64")  # noqa: E731, B023
+            yield pd.DataFrame({"gone": f["gone"].to_numpy(np.int64), "text_hash": f["text_hash"].to_numpy(), "one": key(1), "two": key(2)})
+
+
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """docs less the rows of each class but those that have its least doc_id and that one's text; rows without doc_id or words stay."""
-    gone = _classed(docs, least).where("NOT kept").select(F.col("doc_id").alias("gone"), "one", "two").distinct()
-    one, two = word_key(F.col("text"))
-    own = boxed(docs, F.col("doc_id").cast("long").alias("gone"), one.alias("one"), two.alias("two"))
-    return own.join(gone, ["gone", "one", "two"], "left_anti").select("row.*")
+    """docs less the rows of each class but those that have its least doc_id and that one's words; rows without doc_id or words stay.
+
+    Where every doc_id has one text, ids alone say what goes; only the rows of ids with several are also told apart by their texts.
+    """
+    judged = written(_classed(docs, least).select("doc_id", "one", "two", "kept"), "judged")
+    key = F.struct(F.coalesce("one", F.lit(0)), F.coalesce("two", F.lit(0)))
+    several = judged.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("gone")).agg((F.min(key) < F.max(key)).alias("several")).where("several").select("gone")
+    gone = judged.where("NOT kept")
+    own = boxed(docs, F.col("doc_id").cast("long").alias("gone"), F.xxhash64("text").alias("text_hash"), "text")
+    if several.isEmpty():
+        return own.join(gone.select(F.col("doc_id").alias("gone")).distinct(), "gone", "left_anti").select("row.*")
+    single = own.join(several, "gone", "left_anti").join(gone.select(F.col("doc_id").alias("gone")).distinct(), "gone", "left_anti")
+    many = own.join(several, "gone", "left_semi")
+    hashed = many.select("gone", "text_hash", "text").mapInPandas(_hashed, "gone long, text_hash long, one long, two long").distinct()
+    out = hashed.join(gone.select(F.col("doc_id").alias("gone"), "one", "two").distinct(), ["gone", "one", "two"]).select("gone", "text_hash")
+    return single.select("row.*").union(many.join(out, ["gone", "text_hash"], "left_anti").select("row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
