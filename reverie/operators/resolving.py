@@ -105,7 +105,7 @@ def resolved_mentions(seen: DataFrame, entities: DataFrame, mentions: DataFrame,
     """
     names = graph.identities(entities, mentions, root)
     own = seen.withColumn("name", text.normal(F.col("surface"))).where("name <> ''").dropDuplicates(["memory_id", "name"])
-    known = names.join(entities.select("id", F.col("name").alias("full"), F.col("entity_type").alias("kind"), "description"), "id").join(facts, "id", "left")
+    known = names.join(entities.where("merged_into IS NULL").select("id", F.col("name").alias("full"), F.col("entity_type").alias("kind"), "description"), "id").join(facts, "id", "left")
     pairs = own.join(known, "name")
     c = F.col
     no_proof = upkeep.no_evidence(c("full"), c("surface"), c("kind"), c("entity_type"), c("facts"), c("description"))

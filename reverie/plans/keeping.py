@@ -228,8 +228,8 @@ def _(s):
     live = s.entities.where("merged_into IS NULL AND id % 2 = 0").select(F.col("id").alias("entity_id"), F.col("name").alias("surface"), "entity_type", text.normal(F.col("name")).alias("n"))
     seen = s.mentions.select("entity_id", "memory_id").distinct().join(live, "entity_id").join(s.texts.select("memory_id", "content"), "memory_id")
     own = seen.select("memory_id", "surface", "entity_type", "content").distinct()
-    known = _facts(s)
-    found = resolving.resolved_mentions(own, known.drop("facts"), s.mentions, graph.roots(s.entities), known.select("id", "facts"))
+    entities = s.entities.withColumn("entity_type", F.when(F.col("id") % 2 == 0, F.col("entity_type")))
+    found = resolving.resolved_mentions(own, entities, s.mentions, graph.roots(s.entities), _facts(s).select("id", "facts"))
     return found.select("memory_id", "name", "entity_id", "is_new", F.size("proposed").cast("long").alias("proposed"))
 
 

@@ -396,7 +396,7 @@ def _(s):
     return graph.pagerank(edges, few.agg(F.min("subject").alias("id")), rounds=25).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query("g6_relational_memories", EXPAND + """, ents AS (SELECT CAST(substr(id, 2) AS BIGINT) AS e, hop FROM reached WHERE starts_with(id, 'p') UNION ALL SELECT 3, 9 UNION ALL SELECT 8, 9),
+@query("g6_relational_memories", EXPAND + """, ents AS (SELECT e, min(hop) AS hop FROM (SELECT CAST(substr(id, 2) AS BIGINT) AS e, hop FROM reached WHERE starts_with(id, 'p') UNION ALL SELECT 3, 9 UNION ALL SELECT 8, 9) GROUP BY e),
 mem AS (SELECT e, hop, memory_id, row_number() OVER (PARTITION BY e ORDER BY updated_at DESC, memory_id) AS r FROM (SELECT DISTINCT e, hop, memory_id, updated_at FROM ents JOIN mentions ON entity_id = e JOIN placed ON placed.id = memory_id))
 SELECT memory_id, CAST(min(hop) AS INT) AS hop FROM mem WHERE r <= 25 GROUP BY 1""")
 def _(s):
