@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
 import collections
+import functools
 import hashlib
 import os
 import random
@@ -124,10 +125,15 @@ def test_line_chunks(spark, docs, none):
     assert line_chunks.drop_repeated_chunks(none).count() == 0
 
 
-def ids_of(text):
+@functools.lru_cache(maxsize=1)
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_file(common.word_bpe_path()).encode(text or "", add_special_tokens=False).ids, 1]
+    return Tokenizer.from_file(common.word_bpe_path())
+
+
+def ids_of(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def raw(ids):
