@@ -406,17 +406,21 @@ def _hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for run in runs_of(frame["text"]):
             own, f = shingles_of(frame["text"].iloc[run]), frame.iloc[run]
-            key = lambda k: pd.array([x[k] if len(x[0]) else None for x in own], "Int64")  # noqa: E731, B023
+            key = lambda k: [x[k] if len(x[0]) else 0 for x in own]  # noqa: E731, B023
             yield pd.DataFrame({"gone": f["gone"].to_numpy(np.int64), "text_hash": f["text_hash"].to_numpy(), "one": key(1), "two": key(2)})
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """docs less the rows of each class but those that have its least doc_id and that one's words; rows without doc_id or words stay.
+    """docs less the rows of each class but those that have its least doc_id and that one's words; rows without doc_id stay.
 
-    Where every doc_id has one text, ids alone say what goes; only the rows of ids with several are also told apart by their texts.
+    Texts without words are equal texts: of these the rows of the least doc_id stay. Where every doc_id has
+    one text, ids alone say what goes; only the rows of ids with several are also told apart by their texts.
     """
-    judged = written(_classed(docs, least).select("doc_id", "one", "two", "kept"), "judged")
-    key = F.struct(F.coalesce("one", F.lit(0)), F.coalesce("two", F.lit(0)))
+    blank = F.col("one").isNull() & F.col("doc_id").isNotNull()
+    judged = written(_classed(docs, least).select("doc_id", F.coalesce("one", F.lit(0)).alias("one"), F.coalesce("two", F.lit(0)).alias("two"), "kept", blank.alias("blank")), "judged")
+    first = judged.where("blank").agg(F.min("doc_id")).first()[0]
+    judged = judged.withColumn("kept", F.when(F.col("blank"), F.col("doc_id") == F.lit(first).cast("long")).otherwise(F.col("kept")))
+    key = F.struct("one", "two")
     several = judged.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("gone")).agg((F.min(key) < F.max(key)).alias("several")).where("several").select("gone")
     gone = judged.where("NOT kept")
     own = boxed(docs, F.col("doc_id").cast("long").alias("gone"), F.xxhash64("text").alias("text_hash"), "text")

@@ -414,9 +414,9 @@ def test_ids_beyond_floating_numbers_stay_whole(spark):
 
 def test_keep_one_loses_no_text(spark):
     a, b = P1, "entirely other words stand in this one text that nobody else has at all"
-    table = spark.createDataFrame([(3, a, 1), (7, a, 2), (7, b, 3), (7, b, 3), (None, a, 4), (9, "", 5), (9, None, 6), (11, b + " more", 7)], "doc_id long, text string, one int")
+    table = spark.createDataFrame([(3, a, 1), (7, a, 2), (7, b, 3), (7, b, 3), (None, a, 4), (9, "", 5), (9, None, 6), (11, b + " more", 7), (12, " \n", 8), (7, "", 9), (14, None, 10)], "doc_id long, text string, one int")
     kept = sorted((r.doc_id or 0, r.text or "", r.one) for r in weighted_minhash.keep_one(table).collect())
-    assert kept == sorted([(3, a, 1), (7, b, 3), (7, b, 3), (0, a, 4), (9, "", 5), (9, "", 6)])  # 11 is near b
+    assert kept == sorted([(3, a, 1), (7, b, 3), (7, b, 3), (0, a, 4), (7, "", 9)])  # 11 is near b; texts without words are one class
 
 
 def test_near_duplicates(spark, docs, none):

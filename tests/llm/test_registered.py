@@ -111,6 +111,8 @@ def test_pipeline_stage_by_stage(spark):
     scored = {r.doc_id: r.predicted for r in compression.score_quality(docs.select("doc_id", "text"), model).collect()}
     assert rows(kept["quality"]) == collections.Counter({k: n for k, n in rows(docs).items() if scored[k[docs.columns.index("doc_id")]]})
     classes = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(kept["line_dedup"]).collect()}
+    blank = sorted(r.doc_id for r in kept["line_dedup"].collect() if not (r.text or "").split())
+    classes.update(dict.fromkeys(blank, blank[0]) if blank else {})
     assert rows(kept["near_dedup"]) == collections.Counter({k: n for k, n in rows(kept["line_dedup"]).items() if classes[k[0]] == k[0]})
     sized = kept["near_dedup"].select("doc_id", "source", mixing.word_count(kept["near_dedup"]["text"]).alias("size"))
     copies = {r.doc_id: r.copies for r in mixing.copies_to_targets(sized).collect()}
