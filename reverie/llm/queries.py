@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reverie.llm import compression, gru_lm, hamming, line_chunks, mixing, packing, span_hash, token_codes, url_rules, weighted_minhash
+from reverie.llm import ball_kmeans, compression, digest_runs, gru_lm, hamming, hard_negatives, line_chunks, mixing, packing, span_hash, token_codes, url_rules, weighted_minhash
 from reverie.llm.common import fold_of, load
 
 
@@ -51,9 +51,22 @@ QUERIES = {
     "op8_weighted_minhash": weighted_minhash.query,
     "op9_gru_lm": gru_lm.query,
     "op10_span_hash": span_hash.query,
+    "op11_ball_kmeans": ball_kmeans.query,
+    "op12_hard_negatives": hard_negatives.query,
+    "op13_digest_runs": digest_runs.query,
     "mix_targets": mix_targets,
     "edited_texts": edited_texts,
     "lm_base_scores": base_scores,
 }
 
-ORACLES = {"op1_multi_index_search": hamming.ORACLE, "op3_line_chunks": line_chunks.ORACLE, "op6_url_rules": url_rules.ORACLE, "mix_targets": TARGETS, "edited_texts": EDITED, "lm_base_scores": BASE}
+ORACLES = {
+    "op1_multi_index_search": hamming.ORACLE,
+    "op3_line_chunks": line_chunks.ORACLE,
+    "op6_url_rules": url_rules.ORACLE,
+    "op11_ball_kmeans": ball_kmeans.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_digest_runs": digest_runs.ORACLE,
+    "mix_targets": TARGETS,
+    "edited_texts": EDITED,
+    "lm_base_scores": BASE,
+}
