@@ -62,6 +62,19 @@ def by_id(docs: DataFrame) -> DataFrame:
     return own.repartitionByRange(partitions(docs.sparkSession), *place).sortWithinPartitions(*place, "text").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
 
 
+#: Bits of the bitmap that spares rows the way to a join.
+BITMAP = 1 << 22
+
+
+def maybe_among(own: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of own whose key (long) has its bit set among the keys of keys; the bitmap has BITMAP bits, as 64-bit words, however many keys there are."""
+    slot = F.pmod("key", F.lit(BITMAP))
+    word, bit = F.floor(slot / 64).cast("int"), F.pmod(slot, F.lit(64)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    masks = keys.groupBy(word.alias("word")).agg(F.bit_or(one).alias("mask"))
+    return own.withColumn("word", word).join(F.broadcast(masks), "word").where(F.col("mask").bitwiseAND(one) != 0).drop("word", "mask")
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reverie.llm.common import load, partitions, written
+from reverie.llm.common import load, maybe_among, written
 
 #: Runs that a round merges into one.
 FAN = 8
@@ -54,9 +54,10 @@ def _repeated(rows: DataFrame) -> DataFrame:
 
 
 def _unequal(texts: DataFrame, repeated: DataFrame) -> DataFrame:
-    """The repeated digests that stand for unlike texts."""
-    of = texts.join(repeated.select("digest").distinct(), "digest", "left_semi")
-    parts = of.groupBy("digest", F.pmod(F.spark_partition_id(), F.lit(SALT)).alias("salt")).agg(F.min("text").alias("least"), F.max("text").alias("most"))
+    """The repeated digests that stand for unlike texts. A bitmap keeps most other texts where they are; equal ones of a part leave it once."""
+    key = F.xxhash64("digest").alias("key")
+    some = maybe_among(texts.select("digest", "text", key), repeated.select(key))
+    parts = some.groupBy("digest", F.pmod(F.spark_partition_id(), F.lit(SALT)).alias("salt")).agg(F.min("text").alias("least"), F.max("text").alias("most"))
     return parts.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("digest")
 
 

@@ -14,14 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reverie.llm.common import boxed, load, written
+from reverie.llm.common import boxed, load, maybe_among, written
 
 WINDOW = 2
 DIVISOR = 3
 #: Of the rolling hash: base and a prime modulus; line hashes are below 2 ** 32, so that sums stay below 2 ** 63.
 BASE = 31
 MODULUS = 1_000_000_007
-BITMAP = 1 << 22
 #: Characters from which a line alone is a passage.
 LONG_LINE = 100
 
@@ -47,15 +46,6 @@ def chunked(docs: DataFrame) -> DataFrame:
     return ends.withColumn("_chunks", F.transform("_ends", lambda e, k: F.struct(start(k).alias("start"), (e + 1 - start(k)).alias("n")))).drop("_ends", "_hashes")
 
 
-def _maybe(own: DataFrame, again: DataFrame) -> DataFrame:
-    """Rows of own whose key has its bit set among the keys of again; the bitmap has BITMAP bits, as 64-bit words, however many keys there are."""
-    slot = F.pmod("key", F.lit(BITMAP))
-    word, bit = F.floor(slot / 64).cast("int"), F.pmod(slot, F.lit(64)).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    masks = again.groupBy(word.alias("word")).agg(F.bit_or(one).alias("mask"))
-    return own.withColumn("word", word).join(F.broadcast(masks), "word").where(F.col("mask").bitwiseAND(one) != 0).drop("word", "mask")
-
-
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """doc_id, start, n of each occurrence of a repeated chunk of several lines but its first, by (doc_id, start).
 
@@ -67,7 +57,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     several = chunked(docs.where("doc_id IS NOT NULL").select("doc_id", "text")).select("doc_id", "_lines", F.explode(F.filter("_chunks", lambda c: c["n"] > 1)).alias("c"))
     own = several.select("doc_id", F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.array_join(F.slice("_lines", F.col("c.start") + 1, F.col("c.n")), "\n").alias("chunk")).withColumn("key", F.xxhash64("chunk"))
     again = written(own.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("key", "first"), "chunk-keys", 8)
-    found = _maybe(own, again).join(again, "key")
+    found = maybe_among(own, again).join(again, "key")
     here = F.struct("doc_id", "start") == F.col("first")
     found = written(found.select("key", "doc_id", "start", "n", "chunk", here.alias("is_first")), "chunk-texts")
     first = found.where("is_first").select("key", F.col("chunk").alias("model")).dropDuplicates(["key"])
@@ -116,7 +106,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     own = units.select("doc_id", "hash", "u.start", "u.n", "u.passage").withColumn("key", F.xxhash64("n", "passage"))
     place = F.struct("doc_id", "hash", "start")
     again = written(own.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("key", "first"), "passage-keys", 8)
-    found = written(_maybe(own, again).join(again, "key").withColumn("is_first", place == F.col("first")), "passage-texts")
+    found = written(maybe_among(own, again).join(again, "key").withColumn("is_first", place == F.col("first")), "passage-texts")
     first = found.where("is_first").select("key", F.col("passage").alias("model")).dropDuplicates(["key"])
     same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
     apart = found.where(~F.col("is_first") & ~(same & (F.col("start") < F.col("first.start") + F.col("n"))))
