@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reverie.llm.common import WORD, boxed, load, written
+from reverie.llm.common import WORD, boxed, load, maybe_among, partitions, written
 
 #: Documents of a lane, on average; a source has as many lanes as it needs, so no group holds a hot source.
 LANE = 512
+#: Parts by which the rows of a class are numbered, and rows of one that a task lists at a time.
+PARTS, RUN = 64, 1 << 16
 #: The gradient at which a source's iterations end, as a share of its target, and the most iterations that are tried.
 TOLERANCE, MOST_ROUNDS = 1e-9, 200
 #: Sums are of decimals, so that they don't depend on the order of rows.
@@ -101,11 +103,12 @@ def multipliers(sizes: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
 
 
 def copies_to_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), cap: int = 2, lane: int = LANE) -> DataFrame:
-    """sizes (doc_id, source, size, and base where documents have base rates above 0, else 1) to a row for each distinct one: with `n_rows`, `source_size`, `target`, `rate` and `copies` (0 to cap).
+    """sizes (doc_id, source, size, and base where documents have base rates above 0, else 1) to a row for each distinct one: with `n_rows`, `source_size`, `target`, `rate` and `copies` (of all its rows together, up to cap a row).
 
-    Equal rows share their number of copies. Null ids and null sources are values like others.
-    Documents of size 0 take their rounded base rate, which adds no words. The result depends
-    on the rows alone, so that reruns agree. An empty table gives an empty one.
+    copies_of_row says how many each of the n_rows takes. Null ids and null sources are values
+    like others, so that many rows without id may be one class. Documents of size 0 take their
+    rounded base rate, which adds no words. The result depends on the rows alone, so that reruns
+    agree. An empty table gives an empty one.
     """
     if "base" not in sizes.columns:
         sizes = sizes.withColumn("base", F.lit(1.0))
@@ -119,35 +122,58 @@ def copies_to_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[float
     tilts = targets.join(lams, "no").select(F.col("source").alias("_source"), F.col("words").alias("source_size"), "target", "lam", (F.col("words") / F.col("n")).alias("scale"), F.ceil(F.col("n_classes") / lane).alias("lanes"))
     rate = document_rate(F.col("lam"), F.col("scale"), F.col("size"), F.col("base"), F.col("target"), cap)
     known = classes.join(tilts, same).withColumn("rate", F.coalesce(rate, F.lit(0.0))).drop("_source", "lam", "scale")
-    unit = (F.col("size") * F.col("n_rows")).cast("double")
     laned = (
         known.withColumn("lane", F.pmod(F.xxhash64("doc_id", "size"), F.col("lanes")))
         .groupBy("source", "source_size", "target", "lane")
-        .agg(F.sort_array(F.collect_list(F.struct((-unit).alias("less"), "doc_id", "size", "n_rows", "rate"))).alias("docs"))
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("less"), "doc_id", "size", "n_rows", "rate"))).alias("docs"))
     )
 
     def place(state: Column, doc: Column) -> Column:
-        words = -doc["less"]
-        want = state["carry"] + doc["rate"] * words
-        n = F.when(words > 0, F.least(F.lit(float(cap)), F.greatest(F.lit(0.0), F.round(want / words)))).otherwise(F.least(F.lit(float(cap)), F.round(doc["rate"])))
-        return F.struct((want - n * words).alias("carry"), F.array_append(state["copies"], n.cast("long")).alias("copies"))
+        size, rows = doc["size"].cast("double"), doc["n_rows"].cast("double")
+        want = state["carry"] + doc["rate"] * size * rows
+        n = F.when(size > 0, F.least(cap * rows, F.greatest(F.lit(0.0), F.round(want / size)))).otherwise(rows * F.least(F.lit(float(cap)), F.round(doc["rate"])))
+        return F.struct((want - n * size).alias("carry"), F.array_append(state["copies"], n.cast("long")).alias("copies"))
 
     start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<bigint>").alias("copies"))
     done = laned.withColumn("copies", F.aggregate("docs", start, place, lambda s: s["copies"]))
     return done.select("source", "source_size", "target", F.inline(F.arrays_zip("docs", "copies"))).select("docs.doc_id", "source", "docs.size", "docs.n_rows", "source_size", "target", "docs.rate", "copies")
 
 
+def copies_of_row(i: Column) -> Column:
+    """Copies of the i-th row, from 0, of a class of n_rows with so many copies in all: whole numbers that differ by one at most."""
+    return F.floor(F.col("copies") / F.col("n_rows")) + F.when(i < F.col("copies") % F.col("n_rows"), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), cap: int = 2) -> DataFrame:
-    """docs (doc_id, text, source and any others) with each row repeated as often as the mix takes it; the same columns."""
-    sized = boxed(docs, "doc_id", "source", word_count(F.col("text")).alias("size"))
-    chosen = copies_to_targets(sized.select("doc_id", "source", "size"), share, weights, cap).where("copies > 0").select("doc_id", "source", "size", "copies").alias("c")
-    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.size") == F.col("c.size"))
-    taken = sized.alias("d").join(chosen, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return taken.select("row.*")
+    """docs (doc_id, text, source and any others) with each row repeated as often as the mix takes it; the same columns.
+
+    Rows of one doc_id, source and size are numbered only where they don't all take equally many
+    copies: by parts of a table of theirs, so that no task holds a large class.
+    """
+    key = ["doc_id", "source", "size"]
+    sized = boxed(docs, "doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("key", F.xxhash64(*key))
+    chosen = copies_to_targets(sized.select(*key), share, weights, cap).where("copies > 0").select(*[F.col(c).alias(f"_{c}") for c in key], "n_rows", "copies")
+    chosen = written(chosen, "mix-copies", 4)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    even = F.col("copies") % F.col("n_rows") == 0
+    alike = sized.join(chosen.where(even), same).withColumn("times", F.floor(F.col("copies") / F.col("n_rows")))
+    uneven = chosen.where(~even)
+    some = maybe_among(sized, uneven.select(F.xxhash64(*[f"_{c}" for c in key]).alias("key"))).join(uneven, same)
+    unlike = written(some.withColumn("text_hash", F.xxhash64("row")).withColumn("part", F.struct(F.pmod("text_hash", F.lit(PARTS)).alias("hash"), F.spark_partition_id().alias("task"))), "mix-uneven")
+    parts = unlike.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = parts.select(*[F.col(c).alias(f"of_{c}") for c in key], F.col("part").alias("of_part"), (F.sum("n").over(W.partitionBy(*key).orderBy("part")) - F.col("n")).alias("before"))
+    there = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in key] + [F.col("part") == F.col("of_part")]
+    nth = F.row_number().over(W.partitionBy(*key, "part").orderBy("text_hash")) - 1
+    placed = unlike.withColumn("nth", nth).join(before, there).withColumn("times", copies_of_row(F.col("before") + F.col("nth")))
+    taken = alike.select("row", "times").unionByName(placed.select("row", "times")).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mixed = copies_to_targets(docs)
-    each = mixed.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
-    return each.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    run = F.explode(F.sequence(F.lit(0), F.floor((F.col("n_rows") - 1) / RUN).cast("int")))
+    several = mixed.where("n_rows > 1").withColumn("run", run).repartition(partitions(spark), "doc_id", "source", "size", "run")
+    rows = F.explode(F.sequence(F.col("run").cast("long") * RUN, F.least(F.col("n_rows"), (F.col("run").cast("long") + 1) * RUN) - 1))
+    each = mixed.where("n_rows = 1").withColumn("taken", F.col("copies")).unionByName(several.withColumn("i", rows).withColumn("taken", copies_of_row(F.col("i"))).drop("run", "i"))
+    return each.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * F.col("taken")).cast("long").alias("taken"))
