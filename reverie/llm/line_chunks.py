@@ -6,12 +6,14 @@ of several lines that occur more than once in the corpus are compared byte by by
 their first occurrence and removed elsewhere.
 
 Chunks miss passages that their cuts don't fall in with. drop_repeated_passages does without cuts:
-every two lines in a row, and every long line, are looked up over the whole corpus.
+every two lines in a row, and every long line, are looked up over the whole corpus, and what
+repeats in a row goes where it is long enough: blank lines, braces and bullets stay.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reverie.llm.common import boxed, load, maybe_among, written
@@ -21,8 +23,8 @@ DIVISOR = 3
 #: Of the rolling hash: base and a prime modulus; line hashes are below 2 ** 32, so that sums stay below 2 ** 63.
 BASE = 31
 MODULUS = 1_000_000_007
-#: Characters from which a line alone is a passage.
-LONG_LINE = 100
+#: Characters from which a line alone is looked up, and those that a repeated passage has at least, without white space at the ends of its lines.
+LONG_LINE, LEAST_PASSAGE = 100, 100
 
 
 def _line_hash(line: Column) -> Column:
@@ -93,17 +95,18 @@ def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, hash (of the text) and line, from 0, of each line that belongs to a repeat of an earlier passage.
 
-    A passage is two lines in a row, or one of LONG_LINE characters. A longer one is the union of
-    its pairs, so that its ends are found exactly, whatever stands around it. A repeat that
-    overlaps its own first occurrence stays. As each removed line has an equal one earlier, by
-    document and place, at least one copy of every line stays.
+    Two lines in a row, and one of LONG_LINE characters, are looked up. A passage is the union of
+    those that repeat in a row, so that its ends are found exactly, whatever stands around it; it
+    has LEAST_PASSAGE characters or more, and shorter ones stay. A repeat that overlaps its own
+    first occurrence stays. As each removed line has an equal one earlier, by document and
+    place, at least one copy of every line stays.
     """
     lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("hash"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("_lines"))
-    unit = lambda i, n, passage: F.struct(i.alias("start"), F.lit(n).alias("n"), passage.alias("passage"))
-    pairs = F.transform("_lines", lambda line, i: unit(i, 2, F.concat(line, F.lit("\n"), F.get("_lines", i + 1))))
-    long = F.filter(F.transform("_lines", lambda line, i: unit(i, 1, line)), lambda u: F.length(u["passage"]) >= LONG_LINE)
+    unit = lambda i, passage, *parts: F.struct(i.alias("start"), F.array(*[F.length(F.trim(p)) for p in parts]).alias("chars"), passage.alias("passage"))
+    pairs = F.transform("_lines", lambda line, i: unit(i, F.concat(line, F.lit("\n"), F.get("_lines", i + 1)), line, F.get("_lines", i + 1)))
+    long = F.filter(F.transform("_lines", lambda line, i: unit(i, line, line)), lambda u: F.length(u["passage"]) >= LONG_LINE)
     units = lines.select("doc_id", "hash", F.explode(F.concat(F.filter(pairs, lambda u: u["passage"].isNotNull()), long)).alias("u"))
-    own = units.select("doc_id", "hash", "u.start", "u.n", "u.passage").withColumn("key", F.xxhash64("n", "passage"))
+    own = units.select("doc_id", "hash", "u.start", F.size("u.chars").alias("n"), "u.chars", "u.passage").withColumn("key", F.xxhash64("n", "passage"))
     place = F.struct("doc_id", "hash", "start")
     again = written(own.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("key", "first"), "passage-keys", 8)
     found = written(maybe_among(own, again).join(again, "key").withColumn("is_first", place == F.col("first")), "passage-texts")
@@ -111,7 +114,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
     apart = found.where(~F.col("is_first") & ~(same & (F.col("start") < F.col("first.start") + F.col("n"))))
     repeats = apart.join(first, "key").where(F.col("passage") == F.col("model"))
-    return repeats.select("doc_id", "hash", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("line"))
+    each = repeats.select("doc_id", "hash", "start", F.posexplode("chars").alias("pos", "chars")).select("doc_id", "hash", (F.col("start") + F.col("pos")).alias("line"), "chars").distinct()
+    run = F.col("line") - F.row_number().over(W.partitionBy("doc_id", "hash").orderBy("line"))  # the lines of one document
+    runs = each.withColumn("run", run).groupBy("doc_id", "hash", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.sum("chars").alias("chars"))
+    return runs.where(F.col("chars") >= LEAST_PASSAGE).select("doc_id", "hash", F.explode(F.sequence("first", "last")).alias("line"))
 
 
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
