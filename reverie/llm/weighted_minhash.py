@@ -6,10 +6,13 @@ Jaccard similarity; bands of samples are bucket keys, and pairs from buckets are
 the whole texts' weights. Links make classes as connected components.
 
 Document frequencies count texts of different words, so that exact copies weigh nothing, in a
-count-min sketch of fixed size over all documents. A shingle of one text weighs 1, and the
-weight falls with the logarithm of the frequency to LEAST_IDF for one that all texts have: a
-range wide enough to prefer what is rare, and narrow enough that a large group of near copies,
-whose common shingles are frequent because of the group, keeps its similarity.
+count-min sketch over all documents. From each counter the mean load of the others is taken, so
+that what is left errs by a share of the texts that shrinks as they grow in number. A shingle of
+one text weighs 1, and so does one that fewer than SELDOM of the texts have; from there the weight
+falls with the logarithm of that share to LEAST_IDF for one that all texts have. So a weight
+depends on the share of texts, not on their number. The range is wide enough to prefer what is
+rare, and narrow enough that a large group of near copies, whose common shingles are frequent
+because of the group, keeps its similarity.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ ROWS = 4
 #: Sketch of document frequencies: rows and counters of a row.
 DEPTH, WIDTH = 2, 1 << 18
 CHUNK = 1 << 13
-#: Inverse document frequency of a shingle that all texts have; 1 for that of a single text.
-LEAST_IDF = 0.8
+#: Inverse document frequency of a shingle that all texts have, and the share of texts up to which it is 1.
+LEAST_IDF, SELDOM = 0.8, 1e-3
 #: Sampling draws (r, c, beta) come from a table of this many, picked by a hash of shingle and draw.
 POOL = 1 << 14
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -160,9 +163,15 @@ def weights_table(sketches: DataFrame) -> np.ndarray:
     if not rows:
         return np.ones((DEPTH, WIDTH), np.float32)
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["chunk"])]).reshape(DEPTH, WIDTH)
-    n = max(2, rows[0]["docs"])
-    idf = np.log(n / np.clip(counts, 1, n)) / np.log(n)
-    return (LEAST_IDF + (1 - LEAST_IDF) * idf).astype(np.float32)
+    return _idf(counts, max(1, rows[0]["docs"])).astype(np.float32)
+
+
+def _idf(counts: np.ndarray, n: int) -> np.ndarray:
+    """Weights by counter: of the share of other texts that have a shingle, less what other shingles bring to a counter on average."""
+    load = counts.sum(1, keepdims=True)
+    others = np.round(counts - (load - counts) / (counts.shape[1] - 1)) - 1
+    share = np.clip(others / n, SELDOM, 1.0)
+    return LEAST_IDF + (1 - LEAST_IDF) * np.log(share) / np.log(SELDOM)
 
 
 def weighted(shingles: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -210,7 +210,7 @@ def test_mixing(spark, docs, none):
     got = mixing.copies_to_targets(table).collect()
     assert sum(r.n_rows for r in got) == len(rows())
     for r in got:
-        assert r.target == pytest.approx(target[r.source]) and r.source_size == words[r.source] and r.copies in (0, 1, 2)
+        assert r.target == pytest.approx(target[r.source]) and r.source_size == words[r.source] and 0 <= r.copies <= 2 * r.n_rows
     again = mixing.copies_to_targets(table.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     mixed = mixing.mix(docs)
@@ -220,6 +220,32 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(none).count() == 0 and mixing.copies_to_targets(none.select("doc_id", "source", "size")).count() == 0
 
 
+def test_mix_of_rows_without_id_meets_targets(spark):
+    """A class of many equal rows is no lump: its rows differ by one copy, none takes more than two, and rows are spread over tasks."""
+    texts = ["one two three four five", "six seven eight nine ten", "a b c d e"]
+    rows = [(None, texts[i % 3 if i % 2 else 0], "en", "z", i) for i in range(9000)] + [(i, " ".join("w" * (i % 30)), "en", "b", i) for i in range(3000)] + [(7, "x y", "en", "b", n) for n in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6)
+    table = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    target = {r.source: r.target for r in mixing.copies_to_targets(table).collect()}
+    assert len(target) == 2 and 0.9 * 45000 < target["z"] < 1.2 * 45000 and target["z"] % 45000
+    taken, copies = collections.Counter(), collections.Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.source] += len(r.text.split())
+        copies[r.source, r.n_chars, r.doc_id] += 1
+    assert max(copies.values()) == 2 and all(abs(taken[s] - t) <= 60 for s, t in target.items())
+
+
+def test_the_query_spreads_equal_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 100)
+    rows = [(None, "one two three four five", "en", "a", 1)] * 2000 + [(1, "x", "en", "b", 1), (1, "x", "en", "b", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.query(spark, str(tmp_path))
+    each = got.select("doc_id", "taken", "target", F.spark_partition_id().alias("task")).collect()
+    assert len(each) == 2002 and len({r.task for r in each if r.doc_id is None}) > 1
+    assert {r.taken for r in each if r.doc_id is None} <= {0, 5, 10}
+    assert abs(sum(r.taken for r in each if r.doc_id is None) - next(r.target for r in each if r.doc_id is None)) <= 5
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(5)
     table = spark.createDataFrame([(i, f"s{i % 4}", rng.randint(1, 40) ** 2) for i in range(3000)], "doc_id long, source string, size long")
@@ -354,8 +380,25 @@ def idf_of(texts):
     grams = lambda t: [tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))]
     distinct = {" ".join(t.lower().split()) for t in texts}
     df = collections.Counter(g for t in distinct for g in set(grams(t)))
-    low = weighted_minhash.LEAST_IDF
-    return grams, {g: low + (1 - low) * np.log(len(distinct) / n) / np.log(len(distinct)) for g, n in df.items()}
+    low, seldom = weighted_minhash.LEAST_IDF, weighted_minhash.SELDOM
+    return grams, {g: low + (1 - low) * np.log(max(seldom, (n - 1) / len(distinct))) / np.log(seldom) for g, n in df.items()}
+
+
+def test_weights_do_not_depend_on_the_number_of_texts(monkeypatch):
+    """In a sketch with a hundred times the load a rare shingle keeps its weight, and one of a tenth of the texts its own."""
+    monkeypatch.setattr(weighted_minhash, "WIDTH", 1 << 14)
+    rng, rare, common = np.random.default_rng(4), [], []
+    for n in (500, 5_000, 50_000):
+        sketch = weighted_minhash._Sketch()
+        for at in range(0, n, 500):
+            own = [np.append(rng.integers(1 << 8, 1 << 32, 150, dtype=np.uint32), np.uint32(7)) if i % 10 == 0 else rng.integers(1 << 8, 1 << 32, 150, dtype=np.uint32) for i in range(min(500, n))]
+            sketch.add(own, np.ones(len(own), np.int64))
+        table = weighted_minhash._idf(sketch.table, sketch.docs)
+        rare.append(float(np.mean(weighted_minhash.weighted(rng.integers(1 << 8, 1 << 32, 4000, dtype=np.uint32), table)[1])))
+        common.append(float(weighted_minhash.weighted(np.array([7], np.uint32), table)[1][0]))
+    assert min(rare) > 0.985 and rare[2] > 0.995
+    low, seldom = weighted_minhash.LEAST_IDF, weighted_minhash.SELDOM
+    assert common == pytest.approx([low + (1 - low) * np.log(0.1) / np.log(seldom)] * 3, abs=0.01)
 
 
 def test_weights_of_shingles_decide(spark):

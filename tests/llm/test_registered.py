@@ -115,7 +115,7 @@ def test_pipeline_stage_by_stage(spark):
     classes.update(dict.fromkeys(blank, blank[0]) if blank else {})
     assert rows(kept["near_dedup"]) == collections.Counter({k: n for k, n in rows(kept["line_dedup"]).items() if classes[k[0]] == k[0]})
     sized = kept["near_dedup"].select("doc_id", "source", mixing.word_count(kept["near_dedup"]["text"]).alias("size"))
-    copies = {r.doc_id: r.copies for r in mixing.copies_to_targets(sized).collect()}
+    copies = {r.doc_id: r.copies for r in mixing.copies_to_targets(sized).collect()}  # ids are distinct here
     assert rows(kept["mixture"]) == collections.Counter({k: n * copies[k[0]] for k, n in rows(kept["near_dedup"]).items() if copies[k[0]]})
     ids = collections.Counter()
     for r in kept["mixture"].collect():
