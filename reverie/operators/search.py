@@ -130,30 +130,6 @@ def search(memories: DataFrame, lists: tuple[DataFrame, DataFrame] | None, walke
     return kept_.orderBy("place").limit(limit).select("id", F.row_number().over(W.orderBy("place")).alias("place"))
 
 
-def lsh_neighbours(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 24, width: float = 0.7) -> DataFrame:
-    """query, id, place, score: the k best of vectors (id, embedding) for each of queries, among those that share a random-projection bucket, rescored exactly.
-
-    A query with fewer than k candidates, the buckets' too empty, is answered by the scan. Width
-    and tables are set so that at least nine tenths of the true neighbours are found (tests measure it).
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    units = vectors.where(F.col("embedding").isNotNull() & (scoring.norm(F.col("embedding")) > 0)).select("id", scoring.unit(F.col("embedding")).alias("unit"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(units.limit(1).select(array_to_vector("unit").alias("v")))
-    hashed = model.transform(units.withColumn("v", array_to_vector("unit"))).select("id", "unit", F.posexplode("h").alias("table", "h")).withColumn("bucket", F.hash("h"))
-    filed = graph.kept(hashed.select("id", "table", "bucket"), "buckets")
-    asked = filed.join(queries.select("id"), "id", "left_semi").select(F.col("id").alias("query"), "table", "bucket")
-    pairs = asked.join(filed, ["table", "bucket"]).where("query <> id").select("query", "id").distinct()
-    short = queries.select(F.col("id").alias("query")).join(pairs.groupBy("query").agg(F.count(F.lit(1)).alias("n")), "query", "left").where(F.coalesce("n", F.lit(0)) < k).select("query")
-    left = units.select(F.col("id").alias("query"), F.col("unit").alias("x"))
-    near = pairs.join(left, "query").join(units, "id")
-    scan = left.join(short, "query", "left_semi").withColumn("one", F.lit(1)).join(units.withColumn("one", F.lit(1)), "one").drop("one").where("query <> id")  # few queries
-    both = near.select("query", "id", "x", "unit").unionByName(scan.select("query", "id", "x", "unit")).withColumn("score", scoring.dot(F.col("x"), F.col("unit"))).select("query", "id", "score").distinct()
-    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return both.withColumn("place", place).where(F.col("place") <= k)
-
-
 #: Pivots of similarity cells, at most, and vectors of a sub-block of a cell.
 PIVOTS, SUB_BLOCK = 256, 1024
 
