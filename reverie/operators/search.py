@@ -130,56 +130,81 @@ def search(memories: DataFrame, lists: tuple[DataFrame, DataFrame] | None, walke
     return kept_.orderBy("place").limit(limit).select("id", F.row_number().over(W.orderBy("place")).alias("place"))
 
 
-#: Pivots of similarity cells, at most, and vectors of a sub-block of a cell.
-PIVOTS, SUB_BLOCK = 256, 1024
+#: Pivots of similarity cells at most (they grow with the root of the vectors' number), and vectors of a sub-block of a cell.
+PIVOTS, SUB_BLOCK = 4096, 1024
 
 
 def _assigned(pivots: np.ndarray):
     """Pandas UDF embedding -> (unit vector, nearest pivot, angle to it)."""
 
-    @F.pandas_udf("unit array<float>, cell int, angle double")
+    @F.pandas_udf("unit array<double>, cell int, angle double")
     def assign(vectors: pd.Series) -> pd.DataFrame:
         x = np.array(vectors.tolist(), np.float64).reshape(len(vectors), -1)
         size = np.linalg.norm(x, axis=1, keepdims=True)
         x = x / np.where(size > 0, size, 1.0)
         near = np.clip(x @ pivots.T, -1, 1)
         cell = near.argmax(1)
-        return pd.DataFrame({"unit": list(x.astype(np.float32)), "cell": cell.astype(np.int32), "angle": np.arccos(near[np.arange(len(x)), cell])})
+        return pd.DataFrame({"unit": list(x), "cell": cell.astype(np.int32), "angle": np.arccos(near[np.arange(len(x)), cell])})
 
     return assign
 
 
-def _met(left: pd.DataFrame, right: pd.DataFrame, least: float, links_only: bool) -> pd.DataFrame:
-    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "similarity": np.zeros(0)})
-    if not len(left) or not len(right):
-        return none
-    right = right.set_axis(["met", "id", "embedding", "cell", "sub"], axis=1)
-    x, y = (np.array(f["embedding"].tolist(), np.float64) for f in (left, right))
-    x, y = (v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1.0) for v in (x, y))
-    a, b = left["id"].to_numpy(), right["id"].to_numpy()
-    similarity = x @ y.T
-    i, j = np.nonzero(similarity >= least)
-    own = a[i] < b[j] if left["cell"].iloc[0] == right["cell"].iloc[0] and left["sub"].iloc[0] == right["sub"].iloc[0] else a[i] != b[j]
-    i, j = i[own], j[own]
-    low, high, near = np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), similarity[i, j]
-    if links_only and len(low):
-        # a spanning forest of the block's links joins the same components
-        root: dict[int, int] = {}
-
-        def find(v: int) -> int:
-            while root.setdefault(v, v) != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        keep = []
-        for t, (p, q) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
-            p, q = find(p), find(q)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                keep.append(t)
-        low, high, near = low[keep], high[keep], near[keep]
-    return pd.DataFrame({"a": low, "b": high, "similarity": near})
+def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+    """A sub-block as one row."""
+    units = np.array(rows["unit"].tolist(), np.float64)
+    return pd.DataFrame({"cell": rows["cell"].iloc[:1], "sub": rows["sub"].iloc[:1], "ids": [rows["id"].to_numpy()], "units": [units.tobytes()]})
+
+
+def _forest(low: np.ndarray, high: np.ndarray) -> list[int]:
+    """Which of the links are enough to join the same components."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    keep = []
+    for t, (p, q) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+        p, q = find(p), find(q)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            keep.append(t)
+    return keep
+
+
+def _met(frames, least: float, links_only: bool):
+    """Pairs of each two sub-blocks that meet."""
+    for frame in frames:
+        for _, m in frame.iterrows():
+            a, b = np.asarray(m["ids"]), np.asarray(m["ids_2"])
+            x, y = (np.frombuffer(m[c], np.float64).reshape(len(ids), -1) for c, ids in (("units", a), ("units_2", b)))
+            similarity = x @ y.T
+            i, j = np.nonzero(similarity >= least)
+            own = a[i] < b[j] if (m["p"], m["i"]) == (m["q"], m["j"]) else a[i] != b[j]
+            i, j = i[own], j[own]
+            low, high, near = np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), similarity[i, j]
+            if links_only and len(low):
+                keep = _forest(low, high)
+                low, high, near = low[keep], high[keep], near[keep]
+            yield pd.DataFrame({"a": low, "b": high, "similarity": near})
+
+
+def _meetings(cells: DataFrame, between: np.ndarray, radii: np.ndarray, subs: np.ndarray, reach: float) -> DataFrame:
+    """p, i, q, j: sub-blocks that may hold a pair, each two once; every cell finds its own, on its task."""
+
+    def partners(frames):
+        for frame in frames:
+            for p in frame["cell"].tolist():
+                near = np.flatnonzero((between[p] <= radii[p] + radii + reach) & (subs > 0))
+                near = near[near >= p]
+                yield pd.DataFrame({"p": np.full(len(near), p, np.int32), "q": near.astype(np.int32), "n_p": np.full(len(near), subs[p], np.int32), "n_q": subs[near].astype(np.int32)})
+
+    pairs = cells.select("cell").mapInPandas(partners, "p int, q int, n_p int, n_q int")
+    left = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_p") - 1)))
+    first = F.when(F.col("p") == F.col("q"), F.col("i")).otherwise(F.lit(0))
+    return left.withColumn("j", F.explode(F.sequence(first, F.col("n_q") - 1))).select("p", "i", "q", "j")
 
 
 def similarity_pairs(vectors: DataFrame, least: float, links_only: bool = False) -> DataFrame:
@@ -187,8 +212,9 @@ def similarity_pairs(vectors: DataFrame, least: float, links_only: bool = False)
 
     Vectors go to the nearest of some pivots. Two of them can be that alike only if their pivots'
     angle is at most both cells' radii and the angle of the similarity together; only such pairs
-    of cells meet, in sub-blocks of bounded size, as products of matrices. Vectors of zero are
-    like none.
+    of cells meet, in sub-blocks of bounded size, as products of matrices. The driver holds the
+    pivots and a number of each cell; which sub-blocks meet is found on Spark, and a sub-block
+    travels as one row. Vectors of zero are like none.
     """
     spark = vectors.sparkSession
     own = vectors.where(F.col("embedding").isNotNull() & (scoring.norm(F.col("embedding")) > 0)).select(F.col("id").cast("long").alias("id"), "embedding")
@@ -203,17 +229,16 @@ def similarity_pairs(vectors: DataFrame, least: float, links_only: bool = False)
     wanted = min(PIVOTS, max(1, int(n**0.5)))
     picked = np.array([r["embedding"] for r in own.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()], np.float64)  # PIVOTS rows at most
     pivots = picked / np.linalg.norm(picked, axis=1, keepdims=True)
-    placed = own.withColumn("at", _assigned(pivots)("embedding")).select("id", "embedding", "at.cell", "at.angle")
-    placed = graph.kept(placed, "cells")
-    cells = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()}
+    placed = graph.kept(own.withColumn("at", _assigned(pivots)("embedding")).select("id", "at.unit", "at.cell", "at.angle"), "placed")
+    cells = graph.kept(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).withColumn("subs", F.ceil(F.col("n") / SUB_BLOCK).cast("int")), "cells")
+    radii, subs = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+    for r in cells.collect():  # a row a pivot
+        radii[r["cell"]], subs[r["cell"]] = r["radius"], r["subs"]
     between, reach = np.arccos(np.clip(pivots @ pivots.T, -1, 1)), float(np.arccos(min(1.0, max(-1.0, least)))) + 1e-6
-    subs = {c: -(-k // SUB_BLOCK) for c, (k, _) in cells.items()}
-    meetings = [(p, i, q, j) for p in sorted(cells) for q in sorted(cells) if p <= q and (p == q or between[p, q] <= cells[p][1] + cells[q][1] + reach) for i in range(subs[p]) for j in range(i if p == q else 0, subs[q])]
-    split = spark.createDataFrame(sorted(subs.items()), "cell int, subs int")
-    blocks = placed.join(F.broadcast(split), "cell").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int")).select("id", "embedding", "cell", "sub")
-    pairs = spark.createDataFrame([(k, *m) for k, m in enumerate(meetings)], "meeting long, p int, i int, q int, j int")
-    left = blocks.join(pairs.select("meeting", F.col("p").alias("cell"), F.col("i").alias("sub")), ["cell", "sub"])
-    right = blocks.join(pairs.select("meeting", F.col("q").alias("cell"), F.col("j").alias("sub")), ["cell", "sub"])
-    right = right.select(F.col("meeting").alias("met"), *[F.col(c).alias(f"{c}_2") for c in ("id", "embedding", "cell", "sub")])
-    met = left.groupBy("meeting").cogroup(right.groupBy("met")).applyInPandas(lambda x, y: _met(x, y, least, links_only), "a long, b long, similarity double")
+    split = placed.join(F.broadcast(cells.select("cell", "subs")), "cell").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))  # PIVOTS rows at most
+    packed = graph.kept(split.select("cell", "sub", "id", "unit").groupBy("cell", "sub").applyInPandas(_packed, "cell int, sub int, ids array<bigint>, units binary"), "blocks")
+    meetings = _meetings(cells.repartition(spark.sparkContext.defaultParallelism), between, radii, subs, reach)
+    left = packed.select(F.col("cell").alias("p"), F.col("sub").alias("i"), "ids", "units")
+    right = packed.select(F.col("cell").alias("q"), F.col("sub").alias("j"), F.col("ids").alias("ids_2"), F.col("units").alias("units_2"))
+    met = meetings.join(left, ["p", "i"]).join(right, ["q", "j"]).mapInPandas(lambda frames: _met(frames, least, links_only), "a long, b long, similarity double")
     return met if copies is None else met.unionByName(copies)

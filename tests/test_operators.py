@@ -211,6 +211,24 @@ def test_similarity_pairs_are_those_of_the_scan(spark, monkeypatch, sub):
     assert search.similarity_pairs(table.where("false"), 0.9).count() == 0
 
 
+def test_meetings_are_found_on_spark(spark, monkeypatch):
+    """The driver reads as many rows for small sub-blocks, of which many more meet, as for large ones."""
+    from pyspark.sql import DataFrame
+
+    _, table = clustered(spark)
+    read = DataFrame.collect
+    counts = []
+    for sub in (1024, 4):
+        monkeypatch.setattr(search, "SUB_BLOCK", sub)
+        seen = []
+        monkeypatch.setattr(DataFrame, "collect", lambda self, seen=seen: seen.append(read(self)) or seen[-1])
+        made = search.similarity_pairs(table, 0.95)
+        counts.append(sum(map(len, seen)))
+        monkeypatch.setattr(DataFrame, "collect", read)
+        assert made.count() > 500
+    assert counts[0] == counts[1] < 50
+
+
 def test_split_tags_by_centroid_or_label(spark):
     tags = {"tech": [1.0, 0.0, 0.1], "technical": [1.0, 0.0, 0.12], "food": [0.0, 1.0, 0.0], "foods": [0.6, 0.8, 0.0], "drink": [0.59, 0.81, 0.0], "thin": [1.0, 0.0, 0.1]}
     rows = [(t, v) for t, v in tags.items() for _ in range(1 if t == "thin" else 3)] + [("technical", tags["technical"])]
