@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reverie.functions import scoring, text
-from reverie.operators import graph, lifecycle, reconciling, resolving, search, upkeep
+from reverie.operators import bulk_search, graph, lifecycle, reconciling, resolving, search, upkeep
+from reverie.operators.text_index import TextIndex
 from reverie.plans.counting import ROOTS, SPLIT, split_pairs
 from reverie.plans.registry import query
 from reverie.sources.store import NOW
@@ -110,6 +112,80 @@ def _(s):
     return out.select("memory_id", "event", F.md5(F.col("old_content").cast("binary")).alias("old"), F.md5(F.col("new_content").cast("binary")).alias("new"))
 
 
+WORDED = r"regexp_extract_all(strip_accents(lower(content)), '[\p{L}\p{N}]+')"
+SIMILAR = rf""", asks AS (SELECT c.conv_id || '-' || c.turn AS query, c.conv_id * 1000 + c.turn AS seq, c.turn, 'src' || (c.conv_id % 20) AS scope, c.text AS content, v.embedding FROM conversations c LEFT JOIN (SELECT * FROM vectors WHERE embedding_model = 'main') v ON v.id = c.conv_id * 8 + c.turn),
+toks AS (SELECT id, CASE WHEN invalid_at IS NULL THEN user_id END AS scope, {WORDED} AS w FROM memories), totals AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS avgdl FROM toks),
+terms AS (SELECT query, scope, term, count(*) AS times FROM (SELECT query, scope, unnest(list_slice({WORDED}, 1, 32)) AS term FROM asks) GROUP BY ALL),
+post AS (SELECT id, scope, dl, term, count(*) AS tf FROM (SELECT id, scope, len(w) AS dl, unnest(w) AS term FROM toks) GROUP BY ALL), df AS (SELECT term, count(*)::DOUBLE AS df FROM post GROUP BY 1),
+bm AS (SELECT query, id, sum(times * greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM terms JOIN post USING (scope, term) JOIN df USING (term), totals GROUP BY ALL),
+bw AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) - 1 AS words FROM bm QUALIFY words < 15),
+vs AS (SELECT query, m.id, list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(v.embedding, lambda x: x::DOUBLE)) AS score FROM asks a JOIN memories m ON m.user_id = a.scope AND m.invalid_at IS NULL JOIN vectors v ON v.id = m.seq AND v.embedding_model = 'main' WHERE a.embedding IS NOT NULL),
+bv AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) - 1 AS vector FROM vs QUALIFY vector < 15),
+fused AS (SELECT query, id, vector, words, coalesce(1.0::DOUBLE / (61 + vector), 0) + coalesce(1.0::DOUBLE / (61 + words), 0) AS s FROM bv FULL JOIN bw USING (query, id)),
+scored AS (SELECT query, id, vector, words, 0.70::DOUBLE * s / max(s) OVER (PARTITION BY query) + 0.15::DOUBLE * pow(0.5::DOUBLE, greatest(0, epoch_us(TIMESTAMP '{NOW}') - epoch_us(updated_at)) / 86400000000.0::DOUBLE / 30) + 0.15::DOUBLE * least(greatest(importance, 0), 1) AS score FROM fused JOIN memories USING (id)),
+five AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vector NULLS LAST, words NULLS LAST, id) - 1 AS place, score FROM scored QUALIFY place < 5)
+"""
+
+
+def _asks(s):
+    """Every turn of a conversation as a fact of one source's store, with a stored vector for its own where there is one."""
+    c, v = s.table("conversations"), s.vectors.where("embedding_model = 'main'").select("id", "embedding")
+    turns = c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "turn", F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("scope"), F.col("text").alias("content"), (F.col("conv_id") * 8 + F.col("turn")).alias("id"))
+    return turns.join(v, "id", "left").drop("id")
+
+
+def _five(s):
+    """The five memories of its store that are most alike to each turn."""
+    live = F.when(F.col("invalid_at").isNull(), F.col("user_id"))
+    index = TextIndex.create(s.spark, f"{graph.shared_folder(s.spark)}/texts-{uuid.uuid4().hex}")
+    index.upsert(s.memories.select("id", "content", live.alias("scope")))
+    vectors = s.vectors.where("embedding_model = 'main'").select(F.col("id").cast("string").alias("id"), "embedding")
+    rows = s.memories.select("id", live.alias("scope"), "updated_at", "importance").join(vectors, "id", "left")
+    asks = graph.kept(_asks(s), "asks")
+    return asks, graph.kept(bulk_search.similar(index, rows, asks, F.expr(f"timestamp_ntz'{NOW}'")), "five")
+
+
+@query("d8_candidates", SIMILAR + "SELECT query, id, place, round(score, 6) AS score FROM five")
+def _(s):
+    return _five(s)[1].select("query", "id", F.col("place").cast("long").alias("place"), F.round("score", 6).alias("score"))
+
+
+ACTIONS = SIMILAR + r""", known AS (SELECT f.query, arg_min(f.id, f.place) AS known FROM five f JOIN memories m ON m.id = f.id JOIN asks a ON a.query = f.query
+  WHERE trim(regexp_replace(lower(m.content), '[^\p{L}\p{N}_]+', ' ', 'g')) = trim(regexp_replace(lower(a.content), '[^\p{L}\p{N}_]+', ' ', 'g')) GROUP BY 1),
+wish AS (SELECT a.*, k.known, f.id AS wanted, CASE turn % 4 WHEN 0 THEN 'ADD' WHEN 2 THEN 'DELETE' ELSE 'UPDATE' END AS asked FROM asks a LEFT JOIN known k USING (query) LEFT JOIN five f ON f.query = a.query AND f.place = CASE turn % 4 WHEN 2 THEN 1 ELSE 0 END),
+act AS (SELECT *, CASE WHEN known IS NOT NULL THEN 'NONE' WHEN asked <> 'ADD' AND wanted IS NOT NULL THEN asked ELSE 'ADD' END AS first_action FROM wish),
+taken AS (SELECT wanted, min(seq) AS taker FROM act WHERE first_action IN ('UPDATE', 'DELETE') GROUP BY 1),
+fates AS (SELECT query AS id, content, turn % 5 / 4.0::DOUBLE AS importance, CASE WHEN first_action IN ('UPDATE', 'DELETE') AND seq > taker THEN 'ADD' ELSE first_action END AS action, known, a.wanted, CASE WHEN turn % 4 = 3 THEN 'said ' || query ELSE content END AS said FROM act a LEFT JOIN taken USING (wanted)),
+done AS (SELECT id, content, importance, action, CASE WHEN known IS NOT NULL THEN known WHEN action <> 'ADD' THEN wanted END AS target, CASE WHEN action = 'UPDATE' THEN said END AS said FROM fates)
+"""
+
+
+def _acted(s):
+    """Turns update, end or add to what their search found; several may want one memory."""
+    asks, five = _five(s)
+    facts = asks.select(F.col("query").alias("id"), "seq", "content", F.col("scope").alias("user_id"), (F.col("turn") % 5 / 4.0).alias("importance"))
+    kind = F.col("turn") % 4
+    aimed = F.when(kind == 2, 1).otherwise(0)
+    wished = asks.join(five.select("query", "place", F.col("id").alias("target")), ["query"], "left").where(F.col("place").isNull() | (F.col("place") == aimed)).select("query", "target")
+    said = F.when(kind == 3, F.concat(F.lit("said "), "query"))
+    decisions = asks.join(wished, "query", "left").select(F.col("query").alias("id"), F.when(kind == 0, "ADD").when(kind == 2, "DELETE").otherwise("UPDATE").alias("action"), "target", said.alias("new_content"))
+    return graph.kept(reconciling.decided(facts, s.memories, decisions, five, "seq"), "acted")
+
+
+@query("l7_actions", ACTIONS + "SELECT id, action, target, md5(said) AS said FROM done")
+def _(s):
+    return _acted(s).select("id", "action", "target", F.md5(F.col("new_content").cast("binary")).alias("said"))
+
+
+@query("l7_state", ACTIONS + """, up AS (SELECT target, said, importance FROM done WHERE action = 'UPDATE'), gone AS (SELECT target, id AS ender FROM done WHERE action = 'DELETE')
+SELECT m.id, md5(coalesce(up.said, m.content)) AS content, greatest(m.importance, up.importance) AS importance, coalesce(ender, superseded_by) AS superseded_by, ender IS NULL AND invalid_at IS NULL AS active FROM memories m LEFT JOIN up ON up.target = m.id LEFT JOIN gone ON gone.target = m.id
+UNION ALL SELECT id, md5(content), importance, NULL, true FROM done WHERE action IN ('ADD', 'DELETE')""")
+def _(s):
+    """All memories after the turns' facts."""
+    state = reconciling.state_after(s.memories, _acted(s), F.expr(f"timestamp_ntz'{NOW}'"))
+    return state.select("id", F.md5(F.col("content").cast("binary")).alias("content"), "importance", "superseded_by", F.col("invalid_at").isNull().alias("active"))
+
+
 GROUPS = """, pairs AS (SELECT a.id AS a, b.id AS b FROM vectors a JOIN vectors b ON a.id < b.id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.42),
 e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS node, a AS low FROM e UNION SELECT e.b, low FROM reach JOIN e ON e.a = reach.node),
 comp AS (SELECT node, min(low) AS component FROM reach GROUP BY node), sized AS (SELECT component, count(*) AS size FROM comp GROUP BY 1)

@@ -13,6 +13,7 @@ from reverie.functions import predicates as P
 from reverie.functions import scoring, text
 from reverie.operators import graph, lifecycle, resolving, search, upkeep
 from reverie.operators.similarity_index import SimilarityIndex
+from reverie.operators.text_index import TextIndex
 from reverie.plans.counting import ROOTS
 from reverie.plans.registry import query
 from reverie.sources.store import NOW
@@ -57,11 +58,48 @@ def _(s):
     return search.postings(s.contents)
 
 
+def _index(s):
+    return TextIndex.create(s.spark, f"{graph.shared_folder(s.spark)}/texts-{uuid.uuid4().hex}")
+
+
+def _kept_up(s):
+    """An index after an insert of two thirds, one of the rest, an update and a deletion."""
+    index, rows = _index(s), s.contents.select("id", "seq", "content")
+    index.upsert(rows.where("seq % 3 <> 2"))
+    index.upsert(rows.where("seq % 3 = 2"))
+    index.upsert(rows.where("seq % 10 = 1").withColumn("content", F.concat(F.coalesce("content", F.lit("")), F.lit(" revised text"))))
+    index.delete(rows.where("seq % 10 = 7"))
+    return index
+
+
+KEPT_UP = r", held AS (SELECT id, regexp_extract_all(strip_accents(lower(CASE WHEN seq % 10 = 1 THEN coalesce(content, '') || ' revised text' ELSE content END)), '[\p{L}\p{N}]+') AS w FROM memories WHERE seq % 10 <> 7)"
+
+
+@query("t3_upkeep", KEPT_UP + "SELECT id, dl, term, count(*) AS tf FROM (SELECT id, CAST(len(w) AS INT) AS dl, unnest(w) AS term FROM held) GROUP BY ALL")
+def _(s):
+    return _kept_up(s).postings().select("id", "dl", "term", F.col("tf").cast("long").alias("tf"))
+
+
+@query("t3_frequencies", KEPT_UP + "SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest(w) AS term FROM held) GROUP BY term")
+def _(s):
+    """What the deltas of all changes add up to."""
+    return _kept_up(s).frequencies()
+
+
 @query("t4_indexed", BM25 + "SELECT id, round(score, 5) AS score FROM bm")
 def _(s):
-    """The same scores from postings and lengths that are already there."""
-    index, totals = graph.kept(search.postings(s.contents), "postings"), graph.kept(search.lengths(s.contents), "lengths")
-    return search.bm25_indexed(index, totals, ASKED).select("id", F.round("score", 5).alias("score"))
+    """The same scores from an index that is already there."""
+    index = _index(s)
+    index.upsert(s.contents)
+    return index.scores(ASKED).select("id", F.round("score", 5).alias("score"))
+
+
+@query("t4_top", BM25 + "SELECT id, round(score, 5) AS score FROM bm ORDER BY round(score, 9) DESC, id LIMIT 20")
+def _(s):
+    """The best texts alone, of the layers that may hold one."""
+    index = _index(s)
+    index.upsert(s.contents)
+    return index.top(ASKED, 20).select("id", F.round("score", 5).alias("score"))
 
 
 @query("t4_bm25", BM25 + "SELECT id, round(score, 5) AS score FROM bm")

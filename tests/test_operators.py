@@ -328,6 +328,21 @@ def test_reconcile_by_hand(spark):
     assert sorted((r.memory_id, r.event) for r in reconciling.events_of(fates, m).collect()) == [("3", "ADD"), ("4", "ADD"), ("5", "ADD"), ("a", "UPDATE"), ("b", "SUPERSEDE")]
 
 
+def test_a_memory_is_changed_once(spark):
+    """The first to arrive keeps its target; those after it are facts of their own, and nothing they say is lost."""
+    now = F.expr("timestamp_ntz'2024-06-01 00:00:00'")
+    m = spark.createDataFrame([("a", "likes tea", "u", 0.4), ("b", "has a cat", "u", 0.4)], "id string, content string, user_id string, importance double")
+    m = m.withColumns({"created_at": now, "updated_at": now, "seq": F.lit(1), "invalid_at": F.lit(None).cast("timestamp_ntz"), "superseded_by": F.lit(None).cast("string")})
+    new = spark.createDataFrame([("z", 1, "said one", "u", 0.5), ("y", 2, "said two", "u", 0.5), ("x", 3, "said three", "u", 0.5), ("w", 4, "Has a cat.", "u", 0.5), ("v", 5, "has a dog", "u", 0.5)], "id string, seq int, content string, user_id string, importance double")
+    d = spark.createDataFrame([("z", "UPDATE", "a", None), ("y", "UPDATE", "a", None), ("x", "DELETE", "a", None), ("w", "UPDATE", "a", None), ("v", "UPDATE", "b", None)], "id string, action string, target string, new_content string")
+    fates = reconciling.decided(new, m, d, arrival="seq")
+    assert {r.id: (r.action, r.target) for r in fates.collect()} == {"z": ("UPDATE", "a"), "y": ("ADD", None), "x": ("ADD", None), "w": ("NONE", "b"), "v": ("UPDATE", "b")}
+    assert {r.content for r in reconciling.state_after(m, fates, now).collect()} == {"said one", "said two", "said three", "has a dog"}
+    found = spark.createDataFrame([("z", "b", 0), ("y", "a", 0), ("w", "a", 0), ("v", "b", 1)], "query string, id string, place int")
+    among = reconciling.decided(new, m, d, found, "seq")
+    assert {r.id: (r.action, r.target) for r in among.collect()} == {"z": ("ADD", None), "y": ("UPDATE", "a"), "x": ("ADD", None), "w": ("ADD", None), "v": ("UPDATE", "b")}
+
+
 def test_json_rows_and_cases(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"id": "1"}, {"id": "2"}]')
     (tmp_path / "b.json").write_text('{"id": "1"}\n{"id": "2"}\n')
