@@ -147,7 +147,7 @@ def no_referent(name: Column) -> Column:
 
 def mentions(text: Column, alias: Column) -> Column:
     """Whether text has alias as a whole word, whatever the case."""
-    quoted = F.regexp_replace(F.lower(alias), r"([\\.\[\]{}()*+?^$|\-])", r"\\\\$1")
+    quoted = F.regexp_replace(F.lower(alias), r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
     return F.regexp_like(F.lower(text), F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), quoted, F.lit(r"(?![\p{L}\p{N}_])")))
 
 

@@ -47,13 +47,3 @@ def candidates(parsed: DataFrame) -> DataFrame:
     named = F.transform(edges, lambda r: F.struct(F.trim(r["subject"]).alias("subject"), F.regexp_replace(text.normal(r["predicate"]), " +", "_").alias("predicate"), F.trim(r["object"]).alias("object")))
     keep = [c for c in parsed.columns if c != "facts"]
     return f.where(F.trim(F.coalesce("f.content", F.lit(""))) != "").select(*keep, F.trim("f.content").alias("content"), scoring.memory_type(F.col("f.type")).alias("memory_type"), scoring.importance(F.col("f.importance")).alias("importance"), "f.categories", named.alias("relations"))
-
-
-def decided(new: DataFrame, stored: DataFrame, key: Column | None = None) -> DataFrame:
-    """new (content, user_id, ...) with `action`: NONE where the user has a restatement stored or one stood before, else ADD.
-
-    All new rows see the store as it was, as the facts of one call do.
-    """
-    form = text.loosely(F.col("content")) if key is None else key
-    old = stored.select("user_id", form.alias("_form")).distinct().withColumn("_old", F.lit(True))
-    return new.withColumn("_form", form).join(old, ["user_id", "_form"], "left").withColumn("action", F.when(F.col("_old"), "NONE").otherwise("ADD")).drop("_form", "_old")

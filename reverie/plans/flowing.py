@@ -11,7 +11,7 @@ from reverie.operators import extraction, reconciling
 from reverie.operators.graph import kept, shared_folder
 from reverie.plans.registry import query
 from reverie.sources import store as source
-from reverie.streaming import ingest
+from reverie.streaming import ingest, retrying
 
 
 def _folder(s) -> str:
@@ -104,6 +104,16 @@ def _(s):
     return s.spark.read.parquet(f"{path}/out").select("id", "status", F.when(~done, F.col("attempts")).alias("failed"), "wait")
 
 
+@query("x3_retry_loop", "SELECT id, CAST(coalesce(length(content), 0) % 3 + 1 AS INT) AS attempts, md5(coalesce(content, '')) AS content FROM episodes")
+def _(s):
+    """One running stream: a message fails as often as its length is over a multiple of three, and comes back by itself each time."""
+    path, size = _folder(s), F.length("content")
+    s.episodes.select("id", F.coalesce("content", F.lit("")).alias("content")).write.parquet(f"{path}/landing")
+    running = retrying.loop(s.spark, f"{path}/landing", path, lambda due: due.where(F.col("attempts") > size % 3).select("id", "content"), 0.05)
+    retrying.wait_for(running, path, s.episodes.count())
+    return retrying.finished(s.spark, path).select("id", "attempts", F.md5(F.col("content").cast("binary")).alias("content"))
+
+
 @query("x6_stream_windows", "SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%d %H') AS hour, event, count(*) AS n FROM memory_events WHERE date_trunc('hour', created_at) + INTERVAL 2 HOUR <= (SELECT max(created_at) FROM memory_events) GROUP BY ALL")
 def _(s):
     """Windows that the watermark has closed, an hour behind the latest event; one batch reads all files, so none of its events is late."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reverie.functions import predicates as P
 from reverie.functions import scoring, text
-from reverie.operators import graph, lifecycle, resolving, search, upkeep
+from reverie.operators import graph, lifecycle, mentioning, resolving, search, upkeep
 from reverie.operators.similarity_index import SimilarityIndex
 from reverie.operators.text_index import TextIndex
 from reverie.plans.counting import ROOTS
@@ -117,6 +117,22 @@ def _(s):
     return s.contents.where(text.mentions(F.col("content"), F.lit("In oredble"))).select("id")
 
 
+ALIASES = r""", turns AS (SELECT conv_id AS entity_id, regexp_extract_all(lower(regexp_replace(text, '^[^\p{L}\p{N}_]+', '')), '[\p{L}\p{N}_]+') AS w, text FROM conversations),
+alias AS (SELECT DISTINCT entity_id, array_to_string(list_slice(w, 1, n), ' ') AS alias FROM turns, range(1, 5) t(n) WHERE len(w) >= n AND turns.entity_id % 4 + 1 >= n AND len(w[1]) > 2),
+low AS (SELECT id, '|' || regexp_replace(lower(content), '([^\p{L}\p{N}_]+)', '|\1|', 'g') || '|' AS content FROM memories), hit AS (SELECT id, entity_id, alias FROM low JOIN alias ON contains(content, '|' || replace(alias, ' ', '| |') || '|'))
+"""
+
+
+@query("t6_all_aliases", ALIASES + "SELECT id, entity_id, arg_min(alias, struct_pack(l := -length(alias), a := alias)) AS surface FROM hit GROUP BY id, entity_id")
+def _(s):
+    """Conversations are entities here, known by the first words of their turns; all of them are looked for in all memories."""
+    words = F.regexp_extract_all(F.lower(F.regexp_replace("text", f"^{mentioning.OUTSIDE}", "")), F.lit(mentioning.INSIDE), F.lit(0))
+    turns = s.table("conversations").select(F.col("conv_id").alias("entity_id"), words.alias("w")).where("length(w[0]) > 2")
+    n = F.explode(F.sequence(F.lit(1), F.least(F.col("entity_id") % 4 + 1, F.size("w")).cast("int")))
+    aliases = turns.withColumn("n", n).select("entity_id", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("alias"))
+    return mentioning.found(s.contents, aliases)
+
+
 @query("v1_vector_top", VECTOR + "SELECT id, round(score, 5) AS score FROM vs ORDER BY score DESC, id LIMIT 20")
 def _(s):
     return search.top(_near(s), 20).select("id", F.round("score", 5).alias("score"))

@@ -21,19 +21,6 @@ def land(messages: DataFrame, path: str) -> None:
     messages.withColumn("status", F.lit("pending")).write.mode("append").parquet(path)
 
 
-def enrich(spark: SparkSession, landing: str, schema: str, out: str, checkpoint: str, distill: Callable[[DataFrame], DataFrame], files: int = 8) -> None:
-    """Distills all that has landed and not been taken, files at a time, to a folder for each batch under out.
-
-    A batch that is run again after a crash overwrites its own folder, so nothing is taken twice.
-    """
-
-    def one(batch: DataFrame, number: int) -> None:
-        distill(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(landing)
-    stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
 def enrich_queue(spark: SparkSession, landing: str, schema: str, out: str, checkpoint: str, distill: Callable[[DataFrame], DataFrame], now: str, fail: Callable[[int], None] | None = None, files: int = 8) -> None:
     """Distills the queue's due messages (id, content, attempts, next_attempt_at) in micro-batches to id, status, attempts, wait, content.
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reverie.functions import embedding, predicates, scoring, text
-from reverie.operators import evals, extraction, graph, lifecycle, reconciling, resolving, search, upkeep
+from reverie.operators import evals, extraction, graph, lifecycle, mentioning, reconciling, resolving, search, upkeep
 from reverie.sources import store
 from reverie.streaming import ingest
 
@@ -328,6 +328,27 @@ def test_reconcile_by_hand(spark):
     assert sorted((r.memory_id, r.event) for r in reconciling.events_of(fates, m).collect()) == [("3", "ADD"), ("4", "ADD"), ("5", "ADD"), ("a", "UPDATE"), ("b", "SUPERSEDE")]
 
 
+def test_all_aliases_in_all_texts(spark):
+    """Against a loop of patterns: whole words, any case, signs around and between words, long aliases, the longest of an entity."""
+    import re
+
+    texts = {
+        "1": "Ada Lovelace met ada.", "2": "adamant, ADA-LOVELACE", "3": "Ada  Lovelace and foo_bar", "4": "foo bar; foo (bar) .net asp.net", "5": None, "6": "",
+        "7": "C++ and c# — Müller, MÜLLER-Lüdenscheid", "8": "one two three four five six seven eight", "9": "one two three four five six sevens", "10": "...ada", "11": "x" * 70_000 + " ada " + "y " * 50_000,
+    }
+    aliases = [(1, "Ada"), (1, "Ada Lovelace"), (2, "foo bar"), (2, "foo"), (2, "foo (bar)"), (3, ".net"), (3, "c++"), (4, "müller-lüdenscheid"), (4, "Müller"), (5, "one two three four five six seven"), (5, "one two"), (6, "++"), (6, " "), (7, "six"), (7, "two"), (8, "foo_bar"), (9, "nowhere")]
+    want = set()
+    for i, content in texts.items():
+        for e in {e for e, _ in aliases}:
+            own = sorted({a.strip() for x, a in aliases if x == e and re.search(r"\w", a)}, key=lambda a: (-len(a), a))
+            best = next((a for a in own if re.search(rf"(?<!\w){re.escape(a)}(?!\w)", content or "", re.I)), None)
+            want |= {(i, e, best)} if best else set()
+    got = mentioning.found(spark.createDataFrame(list(texts.items()), "id string, content string"), spark.createDataFrame(aliases, "entity_id int, alias string"))
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 12
+    none = mentioning.found(spark.createDataFrame(list(texts.items()), "id string, content string"), spark.createDataFrame([], "entity_id int, alias string"))
+    assert none.columns == got.columns and none.count() == 0
+
+
 def test_a_memory_is_changed_once(spark):
     """The first to arrive keeps its target; those after it are facts of their own, and nothing they say is lost."""
     now = F.expr("timestamp_ntz'2024-06-01 00:00:00'")
