@@ -128,6 +128,15 @@ def per_key(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("place") <= n)
 
 
+def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df with `rank`, from 0, in an order that tells all rows apart: ranges of it are numbered side by side, and each begins where the one before ends."""
+    ranged = kept(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    before = F.sum("n").over(W.orderBy("_part")) - F.col("n")  # a row a partition
+    starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select("_part", before.alias("_before"))
+    nth = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_nth", nth).join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_before") + F.col("_nth") - 1).cast("int").alias("rank"))
+
+
 def shared_counts(links: DataFrame, group: str, member: str) -> DataFrame:
     """a < b, n: how many groups hold both members."""
     own = links.select(group, member).distinct()

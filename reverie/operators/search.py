@@ -102,8 +102,21 @@ def relational_fusion(by_rank: DataFrame, by_graph: DataFrame, protect: int = 5,
     boosted = F.col("h").isNull() | (F.col("h") >= boost_from)
     score = scoring.reciprocal(F.col("h"), 1.0, k, 0) + F.when(boosted, scoring.reciprocal(F.col("g"), 1.0, k, 0)).otherwise(F.lit(0.0))
     free = F.coalesce(F.col("h") >= protect, F.lit(True))
-    order = W.orderBy(free, F.when(~free, F.col("h")), F.desc("s"), F.asc_nulls_last("h"), F.asc_nulls_last("g"), "id")
-    return both.withColumn("s", score).select("id", (F.row_number().over(order) - 1).alias("place"), F.round("s", 6).alias("fused"))
+    keyed = both.select("id", F.when(~free, F.col("h")).alias("pinned"), score.alias("s"), "h", "g")
+    placed = graph.numbered(keyed, F.asc_nulls_last("pinned"), F.desc("s"), F.asc_nulls_last("h"), F.asc_nulls_last("g"), F.col("id"))
+    return placed.select("id", F.col("rank").alias("place"), F.round("s", 6).alias("fused"))
+
+
+def relational(told: DataFrame, memories: DataFrame, reached: DataFrame, seeds: DataFrame, per_entity: int = 25) -> DataFrame:
+    """id, rank (from 0): memories (id, updated_at) that mention (told: entity_id, id) what relations reach (entity_id, hop), nearest first, and after them those of the seeds (entity_id).
+
+    Each entity gives its latest per_entity; a memory stands where it comes first.
+    """
+    own = reached.select("entity_id", "hop").unionByName(seeds.join(reached.select("entity_id"), "entity_id", "left_anti").select("entity_id", F.lit(1 << 20).alias("hop")))
+    links = told.join(own, "entity_id").join(memories.select("id", "updated_at"), "id")
+    few = graph.per_key(links, "entity_id", [F.desc("updated_at"), F.col("id")], per_entity)
+    first = few.groupBy("id").agg(F.min(F.struct("hop", "entity_id", "place")).alias("first"))
+    return graph.numbered(first.select("id", "first.hop", "first.entity_id", "first.place"), "hop", "entity_id", "place").select("id", "rank")
 
 
 def search(memories: DataFrame, lists: tuple[DataFrame, DataFrame] | None, walked: DataFrame | None, now: str, limit: int = 10, since: str | None = None, until: str | None = None, filtered: bool = False, include_invalid: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reverie.functions import predicates as P
 from reverie.functions import scoring, text
-from reverie.operators import graph, lifecycle, mentioning, resolving, search, upkeep
+from reverie.operators import graph, lifecycle, mentioning, resolving, search, strategies, upkeep
 from reverie.operators.similarity_index import SimilarityIndex
 from reverie.operators.text_index import TextIndex
 from reverie.plans.counting import ROOTS
@@ -211,20 +211,41 @@ def _(s):
     return hybrid(s).select("id", F.row_number().over(W.orderBy(F.desc("score"), F.asc_nulls_last("vector"), F.asc_nulls_last("words"), "id")).alias("place"))
 
 
-SEARCHED = HYBRID.replace("QUALIFY vector < 30", "QUALIFY vector < 240").replace("QUALIFY words < 30", "QUALIFY words < 240") + """, hr AS (SELECT id, row_number() OVER (ORDER BY score DESC, vector NULLS LAST, words NULLS LAST, id) - 1 AS hk FROM h QUALIFY hk < 80),
-gr AS (SELECT CAST(seq AS VARCHAR) AS id, row_number() OVER (ORDER BY seq DESC) - 1 AS g FROM memories WHERE seq % 9 = 4 QUALIFY g < 50), g2 AS (SELECT gr.* FROM gr JOIN memories m USING (id) WHERE m.invalid_at IS NULL OR id IN (SELECT id FROM hr)),
+EXPAND = """, live AS (SELECT subject AS u, object AS v FROM relations WHERE invalid_at IS NULL UNION SELECT object, subject FROM relations WHERE invalid_at IS NULL),
+one AS (SELECT DISTINCT v AS id FROM live WHERE u IN ('s1', 's2') AND v NOT IN ('s1', 's2')), two AS (SELECT DISTINCT v AS id FROM live WHERE u IN (SELECT id FROM one) AND v NOT IN ('s1', 's2') AND v NOT IN (SELECT id FROM one)),
+reached AS (SELECT id, 1 AS hop FROM one UNION ALL SELECT id, 2 FROM two)
+"""
+
+
+def _expanded(s):
+    seeds = s.spark.range(1).select(F.explode(F.array(F.lit("s1"), F.lit("s2"))).alias("id"))
+    return graph.expand(s.relations.where("invalid_at IS NULL"), seeds)
+
+
+WALKED = EXPAND + """, told AS (SELECT DISTINCT entity_id, CAST(memory_id % (SELECT count(*) FROM documents) AS VARCHAR) AS id FROM mentions),
+ents AS (SELECT CAST(substr(id, 2) AS BIGINT) AS e, hop FROM reached WHERE starts_with(id, 'p') UNION ALL SELECT e, 99 FROM (VALUES (3), (8)) t(e) WHERE 'p' || e NOT IN (SELECT id FROM reached)),
+walk AS (SELECT id, e, hop, row_number() OVER (PARTITION BY e ORDER BY updated_at DESC, id) AS r FROM ents JOIN told ON entity_id = e JOIN memories USING (id)),
+gr AS (SELECT id, row_number() OVER (ORDER BY min(struct_pack(h := hop, e := e, r := r))) - 1 AS g FROM walk WHERE r <= 25 GROUP BY id)
+"""
+SEARCHED = HYBRID.replace("QUALIFY vector < 30", "QUALIFY vector < 240").replace("QUALIFY words < 30", "QUALIFY words < 240") + WALKED + """, hr AS (SELECT id, row_number() OVER (ORDER BY score DESC, vector NULLS LAST, words NULLS LAST, id) - 1 AS hk FROM h QUALIFY hk < 80),
+g2 AS (SELECT gr.* FROM gr JOIN memories m USING (id) WHERE m.invalid_at IS NULL OR id IN (SELECT id FROM hr)),
 x AS (SELECT id, hk, g, coalesce(1.0::DOUBLE / (60 + hk), 0) + CASE WHEN hk IS NULL OR hk >= 10 THEN coalesce(1.0::DOUBLE / (60 + g), 0) ELSE 0 END AS s FROM hr FULL JOIN g2 USING (id)),
-o AS (SELECT x.id, row_number() OVER (ORDER BY coalesce(hk >= 5, true), CASE WHEN hk < 5 THEN hk END, s DESC, hk NULLS LAST, g NULLS LAST, x.id) AS place FROM x JOIN memories m USING (id) WHERE m.created_at < TIMESTAMP '2024-01-15')
+o AS (SELECT x.id, s, row_number() OVER (ORDER BY coalesce(hk >= 5, true), CASE WHEN hk < 5 THEN hk END, s DESC, hk NULLS LAST, g NULLS LAST, x.id) AS place, created_at FROM x JOIN memories m USING (id))
 """
 
 
+def _walked(s):
+    """What typed relations reach from the suppliers asked for, and their parts 3 and 8."""
+    reached = _expanded(s).where("id LIKE 'p%'").select(F.expr("CAST(substring(id, 2) AS BIGINT)").alias("entity_id"), "hop")
+    seeds = s.spark.range(1).select(F.explode(F.array(F.lit(3).cast("long"), F.lit(8).cast("long"))).alias("entity_id"))
+    return search.relational(s.told, s.memories, reached, seeds)
+
+
 def _search(s, query, limit=10, **window):
-    walked = s.memories.where("seq % 9 = 4").orderBy(F.desc("seq")).limit(50).select("id", (F.row_number().over(W.orderBy(F.desc("seq"))) - 1).alias("rank"))
-    lists = _lists(s) if query.strip() else None
-    return search.search(s.memories, lists, walked, NOW, limit, **window)
+    return search.search(s.memories, _lists(s) if query.strip() else None, _walked(s) if query.strip() else None, NOW, limit, **window)
 
 
-@query("r4_search_window", SEARCHED + "SELECT id, CAST(place AS INT) AS place FROM (SELECT id, row_number() OVER (ORDER BY place) AS place FROM o) WHERE place <= 10")
+@query("r4_search_window", SEARCHED + "SELECT id, CAST(place AS INT) AS place FROM (SELECT id, row_number() OVER (ORDER BY place) AS place FROM o WHERE created_at < TIMESTAMP '2024-01-15') WHERE place <= 10")
 def _(s):
     """A wide fetch, fused with what the graph reaches, and then cut to the dates."""
     return _search(s, ASKED, until="2024-01-14")
@@ -241,28 +262,28 @@ def _(s):
     return s.memories.where(P.active() & P.within(F.col("created_at"), "2024-01-05", "2024-01-31")).orderBy(F.desc("updated_at"), "seq").offset(5).limit(10).select("id")
 
 
-FUSION = """, hy AS (SELECT id, row_number() OVER (ORDER BY importance DESC, seq) - 1 AS h FROM memories QUALIFY h < 40), gr AS (SELECT id, row_number() OVER (ORDER BY seq * 7919 % 1000, seq) - 1 AS g FROM memories QUALIFY g < 60),
-x AS (SELECT id, h, g, coalesce(1.0::DOUBLE / (60 + h), 0) + CASE WHEN h IS NULL OR h >= 10 THEN coalesce(1.0::DOUBLE / (60 + g), 0) ELSE 0 END AS s FROM hy FULL JOIN gr USING (id)),
-o AS (SELECT id, CAST(row_number() OVER (ORDER BY coalesce(h >= 5, true), CASE WHEN h < 5 THEN h END, s DESC, h NULLS LAST, g NULLS LAST, id) - 1 AS INT) AS place, round(s, 6) AS fused FROM x)
-"""
+FUSION = SEARCHED + ", z AS (SELECT id, CAST(place - 1 AS INT) AS place, round(s, 6) AS fused FROM o)"
 
 
 def _fusion(s):
-    first = lambda n, *order: s.memories.orderBy(*order).limit(n).select("id", (F.row_number().over(W.orderBy(*order)) - 1).alias("rank"))
-    return search.relational_fusion(first(40, F.desc("importance"), F.col("seq")), first(60, F.col("seq") * 7919 % 1000, F.col("seq")))
+    """The hybrid list of a wide fetch, and what the relations reach of active memories and its own."""
+    order = W.orderBy(F.desc("score"), F.asc_nulls_last("vector"), F.asc_nulls_last("words"), "id")  # 80 rows
+    listed = graph.kept(hybrid(s, 80).select("id", (F.row_number().over(order) - 1).alias("rank")), "listed")
+    there = s.memories.where("invalid_at IS NULL").select("id").union(listed.select("id"))
+    return search.relational_fusion(listed, _walked(s).join(there, "id", "left_semi"))
 
 
-@query("r5_relational_fusion", FUSION + "SELECT * FROM o")
+@query("r5_relational_fusion", FUSION + "SELECT * FROM z")
 def _(s):
     return _fusion(s)
 
 
-@query("w2_relational_ranks", FUSION + "SELECT id, fused FROM o WHERE place >= 5")
+@query("w2_relational_ranks", FUSION + "SELECT id, fused FROM z WHERE place >= 5")
 def _(s):
     return _fusion(s).where("place >= 5").select("id", "fused")
 
 
-@query("k5_pinned", FUSION + "SELECT id, place FROM o WHERE place < 5")
+@query("k5_pinned", FUSION + "SELECT id, place FROM z WHERE place < 5")
 def _(s):
     return _fusion(s).where("place < 5").select("id", "place")
 
@@ -359,17 +380,11 @@ def _(s):
 
 @query("r11_strategies")
 def _(s):
-    """What each of six strategies finds: both lists fused, that with an anchor, the graph alone, both, PageRank, and two typed hops."""
-    few = lambda name, df: df.select(F.lit(name).alias("strategy"), F.col("id").cast("string").alias("id"))
-    memories = s.orders.select(F.col("id").alias("memory_id"), "updated_at")
-    seeds = s.spark.range(1).select(F.lit(3).cast("long").alias("id"))
-    anchored = s.mentions.where("entity_id = 3").select(F.col("memory_id").alias("id")).distinct().join(memories, F.col("id") == F.col("memory_id")).orderBy(F.desc("updated_at"), "id").limit(10)
-    near = graph.kept(resolving.near_by_cooccurrence(s.mentions, memories, seeds).orderBy(F.desc("rank"), "id").limit(10), "near")
-    walked = graph.per_key(near.select(F.col("id").alias("entity_id"), "rank").join(s.mentions.select("entity_id", "memory_id").distinct(), "entity_id"), "entity_id", [F.desc("memory_id")], 1).orderBy(F.desc("rank"), "memory_id").select(F.col("memory_id").alias("id")).limit(10)
-    typed = graph.expand(s.relations.where("invalid_at IS NULL"), s.spark.range(1).select(F.lit("p3").alias("id"))).where("hop = 2").orderBy("id").limit(10)
-    words = hybrid(s)
-    parts = [few("hybrid", words), few("hybrid+anchor", words.select("id").union(anchored.select(F.col("id").cast("string")))), few("graph", walked), few("graph+hybrid", walked.select(F.col("id").cast("string")).union(words.select("id"))), few("ppr", near), few("typed2hop", typed)]
-    return reduce(DataFrame.union, parts)
+    """The ten memories that each of six strategies finds for a question about part 3."""
+    n = s.table("documents").count()
+    typed = s.relations.where("invalid_at IS NULL").select("subject", "object", (F.col("memory_id") % max(1, n)).cast("string").alias("id"))
+    seeds = s.spark.range(1).select(F.lit(3).cast("long").alias("entity_id"))
+    return strategies.compared(*_lists(s), s.told, typed, seeds, F.concat(F.lit("p"), F.col("entity_id").cast("string"))).select("strategy", "place", "id")
 
 
 @query("v3_similarity_index")
@@ -423,17 +438,6 @@ def _(s):
     return graph.candidates(asked, names, s.changed_entities)
 
 
-EXPAND = """, live AS (SELECT subject AS u, object AS v FROM relations WHERE invalid_at IS NULL UNION SELECT object, subject FROM relations WHERE invalid_at IS NULL),
-one AS (SELECT DISTINCT v AS id FROM live WHERE u IN ('s1', 's2') AND v NOT IN ('s1', 's2')), two AS (SELECT DISTINCT v AS id FROM live WHERE u IN (SELECT id FROM one) AND v NOT IN ('s1', 's2') AND v NOT IN (SELECT id FROM one)),
-reached AS (SELECT id, 1 AS hop FROM one UNION ALL SELECT id, 2 FROM two)
-"""
-
-
-def _expanded(s):
-    seeds = s.spark.range(1).select(F.explode(F.array(F.lit("s1"), F.lit("s2"))).alias("id"))
-    return graph.expand(s.relations.where("invalid_at IS NULL"), seeds)
-
-
 @query("g3_expand", EXPAND + "SELECT id, hop FROM reached")
 def _(s):
     return _expanded(s)

@@ -106,6 +106,12 @@ class Store:
         li = self.table("lineitem")
         return li.select(F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("memory_id"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("surface"))
 
+    @cached_property
+    def told(self) -> DataFrame:
+        """entity_id, id: which entities the memories mention; an order's parts are told in the memory of its number modulo theirs."""
+        n = self.table("documents").count()
+        return self.mentions.select("entity_id", (F.col("memory_id") % max(1, n)).cast("string").alias("id")).distinct()
+
     @cached_property
     def orders(self) -> DataFrame:
         return self.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("updated_at"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("value"))

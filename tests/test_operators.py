@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reverie.functions import embedding, predicates, scoring, text
-from reverie.operators import evals, extraction, graph, lifecycle, mentioning, reconciling, resolving, search, upkeep
+from reverie.operators import evals, extraction, graph, lifecycle, mentioning, reconciling, resolving, search, strategies, upkeep
 from reverie.sources import store
 from reverie.streaming import ingest
 
@@ -328,6 +328,55 @@ def test_reconcile_by_hand(spark):
     assert sorted((r.memory_id, r.event) for r in reconciling.events_of(fates, m).collect()) == [("3", "ADD"), ("4", "ADD"), ("5", "ADD"), ("a", "UPDATE"), ("b", "SUPERSEDE")]
 
 
+def test_strategies_by_loops(spark):
+    import random
+
+    rng = random.Random(9)
+    near = {f"m{i:02}": round(rng.random(), 2) for i in range(40)}
+    words_ = {f"m{i:02}": rng.choice([0.5, 1.5, 2.5]) for i in range(20, 60)}
+    told = {(rng.randint(1, 25), f"m{rng.randint(0, 69):02}") for _ in range(130)}
+    typed = [(f"s{rng.randint(1, 6)}", f"p{rng.randint(1, 25)}", f"m{rng.randint(0, 69):02}") for _ in range(40)] + [("s1", "p3", "m00")]
+    seeds, k = {3, 4}, 10
+
+    def fused(pool=None):
+        out = {}
+        for scores in (near, words_):
+            for rank, m in enumerate(sorted((m for m in scores if pool is None or m in pool), key=lambda m: (-scores[m], m))):
+                out[m] = out.get(m, 0) + 1 / (60 + rank)
+        return out
+
+    best = lambda scores: sorted(scores, key=lambda m: (-round(scores[m], 9), m))[:k]
+    fill = lambda a, b: list(dict.fromkeys(a + b))[:k]
+    want = {"hybrid": best(fused())}
+    of = lambda m: {e for e, x in told if x == m}
+    memories = set(near) | set(words_) | {m for e, m in told if e in seeds}
+    want["hybrid+anchor"] = best({m: fused().get(m, 0) + 0.02 * len(of(m) & seeds) for m in memories})
+    together = seeds | {e for _, m in told if of(m) & seeds for e in of(m)}
+    want["graph"] = best(fused({m for e, m in told if e in together}))
+    want["graph+hybrid"] = fill(want["graph"], want["hybrid"])
+    first = {(e, m) for e in range(1, 26) for m in sorted(m for x, m in told if x == e)[:25]}
+    links = {(a, b) for a, m in first for b, n in first if m == n and a != b}
+    rank = {e: 0.5 for e in seeds}
+    for _ in range(20):
+        nxt = {e: 0.15 * 0.5 for e in seeds}
+        for a, b in links:
+            if a in rank:
+                nxt[b] = nxt.get(b, 0) + 0.85 * rank[a] / sum(x == a for x, _ in links)
+        rank = nxt
+    want["ppr"] = best({m: sum(rank.get(e, 0) for e in of(m)) for _, m in told if any(e in rank for e in of(m))})
+    both = typed + [(o, s, m) for s, o, m in typed]
+    one = {v for u, v, _ in both if u in ("p3", "p4")}
+    gold = {m for u, v, m in both if u in one and v not in ("p3", "p4")}
+    pooled = fused(gold)
+    want["typed2hop"] = fill(best({m: pooled.get(m, 0) for m in gold}), want["hybrid"])
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id string, score double")
+    got = strategies.compared(frame(near), frame(words_), spark.createDataFrame(sorted(told), "entity_id long, id string"), spark.createDataFrame(typed, "subject string, object string, id string"), spark.createDataFrame([(e,) for e in seeds], "entity_id long"), F.concat(F.lit("p"), F.col("entity_id").cast("string")))
+    by = {}
+    for r in sorted(got.collect(), key=lambda r: r.place):
+        by.setdefault(r.strategy, []).append(r.id)
+    assert by == want
+
+
 def test_all_aliases_in_all_texts(spark):
     """Against a loop of patterns: whole words, any case, signs around and between words, long aliases, the longest of an entity."""
     import re
