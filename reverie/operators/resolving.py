@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -118,6 +120,55 @@ def resolved_mentions(seen: DataFrame, entities: DataFrame, mentions: DataFrame,
     return out.select("memory_id", "name", target.alias("entity_id"), target.isNull().alias("is_new"), F.when(target.isNull(), F.coalesce("all", none)).otherwise(none).alias("proposed"))
 
 
+#: Mentions of a name that a round compares all its others with.
+FIRSTS = 8
+
+
+def new_entities(new: DataFrame) -> DataFrame:
+    """memory_id, name, first, twin_of of mentions that found no stored entity: new (memory_id, name, surface, entity_type, content), a row for each memory and name.
+
+    Mentions arrive by memory_id. One is the earliest entity of its name that came before it and is
+    obviously the same, by its first mention's text, or that nothing is known of (an empty text); else it
+    makes an entity of its own. first is the memory whose mention made the entity. The entities of one name
+    beside its first may still be that one: twin_of is then the first's memory, to be proposed, else null.
+
+    A round takes the next FIRSTS mentions of each name, settles them among themselves, and compares
+    all later ones with those that make entities; so a name costs its mentions times its entities, and the rounds are
+    those of the name with the most.
+    """
+    worded = new.withColumn("words", text.words(F.col("surface"))).withColumn("telling", text.context_words(F.col("content"), F.col("surface")))
+    left = kept_ = graph.kept(worded.select("memory_id", "name", "words", "entity_type", "telling", (F.trim(F.coalesce("content", F.lit(""))) == "").alias("bare")), "new-names")
+    c = F.col
+
+    def same(a: str, b: str) -> Column:
+        typed = F.coalesce(c(f"{a}.entity_type") == c(f"{b}.entity_type"), F.lit(True))
+        told = (F.size(f"{a}.words") >= 2) & (c(f"{a}.words") == c(f"{b}.words")) & upkeep.same_context(c(f"{a}.telling"), c(f"{b}.telling"))
+        return typed & (c(f"{a}.bare") | told)
+
+    settled = []
+    while True:
+        firsts = graph.kept(graph.per_key(left, "name", [c("memory_id")], FIRSTS).withColumn("place", c("place") - 1), "firsts")
+        if firsts.isEmpty():
+            break
+        pairs = firsts.alias("a").join(firsts.alias("b"), (c("a.name") == c("b.name")) & (c("a.place") < c("b.place"))).where(same("a", "b"))
+        earlier = pairs.groupBy(c("b.name").alias("name"), c("b.place").alias("place")).agg(F.sort_array(F.collect_list("a.place")).alias("same"))
+        listed = firsts.select("name", "place", "memory_id").join(earlier, ["name", "place"], "left").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("place", "memory_id", "same"))).alias("all"))  # FIRSTS at most
+        none = F.array().cast("array<int>")
+        # of each, in order, the place of the entity that it is: its own where no earlier entity is the same
+        entity = F.aggregate("all", none, lambda acc, x: F.array_append(acc, F.coalesce(F.get(F.filter(F.coalesce(x["same"], none), lambda i: F.get(acc, i) == i), F.lit(0)), x["place"])))
+        told = graph.kept(listed.withColumn("entity", entity).select("name", F.posexplode("entity").alias("place", "entity"), "all").select("name", "place", "entity", F.get("all", c("place"))["memory_id"].alias("memory_id"), F.get("all", c("entity"))["memory_id"].alias("first")), "told")
+        makers = firsts.join(told.where("place = entity").select("name", "place"), ["name", "place"], "left_semi")
+        later = left.join(told.select("name", "memory_id"), ["name", "memory_id"], "left_anti")
+        joined = later.alias("b").join(makers.alias("a"), c("a.name") == c("b.name")).where(same("a", "b")).groupBy(c("b.name").alias("name"), c("b.memory_id").alias("memory_id")).agg(F.min("a.memory_id").alias("first"))
+        settled.append(told.select("memory_id", "name", "first").unionByName(graph.kept(joined, "joined")))
+        left = graph.kept(later.join(settled[-1].select("name", "memory_id"), ["name", "memory_id"], "left_anti"), "left")
+    if not settled:
+        return kept_.select("memory_id", "name", c("memory_id").alias("first"), c("memory_id").alias("twin_of"))
+    all_ = reduce(DataFrame.unionByName, settled)
+    anchors = all_.groupBy("name").agg(F.min("first").alias("anchor"))
+    return all_.join(anchors, "name").select("memory_id", "name", "first", F.when((c("first") == c("memory_id")) & (c("first") != c("anchor")), c("anchor")).alias("twin_of"))
+
+
 def hubs(entities: DataFrame, mentions: DataFrame, relations: DataFrame, memories: DataFrame, most: int = 20) -> DataFrame:
     """id, name, aliases, memories (the latest most), edges (subject, predicate, object by name) of each living entity.
 

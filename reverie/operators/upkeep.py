@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reverie.functions import scoring, text
-from reverie.operators import graph, search
+from reverie.operators import bulk_search, graph, search
 
 
 def obvious_tags(tags: DataFrame) -> DataFrame:
@@ -137,12 +137,16 @@ def first_of(df: DataFrame, key: list[Column], order: list[Column]) -> DataFrame
 def same_entity(left_name: Column, right_name: Column, left_type: Column, right_type: Column, left_facts: Column, right_facts: Column) -> Column:
     """Names of two words at least that are equal, types that don't conflict, and facts that share telling words."""
     one, two = text.words(left_name), text.words(right_name)
-    a, b = text.context_words(left_facts, left_name), text.context_words(right_facts, right_name)
+    typed = F.coalesce(left_type == right_type, F.lit(True))
+    return (F.size(one) >= 2) & (one == two) & typed & same_context(text.context_words(left_facts, left_name), text.context_words(right_facts, right_name))
+
+
+def same_context(a: Column, b: Column) -> Column:
+    """Whether telling words (arrays) share two, or a long one that is a fair part of the fewer."""
     shared = F.array_intersect(a, b)
     long = F.coalesce(F.array_max(F.transform(shared, F.length)), F.lit(0)) >= 6
     share = F.size(shared) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1)) >= 0.12
-    typed = F.coalesce(left_type == right_type, F.lit(True))
-    return (F.size(one) >= 2) & (one == two) & typed & ((F.size(shared) >= 2) | ((F.size(shared) > 0) & long & share))
+    return (F.size(shared) >= 2) | ((F.size(shared) > 0) & long & share)
 
 
 def no_evidence(left_name: Column, right_name: Column, left_type: Column, right_type: Column, left_facts: Column, left_description: Column) -> Column:
@@ -172,15 +176,6 @@ def orphans(ids: DataFrame, *uses: DataFrame) -> DataFrame:
     return ids
 
 
-def merge_entities(root: DataFrame, edges: DataFrame) -> DataFrame:
-    """edges (subject, object, ...) moved to the roots (id, root) of their ends; `self_edge` marks those that close on themselves."""
-    s, o = root.select(F.col("id").alias("subject"), F.col("root").alias("s")), root.select(F.col("id").alias("object"), F.col("root").alias("o"))
-    moved = edges.join(s, "subject", "left").join(o, "object", "left")
-    rest = [c for c in edges.columns if c not in ("subject", "object")]
-    out = moved.select(F.coalesce("s", "subject").alias("subject"), F.coalesce("o", "object").alias("object"), *rest)
-    return out.withColumn("self_edge", F.col("subject") == F.col("object"))
-
-
 def new_edges(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """incoming edges that no active stored edge equals in ends, predicate and user; repeats among them count once."""
     key = ["subject", "predicate", "object", "user_id"]
@@ -189,15 +184,15 @@ def new_edges(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def apart_from_stored(rows: DataFrame, stored: DataFrame, least: float = 0.97) -> DataFrame:
-    """rows (place, user_id, embedding) that no stored vector (user_id, embedding) of their user is that similar to; rows without a vector stay."""
-    new = rows.withColumn("id", F.shiftleft(F.col("place").cast("long"), 1))  # even ids are new ones, odd ids stored
-    old = stored.where("embedding IS NOT NULL").select(F.shiftleft(F.xxhash64("user_id", "embedding"), 1).bitwiseOR(F.lit(1).cast("long")).alias("id"), "user_id", "embedding")
-    both = new.where("embedding IS NOT NULL").select("id", "user_id", "embedding").unionByName(old)
-    pairs = search.similarity_pairs(both.select("id", "embedding"), least)
-    users = both.select("id", "user_id").distinct()
-    named = pairs.join(users.withColumnsRenamed({"id": "a", "user_id": "ua"}), "a").join(users.withColumnsRenamed({"id": "b", "user_id": "ub"}), "b").where(F.col("ua").eqNullSafe(F.col("ub")))
-    mixed = named.where((F.abs(F.col("a") % 2) + F.abs(F.col("b") % 2)) == 1).select(F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("id"))
-    return new.join(mixed, "id", "left_anti").select(*rows.columns)
+    """rows (place, user_id, embedding) that no stored vector (user_id, embedding) of their user is that similar to; rows without a vector stay.
+
+    Each new vector asks for its nearest stored one; stored vectors are not compared with each other.
+    """
+    user = F.concat(F.lit("u"), F.coalesce(F.concat(F.lit(":"), "user_id"), F.lit("")))  # no user is a user too
+    old = stored.select(F.xxhash64("user_id", "embedding").alias("id"), user.alias("scope"), "embedding")
+    asked = rows.select(F.col("place").cast("string").alias("query"), user.alias("scope"), "embedding")
+    near = bulk_search.best_by_vectors(old, asked, 1).where(F.col("score") >= least).select(F.col("query").alias("_near"))
+    return rows.join(near, F.col("place").cast("string") == F.col("_near"), "left_anti").select(*rows.columns)
 
 
 def imported(rows: DataFrame, stored: DataFrame) -> DataFrame:

@@ -166,6 +166,14 @@ def _(s):
     return out.select("place", "user_id", "memory_type", "importance", F.array_join("categories", "|").alias("categories"))
 
 
+@query("s20_near_rows", ", v AS (SELECT id, tag, embedding::DOUBLE[] AS e FROM vectors) SELECT a.id AS place FROM v a WHERE a.id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM v b WHERE b.id % 2 = 0 AND b.tag = a.tag AND round(list_cosine_similarity(a.e, b.e), 9) >= 0.3)")
+def _(s):
+    """Vectors of odd ids come in, those of even ids are stored; none is kept that its tag has a like one of. These vectors don't reach 0.97."""
+    user = F.col("tag").cast("string").alias("user_id")
+    out = upkeep.apart_from_stored(s.vectors.where("id % 2 = 1").select(F.col("id").alias("place"), user, "embedding"), s.vectors.where("id % 2 = 0").select(user, "embedding"), 0.3)
+    return out.select("place")
+
+
 @query("d17_import_dedup", IMPORTED.split("SELECT place, user_id, CASE")[0] + "SELECT count(*) FILTER (WHERE r = 1) AS kept, count(*) FILTER (WHERE r > 1) AS repeated FROM clean")
 def _(s):
     own = _incoming(s).where("trim(coalesce(content, '')) <> ''").groupBy("user_id", F.lower(F.trim("content")).alias("c")).agg(F.count(F.lit(1)).alias("n"))

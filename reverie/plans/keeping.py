@@ -290,7 +290,7 @@ def _(s):
     return p.select("id", "other", upkeep.no_evidence(F.col("name"), F.col("name2"), F.col("kind"), F.col("kind2"), F.col("facts"), F.col("description")).alias("same"))
 
 
-SEEN = ROOTS + FACTS + r""", seen AS (SELECT DISTINCT x.memory_id, lower(trim(e.name)) AS name, e.name AS surface, CASE WHEN e.id % 2 = 0 THEN e.entity_type END AS kind, m.content FROM mentions x JOIN entities e ON e.id = x.entity_id JOIN memories m ON m.seq = x.memory_id WHERE e.merged_into IS NULL AND e.id % 2 = 0),
+SEEN = ROOTS + FACTS + r""", seen AS (SELECT DISTINCT x.memory_id, lower(trim(e.name)) AS name, e.name AS surface, CASE WHEN e.id % 2 = 0 THEN e.entity_type END AS kind, m.content FROM mentions x JOIN entities e ON e.id = x.entity_id JOIN memories m ON m.seq = x.memory_id WHERE e.merged_into IS NULL),
 named AS (SELECT x.name, x.id, l.updated FROM (SELECT normalized AS name, id FROM entities WHERE merged_into IS NULL UNION SELECT lower(trim(surface)), entity_id FROM mentions UNION SELECT e.normalized, r.root FROM entities e JOIN roots r USING (id) WHERE e.merged_into IS NOT NULL) x JOIN (SELECT id, updated FROM entities WHERE merged_into IS NULL) l USING (id)),
 asked AS (SELECT s.*, n.id, n.updated, f.name AS fname, f.kind AS kind1, f.facts, f.description FROM seen s JOIN named n USING (name) JOIN full_ f ON f.id = n.id),
 judged AS (SELECT *, lower(trim(fname)) = name AND coalesce(kind1 = kind, true) AND coalesce(facts, '') = '' AND trim(coalesce(description, '')) = '' AS bare, """ + context_sql("facts", "fname") + " AS x, " + context_sql("content", "surface") + r""" AS y FROM asked),
@@ -300,8 +300,8 @@ verdicts AS (SELECT *, bare OR (len(regexp_extract_all(lower(fname), '[\p{L}\p{N
 
 @query("d12_resolve_mentions", SEEN + "SELECT memory_id, name, arg_max(id, struct_pack(u := updated, i := -id)) FILTER (WHERE taken) AS entity_id, NOT bool_or(taken) AS is_new, CASE WHEN bool_or(taken) THEN 0 ELSE count(DISTINCT id) END AS proposed FROM verdicts GROUP BY memory_id, name")
 def _(s):
-    """Names of living entities with even ids, as if the memories that mention them were read anew."""
-    live = s.entities.where("merged_into IS NULL AND id % 2 = 0").select(F.col("id").alias("entity_id"), F.col("name").alias("surface"), "entity_type", text.normal(F.col("name")).alias("n"))
+    """Names of all living entities, as if the memories that mention them were read anew; of every second one the type is unknown."""
+    live = s.entities.where("merged_into IS NULL").select(F.col("id").alias("entity_id"), F.col("name").alias("surface"), F.when(F.col("id") % 2 == 0, F.col("entity_type")).alias("entity_type"), text.normal(F.col("name")).alias("n"))
     seen = s.mentions.select("entity_id", "memory_id").distinct().join(live, "entity_id").join(s.texts.select("memory_id", "content"), "memory_id")
     own = seen.select("memory_id", "surface", "entity_type", "content").distinct()
     entities = s.entities.withColumn("entity_type", F.when(F.col("id") % 2 == 0, F.col("entity_type")))
@@ -309,6 +309,15 @@ def _(s):
     return found.select("memory_id", "name", "entity_id", "is_new", F.size("proposed").cast("long").alias("proposed"))
 
 
+@query("d12_new_names")
+def _(s):
+    """Brands as names that no entity has yet: which memories' mentions make entities, join them, or make ones that may be twins."""
+    brands = s.table("part").select(F.col("p_partkey").alias("entity_id"), F.regexp_replace("p_brand", "#", " ").alias("surface"), F.element_at(F.split("p_type", " "), -1).alias("entity_type"))
+    seen = s.mentions.select("entity_id", "memory_id").distinct().join(brands, "entity_id").join(s.texts.select("memory_id", "content"), "memory_id")
+    each = seen.groupBy("memory_id", text.normal(F.col("surface")).alias("name")).agg(F.min("surface").alias("surface"), F.min("entity_type").alias("entity_type"), F.min("content").alias("content"))
+    return resolving.new_entities(each)
+
+
 SAME = """, live AS (SELECT id, first_value(id) OVER (PARTITION BY normalized ORDER BY updated DESC, id) AS anchor FROM entities WHERE merged_into IS NULL),
 new AS (SELECT least(id, anchor) AS low, greatest(id, anchor) AS high FROM live WHERE id <> anchor EXCEPT SELECT least(entity_a, entity_b), greatest(entity_a, entity_b) FROM proposals)
 """

@@ -328,6 +328,38 @@ def test_reconcile_by_hand(spark):
     assert sorted((r.memory_id, r.event) for r in reconciling.events_of(fates, m).collect()) == [("3", "ADD"), ("4", "ADD"), ("5", "ADD"), ("a", "UPDATE"), ("b", "SUPERSEDE")]
 
 
+@pytest.mark.parametrize("firsts", [8, 2])
+def test_new_names_meet_within_a_batch(spark, monkeypatch, firsts):
+    """Against a loop in order of arrival; one name has a third of all mentions."""
+    import random
+
+    monkeypatch.setattr(resolving, "FIRSTS", firsts)
+    rng = random.Random(3)
+    topics = [f"{w}{k}" for k in range(6) for w in ("gardening", "chess", "sailing", "baking")]
+    rows = []
+    for i in range(60):
+        for name in {"Zed Koh"} | ({"Ann Lee"} if i % 2 else set()) | ({"Solo"} if i % 5 == 0 else set()):
+            words_ = rng.sample(topics, 3)
+            rows.append((i, name.lower(), name, rng.choice(["person", "place", None]), "" if rng.random() < 0.05 else f"{name} likes {' '.join(words_)}"))
+    table = spark.createDataFrame(rows, "memory_id long, name string, surface string, entity_type string, content string")
+    telling = {(r.memory_id, r.name): set(r.t) for r in table.select("memory_id", "name", text.context_words(F.col("content"), F.col("surface")).alias("t")).collect()}
+    want, entities = set(), {}
+    for i, name, surface, kind, content in sorted(rows):
+        own = entities.setdefault(name, [])
+        for first, known, empty in own:
+            shared = telling[first, name] & telling[i, name]
+            close = len(shared) >= 2 or (shared and max(map(len, shared)) >= 6 and len(shared) / max(1, min(len(telling[first, name]), len(telling[i, name]))) >= 0.12)
+            if (known is None or kind is None or known == kind) and (empty or (len(surface.split()) >= 2 and close)):
+                want.add((i, name, first, None))
+                break
+        else:
+            want.add((i, name, i, own[0][0] if own else None))
+            own.append((i, kind, content == ""))
+    got = {tuple(r) for r in resolving.new_entities(table).collect()}
+    assert got == want and max(map(len, entities.values())) > 3 and len({f for _, n, f, _ in want if n == "zed koh"}) > 2
+    assert resolving.new_entities(table.where("false")).collect() == []
+
+
 def test_strategies_by_loops(spark):
     import random
 
