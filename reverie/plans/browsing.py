@@ -218,10 +218,14 @@ def _(s):
     return s.memories.where(P.within(F.col("created_at"), "2024-01-10", "2024-01-22")).select("id")
 
 
-@query("p6_ownership", "SELECT id, starts_with(user_id, 'src1') AS tenant, user_id = 'src1' AS exact FROM memories")
-def _(s):
-    tenant = P.owned(F.concat("user_id", F.lit("::")), None) & F.col("user_id").startswith("src1")
-    return s.memories.select("id", tenant.alias("tenant"), P.owned(F.col("user_id"), "src1").alias("exact"))
+@query("p6_ownership", """, held AS (SELECT id, CASE seq % 5 WHEN 0 THEN user_id || '::' || seq % 3 WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN user_id || ':' ELSE user_id END AS holder FROM memories)
+SELECT id, coalesce(starts_with(holder, 'src1::'), false) AS tenant, coalesce(holder = 'src1', false) AS exact, true AS any_owner, false AS nobody FROM held""")
+def _(s):
+    """Owners that are a tenant's prefix, a name, all, and the empty name, over rows some of which have no user or an empty one."""
+    k, user = F.col("seq") % 5, F.col("user_id")
+    holder = F.when(k == 0, F.concat(user, F.lit("::"), (F.col("seq") % 3).cast("string"))).when(k == 1, "").when(k == 3, F.concat(user, F.lit(":"))).when(k == 4, user)
+    held = s.contents.withColumn("holder", holder)
+    return held.select("id", *[P.owned(F.col("holder"), owner).alias(name) for name, owner in (("tenant", "src1::"), ("exact", "src1"), ("any_owner", None), ("nobody", ""))])
 
 
 FORGOTTEN = """, cut AS (SELECT * FROM memories WHERE invalid_at IS NOT NULL AND coalesce(superseded_by, '') = '' ORDER BY updated_at DESC, seq LIMIT 30),

@@ -15,11 +15,11 @@ def n_rows():
     return F.count(F.lit(1)).alias("n")
 
 
-@query("j1_postings_join", r""", p AS (SELECT DISTINCT id FROM (SELECT id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) AS term FROM memories) WHERE term IN ('the', 'die'))
+@query("j1_postings_join", r""", p AS (SELECT DISTINCT id FROM (SELECT id, unnest(regexp_extract_all(strip_accents(lower(content)), '[\p{L}\p{N}]+')) AS term FROM memories) WHERE term IN ('the', 'die'))
 SELECT m.id, m.user_id FROM memories m JOIN p USING (id) WHERE invalid_at IS NULL""")
 def _(s):
-    has = F.exists(text.words(F.col("content")), lambda w: w.isin("the", "die"))
-    return s.memories.where(P.active() & has).select("id", "user_id")
+    hits = search.postings(s.contents).where(F.col("term").isin("the", "die")).select("id")
+    return s.memories.where(P.active()).join(hits, "id", "left_semi").select("id", "user_id")
 
 
 @query("j2_topic_memories", "SELECT t.normalized, m.id FROM topics t JOIN memory_topics x ON t.id = x.topic_id JOIN memories m ON m.id = x.memory_id WHERE m.user_id = 'src5' AND m.invalid_at IS NULL")
@@ -52,19 +52,23 @@ def _(s):
     return s.orders.join(hit, "id", "left_semi").agg(n_rows())
 
 
-@query("j7_orphan_entities", """SELECT id FROM entities e WHERE NOT EXISTS (SELECT 1 FROM mentions m WHERE m.entity_id = e.id)
-  AND NOT EXISTS (SELECT 1 FROM relations r WHERE r.object = 'p' || e.id) AND NOT EXISTS (SELECT 1 FROM entities o WHERE o.merged_into = e.id)""")
+@query("j7_orphan_entities", """, told AS (SELECT entity_id FROM mentions WHERE entity_id % 11 NOT IN (2, 3, 5)), ends AS (SELECT object FROM relations WHERE CAST(substr(object, 2) AS BIGINT) % 11 NOT IN (3, 5))
+SELECT id FROM entities e WHERE id NOT IN (SELECT entity_id FROM told) AND 'p' || id NOT IN (SELECT object FROM ends) AND id NOT IN (SELECT merged_into FROM entities WHERE merged_into IS NOT NULL)""")
 def _(s):
-    used = s.mentions.select(F.col("entity_id").alias("id"))
-    ends = s.relations.select(F.explode(F.array("subject", "object")).alias("x")).where("x LIKE 'p%'").select(F.expr("CAST(substring(x, 2) AS BIGINT)").alias("id"))
+    """The memories of some entities are gone, and of most of these what relations said too."""
+    used = s.mentions.select(F.col("entity_id").alias("id")).where(~(F.col("id") % 11).isin(2, 3, 5))
+    ends = s.relations.select(F.expr("CAST(substring(object, 2) AS BIGINT)").alias("id")).where(~(F.col("id") % 11).isin(3, 5))
     merged = s.entities.where("merged_into IS NOT NULL").select(F.col("merged_into").alias("id"))
     return upkeep.orphans(s.entities.select("id"), used, ends, merged)
 
 
-@query("j8_orphan_topics", "SELECT id FROM topics t WHERE id NOT IN (SELECT topic_id FROM memory_topics) AND id NOT IN (SELECT broader FROM topic_relations UNION SELECT narrower FROM topic_relations)")
+@query("j8_orphan_topics", """, had AS (SELECT topic_id FROM memory_topics WHERE topic_id NOT IN ('n4', 'n9', 'n12')), ends AS (SELECT broader AS id FROM topic_relations WHERE narrower NOT IN ('n4', 'n12') UNION SELECT narrower FROM topic_relations WHERE narrower NOT IN ('n4', 'n12'))
+SELECT id FROM topics t WHERE id NOT IN (SELECT topic_id FROM had) AND id NOT IN (SELECT id FROM ends)""")
 def _(s):
-    ends = s.topic_relations.select(F.explode(F.array("broader", "narrower")).alias("id"))
-    return upkeep.orphans(s.topics.select("id"), s.memory_topics.select(F.col("topic_id").alias("id")), ends)
+    """Three topics have lost their memories, two of them their place in the hierarchy as well."""
+    ends = s.topic_relations.where(~F.col("narrower").isin("n4", "n12")).select(F.explode(F.array("broader", "narrower")).alias("id"))
+    had = s.memory_topics.where(~F.col("topic_id").isin("n4", "n9", "n12"))
+    return upkeep.orphans(s.topics.select("id"), had.select(F.col("topic_id").alias("id")), ends)
 
 
 @query("j9_edges_touching", "SELECT subject, object FROM relations WHERE subject IN ('s1', 's7') OR object IN ('p3', 'p9')")
