@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reverie.functions import scoring, text
-from reverie.operators import bulk_search, graph, lifecycle, reconciling, resolving, search, upkeep
+from reverie.operators import bulk_search, graph, lifecycle, reconciling, resolving, search, tagging, upkeep
 from reverie.operators.text_index import TextIndex
 from reverie.plans.counting import ROOTS, SPLIT, split_pairs
 from reverie.plans.registry import query
@@ -365,6 +365,56 @@ def _(s):
     return pairs.union(settled).union(count(lost, "orphans")).union(count(s.entities.where(text.no_referent(F.col("name")).isNotNull()), "no referent"))
 
 
+TAGGED = """, known AS (SELECT DISTINCT user_id, lower(trim(tag)) AS tag FROM (SELECT agent_id AS user_id, unnest(categories) AS tag FROM memories WHERE invalid_at IS NULL)),
+users AS (SELECT user_id, ascii(user_id) AS u, count(*) AS n FROM known GROUP BY 1), already AS (SELECT user_id, unnest(['old', 'nation_5']) AS tag FROM users WHERE u % 2 = 0),
+reply AS (SELECT user_id, n, p, lower(trim(['nation_2', ' Trade ', 'trade', '', 'Old', 'Sea', 'LAND', 'air', 'far', 'Far '][p + 1])) AS tag, q, 'nation_' || (u * 7 + p * 3 + q * q) % 30 AS m FROM users, range(10) t(p), range(5) s(q) WHERE q <= p % 4 + 1)
+"""
+
+
+def _tagged(s):
+    """Tags of each agent, parents that some have, and the ten groups that a reply proposes to each."""
+    tags = s.memories.where("invalid_at IS NULL").select(F.col("agent_id").alias("user_id"), F.explode("categories").alias("tag"))
+    users = tags.select("user_id").distinct().withColumn("u", F.ascii("user_id").cast("long"))
+    already = users.where("u % 2 = 0").select("user_id", F.explode(F.array(F.lit("old"), F.lit("nation_5"))).alias("tag"))
+    names = F.array(*map(F.lit, ("nation_2", " Trade ", "trade", "", "Old", "Sea", "LAND", "air", "far", "Far ")))
+    member = lambda q: F.concat(F.lit(" Nation_"), ((F.col("u") * 7 + F.col("pos") * 3 + q * q) % 30).cast("string"))
+    groups = users.select("user_id", "u", F.posexplode(names).alias("pos", "tag")).withColumn("members", F.transform(F.sequence(F.lit(0), F.col("pos") % 4 + 1), member))
+    return tags, already, groups
+
+
+@query("d18_abstract_tags", TAGGED + """, ok AS (SELECT user_id, p, tag, m, min(q) AS q FROM reply WHERE n >= 6 AND tag <> '' AND (user_id, tag) NOT IN (SELECT (user_id, tag) FROM known UNION SELECT (user_id, tag) FROM already) AND (user_id, m) IN (SELECT (user_id, tag) FROM known) AND (user_id, m) NOT IN (SELECT (user_id, tag) FROM already) GROUP BY ALL),
+grouped AS (SELECT user_id, p, tag, string_agg(m, '|' ORDER BY q) AS members FROM ok GROUP BY ALL HAVING count(*) >= 2), firsts AS (SELECT * FROM grouped QUALIFY row_number() OVER (PARTITION BY user_id, tag ORDER BY p) = 1)
+SELECT user_id, tag, members FROM firsts QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY p) <= 5""")
+def _(s):
+    tags, already, groups = _tagged(s)
+    return tagging.valid_parents(groups, tags, already).select("user_id", "tag", F.array_join("members", "|").alias("members"))
+
+
+@query("d18_parent_edges", TAGGED + """, ok AS (SELECT DISTINCT user_id, tag AS broader, m AS narrower, p FROM reply WHERE n >= 6 AND tag = 'sea' AND (user_id, m) IN (SELECT (user_id, tag) FROM known) AND (user_id, m) NOT IN (SELECT (user_id, tag) FROM already))
+SELECT user_id, broader, narrower FROM ok WHERE narrower <> 'nation_3' QUALIFY count(*) OVER (PARTITION BY user_id, p) >= 1 AND (user_id) IN (SELECT user_id FROM ok GROUP BY user_id HAVING count(*) >= 2)""")
+def _(s):
+    """The edges of one parent, where that to nation_3 is there already."""
+    tags, already, groups = _tagged(s)
+    there = tags.select("user_id", F.lit("sea").alias("broader"), F.lit("nation_3").alias("narrower")).distinct()
+    return tagging.parent_edges(tagging.valid_parents(groups.where("tag = 'Sea'"), tags, already), there)
+
+
+@query("d4_synonym_merges")
+def _(s):
+    """The groups of each reply as synonyms; tags of one obvious merge are taken."""
+    tags, _, groups = _tagged(s)
+    obvious = tags.select("user_id", F.lit("nation_7").alias("tag")).distinct()
+    named = groups.select("user_id", "pos", F.when(F.col("pos") % 2 == 0, F.get("members", F.lit(1))).otherwise("x").alias("canonical"), F.col("members").alias("variants"))
+    return tagging.valid_merges(named, tags, obvious).select("user_id", "canonical", F.array_join("variants", "|").alias("variants"))
+
+
+@query("d18_proposed_parents")
+def _(s):
+    """Parents for the vectors' tags, of clusters of their centroids."""
+    centroids = upkeep.tag_centroids(s.vector_tags).select(F.lit("u").alias("user_id"), F.concat(F.lit("tag "), F.col("tag").cast("string")).alias("tag"), F.col("centroid").alias("embedding"), "n")
+    return tagging.valid_parents(tagging.proposed_parents(centroids, 0.5), centroids.select("user_id", "tag"), centroids.select("user_id", "tag").where("false")).select("user_id", "tag", F.array_join("members", "|").alias("members"))
+
+
 @query("d19_topic_upsert", "SELECT DISTINCT lower(trim(c_mktsegment)) AS normalized FROM customer WHERE lower(trim(c_mktsegment)) NOT IN (SELECT normalized FROM topics)")
 def _(s):
     new = s.table("customer").select(text.normal(F.col("c_mktsegment")).alias("normalized")).distinct()
