@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from reverie.functions import scoring, text
 from reverie.operators import graph, lifecycle, upkeep
 from reverie.plans.counting import ROOTS
 from reverie.plans.registry import query
+from reverie.sources import bundle
 
 
 @query("s1_list_episodes", "SELECT id, role, CAST(turn AS BIGINT) AS turn FROM episodes WHERE user_id = 'c7' ORDER BY turn DESC, id LIMIT 100")
@@ -160,6 +162,28 @@ def _incoming(s):
     return a.union(b)
 
 
+@query("s19_bundle", """SELECT 'entities' AS name, count(*) AS n, sum(id) AS total FROM entities UNION ALL SELECT 'topics', count(*), sum(length(name)) FROM topics UNION ALL SELECT 'vectors', count(*), CAST(sum(list_sum(list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 1000000) AS BIGINT)))) AS BIGINT) FROM vectors""")
+def _(s):
+    """Tables of which the store has a part, from a bundle of all rows, vectors among them; all become visible together."""
+    path = f"{graph.shared_folder(s.spark)}/bundle-{uuid.uuid4().hex}"
+    whole = {"entities": s.entities, "topics": s.topics, "vectors": s.vectors}
+    bundle.write_bundle(whole, f"{path}/bundle")
+    store = bundle.TableSet.create({"entities": s.entities.where("id % 3 = 0"), "topics": s.topics.where("id <> 'r1'"), "vectors": s.vectors.where("id % 2 = 0")}, f"{path}/store")
+    store.restore(bundle.read_bundle(s.spark, f"{path}/bundle"), {"entities": ("id",), "topics": ("id",), "vectors": ("id",)})
+    now = store.tables()
+    million = F.aggregate(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    totals = {"entities": F.sum("id"), "topics": F.sum(F.length("name")), "vectors": F.sum(million)}
+    return reduce(DataFrame.union, [now[name].agg(F.count(F.lit(1)).alias("n"), total.cast("long").alias("total")).select(F.lit(name).alias("name"), "n", "total") for name, total in totals.items()])
+
+
+@query("l12_reset", "SELECT unnest(['episodes', 'memories', 'memory_events', 'topics', 'memory_topics', 'topic_relations', 'entities', 'entity_mentions', 'entity_proposals']) AS name, 0 AS n UNION ALL SELECT 'relations', count(*) FROM relations UNION ALL SELECT 'synthetic_tags', count(DISTINCT n_regionkey) FROM nation")
+def _(s):
+    """Every table's rows after a reset, which leaves two of them."""
+    from reverie.sources.backup import all_tables, reset
+
+    return reduce(DataFrame.union, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in reset(all_tables(s)).items()])
+
+
 @query("s20_import_rows", IMPORTED)
 def _(s):
     out = upkeep.imported(_incoming(s), s.memories.where("seq % 3 = 0").select("user_id", "content"))

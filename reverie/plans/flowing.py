@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from reverie.functions import embedding, text
+from reverie.functions import embedding, extension, text
 from reverie.operators import extraction, reconciling
 from reverie.operators.graph import kept, shared_folder
 from reverie.plans.registry import query
@@ -151,6 +152,21 @@ def _(s):
     return embedding.reindexed(rows, "hash-64", embedding.hash_embedder(64)).select("id", "embedding_model", F.size("embedding").alias("width"))
 
 
+@query("v7_client_embedder", "SELECT id, 'hash:64' AS embedding_model, CASE WHEN content IS NOT NULL THEN CAST(64 AS INT) END AS width FROM memories")
+def _(s):
+    """All memories through a client that is connected to once a task; here it is the hash embedder."""
+    rows = s.contents.select("id", "content", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model"))
+    embed = extension.client_embedder(lambda: lambda texts: embedding.hashed(pd.Series(texts, dtype=object), 64).tolist())
+    return embedding.reindexed(rows, extension.model_name("hash", 64), embed).select("id", "embedding_model", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("width"))
+
+
+@query("t3_table_function", r"SELECT id, term, CAST(count(*) AS INT) AS tf FROM (SELECT id, unnest(regexp_extract_all(strip_accents(lower(content)), '[\p{L}\p{N}]+')) AS term FROM episodes) GROUP BY ALL")
+def _(s):
+    """Postings of all messages, as SQL with a table function."""
+    extension.register(s.spark)
+    return s.spark.sql("SELECT m.id, p.term, p.tf FROM {m} AS m, LATERAL postings_of(m.content) AS p", m=s.episodes)
+
+
 def _replies(s):
     fact = F.to_json(F.struct(F.array(F.struct(F.col("content"), F.lit("Episodic").alias("type"), F.lit("1.7").alias("importance"), F.array(F.lit("x")).alias("categories"), F.array(F.struct(F.lit("a").alias("subject"), F.lit("Works On").alias("predicate"), F.lit("b").alias("object")), F.struct(F.lit("a").alias("subject"), F.lit("is").alias("predicate"), F.lit(" A").alias("object"))).alias("relations"))).alias("facts")))
     k = F.col("turn") % 3

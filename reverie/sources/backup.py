@@ -22,6 +22,15 @@ REFERENCES = (
 )
 
 
+#: What a reset leaves.
+LEFT_BY_RESET = ("relations", "synthetic_tags")
+
+
+def reset(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """tables, by name, after a reset: all are empty but those that it leaves."""
+    return {name: df if name in LEFT_BY_RESET else df.where(F.lit(False)) for name, df in tables.items()}
+
+
 def all_tables(store: Store) -> dict[str, DataFrame]:
     """Every table of the store under its backup's name; memory_key is the number of the memory that a mention or relation rests on."""
     mentions = store.mentions.groupBy("entity_id", "memory_id").agg(F.min("surface").alias("surface")).withColumn("memory_key", F.col("memory_id"))
