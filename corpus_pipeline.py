@@ -6,7 +6,7 @@ stage's result to the shared folder and reads it again.
 
 Null texts count as empty. Rows without doc_id, or without source, go through as rows of their
 own: they are scored, mixed and packed like others, and never are duplicates. Repeated rows share
-their fate in quality and line_dedup, stay together in near_dedup, are mixed to equal copies and
+their fate in quality and line_dedup, stay together in near_dedup, are mixed to copies that differ by one at most and
 packed one by one. Of the texts that line_dedup
 leaves without words, or that had none, near_dedup keeps one, since they are equal. An empty table
 gives an empty one at every stage.
