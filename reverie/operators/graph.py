@@ -75,15 +75,19 @@ def roots(entities: DataFrame) -> DataFrame:
 
 
 def closure(relations: DataFrame, nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """root, id of all under each of nodes (id) along broader to narrower, itself included, fewer than depth steps down."""
-    all_ = front = nodes.select(F.col("id").alias("root"), "id")
-    for _ in range(depth - 1):
-        down = front.join(relations, front["id"] == relations["broader"]).select("root", F.col("narrower").alias("id")).distinct()
-        front = kept(down.join(all_, ["root", "id"], "left_anti"), "closure")
-        if front.isEmpty():
-            break
-        all_ = all_.union(front)
-    return all_
+    """root, id of all under each of nodes (id) along broader to narrower, itself included, fewer than depth steps down.
+
+    One plan by Spark's recursion, whose limit of rows LIMIT ALL lifts. Its rows are walks, made
+    distinct at the end, so a cycle goes round until depth, and a node of several parents counts
+    once for each way to it.
+    """
+    walk = """
+    WITH RECURSIVE under (root, id, depth) AS (
+      SELECT id, id, 0 FROM {nodes}
+      UNION ALL SELECT root, narrower, depth + 1 FROM under JOIN {relations} ON broader = under.id WHERE depth < {last})
+    SELECT root, id FROM under LIMIT ALL"""
+    steps = relations.select("broader", "narrower").distinct()
+    return nodes.sparkSession.sql(walk, nodes=nodes.select("id").distinct(), relations=steps, last=depth - 1).distinct()
 
 
 def phrases(query: Column, most: int = 128, longest: int = 6) -> Column:

@@ -98,6 +98,21 @@ def test_closure_bounds_depth_and_survives_cycles(spark):
     assert got == {("t0", f"t{i}") for i in range(8)} | {("c1", c) for c in ("c1", "c2", "c3")}
 
 
+def test_closure_runs_nothing_before_its_result_and_has_no_limit_of_rows(spark):
+    steps = spark.createDataFrame([(f"{i}", f"{i + k}") for i in range(60) for k in (1, 2)] * 2, "broader string, narrower string")
+    seeds = spark.createDataFrame([(f"{i}",) for i in range(60)], "id string")
+    tracker, limit = spark.sparkContext.statusTracker(), spark.conf.get("spark.sql.cteRecursionRowLimit")
+    before = set(tracker.getJobIdsForGroup())
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        under = graph.closure(steps, seeds, 4)
+        assert set(tracker.getJobIdsForGroup()) == before
+        got = [(r.root, r.id) for r in under.collect()]
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
+    assert sorted(got) == sorted((f"{i}", f"{j}") for i in range(60) for j in range(i, min(i + 6, 61) + 1))
+
+
 def test_expand_and_components(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "subject string, object string")
     seeds = spark.createDataFrame([("c",)], "id string")
