@@ -18,7 +18,8 @@ from dataclasses import dataclass, fields
 import numpy as np
 
 HIDDEN = 16
-WINDOW = 16
+#: Steps of a window; of one that training reads after most lanes have ended, at most.
+WINDOW, LONGEST = 16, 128
 LANES = 256
 RATE = 0.015
 
@@ -85,12 +86,19 @@ class Lanes:
     order: np.ndarray
     bounds: np.ndarray
 
-    def windows(self, steps: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each window the number of lanes that reach it, and by step and lane the place in words and whether there is a word."""
-        for first in range(0, int(self.size[0]), steps):
+    def windows(self, steps: int, longest: int = 0, lanes: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each window the number of lanes that reach it, and by step and lane the place in words and whether there is a word.
+
+        Windows hold about the words of that many lanes over steps: those that few long lanes reach
+        are longer, longest steps at most.
+        """
+        first, last = 0, int(self.size[0])
+        while first < last:
             k = int(np.searchsorted(-self.size, -first))
-            step = np.arange(first, min(first + steps, int(self.size[0])))[:, None]
+            end = min(first + min(max(steps, steps * lanes // k), max(steps, longest)), last)
+            step = np.arange(first, end)[:, None]
             yield k, self.at[:k] + np.minimum(step, self.size[:k] - 1), step < self.size[:k]
+            first = end
 
 
 def dealt(docs: list[np.ndarray], lanes: int) -> Lanes:
@@ -143,14 +151,15 @@ def _forward(w: Weights, table: np.ndarray, h: np.ndarray, words: np.ndarray, st
     return states, x, held, h
 
 
-def _log_softmax(logit: np.ndarray, pick: np.ndarray, at: np.ndarray, whole: bool) -> np.ndarray:
-    """Log-softmax over the first axis at pick; logit is overwritten, by the whole softmax if that is wanted."""
+def _log_softmax(logit: np.ndarray, pick: np.ndarray, at: np.ndarray, scale: np.floating | None) -> np.ndarray:
+    """Log-softmax over the first axis at pick; logit is overwritten, with scale by the gradient of its negative times scale."""
     logit -= logit.max(0)
     out = logit[pick, at]
     np.exp(logit, out=logit)
     total = logit.sum(0)
-    if whole:
-        logit /= total
+    if scale is not None:
+        logit *= scale / total
+        logit[pick, at] -= scale
     return out - np.log(total)
 
 
@@ -161,16 +170,14 @@ def _outputs(w: Weights, states: np.ndarray, words: np.ndarray, there: np.ndarra
     cls = w.classes[words.ravel()[live]]
     sort = np.argsort(cls, kind="stable")
     rows, cls = live[sort], cls[sort]
-    h = states.reshape(n, -1)[:, rows]
+    h = np.take(states.reshape(n, -1), rows, axis=1)
     at = np.arange(len(rows))
     soft = w.cw @ h
     soft += w.cb[:, None]
-    log = _log_softmax(soft, cls, at, grad is not None)
+    scale = None if grad is None else h.dtype.type(1 / max(1, len(rows)))
+    log = _log_softmax(soft, cls, at, scale)
     dh = None
     if grad is not None:
-        scale = h.dtype.type(1 / max(1, len(rows)))
-        soft[cls, at] -= 1
-        soft *= scale
         grad.cw[:], grad.cb[:] = soft @ h.T, soft.sum(1)
         dh = w.cw.T @ soft
     ends = np.searchsorted(cls, np.arange(groups + 1))
@@ -182,29 +189,30 @@ def _outputs(w: Weights, states: np.ndarray, words: np.ndarray, there: np.ndarra
         own = h[:, a:b]
         inner = w.ww[k] @ own
         inner += w.wb[k][:, None]
-        log[a:b] += _log_softmax(inner, member[a:b], at[: b - a], grad is not None)
+        log[a:b] += _log_softmax(inner, member[a:b], at[: b - a], scale)
         if grad is not None:
-            inner[member[a:b], at[: b - a]] -= 1
-            inner *= scale
             grad.ww[k], grad.wb[k] = inner @ own.T, inner.sum(1)
             dh[:, a:b] += w.ww[k].T @ inner
     out = np.empty(len(rows))
     out[sort] = log
     if grad is None:
         return out, None
-    full = np.zeros((n, there.size), h.dtype)
-    full[:, rows] = dh
-    return out, full.reshape(states.shape)
+    back = np.zeros(there.size, np.intp)
+    back[rows] = at
+    full = np.take(dh, back, axis=1).reshape(states.shape)
+    if len(rows) < there.size:
+        full *= there
+    return out, full
 
 
-def score(w: Weights, docs: list[np.ndarray], lanes: int = 2 * LANES, window: int = WINDOW) -> np.ndarray:
+def score(w: Weights, docs: list[np.ndarray], lanes: int = 4 * LANES, window: int = WINDOW) -> np.ndarray:
     """Summed natural log-probability of each whole document; the state runs on over windows and starts at 0 with each document."""
     if not docs:
         return np.zeros(0)
     run = dealt(docs, lanes)
     out = np.zeros(len(run.words))
     h, table = np.zeros((w.u.shape[1], len(run.at)), w.u.dtype), w.x @ w.embed
-    for k, place, there in run.windows(window):
+    for k, place, there in run.windows(window, window * lanes, lanes):
         words = run.words[place]
         states, _, _, h = _forward(w, table, h[:, :k], words, run.starts[place])
         out[place[there]] = _outputs(w, states, words, there)[0]
@@ -244,7 +252,7 @@ def gradients(w: Weights, h: np.ndarray, words: np.ndarray, starts: np.ndarray,
     grad.x[:] = dx @ np.take(w.embed, flat, axis=1, mode="clip").T
     by_word = np.argsort(flat.astype(np.uint16), kind="stable")
     first = np.flatnonzero(np.diff(flat[by_word], prepend=-1))
-    grad.embed[:, flat[by_word[first]]] = np.add.reduceat((w.x.T @ dx)[:, by_word], first, axis=1)
+    grad.embed[:, flat[by_word[first]]] = np.add.reduceat(np.take(w.x.T @ dx, by_word, axis=1), first, axis=1)
     dc *= r
     grad.u[:] = dx @ states.reshape(n, -1).T
     return last, float(log.sum())
@@ -260,7 +268,7 @@ def train(w: Weights, docs: list[np.ndarray], lanes: int = LANES, window: int =
     grad = w.over(g)
     m, v = np.zeros_like(flat), np.zeros_like(flat)
     h = np.zeros((w.u.shape[1], len(run.at)), flat.dtype)
-    for step, (k, place, there) in enumerate(run.windows(window), 1):
+    for step, (k, place, there) in enumerate(run.windows(window, LONGEST, lanes), 1):
         h, _ = gradients(w, h[:, :k], run.words[place], run.starts[place], there, grad)
         np.clip(g, -1, 1, out=g)
         m += flat.dtype.type(0.1) * (g - m)
