@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reverie.llm.common import boxed, lower_ascii
+from reverie.llm.url_patterns import pattern_lines
 
 #: Tiers: a rule of a higher one wins.
 BLOCKS, EXCEPTIONS, CONTRACT = 0, 1, 2
@@ -75,7 +76,7 @@ CONTRACT_RULES = (
     host_path_rule("example.com/de/", "block"),
     host_path_rule("org/fr/", "allow"),
 )
-METHOD_RULES = tuple(host_word_rule(w) for w in BLOCKED_WORDS)
+METHOD_RULES = tuple(host_word_rule(w) for w in BLOCKED_WORDS) + tuple(map(pattern_rule, pattern_lines()))
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -118,7 +119,10 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...], url_col: str = "url
     host, path = url_parts(F.col(url_col))
     own = boxed(pages, host.alias("host"), path.alias("path"))
     addresses = own.select("host", "path").distinct().withColumn("address", F.concat("host", "path"))
-    tokens = addresses.select("host", "path", "address", F.explode(F.array_append(tokens_of(F.col("address")), F.lit(""))).alias("token"))
+    own_tokens = tokens_of(F.col("address"))
+    if not all(r.tokens for r in rules):  # rules without a literal are filed under '' and run on every URL
+        own_tokens = F.array_append(own_tokens, F.lit(""))
+    tokens = addresses.select("host", "path", "address", F.explode(own_tokens).alias("token"))
     filed = filed_rules(pages.sparkSession, tokens.select("token"), rules)
     fits = tokens.join(filed, "token").where(F.regexp_like("address", F.col("regex")))
     hits = fits.groupBy("host", "path").agg(F.max(F.struct("tier", "len", "name", "verdict")).alias("best"))
@@ -136,7 +140,12 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", rule.alias("rule"), "verdict")
 
 
-ORACLE = r"""
+def _any(verdict: str) -> str:
+    return "regexp_matches(host || path, '" + "|".join(f"(?:{r.regex})" for r in METHOD_RULES if r.verdict == verdict) + "')"
+
+
+ORACLE = (
+    r"""
 WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, coalesce(rest, '') AS rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS h FROM a),
 c AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM b),
@@ -147,5 +156,10 @@ d AS (SELECT *, CASE
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM c)
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN regexp_matches(host, '(^|[.-])(ads|bets|casino|lottery|phishing|pills|porn|spam|torrent|viagra)[.-]') THEN 'block' ELSE 'allow' END AS verdict FROM d
-"""
+  WHEN """
+    + _any("allow")
+    + r""" THEN 'allow'
+  WHEN regexp_matches(host, '(^|[.-])(ads|bets|casino|lottery|phishing|pills|porn|spam|torrent|viagra)[.-]') OR """
+    + _any("block")
+    + " THEN 'block' ELSE 'allow' END AS verdict FROM d"
+)

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -332,6 +333,23 @@ def test_thousands_of_pattern_rules_by_their_rarest_token(spark):
     assert any(held[filed[r.name]] < max(held[t] for t in r.tokens) for r in rules if r.tokens)
 
 
+def test_the_shipped_patterns_and_their_exceptions(spark, tmp_path):
+    blocked = ["banner.shop.com/x", "a.adserver.b.net/", "h.com/pagead/x", "best-online-casino.com/", "cheap-pills-now.org/", "h.com/a/replica-watches/b", "h.com/get-keygen/", "h.com/free-spins-today", "h.com/ad/x/banner/", "h.com/wp-login.php", "win-big.com/my/prize", "h.com/download/a/b.exe", "h.com/impression/7/x.gif", "h.com/history/online-bingo-x"]
+    clean = ["h.com/pageady/x", "bannerman.com/", "h.com/history/1/online-bingo/", "h.com/law/us/payday-loan-act", "h.com/wiki/keygen", "tracker.health.gov/", "h.com/spins-today", "h.com/wp-login.php/x", "h.com/download/a.exe.html", "adx.com/", "h.com/Warez/", "who.int/a/weight-loss-pills", "h.com/reading/banner", "h.com/en/1.html"]
+    pages = spark.createDataFrame([(i, f"https://{u}") for i, u in enumerate(blocked + clean)], "page_id long, url string")
+    got = {r.page_id: r for r in url_rules.judge_urls(pages, url_rules.METHOD_RULES).collect()}
+    rules = [(r, re.compile(r.regex)) for r in url_rules.METHOD_RULES]
+    assert len(rules) > 300 and all(r.tokens for r, _ in rules) and len({r.name for r, _ in rules}) == len(rules)
+    for i, u in enumerate(blocked + clean):
+        fits = [(r.tier, r.length, r.name, r.verdict) for r, x in rules if x.search(u)]
+        assert (tuple(got[i].best) if got[i].best else None) == (max(fits) if fits else None)
+        assert (u, got[i].verdict) == (u, "block" if i < len(blocked) else "allow")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    sql = duckdb.sql(url_rules.ORACLE.replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    want = url_rules.query(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(sql) == sorted(map(tuple, want))
+
+
 def test_pattern_rules_derive_their_literals():
     rule = url_rules.pattern_rule
     assert rule("||ads.example.com^*/banner/").tokens == ("ads", "example", "com", "banner") and rule("ad*").tokens == () and rule("*x.y*").tokens == ()
