@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -60,6 +61,14 @@ def merged_roots(merges: DataFrame) -> DataFrame:
     return graph.components(merges.where("keep <> merge").select(F.col("keep").alias("a"), F.col("merge").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("root"))
 
 
+def surviving(merges: DataFrame) -> DataFrame:
+    """id, root as merged_roots, but of all that are joined the one that no merge takes away stays; the least id of several such, or of a ring."""
+    parts = graph.kept(merged_roots(merges), "joined")
+    lost = merges.where("keep <> merge").select(F.col("merge").alias("id")).distinct().withColumn("lost", F.lit(1))
+    first = parts.join(lost, "id", "left").groupBy("root").agg(F.min(F.struct(F.coalesce("lost", F.lit(0)).alias("lost"), "id"))["id"].alias("stays"))
+    return parts.join(first, "root").select("id", F.col("stays").alias("root"))
+
+
 def after_merges(entities: DataFrame, mentions: DataFrame, relations: DataFrame, proposals: DataFrame, moved: DataFrame, now: Column) -> dict[str, DataFrame]:
     """The four tables after entities moved (id, root; ids as relations' ends have them in `end`, `end_root`).
 
@@ -98,6 +107,28 @@ def without(entities: DataFrame, mentions: DataFrame, relations: DataFrame, prop
     }
 
 
+def cleaned(entities: DataFrame, mentions: DataFrame, relations: DataFrame, proposals: DataFrame, facts: DataFrame, end: Callable[[Column], Column], now: Column, judgements: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The four tables after a whole clean-up; end makes an entity's id what relations' ends hold.
+
+    Open proposals (new ones are the caller's to add) are settled and what is the same is merged;
+    living entities that then nothing mentions, no relation ends in and none was merged into go, and so do
+    those whose names can be no entity's, with all that names them.
+    """
+    settled = graph.kept(open_proposals(entities, proposals, facts, judgements), "settled")
+    moved = graph.kept(surviving(settled.where("fate = 'merged'").select("keep", "merge")), "moved")
+    mapped = moved.withColumns({"end": end(F.col("id")), "end_root": end(F.col("root"))})
+    fates = settled.where("fate <> 'kept'").select("id", F.when(F.col("fate") == "rejected", "rejected").otherwise("confirmed").alias("_fate"))
+    asked = proposals.join(fates, "id", "left").withColumn("status", F.coalesce("_fate", "status")).select(*proposals.columns)
+    new = after_merges(entities, mentions, relations, asked, mapped, now)
+    live = new["entities"].where("merged_into IS NULL").select("id", end(F.col("id")).alias("end"), "name")
+    ends = new["relations"].select(F.explode(F.array("subject", "object")).alias("end")).distinct().join(live, "end").select("id")
+    tombs = new["entities"].where("merged_into IS NOT NULL").select(F.col("merged_into").alias("id"))
+    lost = upkeep.orphans(live.select("id"), new["mentions"].select(F.col("entity_id").alias("id")), ends, tombs)
+    junk = live.where(text.no_referent(F.col("name")).isNotNull()).select("id")
+    gone = graph.kept(live.join(lost.union(junk).distinct(), "id", "left_semi").select("id", "end"), "gone")
+    return without(new["entities"], new["mentions"], new["relations"], new["proposals"], gone)
+
+
 def resolved_mentions(seen: DataFrame, entities: DataFrame, mentions: DataFrame, root: DataFrame, facts: DataFrame) -> DataFrame:
     """memory_id, name, entity_id, is_new, proposed (ids) of mentions (memory_id, surface, entity_type, content), each name of a memory once.
 

@@ -53,13 +53,13 @@ def _(s):
 
 
 @query("j7_orphan_entities", """, told AS (SELECT entity_id FROM mentions WHERE entity_id % 11 NOT IN (2, 3, 5)), ends AS (SELECT object FROM relations WHERE CAST(substr(object, 2) AS BIGINT) % 11 NOT IN (3, 5))
-SELECT id FROM entities e WHERE id NOT IN (SELECT entity_id FROM told) AND 'p' || id NOT IN (SELECT object FROM ends) AND id NOT IN (SELECT merged_into FROM entities WHERE merged_into IS NOT NULL)""")
+SELECT id FROM entities e WHERE merged_into IS NULL AND id NOT IN (SELECT entity_id FROM told) AND 'p' || id NOT IN (SELECT object FROM ends) AND id NOT IN (SELECT merged_into FROM entities WHERE merged_into IS NOT NULL)""")
 def _(s):
     """The memories of some entities are gone, and of most of these what relations said too."""
     used = s.mentions.select(F.col("entity_id").alias("id")).where(~(F.col("id") % 11).isin(2, 3, 5))
     ends = s.relations.select(F.expr("CAST(substring(object, 2) AS BIGINT)").alias("id")).where(~(F.col("id") % 11).isin(3, 5))
     merged = s.entities.where("merged_into IS NOT NULL").select(F.col("merged_into").alias("id"))
-    return upkeep.orphans(s.entities.select("id"), used, ends, merged)
+    return upkeep.orphans(s.entities.where("merged_into IS NULL").select("id"), used, ends, merged)
 
 
 @query("j8_orphan_topics", """, had AS (SELECT topic_id FROM memory_topics WHERE topic_id NOT IN ('n4', 'n9', 'n12')), ends AS (SELECT broader AS id FROM topic_relations WHERE narrower NOT IN ('n4', 'n12') UNION SELECT narrower FROM topic_relations WHERE narrower NOT IN ('n4', 'n12'))

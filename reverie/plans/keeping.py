@@ -336,14 +336,20 @@ settled AS (SELECT *, CASE WHEN ra IS NULL OR rb IS NULL THEN 'rejected' WHEN ra
 """
 
 
-def _open(s):
-    """Open proposals, and a new one for each entity that shares its name with a later one."""
+def _asked(s):
+    """Proposals, and a new one for each entity that shares its name with a later one."""
     live = s.entities.where("merged_into IS NULL")
     anchor = F.first("id").over(W.partitionBy("normalized").orderBy(F.desc("updated"), "id"))
     new = live.select("id", anchor.alias("anchor")).where("id <> anchor").select((F.col("id") + 1000000).alias("id"), F.col("id").alias("entity_a"), F.col("anchor").alias("entity_b"), F.lit("proposed").alias("status"))
-    known = _facts(s)
-    entities = s.entities.withColumn("entity_type", F.when(F.col("id") % 2 == 0, F.col("entity_type")))
-    return resolving.open_proposals(entities, s.proposals.select("id", "entity_a", "entity_b", "status").union(new), known.select("id", "facts"))
+    return s.proposals.select("id", "entity_a", "entity_b", "status").union(new)
+
+
+def _half_typed(s):
+    return s.entities.withColumn("entity_type", F.when(F.col("id") % 2 == 0, F.col("entity_type")))
+
+
+def _open(s):
+    return resolving.open_proposals(_half_typed(s), _asked(s), _facts(s).select("id", "facts"))
 
 
 @query("d14_open_proposals", OPEN + "SELECT id, fate, CASE WHEN first THEN ra ELSE rb END AS keep, CASE WHEN first THEN rb ELSE ra END AS merge FROM settled")
@@ -365,6 +371,42 @@ def _(s):
     return pairs.union(settled).union(count(lost, "orphans")).union(count(s.entities.where(text.no_referent(F.col("name")).isNotNull()), "no referent"))
 
 
+CLEANED = OPEN.replace("asked AS (SELECT p.id", "junk AS (SELECT id FROM entities WHERE id % 97 = 5), asked AS (SELECT p.id").replace("a.name, a.kind", "CASE WHEN a.id % 97 = 5 THEN '$' || a.id ELSE a.name END AS name, a.kind").replace("b.name AS name2", "CASE WHEN b.id % 97 = 5 THEN '$' || b.id ELSE b.name END AS name2") + """, mrg AS (SELECT CASE WHEN first THEN ra ELSE rb END AS keep, CASE WHEN first THEN rb ELSE ra END AS lose FROM settled WHERE fate = 'merged' AND ra <> rb),
+e2 AS (SELECT keep AS a, lose AS b FROM mrg UNION SELECT lose, keep FROM mrg), walk2 AS (SELECT a AS node, a AS low FROM e2 UNION SELECT e2.b, low FROM walk2 JOIN e2 ON e2.a = walk2.node),
+comp AS (SELECT node, min(low) AS low FROM walk2 GROUP BY 1), lost AS (SELECT DISTINCT lose FROM mrg),
+stays AS (SELECT low, arg_min(node, CASE WHEN lose IS NULL THEN 0 ELSE 1000000000 END + node) AS root FROM comp LEFT JOIN lost ON lose = node GROUP BY 1),
+moved AS (SELECT node AS id, root FROM comp JOIN stays USING (low) WHERE node <> root),
+people AS (SELECT e.id, coalesce(m.root, e.merged_into) AS merged_into, m.root IS NOT NULL OR e.id IN (SELECT root FROM moved) AS stale FROM entities e LEFT JOIN moved m USING (id)),
+said2 AS (SELECT coalesce(root, entity_id) AS entity_id, memory_id, surface FROM mentions LEFT JOIN moved ON moved.id = entity_id WHERE entity_id % 11 NOT IN (2, 3)),
+rel2 AS (SELECT subject, coalesce('p' || root, object) AS object, invalid_at IS NULL AS active FROM relations LEFT JOIN moved ON 'p' || moved.id = object WHERE CAST(substr(object, 2) AS BIGINT) % 11 <> 3),
+prop2 AS (SELECT p.id, coalesce(a.root, entity_a) AS x, coalesce(b.root, entity_b) AS y, CASE WHEN fate = 'rejected' THEN 'rejected' WHEN fate IN ('confirmed', 'merged') THEN 'confirmed' ELSE status END AS status
+  FROM (SELECT id, entity_a, entity_b, status FROM proposals UNION ALL SELECT 1000000 + id, id, anchor, 'proposed' FROM anchored WHERE id <> anchor) p LEFT JOIN settled t ON t.id = p.id LEFT JOIN moved a ON a.id = entity_a LEFT JOIN moved b ON b.id = entity_b),
+bare_ AS (SELECT id FROM people WHERE merged_into IS NULL AND (id IN (SELECT id FROM junk) OR (id NOT IN (SELECT entity_id FROM said2) AND 'p' || id NOT IN (SELECT object FROM rel2) AND id NOT IN (SELECT merged_into FROM people WHERE merged_into IS NOT NULL)))),
+gone AS (SELECT id FROM bare_ UNION SELECT id FROM people WHERE merged_into IN (SELECT id FROM bare_))
+SELECT 'entities' AS name, CAST(id AS VARCHAR) AS key, coalesce(CAST(merged_into AS VARCHAR), '-') || ' ' || stale AS value FROM people WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'mentions', CAST(entity_id AS VARCHAR), memory_id || ' ' || surface FROM said2 WHERE entity_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'relations', subject, object || ' ' || active FROM rel2 WHERE object NOT IN (SELECT 'p' || id FROM bare_)
+UNION ALL SELECT 'proposals', CAST(id AS VARCHAR), CASE WHEN x = y AND status = 'proposed' THEN 'confirmed' ELSE status END || ' ' || x || ' ' || y FROM prop2 WHERE x NOT IN (SELECT id FROM gone) AND y NOT IN (SELECT id FROM gone)"""
+
+
+@query("d15_cleaned_tables", CLEANED)
+def _(s):
+    """All rows of the four tables after the clean-up; some entities have sums of money for names, and of others the memories and relations are gone."""
+    end = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    entities = _half_typed(s).withColumn("name", F.when(F.col("id") % 97 == 5, F.concat(F.lit("$"), F.col("id").cast("string"))).otherwise(F.col("name")))
+    mentions = s.mentions.where(~(F.col("entity_id") % 11).isin(2, 3))
+    edges = s.relations.where(F.expr("CAST(substring(object, 2) AS BIGINT) % 11 <> 3"))
+    new = resolving.cleaned(entities, mentions, edges, _asked(s), _facts(s).select("id", "facts"), end, F.expr(f"timestamp_ntz'{NOW}'"))
+    text_of = lambda c: F.col(c).cast("string")
+    shown = {
+        "entities": (text_of("id"), F.concat_ws(" ", F.coalesce(text_of("merged_into"), F.lit("-")), text_of("stale"))),
+        "mentions": (text_of("entity_id"), F.concat_ws(" ", text_of("memory_id"), "surface")),
+        "relations": (F.col("subject"), F.concat_ws(" ", "object", F.col("invalid_at").isNull().cast("string"))),
+        "proposals": (text_of("id"), F.concat_ws(" ", "status", text_of("entity_a"), text_of("entity_b"))),
+    }
+    return reduce(DataFrame.union, [new[name].select(F.lit(name).alias("name"), key.alias("key"), value.alias("value")) for name, (key, value) in shown.items()])
+
+
 TAGGED = """, known AS (SELECT DISTINCT user_id, lower(trim(tag)) AS tag FROM (SELECT agent_id AS user_id, unnest(categories) AS tag FROM memories WHERE invalid_at IS NULL)),
 users AS (SELECT user_id, ascii(user_id) AS u, count(*) AS n FROM known GROUP BY 1), already AS (SELECT user_id, unnest(['old', 'nation_5']) AS tag FROM users WHERE u % 2 = 0),
 reply AS (SELECT user_id, n, p, lower(trim(['nation_2', ' Trade ', 'trade', '', 'Old', 'Sea', 'LAND', 'air', 'far', 'Far '][p + 1])) AS tag, q, 'nation_' || (u * 7 + p * 3 + q * q) % 30 AS m FROM users, range(10) t(p), range(5) s(q) WHERE q <= p % 4 + 1)

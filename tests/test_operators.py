@@ -288,6 +288,28 @@ def test_imports_near_stored_vectors_are_left_out(spark):
     assert sorted(r.place for r in upkeep.apart_from_stored(rows, stored).collect()) == [2, 3, 4]
 
 
+def test_who_survives_several_merges(spark):
+    merges = spark.createDataFrame([(9, 4), (4, 2), (5, 6), (6, 5), (8, 7), (10, 7), (3, 3)], "keep long, merge long")
+    got = {r.id: r.root for r in resolving.surviving(merges).collect()}
+    assert got == {9: 9, 4: 9, 2: 9, 5: 5, 6: 5, 8: 8, 7: 8, 10: 8}
+
+
+def test_a_whole_clean_up(spark):
+    e = spark.createDataFrame([(1, "Ada Stone", None), (2, "Ada Stone", None), (3, "$40", None), (4, "Lost One", None), (5, "Told One", None), (6, "Old", 1), (7, "Once Forty", 3)], "id long, name string, merged_into long")
+    e = e.withColumns({"entity_type": F.lit(None).cast("string"), "description": F.lit(None).cast("string")})
+    m = spark.createDataFrame([(1, 100, "Ada"), (2, 101, "A. Stone"), (3, 100, "$40"), (5, 102, "Told")], "entity_id long, memory_id long, surface string")
+    t = spark.createDataFrame([("e1", "knows", "e2", None), ("e2", "knows", "e5", None), ("e3", "costs", "e5", None)], "subject string, predicate string, object string, invalid_at timestamp_ntz")
+    p = spark.createDataFrame([(1, 2, 1, "proposed"), (2, 4, 5, "proposed"), (3, 5, 1, "rejected"), (4, 3, 1, "proposed")], "id long, entity_a long, entity_b long, status string")
+    facts = spark.createDataFrame([(2, "paints houses")], "id long, facts string")
+    new = resolving.cleaned(e, m, t, p, facts, lambda c: F.concat(F.lit("e"), c.cast("string")), F.expr("timestamp_ntz'2024-01-01'"))
+    rows = lambda name, *cs: sorted(map(tuple, new[name].select(*cs).collect()), key=str)
+    # the one of equal names that has facts stays; the sum of money goes with its tombstone, and who is nowhere told goes
+    assert rows("entities", "id", "merged_into") == [(1, 2), (2, None), (5, None), (6, 1)]
+    assert rows("mentions", "entity_id", "surface") == [(2, "A. Stone"), (2, "Ada"), (5, "Told")]
+    assert rows("relations", "subject", "object", F.col("invalid_at").isNull()) == [("e2", "e2", False), ("e2", "e5", True)]
+    assert rows("proposals", "id", "entity_a", "entity_b", "status") == [(1, 2, 2, "confirmed"), (3, 5, 2, "rejected")]
+
+
 def test_open_proposals(spark):
     e = spark.createDataFrame([(1, "Ada Smith", "person", None, None), (2, "Ada Smith", None, None, None), (3, "Ada Smith", "person", None, 1), (4, "Bob", None, None, None), (5, "Bob", None, None, None), (6, "Cy Young", None, None, None), (7, "Cy Young", None, None, None), (8, "X", None, None, 99)], "id long, name string, entity_type string, description string, merged_into long")
     facts = spark.createDataFrame([(1, "planning telescopes and gardens"), (2, "plans a telescope, a garden"), (4, "tall"), (6, "pitcher"), (7, "painter")], "id long, facts string")
