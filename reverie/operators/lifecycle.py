@@ -76,7 +76,7 @@ def fitted(costs: DataFrame, budget: int, key: str, place: str = "place", cost:
 
 
 def entity_blocks(found: DataFrame, described: DataFrame, budget: int, header: int = 7) -> DataFrame:
-    """id, line, tokens of the entities found (id, updated; a few) whose described lines (id, name, entity_type, description) fit the budget after the header, latest first.
+    """id, line, tokens, place of the entities found (id, updated; a few) whose described lines (id, name, entity_type, description) fit the budget after the header, latest first.
 
     A line that does not fit is left out, and the next one is tried.
     """
@@ -84,7 +84,17 @@ def entity_blocks(found: DataFrame, described: DataFrame, budget: int, header: i
     lines = found.join(described.where(F.coalesce("description", F.lit("")) != ""), "id").select("id", "updated", F.concat(F.lit("- "), label, F.lit(": "), "description").alias("line"))
     placed = lines.select("id", "line", (tokens(F.col("line")) + 1).alias("tokens"), F.row_number().over(W.orderBy(F.desc("updated"), "id")).alias("place"), F.lit(1).alias("query"))
     fits = fitted(placed, budget - header, "query")
-    return placed.join(fits, ["query", "place"]).select("id", "line", "tokens")
+    return placed.join(fits, ["query", "place"]).select("id", "line", "tokens", "place")
+
+
+def composed(blocks: DataFrame, told: DataFrame, memories: DataFrame, most: int = 20) -> DataFrame:
+    """id, place (from 0): the latest of each block's memories (blocks: id, place; told: entity_id, id; most an entity), and then memories (id, place); each once, where it comes first. told has updated_at."""
+    theirs = blocks.select(F.col("id").alias("entity_id"), F.col("place").alias("block")).join(told, "entity_id")
+    latest = F.row_number().over(W.partitionBy("entity_id").orderBy(F.desc("updated_at"), "id"))
+    first = theirs.withColumn("nth", latest).where(F.col("nth") <= most).select("id", F.struct(F.lit(0).alias("part"), F.col("block").alias("block"), F.col("nth").alias("nth")).alias("at"))
+    then = memories.select("id", F.struct(F.lit(1).alias("part"), F.col("place").cast("int").alias("block"), F.lit(0).alias("nth")).alias("at"))
+    once = first.union(then).groupBy("id").agg(F.min("at").alias("at"))  # some dozens of rows: what a budget holds
+    return once.select("id", (F.row_number().over(W.orderBy("at")) - 1).alias("place"))
 
 
 def tokens(content: Column) -> Column:

@@ -332,15 +332,25 @@ def _blocks(s, budget):
     return lifecycle.entity_blocks(graph.detect(ENTITIES, names, 3), described, budget)
 
 
-@query("r7_reconstructed")
+COMPOSED = NAMED + BLOCKS + """, e1 AS (SELECT 7 + coalesce((SELECT tokens FROM cost WHERE place = 1 AND 7 + tokens <= 225), 0) AS used), e2 AS (SELECT used + coalesce((SELECT tokens FROM cost WHERE place = 2 AND used + tokens <= 225), 0) AS used FROM e1),
+fit AS (SELECT id, place, line FROM cost WHERE tokens + CASE place WHEN 1 THEN 7 WHEN 2 THEN (SELECT used FROM e1) ELSE (SELECT used FROM e2) END <= 225),
+room_ AS (SELECT 900 - CASE WHEN count(*) = 0 THEN 0 ELSE (28 + sum(length(line)) + count(*) - 1) // 4 END AS room FROM fit),
+said AS (SELECT DISTINCT entity_id, CAST(memory_id % (SELECT count(*) FROM documents) AS VARCHAR) AS id FROM mentions),
+theirs AS (SELECT fit.place AS p, m.id, row_number() OVER (PARTITION BY fit.id ORDER BY m.updated_at DESC, m.id) AS r FROM fit JOIN said ON said.entity_id = fit.id JOIN memories m ON m.id = said.id WHERE m.invalid_at IS NULL)
+""" + BUDGET.replace("QUALIFY vector < 30", "QUALIFY vector < 60").replace("QUALIFY words < 30", "QUALIFY words < 60").replace("1200", "(SELECT room FROM room_)") + """,
+parts_ AS (SELECT id, p * 100 + r AS spot FROM theirs WHERE r <= 20 UNION ALL SELECT id, 1000 + place FROM u WHERE used <= (SELECT room FROM room_))
+SELECT id, row_number() OVER (ORDER BY min(spot)) - 1 AS place FROM parts_ GROUP BY id"""
+
+
+@query("r7_reconstructed", COMPOSED)
 def _(s):
-    """The entities' lines take at most a quarter of the budget (80 to 300), memories what they leave; each memory once, in order."""
-    budget = 900
+    """Entities' lines take at most a quarter of the budget (80 to 300) and bring their latest memories; others fill what the lines leave. Each memory once, in order."""
+    budget, header = 900, 28
     blocks = graph.kept(_blocks(s, min(300, max(80, budget // 4))), "blocks")
-    used = blocks.agg(F.sum("tokens")).first()[0] or 0
-    theirs = graph.per_key(blocks.join(s.mentions.select(F.col("entity_id").alias("id"), "memory_id").distinct(), "id"), "id", [F.desc("memory_id")], 20)
-    rest = _context(s, budget - used).select(F.lit("memory").alias("kind"), "id")
-    return blocks.select(F.lit("entity").alias("kind"), F.col("id").cast("string").alias("id")).union(theirs.select(F.lit("memory").alias("kind"), F.concat(F.lit("order "), F.col("memory_id").cast("string")).alias("id")).distinct()).union(rest)
+    lines, length = blocks.agg(F.count(F.lit(1)), F.sum(F.length("line"))).first()
+    used = (header + length + lines - 1) // 4 if lines else 0
+    told = s.told.join(s.memories.where(P.active()).select("id", "updated_at"), "id")
+    return lifecycle.composed(blocks, told, _context(s, max(0, budget - used)))
 
 
 @query("r8_entity_blocks", NAMED + BLOCKS + ", one AS (SELECT * FROM cost WHERE place = 1), two AS (SELECT * FROM cost WHERE place = 2), three AS (SELECT * FROM cost WHERE place = 3), a AS (SELECT CASE WHEN 7 + tokens <= 60 THEN 7 + tokens ELSE 7 END AS used FROM one), b AS (SELECT CASE WHEN used + tokens <= 60 THEN used + tokens ELSE used END AS used, used AS before FROM a, two) SELECT id, tokens FROM one WHERE 7 + tokens <= 60 UNION ALL SELECT id, tokens FROM two, a WHERE used + tokens <= 60 UNION ALL SELECT id, tokens FROM three, b WHERE used + tokens <= 60")

@@ -288,6 +288,15 @@ def test_imports_near_stored_vectors_are_left_out(spark):
     assert sorted(r.place for r in upkeep.apart_from_stored(rows, stored).collect()) == [2, 3, 4]
 
 
+def test_composed_context_names_each_memory_once_in_order(spark):
+    blocks = spark.createDataFrame([(7, 2), (5, 1)], "id long, place int")
+    told = spark.createDataFrame([(5, "a", 3), (5, "b", 9), (5, "c", 1), (7, "b", 9), (7, "d", 2), (8, "z", 9)], "entity_id long, id string, updated_at long")
+    rest = spark.createDataFrame([("d", 0), ("e", 1), ("a", 2), ("c", 3)], "id string, place int")
+    say = lambda b, t, m: [r.id for r in sorted(lifecycle.composed(b, t, m, 2).collect(), key=lambda r: r.place)]
+    assert say(blocks, told, rest) == ["b", "a", "d", "e", "c"]
+    assert say(blocks.where("false"), told, rest) == ["d", "e", "a", "c"] and say(blocks, told, rest.where("false")) == ["b", "a", "d"]
+
+
 def test_who_survives_several_merges(spark):
     merges = spark.createDataFrame([(9, 4), (4, 2), (5, 6), (6, 5), (8, 7), (10, 7), (3, 3)], "keep long, merge long")
     got = {r.id: r.root for r in resolving.surviving(merges).collect()}
