@@ -1,9 +1,10 @@
 """Line dedup by content-defined chunks (DataFrame functions only).
 
 A rolling hash over the last WINDOW line hashes closes a chunk where it is 0 modulo DIVISOR,
-so that the cuts depend on the lines around them and not on their place in the document. Chunks
-of several lines that occur more than once in the corpus are compared byte by byte with
-their first occurrence and removed elsewhere.
+so that the cuts depend on the lines around them and not on their place in the document. A line
+of LONG_CHUNK characters is a passage by itself: chunks close before and after it. Such lines and
+chunks of several lines that occur more than once in the corpus are compared byte by byte
+with their first occurrence and removed elsewhere.
 
 Chunks miss passages that their cuts don't fall in with. drop_repeated_passages does without cuts:
 every two lines in a row, and every long line, are looked up over the whole corpus, and what
@@ -20,6 +21,8 @@ from reverie.llm.common import boxed, load, maybe_among, written
 
 WINDOW = 2
 DIVISOR = 3
+#: Characters from which a line is a chunk of its own.
+LONG_CHUNK = 150
 #: Of the rolling hash: base and a prime modulus; line hashes are below 2 ** 32, so that sums stay below 2 ** 63.
 BASE = 31
 MODULUS = 1_000_000_007
@@ -32,31 +35,33 @@ def _line_hash(line: Column) -> Column:
 
 
 def _closes(i: Column) -> Column:
-    """Whether the line at i, from 0, is the last of its chunk; reads _hashes."""
+    """Whether the line at i, from 0, is the last of its chunk; reads _hashes and _long."""
     rolling = F.lit(0).cast("long")
     for back in reversed(range(WINDOW)):
         own = F.when(i >= back, F.get("_hashes", (i - back).cast("int"))).otherwise(F.lit(0).cast("long"))
         rolling = (rolling * BASE + own % MODULUS) % MODULUS
-    return (rolling % DIVISOR == 0) | (i == F.size("_hashes") - 1)
+    long = F.get("_long", i.cast("int")) | F.coalesce(F.get("_long", (i + 1).cast("int")), F.lit(False))
+    return (rolling % DIVISOR == 0) | long | (i == F.size("_hashes") - 1)
 
 
 def chunked(docs: DataFrame) -> DataFrame:
     """docs with _lines and _chunks, an array of struct(start, n) in order; start counts lines from 0."""
-    lines = docs.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("_hashes", F.transform("_lines", _line_hash))
+    lines = docs.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    lines = lines.withColumns({"_hashes": F.transform("_lines", _line_hash), "_long": F.transform("_lines", lambda line: F.length(line) >= LONG_CHUNK)})
     ends = lines.withColumn("_ends", F.filter(F.sequence(F.lit(0), F.size("_hashes") - 1), _closes))
     start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("_ends", k - 1) + 1)
-    return ends.withColumn("_chunks", F.transform("_ends", lambda e, k: F.struct(start(k).alias("start"), (e + 1 - start(k)).alias("n")))).drop("_ends", "_hashes")
+    return ends.withColumn("_chunks", F.transform("_ends", lambda e, k: F.struct(start(k).alias("start"), (e + 1 - start(k)).alias("n")))).drop("_ends", "_hashes", "_long")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, start, n of each occurrence of a repeated chunk of several lines but its first, by (doc_id, start).
+    """doc_id, start, n of each occurrence of a repeated chunk, of several lines or a long one, but its first, by (doc_id, start).
 
     Only hashes move until chunks are known to repeat; then each repeated chunk's text is compared
     with that of the first occurrence. A bitmap of fixed size, sent to all tasks, spares most
     other texts the way to that join. A hot chunk is a join key whose rows are split, and its count
     and first occurrence are partial aggregates.
     """
-    several = chunked(docs.where("doc_id IS NOT NULL").select("doc_id", "text")).select("doc_id", "_lines", F.explode(F.filter("_chunks", lambda c: c["n"] > 1)).alias("c"))
+    several = chunked(docs.where("doc_id IS NOT NULL").select("doc_id", "text")).select("doc_id", "_lines", F.explode(F.filter("_chunks", lambda c: (c["n"] > 1) | (F.length(F.get("_lines", c["start"])) >= LONG_CHUNK))).alias("c"))
     own = several.select("doc_id", F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.array_join(F.slice("_lines", F.col("c.start") + 1, F.col("c.n")), "\n").alias("chunk")).withColumn("key", F.xxhash64("chunk"))
     again = written(own.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("key", "first"), "chunk-keys", 8)
     found = maybe_among(own, again).join(again, "key")
@@ -143,14 +148,14 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
 hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) % {MODULUS} AS h FROM lines),
 rolled AS (
-  SELECT doc_id, line, i, ((coalesce(lag(h) OVER w, 0) * {BASE} + h) % {MODULUS}) % {DIVISOR} = 0 AS closes FROM hashed
+  SELECT doc_id, line, i, ((coalesce(lag(h) OVER w, 0) * {BASE} + h) % {MODULUS}) % {DIVISOR} = 0 OR length(line) >= {LONG_CHUNK} OR coalesce(length(lead(line) OVER w), 0) >= {LONG_CHUNK} AS closes FROM hashed
   WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (
   SELECT *, coalesce(sum(CAST(closes AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM rolled),
 chunk AS (SELECT doc_id, c, min(i) AS first_line, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY doc_id, c),
-firsts AS (SELECT body, min(struct_pack(d := doc_id, s := first_line)) AS f FROM chunk WHERE n > 1 GROUP BY body HAVING count(*) > 1),
+firsts AS (SELECT body, min(struct_pack(d := doc_id, s := first_line)) AS f FROM chunk WHERE n > 1 OR length(body) >= {LONG_CHUNK} GROUP BY body HAVING count(*) > 1),
 fate AS (
-  SELECT chunk.*, f IS NOT NULL AND n > 1 AND f <> struct_pack(d := doc_id, s := first_line) AS gone FROM chunk LEFT JOIN firsts USING (body))
+  SELECT chunk.*, f IS NOT NULL AND f <> struct_pack(d := doc_id, s := first_line) AS gone FROM chunk LEFT JOIN firsts USING (body))
 SELECT doc_id, CAST(sum(n) AS INT) AS n_lines, CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS INT) AS n_removed,
   coalesce(string_agg(body, chr(10) ORDER BY first_line) FILTER (WHERE NOT gone), '') AS text
 FROM fate GROUP BY doc_id

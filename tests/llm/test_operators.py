@@ -102,7 +102,8 @@ def brute_chunks(lines):
     out, start = [], 0
     for i in range(len(lines)):
         r = ((h[i - 1] if i else 0) % line_chunks.MODULUS * line_chunks.BASE + h[i] % line_chunks.MODULUS) % line_chunks.MODULUS
-        if r % line_chunks.DIVISOR == 0 or i == len(lines) - 1:
+        long = any(len(x) >= line_chunks.LONG_CHUNK for x in lines[i : i + 2])
+        if r % line_chunks.DIVISOR == 0 or long or i == len(lines) - 1:
             out.append((start, i + 1 - start))
             start = i + 1
     return out
@@ -113,7 +114,7 @@ def test_line_chunks(spark, docs, none):
     places = collections.defaultdict(list)
     for d, lines in known.items():
         for s, n in brute_chunks(lines):
-            if n > 1:
+            if n > 1 or len(lines[s]) >= line_chunks.LONG_CHUNK:
                 places["\n".join(lines[s : s + n])].append((d, s, n))
     gone = {x for own in places.values() for x in sorted(own)[1:]}
     want = {d: "\n".join(x for i, x in enumerate(lines) if not any(g == d and s <= i < s + n for g, s, n in gone)) for d, lines in known.items()}
@@ -126,6 +127,14 @@ def test_line_chunks(spark, docs, none):
     assert line_chunks.drop_repeated_chunks(none).count() == 0
 
 
+def test_a_long_line_goes_whatever_stands_around_it(spark):
+    passage, short = "word " * 51, "a line that many texts share"
+    texts = [f"one\ntwo\n{passage}\nthree", f"{passage}\n{short}", f"four\n{short}\n{passage}", f"{passage}and more", f"{short}\n\nfive"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_chunks.drop_repeated_chunks(docs).collect()}
+    assert got == {0: texts[0], 1: short, 2: f"four\n{short}", 3: texts[3], 4: texts[4]}
+
+
 @functools.lru_cache(maxsize=1)
 def tokenizer():
     from tokenizers import Tokenizer
