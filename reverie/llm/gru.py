@@ -21,6 +21,8 @@ HIDDEN = 16
 #: Steps of a window; of one that training reads after most lanes have ended, at most.
 WINDOW, LONGEST = 16, 128
 LANES = 256
+#: Words whose probabilities are laid out at a time.
+BLOCK = 2048
 RATE = 0.015
 
 
@@ -120,89 +122,118 @@ def dealt(docs: list[np.ndarray], lanes: int) -> Lanes:
     return Lanes(words, starts, np.cumsum(size) - size, size, order, bounds)
 
 
-def _squashed(x: np.ndarray) -> None:
-    """x / (1 + |x|) in place; its derivative there is (1 - |result|) ** 2."""
-    size = np.abs(x)
-    size += 1
-    x /= size
+def _squashed(x: np.ndarray, size: np.ndarray) -> None:
+    """x / (1 + |x|) in place, size is overwritten; its derivative there is (1 - |result|) ** 2."""
+    np.abs(x, out=size)
+    np.add(size, 1, out=size)
+    np.divide(x, size, out=x)
+
+
+def _side_by_side(x: np.ndarray) -> np.ndarray:
+    """(step, row, lane) to rows over all steps and lanes."""
+    return x.transpose(1, 0, 2).reshape(x.shape[1], -1)
 
 
 def _forward(w: Weights, table: np.ndarray, h: np.ndarray, words: np.ndarray, starts: np.ndarray):
-    """With table, the gate inputs of every word (x @ embed): states before each word (hidden, step, lane), gates and candidates likewise, the reset products' inputs, and the last state."""
-    n = len(h)
-    x = np.take(table, words.astype(np.intp), axis=1, mode="clip")
-    states, held = np.empty((n, *words.shape), h.dtype), np.empty((n, *words.shape), h.dtype)
-    fresh = (~starts).astype(h.dtype)
+    """With table, the gate inputs of every word (x @ embed): states before each word and after the last (step, hidden, lane), gates and candidates likewise, and the reset products' inputs.
+
+    What a step reads and writes lies in one piece, so that each of its operations is one run over memory.
+    """
+    (n, k), steps = h.shape, len(words)
+    states, x, held = (np.empty((steps + more, rows, k), h.dtype) for more, rows in ((1, n), (0, 3 * n), (0, n)))
+    g, size, fed = np.empty((3 * n, k), h.dtype), np.empty((2 * n, k), h.dtype), np.empty((n, k), h.dtype)
+    of_gates, of_cand, size_cand = g[: 2 * n], g[2 * n :], size[:n]
     half = h.dtype.type(0.5)
-    for t in range(len(words)):
-        own, gates, cand = states[:, t], x[: 2 * n, t], x[2 * n :, t]
-        np.multiply(h, fresh[t], out=own)
-        g = w.u @ own
-        gates += g[: 2 * n]
-        _squashed(gates)
-        gates *= half
-        gates += half
-        held[:, t] = g[2 * n :]
-        cand += gates[n:] * g[2 * n :]
-        _squashed(cand)
-        h = own - cand
-        h *= gates[:n]
-        h += cand
-    return states, x, held, h
-
-
-def _log_softmax(logit: np.ndarray, pick: np.ndarray, at: np.ndarray, scale: np.floating | None) -> np.ndarray:
-    """Log-softmax over the first axis at pick; logit is overwritten, with scale by the gradient of its negative times scale."""
-    logit -= logit.max(0)
-    out = logit[pick, at]
+    states[0], words = h, words.astype(np.intp)
+    begins = starts.any(1).tolist()
+    for t, (word, own, after, all_x, gates, z, r, cand, kept) in enumerate(zip(words, states[:-1], states[1:], x, x[:, : 2 * n], x[:, :n], x[:, n : 2 * n], x[:, 2 * n :], held, strict=True)):
+        table.take(word, axis=1, out=all_x, mode="clip")
+        if begins[t]:
+            own[:, starts[t]] = 0
+        np.matmul(w.u, own, out=g)
+        np.add(gates, of_gates, out=gates)
+        _squashed(gates, size)
+        np.multiply(gates, half, out=gates)
+        np.add(gates, half, out=gates)
+        kept[...] = of_cand
+        np.multiply(r, of_cand, out=fed)
+        np.add(cand, fed, out=cand)
+        _squashed(cand, size_cand)
+        np.subtract(own, cand, out=after)
+        np.multiply(after, z, out=after)
+        np.add(after, cand, out=after)
+    return states, x, held
+
+
+#: Logits up to this size have no exponential that leaves the range of a 32-bit number, nor a sum that does.
+TAME = 60
+
+
+def _tame(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no state, whose parts lie between -1 and 1, gives a logit above TAME in size."""
+    return bool((np.abs(weights).sum(-1) + np.abs(bias)).max(initial=0) <= TAME)
+
+
+def _log_softmax(logit: np.ndarray, pick: np.ndarray, scale: np.floating | None, tame: bool = False) -> np.ndarray:
+    """Log-softmax over the first axis at pick; logit is overwritten, with scale by the gradient of its negative times scale. Where logits are tame their maximum need not come off."""
+    if not tame:
+        logit -= logit.max(0)
+    flat, place = logit.reshape(-1), pick * np.intp(logit.shape[1])
+    place += np.arange(logit.shape[1])
+    out = flat[place]
     np.exp(logit, out=logit)
     total = logit.sum(0)
     if scale is not None:
         logit *= scale / total
-        logit[pick, at] -= scale
+        flat[place] -= scale
     return out - np.log(total)
 
 
 def _outputs(w: Weights, states: np.ndarray, words: np.ndarray, there: np.ndarray, grad: Weights | None = None):
-    """Log-probability of each word that is there, in order; with grad also fills in gradients of the mean negative log, and returns that of the states."""
-    n, groups = len(states), len(w.wb)
+    """Log-probability of each word that is there, in order; with grad also adds gradients of the mean negative log, and returns that of the states."""
+    (steps, n, lanes), groups = states.shape, len(w.wb)
     live = np.flatnonzero(there.ravel())
     cls = w.classes[words.ravel()[live]]
     sort = np.argsort(cls, kind="stable")
     rows, cls = live[sort], cls[sort]
-    h = np.take(states.reshape(n, -1), rows, axis=1)
-    at = np.arange(len(rows))
-    soft = w.cw @ h
-    soft += w.cb[:, None]
+    # a last row of ones takes the biases into the products
+    h = np.ones((n + 1, len(rows)), states.dtype)
+    np.take(_side_by_side(states), rows, axis=1, out=h[:n], mode="clip")
+    c_both, w_both = np.concatenate((w.cw, w.cb[:, None]), 1), np.concatenate((w.ww, w.wb[..., None]), 2)
+    tame, inner_tame = _tame(w.cw, w.cb), _tame(w.ww, w.wb)
+    log = np.empty(len(rows), h.dtype)
+    dh = None if grad is None else np.empty((n, len(rows)), h.dtype)
     scale = None if grad is None else h.dtype.type(1 / max(1, len(rows)))
-    log = _log_softmax(soft, cls, at, scale)
-    dh = None
-    if grad is not None:
-        grad.cw[:], grad.cb[:] = soft @ h.T, soft.sum(1)
-        dh = w.cw.T @ soft
+    for a in range(0, len(rows), BLOCK):
+        own = h[:, a : a + BLOCK]
+        soft = c_both @ own
+        log[a : a + BLOCK] = _log_softmax(soft, cls[a : a + BLOCK], scale, tame)
+        if grad is not None:
+            both = soft @ own.T
+            grad.cw += both[:, :n]
+            grad.cb += both[:, n]
+            dh[:, a : a + BLOCK] = w.cw.T @ soft
     ends = np.searchsorted(cls, np.arange(groups + 1))
     member = words.ravel()[rows].astype(np.int64) - cls.astype(np.int64) * w.wb.shape[1]
-    for k in range(groups):
-        a, b = ends[k], ends[k + 1]
-        if a == b:
-            continue
+    for k, a, b in ((k, a, min(a + BLOCK, ends[k + 1])) for k in range(groups) for a in range(ends[k], ends[k + 1], BLOCK)):
         own = h[:, a:b]
-        inner = w.ww[k] @ own
-        inner += w.wb[k][:, None]
-        log[a:b] += _log_softmax(inner, member[a:b], at[: b - a], scale)
+        inner = w_both[k] @ own
+        log[a:b] += _log_softmax(inner, member[a:b], scale, inner_tame)
         if grad is not None:
-            grad.ww[k], grad.wb[k] = inner @ own.T, inner.sum(1)
+            both = inner @ own.T
+            grad.ww[k] += both[:, :n]
+            grad.wb[k] += both[:, n]
             dh[:, a:b] += w.ww[k].T @ inner
     out = np.empty(len(rows))
     out[sort] = log
     if grad is None:
         return out, None
     back = np.zeros(there.size, np.intp)
-    back[rows] = at
-    full = np.take(dh, back, axis=1).reshape(states.shape)
+    back[rows] = np.arange(len(rows))
+    full = np.take(dh, back, axis=1)
     if len(rows) < there.size:
-        full *= there
-    return out, full
+        full *= there.ravel()
+    return out, full.reshape(n, steps, lanes).transpose(1, 0, 2).copy()
 
 
 def score(w: Weights, docs: list[np.ndarray], lanes: int = 4 * LANES, window: int = WINDOW) -> np.ndarray:
@@ -214,8 +245,8 @@ def score(w: Weights, docs: list[np.ndarray], lanes: int = 4 * LANES, window: in
     h, table = np.zeros((w.u.shape[1], len(run.at)), w.u.dtype), w.x @ w.embed
     for k, place, there in run.windows(window, window * lanes, lanes):
         words = run.words[place]
-        states, _, _, h = _forward(w, table, h[:, :k], words, run.starts[place])
-        out[place[there]] = _outputs(w, states, words, there)[0]
+        states, _, _ = _forward(w, table, h[:, :k], words, run.starts[place])
+        out[place[there]], h = _outputs(w, states[:-1], words, there)[0], states[-1]
     total = np.empty(len(docs))
     total[run.order] = np.add.reduceat(out, run.bounds)
     return total
@@ -226,35 +257,39 @@ def gradients(w: Weights, h: np.ndarray, words: np.ndarray, starts: np.ndarray,
 
     A lane that ends within the window is not read again, so its last words' states need no mask.
     """
-    n, steps, k = len(h), *words.shape
+    n, (steps, k) = len(h), words.shape
     for f in fields(grad):
         getattr(grad, f.name)[...] = 0
-    states, x, held, last = _forward(w, w.x @ w.embed, h, words, starts)
+    states, x, held = _forward(w, w.x @ w.embed, h, words, starts)
+    states, last = states[:-1], states[-1]
     log, dstates = _outputs(w, states, words, there, grad)
-    fresh = (~starts).astype(h.dtype)
-    dg, dh = np.empty_like(x), np.zeros_like(h)
-    z, r, cand = x[:n], x[n : 2 * n], x[2 * n :]
-    dz, dr, dc = dg[:n], dg[n : 2 * n], dg[2 * n :]
+    z, r, cand = x[:, :n], x[:, n : 2 * n], x[:, 2 * n :]
+    # what goes into the states' products, and into the candidates themselves
+    du, dc, dh, back = np.empty_like(x), np.empty_like(held), np.zeros_like(h), np.empty_like(h)
     # what does not depend on the state's gradient, for the whole window at once
     of_c = (1 - z) * (1 - np.abs(cand)) ** 2
     of_z = (states - cand) * 2 * np.minimum(z, 1 - z) ** 2
     of_r = held * 2 * np.minimum(r, 1 - r) ** 2
-    for t in reversed(range(steps)):
-        np.multiply(dh, of_c[:, t], out=dc[:, t])
-        np.multiply(dh, of_z[:, t], out=dz[:, t])
-        np.multiply(dc[:, t], of_r[:, t], out=dr[:, t])
-        dh *= z[:, t]
-        own = np.concatenate((dz[:, t], dr[:, t], dc[:, t] * r[:, t]))
-        dh += w.u.T @ own
-        dh += dstates[:, t]
-        dh *= fresh[t]
-    flat, dx = words.ravel().astype(np.intp), dg.reshape(3 * n, -1)
+    begins, ut = starts.any(1).tolist(), w.u.T
+    each = (du, du[:, :n], du[:, n : 2 * n], du[:, 2 * n :], dc, of_c, of_z, of_r, z, r, dstates)
+    for t, (all_du, dz, dr, dcr, own, own_c, own_z, own_r, keeps, resets, dstate) in zip(reversed(range(steps)), zip(*(a[::-1] for a in each), strict=True), strict=True):
+        np.multiply(dh, own_c, out=own)
+        np.multiply(dh, own_z, out=dz)
+        np.multiply(own, own_r, out=dr)
+        np.multiply(own, resets, out=dcr)
+        np.multiply(dh, keeps, out=dh)
+        np.matmul(ut, all_du, out=back)
+        np.add(dh, back, out=dh)
+        np.add(dh, dstate, out=dh)
+        if begins[t]:
+            dh[:, starts[t]] = 0
+    flat, dx = words.ravel().astype(np.intp), _side_by_side(du)
+    grad.u[:] = dx @ _side_by_side(states).T
+    dx[2 * n :] = _side_by_side(dc)
     grad.x[:] = dx @ np.take(w.embed, flat, axis=1, mode="clip").T
     by_word = np.argsort(flat.astype(np.uint16), kind="stable")
     first = np.flatnonzero(np.diff(flat[by_word], prepend=-1))
     grad.embed[:, flat[by_word[first]]] = np.add.reduceat(np.take(w.x.T @ dx, by_word, axis=1), first, axis=1)
-    dc *= r
-    grad.u[:] = dx @ states.reshape(n, -1).T
     return last, float(log.sum())
 
 

@@ -13,6 +13,7 @@ at most, travel to the tasks that number documents; the rare rest is joined.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -130,10 +131,25 @@ def _frequent(counts: DataFrame, most: int) -> dict[str, int]:
     return {r["word"]: r["n"] for r in counts.where(level >= floor).collect()}
 
 
-def _numbers(words: list[str], language: Language) -> np.ndarray:
-    """The network's number of each word."""
-    get = language.vocabulary.get
-    return np.fromiter((i if (i := get(w)) is not None else VOCABULARY + other_class(w) for w in words), np.int32, len(words))
+def _other_classes(words: pa.Array) -> np.ndarray:
+    """other_class of each word, worked out once for each ending."""
+    ends = pc.utf8_slice_codeunits(words, start=-2).dictionary_encode()
+    own = np.fromiter(map(other_class, ends.dictionary.to_pylist()), np.int32, len(ends.dictionary))
+    return own[ends.indices.to_numpy(zero_copy_only=False)] if len(words) else own
+
+
+def _looker(language: Language):
+    """A function that gives the network's number of each word, and its count, -1 where the task does not know it."""
+    known = pa.array(list(language.known), pa.large_string())
+    # what stands last is for words that are not known
+    counts = np.array([*language.known.values(), -1], np.int64)
+    places = np.array([*map(language.vocabulary.get, language.known, itertools.repeat(-1)), -1], np.int32)
+
+    def look(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        at = pc.fill_null(pc.index_in(words, value_set=known), len(known)).to_numpy(zero_copy_only=False)
+        return np.where(places[at] < 0, VOCABULARY + _other_classes(words), places[at]), counts[at]
+
+    return look
 
 
 ROWS = "row long, doc_id long, role int, n_tokens long, n_known long, base double, model double, ids binary, word string, tf long"
@@ -156,12 +172,11 @@ def _number(batches: Iterator[pa.RecordBatch], language: Language) -> Iterator[p
     row = TaskContext.get().partitionId() << 40
     size = math.log10(language.tokens + language.types + 1)
     end = language.known.get(END, 0)
+    look = _looker(language)
     for run in _runs(batches):
         n = run.num_rows
         of, bounds, words = tokens_of(_text(run))
-        names = words.to_pylist()
-        numbers = _numbers(names, language)
-        count = np.fromiter((language.known.get(w, -1) for w in names), np.int64, len(names))
+        numbers, count = look(words)
         inside = numbers < VOCABULARY
         shares = np.log10(language.shares)[np.where(inside, 0, numbers - VOCABULARY)]
         log = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1), 0)
@@ -177,10 +192,10 @@ def _number(batches: Iterator[pa.RecordBatch], language: Language) -> Iterator[p
             base=add(log) - lengths * size + math.log10(end + 1) - size, model=add(np.where(inside, 0, log - shares)), ids=pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, offsets, pa.py_buffer(ids)]),
         )
         rare = (count < 0)[of]
-        pairs, tf = np.unique(doc[rare] * np.int64(max(1, len(names))) + of[rare], return_counts=True)
+        pairs, tf = np.unique(doc[rare] * np.int64(max(1, len(words))) + of[rare], return_counts=True)
         for a in range(0, len(pairs), 100_000):
             own = pairs[a : a + 100_000]
-            yield _batch(len(own), row=row + own // len(names), word=words.take(pa.array(own % len(names))), tf=tf[a : a + 100_000])
+            yield _batch(len(own), row=row + own // len(words), word=words.take(pa.array(own % len(words))), tf=tf[a : a + 100_000])
         row += n
 
 

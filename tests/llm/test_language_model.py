@@ -5,6 +5,7 @@ import math
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,62 @@ def test_query_against_a_plain_model(spark):
         row = seen.loc[d]
         assert (row.n_tokens, row.n_known, row.train_tokens, row.held_out) == (len(words), sum(c[x.encode()] > 0 for x in words), n, got[d].role == gru_lm.HELD)
         assert row.base_score == pytest.approx(base, rel=1e-9) and row.score == pytest.approx(want, rel=1e-3)
+
+
+def test_a_step_lies_in_one_piece():
+    """The cost of a step of few lanes is that of its calls, so none may go row by row."""
+    rng, w = np.random.default_rng(5), small()
+    words, starts = rng.integers(0, 11, (7, 3)), np.zeros((7, 3), bool)
+    starts[[0, 4], [2, 1]] = True
+    states, x, held = gru._forward(w, w.x @ w.embed, rng.normal(0, 0.3, (5, 3)).astype(np.float32), words, starts)
+    assert all(a[t].flags.c_contiguous and a[t].shape == (rows, 3) for a, rows in ((states, 5), (x, 15), (held, 5)) for t in range(7))
+    assert not states[0, :, 2].any() and not states[4, :, 1].any() and states[4, :, 0].all() and len(states) == 8
+
+
+@pytest.mark.parametrize("size", [1, 12, 40, 400])
+def test_logits_of_any_size(size):
+    """On either side of what counts as tame, and far beyond what an exponential holds."""
+    rng, w = np.random.default_rng(6), small()
+    for a in (w.cw, w.cb, w.ww, w.wb):
+        a *= size
+    assert gru._tame(w.cw, w.cb) == (size < 40)
+    docs = [rng.integers(0, 11, n) for n in (30, 5)]
+    with np.errstate(over="raise", invalid="raise"):
+        got = gru.score(w, docs)
+        gru.train(w, docs)
+    plain_log = [sum(_logs(w, d)) for d in docs]
+    assert got == pytest.approx(plain_log, rel=1e-4)
+
+
+def test_blocks_change_nothing(monkeypatch):
+    rng, w = np.random.default_rng(8), small(3, 4, np.float64)
+    docs = [rng.integers(0, 11, n) for n in (30, 5, 19)]
+    want, trained = gru.score(w, docs), gru.train(w, docs).flat()
+    monkeypatch.setattr(gru, "BLOCK", 3)
+    assert gru.score(w, docs) == pytest.approx(want) and gru.train(w, docs).flat() == pytest.approx(trained)
+
+
+def _logs(w, words):
+    """As plain, with logs of sums that hold any logit."""
+    logs = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+    groups, per = w.wb.shape
+    run = gru.dealt([np.asarray(words)], 1)
+    states, _, _ = gru._forward(w, w.x @ w.embed, np.zeros((w.u.shape[1], 1), np.float32), run.words[:, None], run.starts[:, None])
+    for t, word in enumerate(map(int, words)):
+        h = states[t, :, 0].astype(float)
+        cls = word // per if word < groups * per else word - groups * per + groups
+        yield logs(w.cw.astype(float) @ h + w.cb)[cls] + (logs(w.ww[cls].astype(float) @ h + w.wb[cls])[word - cls * per] if cls < groups else 0)
+
+
+def test_endings_are_looked_at_once(monkeypatch):
+    """Numbers and counts of a run's words come from whole columns; a word's class is worked out once for its ending."""
+    words = [f"word{i}ng" for i in range(3_000)] + ["é", "a😀", "x"]
+    language = gru_lm.Language({"": 3, "word7ng": 2, "é": 1}, {"": 0, "word7ng": 1}, np.ones(gru_lm.OTHERS), 6, 3, small())
+    asked, plain_class = [], gru_lm.other_class
+    monkeypatch.setattr(gru_lm, "other_class", lambda w: asked.append(w) or plain_class(w))
+    numbers, counts = gru_lm._looker(language)(pa.array(words, pa.large_string()))
+    assert len(asked) == 4
+    assert numbers.tolist() == [language.vocabulary.get(w, gru_lm.VOCABULARY + plain_class(w)) for w in words]
+    assert counts.tolist() == [language.known.get(w, -1) for w in words]
+    empty = gru_lm._looker(language)(pa.array([], pa.large_string()))
+    assert [len(a) for a in empty] == [0, 0]
