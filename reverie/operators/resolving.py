@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reverie.functions import text
-from reverie.operators import graph, upkeep
+from reverie.operators import alike, graph, upkeep
 
 #: Fixed value: the confidence from which a judgement settles a question.
 SURE = 0.9
@@ -151,8 +151,8 @@ def resolved_mentions(seen: DataFrame, entities: DataFrame, mentions: DataFrame,
     return out.select("memory_id", "name", target.alias("entity_id"), target.isNull().alias("is_new"), F.when(target.isNull(), F.coalesce("all", none)).otherwise(none).alias("proposed"))
 
 
-#: Mentions of a name that a round compares all its others with.
-FIRSTS = 8
+#: Mentions of a name that a round settles among themselves; mentions that meet its entities in a group; telling words of either at most, but for a single mention with more.
+FIRSTS, GROUP, WORDS = 2048, 2048, 500_000
 
 
 def new_entities(new: DataFrame) -> DataFrame:
@@ -162,40 +162,63 @@ def new_entities(new: DataFrame) -> DataFrame:
     obviously the same, by its first mention's text, or that nothing is known of (an empty text); else it
     makes an entity of its own. first is the memory whose mention made the entity. The entities of one name
     beside its first may still be that one: twin_of is then the first's memory, to be proposed, else null.
+    """
+    each = F.collect_list(F.struct("name", "surface", "entity_type"))
+    return settled_names(new.groupBy("memory_id", "content").agg(each.alias("mentioned")))
+
+
+def _told_beside(texts: DataFrame) -> DataFrame:
+    """memory_id, name, entity_type, bare, n_words, telling of each of mentioned (an array of name, surface, entity_type) in texts (memory_id, content): the telling words beside the name as one string, none for a name of a single word, which is no proof; a text's words are found once."""
+    c = F.col
+    told = texts.select("memory_id", (F.trim(F.coalesce("content", F.lit(""))) == "").alias("bare"), text.told_words(c("content")).alias("told"), "mentioned")
+    each = told.select("memory_id", "bare", "told", F.explode("mentioned").alias("m")).select("memory_id", "bare", "told", "m.name", "m.surface", "m.entity_type")
+    telling = F.when(F.size(text.words(c("surface"))) >= 2, text.beside_name(c("told"), c("surface"))).otherwise(F.array().cast("array<string>"))
+    return each.select("memory_id", "name", "surface", "entity_type", "bare", telling.alias("t")).select("memory_id", "name", "entity_type", "bare", F.size("t").alias("n_words"), F.array_join("t", " ").alias("telling"))
+
+
+def settled_names(texts: DataFrame) -> DataFrame:
+    """As new_entities, of texts (memory_id, content, mentioned: an array of name, surface, entity_type).
 
     A round takes the next FIRSTS mentions of each name, settles them among themselves, and compares
-    all later ones with those that make entities; so a name costs its mentions times its entities, and the rounds are
-    those of the name with the most.
+    all later ones with those that make entities, in groups of bounded size. What is the same as none goes
+    into the next round; so the rounds are those of the name with the most mentions that are the same as
+    none of the entities before their round.
     """
-    worded = new.withColumn("words", text.words(F.col("surface"))).withColumn("telling", text.context_words(F.col("content"), F.col("surface")))
-    left = kept_ = graph.kept(worded.select("memory_id", "name", "words", "entity_type", "telling", (F.trim(F.coalesce("content", F.lit(""))) == "").alias("bare")), "new-names")
     c = F.col
+    rows = _told_beside(texts).where("name IS NOT NULL")
+    left = kept_ = graph.kept(rows.select("memory_id", "name", c("entity_type").alias("kind"), "bare", "n_words", "telling"), "new-names")
+    id_type = left.schema["memory_id"].dataType.simpleString()
+    running = W.partitionBy("name").orderBy("memory_id")  # FIRSTS rows at most
 
-    def same(a: str, b: str) -> Column:
-        typed = F.coalesce(c(f"{a}.entity_type") == c(f"{b}.entity_type"), F.lit(True))
-        told = (F.size(f"{a}.words") >= 2) & (c(f"{a}.words") == c(f"{b}.words")) & upkeep.same_context(c(f"{a}.telling"), c(f"{b}.telling"))
-        return typed & (c(f"{a}.bare") | told)
-
-    settled = []
+    done = []
     while True:
-        firsts = graph.kept(graph.per_key(left, "name", [c("memory_id")], FIRSTS).withColumn("place", c("place") - 1), "firsts")
-        if firsts.isEmpty():
+        firsts = graph.per_key(left.select("name", "memory_id", "n_words"), "name", [c("memory_id")], FIRSTS).withColumn("sum", F.sum("n_words").over(running))
+        last = firsts.where((c("sum") <= WORDS) | (c("place") == 1)).groupBy("name").agg(F.max("memory_id").alias("last"), F.count(F.lit(1)).alias("taken"))
+        sizes = left.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("n_words"))
+        shards = F.greatest(F.ceil(c("n") / GROUP), F.ceil(c("n_words") / WORDS), F.lit(1)).cast("int")
+        ends = graph.kept(last.join(sizes, "name").select("name", "last", "taken", "n", shards.alias("shards")), "ends")
+        if ends.isEmpty():
+            break
+        placed = left.join(ends, "name")
+        single = placed.where("taken = 1 AND memory_id <= last").select("memory_id", "name", c("memory_id").alias("first"), "kind", "bare", "telling")  # nothing to compare
+        several = placed.where("taken > 1 AND memory_id <= last").select("name", "memory_id", "kind", "bare", "telling")
+        met = several.groupBy("name").applyInPandas(alike.settled, f"name string, memory_id {id_type}, kind string, bare boolean, telling string, first {id_type}")
+        makers = c("first") == c("memory_id")
+        told = graph.kept(single.unionByName(met.select("memory_id", "name", "first", *[F.when(makers, c(x)).alias(x) for x in ("kind", "bare", "telling")])), "settled")
+        done.append(told.select("memory_id", "name", "first"))
+        more = ends.where("n > taken").select("name", "shards")
+        if more.isEmpty():
             break
-        pairs = firsts.alias("a").join(firsts.alias("b"), (c("a.name") == c("b.name")) & (c("a.place") < c("b.place"))).where(same("a", "b"))
-        earlier = pairs.groupBy(c("b.name").alias("name"), c("b.place").alias("place")).agg(F.sort_array(F.collect_list("a.place")).alias("same"))
-        listed = firsts.select("name", "place", "memory_id").join(earlier, ["name", "place"], "left").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("place", "memory_id", "same"))).alias("all"))  # FIRSTS at most
-        none = F.array().cast("array<int>")
-        # of each, in order, the place of the entity that it is: its own where no earlier entity is the same
-        entity = F.aggregate("all", none, lambda acc, x: F.array_append(acc, F.coalesce(F.get(F.filter(F.coalesce(x["same"], none), lambda i: F.get(acc, i) == i), F.lit(0)), x["place"])))
-        told = graph.kept(listed.withColumn("entity", entity).select("name", F.posexplode("entity").alias("place", "entity"), "all").select("name", "place", "entity", F.get("all", c("place"))["memory_id"].alias("memory_id"), F.get("all", c("entity"))["memory_id"].alias("first")), "told")
-        makers = firsts.join(told.where("place = entity").select("name", "place"), ["name", "place"], "left_semi")
-        later = left.join(told.select("name", "memory_id"), ["name", "memory_id"], "left_anti")
-        joined = later.alias("b").join(makers.alias("a"), c("a.name") == c("b.name")).where(same("a", "b")).groupBy(c("b.name").alias("name"), c("b.memory_id").alias("memory_id")).agg(F.min("a.memory_id").alias("first"))
-        settled.append(told.select("memory_id", "name", "first").unionByName(graph.kept(joined, "joined")))
-        left = graph.kept(later.join(settled[-1].select("name", "memory_id"), ["name", "memory_id"], "left_anti"), "left")
-    if not settled:
+        own = told.where(makers).withColumn("place", F.row_number().over(running))
+        candidates = own.select("name", "place", "kind", "bare", "telling").join(more, "name").withColumn("shard", F.explode(F.sequence(F.lit(0), c("shards") - 1)))
+        later = placed.where("memory_id > last").select("name", "memory_id", "kind", "telling", F.pmod(F.xxhash64("memory_id"), c("shards")).cast("int").alias("shard"))
+        asked = candidates.groupBy("name", "shard").cogroup(later.groupBy("name", "shard"))
+        places = graph.kept(asked.applyInPandas(alike.met, f"name string, memory_id {id_type}, place long"), "met")
+        done.append(places.where("place IS NOT NULL").join(own.select("name", "place", c("memory_id").alias("first")), ["name", "place"]).select("memory_id", "name", "first"))
+        left = graph.kept(left.join(places.where("place IS NULL").select("name", "memory_id"), ["name", "memory_id"], "left_semi").select(*left.columns), "left")
+    if not done:
         return kept_.select("memory_id", "name", c("memory_id").alias("first"), c("memory_id").alias("twin_of"))
-    all_ = reduce(DataFrame.unionByName, settled)
+    all_ = graph.kept(reduce(DataFrame.unionByName, done), "joined")
     anchors = all_.groupBy("name").agg(F.min("first").alias("anchor"))
     return all_.join(anchors, "name").select("memory_id", "name", "first", F.when((c("first") == c("memory_id")) & (c("first") != c("anchor")), c("anchor")).alias("twin_of"))
 
