@@ -14,12 +14,14 @@ from reverie.operators import alike, graph, upkeep
 
 #: Fixed value: the confidence from which a judgement settles a question.
 SURE = 0.9
+#: Mentions of a name that a round settles among themselves; mentions that meet its entities in a group; telling words of either at most, but for a single mention with more.
+FIRSTS, GROUP, WORDS = 2048, 2048, 500_000
 
 
 def facts_of(mentions: DataFrame, memories: DataFrame, most: int) -> DataFrame:
     """id, facts of each entity: the texts of the latest of memories (memory_id, content, updated_at) that mention it, latest first."""
-    own = mentions.select("entity_id", "memory_id").distinct().join(memories.select("memory_id", "content", "updated_at"), "memory_id")
-    few = graph.per_key(own, "entity_id", [F.desc("updated_at"), F.col("memory_id")], most)
+    own = mentions.select("entity_id", "memory_id").distinct().join(memories.select("memory_id", "updated_at"), "memory_id")
+    few = graph.per_key(own, "entity_id", [F.desc("updated_at"), F.col("memory_id")], most).join(memories.select("memory_id", "content"), "memory_id")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("place", "content"))), lambda x: x["content"])
     return few.groupBy(F.col("entity_id").alias("id")).agg(F.array_join(texts, " / ").alias("facts"))
 
@@ -129,30 +131,47 @@ def cleaned(entities: DataFrame, mentions: DataFrame, relations: DataFrame, prop
     return without(new["entities"], new["mentions"], new["relations"], new["proposals"], gone)
 
 
-def resolved_mentions(seen: DataFrame, entities: DataFrame, mentions: DataFrame, root: DataFrame, facts: DataFrame) -> DataFrame:
-    """memory_id, name, entity_id, is_new, proposed (ids) of mentions (memory_id, surface, entity_type, content), each name of a memory once.
+def resolved_mentions(texts: DataFrame, entities: DataFrame, mentions: DataFrame, root: DataFrame, facts: DataFrame) -> DataFrame:
+    """memory_id, name, entity_id, is_new, proposed (ids) of what is mentioned in texts (memory_id, content, mentioned: an array of name, surface, entity_type), each name of a memory once.
+
+    Candidates have the name, by whichever of their names. The latest is taken of those that have that very name
+    without evidence, or that are obviously the same by their facts and the memory's text, in any of the forms in which
+    the memory has the name; else the name is a new entity, which every candidate is proposed to be.
 
-    Candidates have the name, by whichever of their names. One of that very name without evidence
-    is taken, then one that is obviously the same by its facts and the memory's text, the latest first; else
-    the name is a new entity, which every candidate is proposed to be.
+    Telling words are found once a text and once an entity. A name's mentions meet its candidates in groups of bounded
+    size, the latest candidate first; those after one that is anyone's take no part.
     """
-    names = graph.identities(entities, mentions, root)
-    own = seen.withColumn("name", text.normal(F.col("surface"))).where("name <> ''").dropDuplicates(["memory_id", "name"])
-    known = names.join(entities.where("merged_into IS NULL").select("id", F.col("name").alias("full"), F.col("entity_type").alias("kind"), "description"), "id").join(facts, "id", "left")
-    pairs = own.join(known, "name")
     c = F.col
-    no_proof = upkeep.no_evidence(c("full"), c("surface"), c("kind"), c("entity_type"), c("facts"), c("description"))
-    same = upkeep.same_entity(c("full"), c("surface"), c("kind"), c("entity_type"), c("facts"), c("content"))
-    taken = F.coalesce(no_proof | same, F.lit(False))
-    best = pairs.groupBy("memory_id", "name").agg(F.max(F.when(taken, F.struct("updated", (-F.col("id")).alias("less")))).alias("best"), F.sort_array(F.collect_set("id")).alias("all"))
-    out = own.join(best, ["memory_id", "name"], "left")
-    target = -F.col("best.less")
-    none = F.array().cast("array<bigint>")
-    return out.select("memory_id", "name", target.alias("entity_id"), target.isNull().alias("is_new"), F.when(target.isNull(), F.coalesce("all", none)).otherwise(none).alias("proposed"))
-
-
-#: Mentions of a name that a round settles among themselves; mentions that meet its entities in a group; telling words of either at most, but for a single mention with more.
-FIRSTS, GROUP, WORDS = 2048, 2048, 500_000
+    seen = graph.kept(_told_beside(texts).where("name <> ''").select("memory_id", "name", c("entity_type").alias("kind"), "n_words", "telling"), "seen")
+    names = graph.kept(graph.identities(entities, mentions, root).join(seen.select("name").distinct(), "name", "left_semi"), "identities")
+    told = c("facts") != ""
+    own = entities.where("merged_into IS NULL").join(names.select("id").distinct(), "id", "left_semi").join(facts.select("id", F.coalesce("facts", F.lit("")).alias("facts")), "id", "left").withColumn("facts", F.coalesce("facts", F.lit("")))
+    sides = own.select("id", c("name").alias("full"), c("entity_type").alias("of_kind"), (~told & (F.trim(F.coalesce("description", F.lit(""))) == "")).alias("unknown"), F.when(told, text.context_words(c("facts"), c("name"))).alias("t"))
+    sides = graph.kept(sides.select("id", "full", "of_kind", "unknown", F.coalesce(F.size("t"), F.lit(0)).alias("n_words"), F.coalesce(F.array_join("t", " "), F.lit("")).alias("telling")), "sides")
+    words = text.words(c("full"))
+    proof = (F.size(words) >= 2) & (words == text.words(c("name"))) & (c("telling") != "")
+    fit = names.join(sides, "id").withColumns({"bare": c("unknown") & (text.normal(c("full")) == c("name")), "proof": proof}).where("bare OR proof")
+    running = W.partitionBy("name").orderBy(F.desc_nulls_last("updated"), "id")
+    numbered = fit.select("name", "id", "updated", c("of_kind").alias("kind"), "bare", "n_words", "telling").withColumn("place", F.row_number().over(running).cast("long"))
+    of_name, of_kind = W.partitionBy("name"), W.partitionBy("name", "kind")
+    stop = F.min(F.when(c("bare") & c("kind").isNull(), c("place"))).over(of_name)
+    first = F.min(F.when(c("bare"), c("place"))).over(of_kind)
+    few = numbered.withColumns({"stop": stop, "first": first}).where("(stop IS NULL OR place <= stop) AND (NOT bare OR place = first)")
+    block = (F.floor(F.sum("n_words").over(W.partitionBy("name").orderBy("place")) / WORDS) + F.floor(c("place") / FIRSTS)).cast("int")
+    candidates = graph.kept(few.select("name", "id", "place", "kind", "bare", "telling", block.alias("block")), "candidates")
+    blocks = candidates.groupBy("name").agg(F.collect_set("block").alias("blocks"))
+    shards = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n_words") / WORDS), F.lit(1)).cast("int")
+    sizes = graph.kept(seen.groupBy("name").agg(shards.alias("shards")), "sizes")
+    asks = seen.join(sizes, "name").join(blocks, "name").select("name", "memory_id", "kind", "telling", F.explode("blocks").alias("block"), F.pmod(F.xxhash64("memory_id"), c("shards")).cast("int").alias("shard"))
+    spread = candidates.drop("id").join(sizes, "name").withColumn("shard", F.explode(F.sequence(F.lit(0), c("shards") - 1))).drop("shards")
+    key = ["name", "block", "shard"]
+    id_type = seen.schema["memory_id"].dataType.simpleString()
+    met = spread.groupBy(*key).cogroup(asks.groupBy(*key)).applyInPandas(alike.met, f"name string, memory_id {id_type}, place long")
+    taken = met.where("place IS NOT NULL").groupBy("memory_id", "name").agg(F.min("place").alias("place")).join(candidates.select("name", "place", "id"), ["name", "place"])
+    out = seen.select("memory_id", "name").distinct().join(taken.select("memory_id", "name", c("id").alias("entity_id")), ["memory_id", "name"], "left").withColumn("is_new", c("entity_id").isNull())
+    listed = names.groupBy("name").agg(F.sort_array(F.collect_set("id")).alias("all")).withColumn("is_new", F.lit(True))
+    none = F.array().cast(f"array<{entities.schema['id'].dataType.simpleString()}>")
+    return out.join(listed, ["name", "is_new"], "left").select("memory_id", "name", "entity_id", "is_new", F.coalesce("all", none).alias("proposed"))
 
 
 def new_entities(new: DataFrame) -> DataFrame:
