@@ -109,7 +109,7 @@ def _(s):
 def _(s):
     """One running stream: a message fails as often as its length is over a multiple of three, and comes back by itself each time."""
     path, size = _folder(s), F.length("content")
-    s.episodes.select("id", F.coalesce("content", F.lit("")).alias("content")).write.parquet(f"{path}/landing")
+    s.episodes.select("id", F.coalesce("content", F.lit("")).alias("content")).write.option("maxRecordsPerFile", 2000).parquet(f"{path}/landing")  # a batch takes a few files
     running = retrying.loop(s.spark, f"{path}/landing", path, lambda due: due.where(F.col("attempts") > size % 3).select("id", "content"), 0.05)
     retrying.wait_for(running, path, s.episodes.count())
     return retrying.finished(s.spark, path).select("id", "attempts", F.md5(F.col("content").cast("binary")).alias("content"))

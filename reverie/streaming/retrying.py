@@ -100,15 +100,23 @@ def finished(spark: SparkSession, path: str) -> DataFrame:
 
 
 def wait_for(query: StreamingQuery, path: str, n: int, seconds: float = 300) -> None:
-    """Waits until n messages are done, and stops the loop; a query that failed raises what it failed of."""
-    spark, end = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active(), time.time() + seconds
+    """Waits until n messages are done, and stops the loop; a query that failed raises what it failed of.
+
+    seconds is how long the loop may go on without a batch that had events: many messages take long, but not in silence.
+    """
+    spark, end, batch = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active(), time.time() + seconds, None
     try:
         while time.time() < end:
             if query.exception() is not None:
                 raise query.exception()
-            if query.lastProgress is not None and finished(spark, path).count() >= n:
-                return
+            last = query.lastProgress
+            if last is not None and last["batchId"] != batch:
+                batch = last["batchId"]
+                if finished(spark, path).count() >= n:
+                    return
+                if last["numInputRows"]:
+                    end = time.time() + seconds
             time.sleep(0.5)
-        raise TimeoutError(f"{n} messages were not done in {seconds} seconds")
+        raise TimeoutError(f"{n} messages were not done, and no event came for {seconds} seconds")
     finally:
         query.stop()
